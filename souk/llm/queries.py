@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import packing, simhash, substring
+from souk.llm import merkle, packing, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle}
 
 
 def oracle_sql() -> dict:
