@@ -26,7 +26,8 @@ in the same document. Windows are judged on the input.
    one by one, by anchor and a 64-bit hash of the window's words, on the texts.
 
 Skew: every grouping is a count or a minimum that combines before the shuffle,
-and every way back to the rows is a plain join. Nothing but row counts reaches
+and every way back to the rows is a plain join of
+written tables, which Spark splits where a key is hot. Nothing but row counts reaches
 the driver. Texts travel compressed.
 
 Edge cases: a null text has no words; a document without words keeps the digest
@@ -222,40 +223,47 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
     rows = _anchor_rows(docs, window, rounds)
     rows = ws.cut(rows, "anchors")
     shared = rows.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("sa"))
+    shared = ws.cut(shared, "names")
     rows = ws.cut(rows.join(shared, rows["a"] == F.col("sa"), "left_semi"), "shared")
     place = F.struct("doc_id", "k", "s")
     classes = ws.cut(rows.groupBy("a", "c").agg(F.min(F.struct("doc_id", "k", "s", "n")).alias("f")), "contexts")
     heads = classes.select(F.col("a").alias("ha"), F.col("c").alias("hc"), F.struct("f.doc_id", "f.k", "f.s").alias("head"))
     later = rows.join(heads, (rows["a"] == F.col("ha")) & (rows["c"] == F.col("hc"))).where(~place.eqNullSafe(F.col("head"))).select("doc_id", "k", "s", "n")
     several = classes.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("sa"))
+    several = ws.cut(several, "several")
     firsts = classes.join(several, classes["a"] == F.col("sa"), "left_semi").select("a", "f.*")
     asked = firsts.groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("a", "s", "n")).alias("asks"))
+    asked = asked.select("md", "mk", F.col("asks.a").alias("aa"), F.col("asks.s").alias("ss"), F.col("asks.n").cast("array<int>").alias("nn"))
 
     def compare(frames):
         unzip = zstandard.ZstdDecompressor()
         for x in frames:
-            for d, k, z, asks in zip(x["doc_id"].astype("Int64"), x["k"], x["z"], x["asks"], strict=True):
+            out = []
+            for d, k, z, aa, ss, nn in zip(x["doc_id"].astype("Int64"), x["k"], x["z"], x["aa"], x["ss"], x["nn"], strict=True):
                 word = symbols(unzip.decompress(z).split())
                 up, down = _powers(len(word) + 1)
                 sums = _sums(word, up)
-                n = np.array([r["n"] for r in asks], dtype=np.int64)
-                first = np.array([r["s"] for r in asks], dtype=np.int64)
-                s = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"a": np.repeat(np.array([r["a"] for r in asks], dtype=np.int64), n), "w": mix((sums[s + window] - sums[s]) * down[s]).view(np.int64), "doc_id": pd.array([d] * len(s), dtype="Int64"), "k": k, "s": s.astype(np.int32)})
-
-    single = ws.cut(_with_text(_packed(docs), asked, "inner").select("doc_id", "k", "z", "asks").dropDuplicates(["doc_id", "k"]).mapInPandas(compare, "a long, w long, doc_id long, k long, s int"), "windows")
+                n = np.asarray(nn, dtype=np.int64)
+                s = np.repeat(np.asarray(ss, dtype=np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                w = mix((sums[s + window] - sums[s]) * down[s]).view(np.int64)
+                out.append((np.repeat(np.asarray(aa, dtype=np.int64), n), w, s.astype(np.int32), [d] * len(s), np.full(len(s), k)))
+            a, w, s, d, k = zip(*out, strict=True) if out else ((),) * 5
+            yield pd.DataFrame({"a": np.concatenate(a), "w": np.concatenate(w), "doc_id": pd.array([i for part in d for i in part], dtype="Int64"), "k": np.concatenate(k), "s": np.concatenate(s)}) if out else pd.DataFrame({"a": [], "w": [], "doc_id": [], "k": [], "s": []})
+
+    single = ws.cut(_with_text(_packed(docs), asked, "inner").select("doc_id", "k", "z", "aa", "ss", "nn").dropDuplicates(["doc_id", "k"]).mapInPandas(compare, "a long, w long, doc_id long, k long, s int"), "windows")
     least = single.groupBy("a", "w").agg(F.min(place).alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("ha"), F.col("w").alias("hw"), "head")
+    least = ws.cut(least, "least")
     more = single.join(least, (single["a"] == F.col("ha")) & (single["w"] == F.col("hw"))).where(~place.eqNullSafe(F.col("head"))).select("doc_id", "k", "s", F.lit(1).cast("byte").alias("n"))
     return later.unionByName(more)
 
 
-def cover(n_words: int, spans: list, window: int) -> np.ndarray:
-    """True for each word that a marked window covers."""
+def cover(n_words: int, starts, sizes, window: int) -> np.ndarray:
+    """True for each word that a marked window covers; starts: None where there is none."""
     step = np.zeros(n_words + 1, dtype=np.int64)
-    if len(spans):
-        s = np.array([r["s"] for r in spans], dtype=np.int64)
+    if starts is not None:
+        s = np.asarray(starts, dtype=np.int64)
         np.add.at(step, s, 1)
-        np.add.at(step, s + np.array([r["n"] for r in spans], dtype=np.int64) + window - 1, -1)
+        np.add.at(step, s + np.asarray(sizes, dtype=np.int64) + window - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -268,24 +276,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    marks = ws.cut(marks, "marks")
+    marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
+    marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
 
     def finish(frames):
         unzip = zstandard.ZstdDecompressor()
         for x in frames:
             out = []
-            for z, spans in zip(x["z"], x["spans"], strict=True):
+            for z, ss, nn in zip(x["z"], x["ss"], x["nn"], strict=True):
                 raw = unzip.decompress(z)
                 w = raw.split()
-                gone = cover(len(w), spans if spans is not None else [], window)
+                gone = cover(len(w), ss, nn, window)
                 if output == "digest":
                     out.append((len(w), int(gone.sum()), hashlib.sha256(b" ".join([v for v, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)).hexdigest()))
                 else:
                     out.append((len(w), int(gone.sum()), without(raw, w, gone).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64")}).join(pd.DataFrame(out, columns=["n_words", "n_removed", "kept"], index=x.index))
 
-    kept = _with_text(_packed(only), marks, "left").select("doc_id", "z", "spans").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept string")
+    kept = _with_text(_packed(only), marks, "left").select("doc_id", "z", "ss", "nn").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept string")
     return kept.withColumnRenamed("kept", "kept_sha256" if output == "digest" else "kept_text")
 
 
@@ -309,25 +317,25 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with removed words taken out of the text; rows left without a word go, unless they had none before."""
     ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.collect_list(F.struct("s", "n")).alias("_spans"))
-    marks = ws.cut(marks, "marks")
+    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
+    marks = ws.cut(marks.select("_d", "_k", F.col("p.s").alias("_ss"), F.col("p.n").cast("array<int>").alias("_nn")), "marks")
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def finish(frames):
         for x in frames:
-            spans, keep, texts = x["_spans"], [], []
-            for t, sp in zip(x[text_col], spans, strict=True):
-                if sp is None or t is None:
+            keep, texts = [], []
+            for t, ss, nn in zip(x[text_col], x["_ss"], x["_nn"], strict=True):
+                if ss is None or t is None:
                     texts.append(t)
                     keep.append(True)
                     continue
                 raw = t.encode("utf-8", "surrogatepass")
                 w = raw.split()
-                gone = cover(len(w), sp, window)
+                gone = cover(len(w), ss, nn, window)
                 texts.append(without(raw, w, gone).decode("utf-8", "surrogatepass"))
                 keep.append(not gone.all())
             yield x[names].assign(**{text_col: texts})[keep]
 
     met = docs.join(marks, (F.xxhash64(docs[id_col].cast("long"), docs[text_col]) == F.col("_k")) & docs[id_col].cast("long").eqNullSafe(F.col("_d")), "left")
-    whole = met.where("_spans is not null").select(*[docs[c] for c in names], "_spans").mapInPandas(finish, schema)
-    return met.where("_spans is null").select(*[docs[c] for c in names]).unionByName(whole)
+    whole = met.where("_ss is not null").select(*[docs[c] for c in names], "_ss", "_nn").mapInPandas(finish, schema)
+    return met.where("_ss is null").select(*[docs[c] for c in names]).unionByName(whole)
