@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from souk.llm import langid, merkle, packing, simhash, substring, toxicity, warc
+from souk.llm import langid, merkle, packing, simhash, substring, toxicity, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0)
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc}
+    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest}
 
 
 OP3_SQL = """
