@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import langid, merkle, packing, simhash, substring, toxicity, vptree, warc
+from souk.llm import langid, merkle, packing, sharding, simhash, substring, toxicity, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +44,26 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), ("doc_id",), F.octet_length("text"), SHARD_BYTES)
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest}
+    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest, "op1_sharding": op1_sharding}
+
 
+SHARD_BYTES = 1 << 20
+
+OP1_SQL = f"""
+WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N')), 1, 15))::BIGINT AS h FROM documents),
+d AS (SELECT unnest(range(0, 49))::INT AS depth),
+s AS (SELECT depth, h >> (60 - depth) AS prefix, sum(bytes)::BIGINT AS b, count(*) AS n FROM r, d GROUP BY ALL),
+c AS (SELECT r.doc_id, r.bytes, s.*, row_number() OVER (PARTITION BY r.doc_id ORDER BY s.depth) AS k
+      FROM r JOIN s ON s.prefix = r.h >> (60 - s.depth) WHERE s.b <= {SHARD_BYTES} OR s.depth = 48)
+SELECT doc_id, bytes, CASE depth WHEN 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END AS shard,
+       depth, 0 AS page, b AS shard_bytes, n AS shard_rows FROM c WHERE k = 1
+"""
 
 OP3_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -60,4 +77,4 @@ FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": OP3_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +74,3 @@ class Intervals:
                 rows = cls == v
                 out[rows] = a + np.searchsorted(self.first[a:b], rank[rows], side="right") - 1
         return out
-
-
-def frame(**cols) -> pd.DataFrame:
-    return pd.DataFrame(cols)

@@ -22,7 +22,6 @@ percent-encoded in the header; extra columns are left behind.
 from __future__ import annotations
 
 import hashlib
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -193,8 +192,3 @@ def round_trip(pages: DataFrame) -> DataFrame:
     recs = ws.cut(records(ws.spark, path, with_block=False), "records")
     ws._remove(path)
     return resolved(ws.cut(transactions(recs), "captures"))
-
-
-def url_of(header: str | None) -> str | None:
-    """A url as it was before :func:`captures` encoded its line breaks."""
-    return unquote(header) if header and ("%0A" in header or "%0D" in header) else header
