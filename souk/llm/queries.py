@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import langid, merkle, packing, sharding, simhash, substring, toxicity, vptree, warc
+import corpus_pipeline
+from souk.llm import langid, merkle, mixing, packing, sharding, simhash, substring, toxicity, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +49,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), ("doc_id",), F.octet_length("text"), SHARD_BYTES)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=1.0)
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest, "op1_sharding": op1_sharding}
+    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest, "op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "pipeline": corpus_pipeline.run}
 
 
 SHARD_BYTES = 1 << 20
