@@ -178,7 +178,7 @@ def weight(c: Column) -> Column:
 
 def merge_tags(a: Column, b: Column) -> Column:
     """Tags of both lists, blanks trimmed; of tags equal but for case the first stays."""
-    every = F.filter(F.transform(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), F.btrim), lambda x: x != "")
+    every = F.filter(F.transform(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), lambda x: F.btrim(x)), lambda x: x != "")
     low = F.transform(every, F.lower)
     return F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 

@@ -19,7 +19,7 @@ def category_hint(c: Column) -> Column:
 def keyword_hits(c: Column) -> dict[str, Column]:
     """Per collection, how many of its keywords a text holds."""
     low = F.lower(c)
-    return {name: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) for name, words in C.KEYWORDS.items()}
+    return {name: F.size(F.filter(F.split(F.lit("|".join(words)), "[|]"), lambda w: F.contains(low, w))) for name, words in C.KEYWORDS.items()}
 
 
 def classify(df: DataFrame, cfg: C.Config, mapping: dict[str, str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def _lower(c: Column) -> Column:
 
 
 def _names(values) -> Column:
-    return F.array(*[F.lit(v.lower()) for v in values])
+    return F.split(F.lit("|".join(v.lower() for v in values)), "[|]")
 
 
 def weighted_score(criteria: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -54,6 +54,10 @@ def supplier_gates(cfg: C.Config) -> Column:
     )
 
 
+def _codes(values) -> Column:
+    return F.split(F.lit("|".join(values)), "[|]")
+
+
 def _tri(c: Column) -> Column:
     return F.when(c.isNull(), 0.5).when(c, 1.0).otherwise(0.0)
 
@@ -116,7 +120,7 @@ def risk_flags(c: Column) -> Column:
 
 
 def risk_reasons(flags: Column) -> Column:
-    return reasons((F.arrays_overlap(flags, F.array(*map(F.lit, C.COMPLIANCE))), "HIGH_COMPLIANCE_RISK"), (F.arrays_overlap(flags, F.array(*map(F.lit, C.REFUND))), "HIGH_REFUND_RISK"))
+    return reasons((F.arrays_overlap(flags, _codes(C.COMPLIANCE)), "HIGH_COMPLIANCE_RISK"), (F.arrays_overlap(flags, _codes(C.REFUND)), "HIGH_REFUND_RISK"))
 
 
 def in_stock(status: str = "stock_status", quantity: str = "stock_quantity") -> Column:
@@ -140,8 +144,8 @@ def product_gates(cfg: C.Config, eligible: Column) -> Column:
     )
 
 
-def product_criteria(cfg: C.Config) -> dict[str, Column]:
-    """Eight values from 0 to 1; needs margin columns, ``risk_flags`` and ``supplier_score``."""
+def product_criteria(cfg: C.Config, coverage: Column | None = None) -> dict[str, Column]:
+    """Eight values from 0 to 1; needs margin columns, ``risk_flags`` and ``supplier_score``. coverage: share of target markets served (all, if not known)."""
     m = cfg.margin
     share = unit(F.coalesce(F.col("competitiveness"), F.lit(0)).cast("double")) if m.mode == "target_margin" else unit(F.coalesce(F.col("margin_pct"), F.lit(0)).cast("double") / float(m.target_margin_pct))
     days = F.coalesce(unit(1 - F.col("shipping_max_days") / (2.0 * cfg.product_gates.max_shipping_days)), F.lit(0.3))
@@ -151,10 +155,10 @@ def product_criteria(cfg: C.Config) -> dict[str, Column]:
     return {
         "problem_solved": unit(0.5 + 0.15 * F.regexp_count(says("product_name", "description"), F.lit("(?U)" + C.PROBLEM_WORDS))),
         "margin_potential": share,
-        "shipping": days * F.coalesce(F.col("market_coverage"), F.lit(1.0)),
+        "shipping": days * (F.lit(1.0) if coverage is None else F.coalesce(coverage, F.lit(1.0))),
         "content_potential": unit(0.3 + 0.15 * images + F.least(F.lit(0.4), F.length(F.coalesce("description", F.lit(""))) / 600.0)),
         "differentiation": F.when(held("brand") == 1, 0.6).otherwise(0.45),
-        "return_risk": F.when(F.arrays_overlap("risk_flags", F.array(*map(F.lit, C.REFUND))), 0.4).otherwise(0.9),
+        "return_risk": F.when(F.arrays_overlap("risk_flags", _codes(C.REFUND)), 0.4).otherwise(0.9),
         "data_quality": facts / 5.0,
         "supplier_strength": unit(F.col("supplier_score").cast("double") / 100.0),
     }
@@ -169,7 +173,7 @@ def score_products(products: DataFrame, suppliers: DataFrame, rates: DataFrame |
     df = df.withColumns({"_gate": product_gates(cfg, ~blocks_products(F.col("supplier_eligibility"))), "risk_flags": risk_flags(says("product_name", "description"))})
     df = pricing.margin(df, cfg.margin)
     passed = F.size("_gate") == 0
-    df = df.withColumn("product_score", F.when(passed, weighted_score(product_criteria(cfg), s.weights)).otherwise(F.lit(0).cast("decimal(5,1)")))
+    df = df.withColumn("product_score", F.when(passed, weighted_score(product_criteria(cfg, F.col("market_coverage") if "market_coverage" in df.columns else None), s.weights)).otherwise(F.lit(0).cast("decimal(5,1)")))
     flagged, part = F.size("risk_flags") > 0, F.col("margin_status")
     below = part == "Below Minimum"
     force, low = flagged | (part == "Incomplete"), F.col("product_score") < s.reject_below

@@ -1,6 +1,8 @@
-"""Every query of the library by name, with its DuckDB twin."""
+"""Every query of the library by name, with its DuckDB twin where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from souk.plans.base import ORACLES, QUERIES
+from souk.plans import catalogue, insights, rules, snapshots, sources  # noqa: F401  (they register themselves)
+
+__all__ = ["ORACLES", "QUERIES"]
