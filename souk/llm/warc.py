@@ -179,6 +179,7 @@ def resolved(whole: DataFrame) -> DataFrame:
     """
     r = whole.select("page_id", "id", "response.type", "response.refers_to", "response.declared", "response.bytes", "response.digest")
     to = r.where("type = 'response'").groupBy(F.col("id").alias("tid")).agg(F.min("page_id").alias("to_page"), F.min("bytes").alias("to_bytes"), F.min("digest").alias("to_digest"))
+    to = Workspace(whole.sparkSession).cut(to, "responses")  # both sides of the join are plain shuffles then, which Spark splits where a response is hot
     met = r.join(to, (r["refers_to"] == to["tid"]) & (r["type"] == "revisit"), "left")
     old = F.col("type") == "revisit"
     return met.select("page_id", F.when(old, F.col("to_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(old, F.coalesce("to_digest", "declared")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.when(old, F.col("to_page")).alias("refers_to"))
