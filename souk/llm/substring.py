@@ -221,10 +221,11 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
     """Non-first windows: ``doc_id``, row key ``k``, first window ``s``, number of windows ``n`` from there on."""
     ws = ws or Workspace(docs.sparkSession)
     rows = _anchor_rows(docs, window, rounds)
-    rows = ws.cut(rows, "anchors")
+    every = rows = ws.cut(rows, "anchors")
     shared = rows.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("sa"))
     shared = ws.cut(shared, "names")
     rows = ws.cut(rows.join(shared, rows["a"] == F.col("sa"), "left_semi"), "shared")
+    ws.drop(every, shared)  # written on as far as they matter
     place = F.struct("doc_id", "k", "s")
     classes = ws.cut(rows.groupBy("a", "c").agg(F.min(F.struct("doc_id", "k", "s", "n")).alias("f")), "contexts")
     heads = classes.select(F.col("a").alias("ha"), F.col("c").alias("hc"), F.struct("f.doc_id", "f.k", "f.s").alias("head"))
