@@ -130,7 +130,7 @@ class State:
         spread = F.lit(0.0)
         if prices:
             mean = sum(prices) / len(prices)
-            spread = F.coalesce(F.least(F.lit(3.0), 3.0 * F.abs(F.col("price") - mean) / max(1.0, mean)), F.lit(0.0))
+            spread = F.when(F.col("price").isNotNull(), F.least(F.lit(3.0), 3.0 * F.abs(F.col("price") - mean) / max(1.0, mean))).otherwise(0.0)
         return F.col("product_score") + bonus - 4 * self.lookup("supplier_key") + spread + 4 * F.col("content_potential") - 8 * self.lookup("concept")
 
 
