@@ -63,9 +63,9 @@ def test_edges(spark):
 @pytest.mark.parametrize("crowd", [1, 10_000])
 def test_crowded_and_probed_agree(spark, crowd):
     rng, fps = random.Random(3), set()
-    for _ in range(6):
+    for _ in range(4):
         seed = rng.getrandbits(64)
-        for _ in range(60):
+        for _ in range(40):
             f = seed
             for b in rng.sample(range(64), rng.randint(0, 4)):
                 f ^= 1 << b
@@ -73,7 +73,7 @@ def test_crowded_and_probed_agree(spark, crowd):
     fps = sorted(fps)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     ws = Workspace(spark)
-    for m in (1, 2, 3):
+    for m in (2, 3):
         found = {r.node & (1 << 64) - 1: r.root for r in components(ws, simhash.links(ws, df, crowd=crowd - 200 if crowd == 1 else crowd, m=m)).collect()}
         want = groups(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
         mine = [found.get(f, f) for f in fps]
