@@ -50,7 +50,8 @@ def ranked(ws: Workspace, df: DataFrame, size: str, order: list[str], classes: i
             add = [shared.value[k] for k in zip(x["part"].tolist(), x[size].tolist(), strict=True)]
             yield x[names].assign(rank=x["place"].to_numpy(np.int64) + np.array(add, dtype=np.int64))
 
-    return laid.mapInPandas(shift, schema.replace(", part int, place long", ", rank long")), total
+    # written, so that no task runs two Python functions in a row and with them two workers
+    return ws.cut(laid.mapInPandas(shift, schema.replace(", part int, place long", ", rank long")), "ranks"), total
 
 
 class Intervals:

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-CACHE = 500_000
+CACHE = 600_000
 TAIL = ",.!*%&$#?;:|"
 _known: dict[str, tuple] = {}
 
@@ -28,12 +28,12 @@ def default_tokenizer() -> str:
 
 
 def _state(path: str) -> tuple:
-    """(tokenizer, chunk -> ids, word -> ids); ids as little-endian unsigned 32-bit bytes."""
+    """(tokenizer, chunk or word -> ids); ids as little-endian unsigned 32-bit bytes."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {"": b""}, {"": b""})
+        _known[path] = (Tokenizer.from_file(path), {"": b""})
     return _known[path]
 
 
@@ -51,27 +51,25 @@ def _ask(tokenizer, texts: list[str]) -> list[bytes]:
 
 def encode(text: str, path: str) -> bytes:
     """Ids of a whole text, as bytes."""
-    tokenizer, chunks, words = _state(path)
+    tokenizer, known = _state(path)
     parts = text.replace("\n", " ").split(" ")
-    new = {p for p in parts if p not in chunks}
-    if new:
-        split, ask = {}, {}
-        for p in new:
-            base = p.rstrip(TAIL)
-            if base.isalpha() and base.isascii():  # letters and a tail are tokens of their own, and case is dropped
-                split[p] = base.lower(), p[len(base) :]
-                ask.update((x, None) for x in split[p] if x not in words)
-            else:
-                ask[p] = None
-        ask = dict(zip(ask, _ask(tokenizer, list(ask)), strict=True))
-        fresh = {p: (b"".join(words[x] if x in words else ask[x] for x in split[p]) if p in split else ask[p]) for p in new}
-        if len(words) < CACHE:
-            words.update((x, ask[x]) for s in split.values() for x in s if x in ask)
-        if len(chunks) < CACHE:
-            chunks.update(fresh)
-            return b"".join([chunks[p] for p in parts])
-        return b"".join([chunks[p] if p in chunks else fresh[p] for p in parts])
-    return b"".join([chunks[p] for p in parts])
+    new = {p for p in parts if p not in known}
+    if not new:
+        return b"".join([known[p] for p in parts])
+    split, ask = {}, {}
+    for p in new:
+        base = p.rstrip(TAIL)
+        if base.isalpha() and base.isascii():  # letters and a tail are tokens of their own, and case is dropped
+            split[p] = base.lower(), p[len(base) :]
+            ask.update((x, None) for x in split[p] if x not in known)
+        else:
+            ask[p] = None
+    fresh = dict(zip(ask, _ask(tokenizer, list(ask)), strict=True))
+    fresh.update([(p, b"".join([known[x] if x in known else fresh[x] for x in s])) for p, s in split.items()])
+    if len(known) < CACHE:
+        known.update(fresh)
+        return b"".join([known[p] for p in parts])
+    return b"".join([known[p] if p in known else fresh[p] for p in parts])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, path: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
             for t, y in zip(x["text"], x["y"], strict=True):
                 for f in features({w for w in WORD.findall((t or "").lower()) if len(w) <= 24}):
                     seen.setdefault(f, [0, 0])[int(y)] += 1
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     yield pd.DataFrame([(f, *c) for f, c in seen.items()], columns=["f", "n0", "n1"])
                     seen = {}
         yield pd.DataFrame([(f, *c) for f, c in seen.items()], columns=["f", "n0", "n1"])
