@@ -81,5 +81,18 @@ FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100
 """
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+m AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM s),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM m) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+p AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT p.doc_id, string_agg(v, ' ' ORDER BY p.p) AS kept, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL, "op10_substring_dedup": OP10_SQL}

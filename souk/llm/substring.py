@@ -82,7 +82,8 @@ def recompress(word: np.ndarray, gap: np.ndarray, rounds: int) -> tuple[np.ndarr
     edge = gap[start]
     lo, hi = np.maximum(start - 1, 0), np.minimum(end + 1, n)  # one word on either side shows that the run ends
     for r in range(rounds):
-        left = (mix(name + np.uint64(r + 1) * K1) & np.uint64(1)).astype(bool) & ~edge
+        salt = np.uint64((r + 1) * int(K1) & 0xFFFFFFFFFFFFFFFF)
+        left = (mix(name + salt) & np.uint64(1)).astype(bool) & ~edge
         right = ~left & ~edge
         pair = np.zeros(len(name), dtype=bool)
         pair[:-1] = left[:-1] & right[1:]

@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 
-from souk.llm import substring
+from souk.llm import queries, substring
+from tests.llm.oracle import same
 
 
 def brute(rows, window=20):
@@ -79,3 +80,8 @@ def test_text_keeps_what_is_not_removed(spark):
     df = spark.createDataFrame([(d, t, None) for d, t in rows], "doc_id long, text string, lang string")
     out = {r.doc_id: r.text for r in substring.strip_repeats(df).collect()}
     assert out == {1: rows[0][1], 2: "c  d\n\ne f", 4: ""}
+
+
+def test_same_as_duckdb(spark):
+    sf = "/root/testdata/sf0.01"
+    same(queries.op10_substring_dedup(spark, sf), queries.OP10_SQL, sf)
