@@ -89,8 +89,12 @@ def label_category(df: DataFrame, labels: DataFrame, code: str, col: str) -> Dat
 
 
 def stats(products: DataFrame, suppliers: DataFrame) -> DataFrame:
-    p = products.agg(F.count("*").alias("products"), F.count("enriched_at").alias("enriched"), F.count("product_score").alias("scored"), F.count_if(F.col("enriched_at").isNull()).alias("unenriched"))
-    return p.crossJoin(suppliers.agg(F.count("*").alias("suppliers")))  # one row each
+    """All totals in one pass over both tables."""
+    one, none = F.lit(1), F.lit(0)
+    has = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
+    rows = products.select(one.alias("products"), has("enriched_at").alias("enriched"), has("product_score").alias("scored"), (1 - has("enriched_at")).alias("unenriched"), none.alias("suppliers"))
+    rows = rows.unionByName(suppliers.select(*[none.alias(c) for c in ("products", "enriched", "scored", "unenriched")], one.alias("suppliers")))
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
 
 
 def stats_by(df: DataFrame, col: str) -> DataFrame:

@@ -89,6 +89,7 @@ def margin(df: DataFrame, m: C.Margin, mode: Column | None = None, target: Colum
 
 def what_if(df: DataFrame, grid: list[tuple[str, float, float, float]], m: C.Margin) -> DataFrame:
     """Counts per pricing mode, target, markup and minimum; the grid is a short parameter list, each row meets each entry."""
-    g = df.sparkSession.createDataFrame(grid, "g_mode string, g_target double, g_markup double, g_minimum double")
-    met = margin(df.crossJoin(F.broadcast(g)), m, F.col("g_mode"), F.col("g_target"), F.col("g_markup"))
+    entry = lambda e: F.struct(F.lit(e[0]).alias("g_mode"), F.lit(float(e[1])).alias("g_target"), F.lit(float(e[2])).alias("g_markup"), F.lit(float(e[3])).alias("g_minimum"))
+    each = df.select("*", F.explode(F.array(*map(entry, grid))).alias("_g")).select(*df.columns, "_g.*")
+    met = margin(each, m, F.col("g_mode"), F.col("g_target"), F.col("g_markup"))
     return met.groupBy(F.col("g_mode").alias("mode"), F.col("g_target").alias("target"), F.col("g_markup").alias("markup"), F.col("g_minimum").alias("minimum")).agg(F.count_if(F.col("margin_pct") >= F.col("g_minimum")).alias("sellable"), F.count_if("uncompetitive").alias("uncompetitive"), F.count("*").alias("products"))

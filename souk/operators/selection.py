@@ -8,7 +8,6 @@ on the driver are the picks. Pruning never changes the result (see ``prune``).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import config as C
 from souk.functions import rules
+from souk.session import shared_folder
 
 
 def pick_targets(df: DataFrame, group: str, score: str, key: str, cap: int, top: int | None = None, limit: int | None = None, where: Column | None = None, done: Column | None = None) -> DataFrame:
@@ -88,16 +88,9 @@ def prune(pool: DataFrame, k: int) -> DataFrame:
 
 def _written(df: DataFrame) -> DataFrame:
     """df as a table in the folder that all machines share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="souk-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class State:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from souk.operators import upsert
 from souk.plans.base import PRODUCTS, products, query
-from souk.plans.catalogue import CFG, SCORED
 from souk.plans.base import suppliers as catalogue_suppliers
+from souk.plans.catalogue import CFG, SCORED
+from souk.session import shared_folder
 from souk.sources.pages import read_table
+from souk.streaming import ingest
 
 TRACKED = ["o_orderstatus", "price"]
 
@@ -239,14 +243,7 @@ LAST_SQL = "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER
 
 
 def _stream(spark, d, log=None):
-    import uuid
-
-    from souk.operators.selection import _written
-    from souk.streaming import ingest
-
-    landed = _landed(spark, d)
-    base = _written(landed.limit(0)).inputFiles  # noqa: F841  (sets the shared folder where none is set)
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    landed, root = _landed(spark, d), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     landed.withColumn("b", F.floor(F.col("page_no") / 8)).repartition("b").drop("b").write.parquet(f"{root}/landing")
     store = f"{root}/store"
     q = ingest.ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", landed.schema, "user_id", ["event_type", "value"], "parquet", log=f"{root}/log" if log else None, categories={"event_type": "Kind Changed", "value": "Value Changed"})

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: the session's spark.checkpoint.dir; on a single machine, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="souk-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
