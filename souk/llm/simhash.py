@@ -160,7 +160,7 @@ def links(ws: Workspace, classes: DataFrame, radius: int = 2, m: int | None = No
 
     m: 3 partitions of about 21 bits up to 2^24 fingerprints, 2 of 32 beyond, unless given.
     """
-    if radius > 2 and crowd:
+    if radius > 2:
         raise ValueError("crowded fingerprints meet at one-bit flips, which hold for a radius of at most 2")
     total = classes.count()
     m = m or (3 if total <= 1 << 24 else 2)
