@@ -188,8 +188,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", q
     wide = k + 1
     # equal vectors: one row to search for, and their wide smallest ids
     key = F.xxhash64("v")
-    members = alive.select("id", "v").withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= wide)
-    members = ws.cut(members.select("id", "v").distinct().groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "members")
+    members = alive.select("id", "v").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= wide)
+    members = ws.cut(members.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "members")
     n = members.count()
     share = min(1.0, max(256, SAMPLE_CELLS // (dim + 1) // 8) / n)
     sample = members.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").collect()

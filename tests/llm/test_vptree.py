@@ -56,3 +56,10 @@ def test_edges(spark):
     assert mine == {0: [(1, 2.0), (2, 1.0), (120, -1.0)], 120: [(0, -1.0), (2, -1.0), (1, -2.0)]}
     assert got(vptree.nearest(df.limit(0))) == {}
     assert got(vptree.nearest(df.where("vec_id = 0"))) == {}
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rows = [(2, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(3, 30)] * 3 + [(0, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    mine = got(vptree.nearest(df, queries=F.col("id") == 0, relax=1.0))
+    assert [i for i, _ in mine[0]] == list(range(2, 22))
