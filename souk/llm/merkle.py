@@ -100,10 +100,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(each, "doc_id long, fingerprint string, sections array<struct<digest:string,paragraphs:array<string>>>")
 
 
+def real(ids: DataFrame, bounds: list[int]) -> list[int]:
+    """The smallest id at or above each bound and below the next; quantiles are doubles, which need not be ids."""
+
+    def each(frames):
+        cuts = np.array(sorted(set(bounds)), dtype=np.int64)
+        for x in frames:
+            d = x["doc_id"].to_numpy(np.int64)
+            yield pd.DataFrame({"b": np.searchsorted(cuts, d, side="right"), "doc_id": d})
+
+    of = ids.where("doc_id is not null").mapInPandas(each, "b int, doc_id long")
+    return sorted(r["m"] for r in of.where("b > 0").groupBy("b").agg(F.min("doc_id").alias("m")).collect())
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, visit, schema: str) -> DataFrame:
     """Call ``visit(doc_id, text, next_text)`` for each row in order of id; the last row's next is the first row.
 
-    Ids are cut at their quantiles into more buckets than partitions. The rows
+    Ids are cut near their quantiles into more buckets than partitions. The rows
     that open a bucket are sent to the one before as well, so each bucket is one
     sorted pass that keeps two texts at a time; texts travel compressed.
     """
@@ -113,41 +126,40 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, visit, schema: str) -
     least, nulls = ids.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({int(q) for q in ids.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))}) if least is not None else []
-    bounds = [b for b in bounds if b > least]
+    bounds = real(ids, [min(b, (1 << 63) - 1) for b in bounds if b > least]) if bounds else []
 
     def deal(frames):
         z, cuts, opens = zstandard.ZstdCompressor(level=1), np.array(bounds, dtype=np.int64), {b: i for i, b in enumerate(bounds)}
         for x in frames:
             rows = []
-            for d, h, t in zip(x["doc_id"].astype("Int64"), x["h"], x["text"], strict=True):
-                null = d is pd.NA
+            for d, null, h, t in zip(x["doc_id"], x["none"], x["h"], x["text"], strict=True):
                 body = z.compress(t.encode("utf-8", "surrogatepass"))
-                rows.append((0 if null else int(np.searchsorted(cuts, d, side="right")), 0, d, h, body))
+                rows.append((0 if null else int(np.searchsorted(cuts, d, side="right")), 0, null, d, h, body))
                 if not null and int(d) in opens:
-                    rows.append((opens[int(d)], 1, d, h, body))
+                    rows.append((opens[int(d)], 1, null, d, h, body))
                 if null if nulls else d == least:
-                    rows.append((len(bounds), 1, d, h, body))
-            y = pd.DataFrame(rows, columns=["bucket", "guest", "doc_id", "h", "z"])
-            y["doc_id"] = y["doc_id"].astype("Int64")
-            yield y
+                    rows.append((len(bounds), 1, null, d, h, body))
+            yield pd.DataFrame(rows, columns=["bucket", "guest", "none", "doc_id", "h", "z"])
 
     def passes(frames):
         unzip, held = zstandard.ZstdDecompressor(), None
         out = []
         for x in frames:
-            for b, guest, d, body in zip(x["bucket"], x["guest"], x["doc_id"].astype("Int64"), x["z"], strict=True):
-                now = (b, guest, d, unzip.decompress(body).decode("utf-8", "surrogatepass"))
+            for b, guest, none, d, body in zip(x["bucket"], x["guest"], x["none"], x["doc_id"], x["z"], strict=True):
+                now = (b, guest, pd.NA if none else d, unzip.decompress(body).decode("utf-8", "surrogatepass"))
                 if held is not None and held[0] == b and not held[1]:
                     out.append((held[2], *visit(held[3], now[3])))
                 held = now
             if out:
                 y = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-                y["doc_id"] = y["doc_id"].astype("Int64")
+                y["doc_id"] = pd.array([r[0] for r in out], dtype="Int64")
                 yield y
                 out = []
 
-    dealt = only.withColumn("h", F.xxhash64("text")).mapInPandas(deal, "bucket int, guest int, doc_id long, h long, z binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "h").mapInPandas(passes, schema)
+    # pandas would read a column of longs with nulls as doubles
+    whole = only.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
+    dealt = whole.mapInPandas(deal, "bucket int, guest int, none boolean, doc_id long, h long, z binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("none"), "doc_id", "h").mapInPandas(passes, schema)
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,3 +58,9 @@ def test_roots_and_edits():
 def test_tree_columns(spark):
     r = merkle.fingerprints(spark.createDataFrame([(1, "a\nb\n\nc")], "doc_id long, text string")).first()
     assert r.fingerprint == merkle.tree("a\nb\n\nc").digest.hex() and [len(s.paragraphs) for s in r.sections] == [2, 1]
+
+
+@pytest.mark.parametrize("start", [1 << 60, (1 << 63) - 700])
+def test_large_ids_keep_every_row(spark, start):
+    rows = [(start + 7 * i, f"text {i}. more") for i in range(100)] + [(None, "no id")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
