@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches hold at most about so many bytes, so that a Python worker's memory does not depend on how long texts are.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: the session's spark.checkpoint.dir, else (single machine) a temporary one."""
@@ -30,6 +36,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self._remove, self.root)
@@ -57,6 +64,37 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES``, where the session has Spark's default (64 MB)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def by_text(f: Callable, kind: str) -> Callable[[Column | str], Column]:
+    """A column function of texts. f: a list of texts (None: null) -> an Arrow array of as many values.
+
+    Only the text goes to Python, by Arrow; ids and all other columns stay in the JVM.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        return f(texts.to_pylist())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)
+
+
+def by_columns(f: Callable, kind: str) -> Callable[..., Column]:
+    """A column function of several columns. f: Arrow arrays -> an Arrow array of as many values."""
+    f.__annotations__ = {**dict.fromkeys(inspect.signature(f).parameters, pa.Array), "return": pa.Array}
+    return F.arrow_udf(f, kind)
+
+
+def listed(ends: list[int], **fields: pa.Array) -> pa.Array:
+    """A list of structs for each row; ends: 0 and where each row's list ends."""
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns never clash."""
     return df.select(*[df[n] for n in names])

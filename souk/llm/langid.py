@@ -20,22 +20,28 @@ learnable row all are ``und``; null ids teach nothing and are never held out.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk.llm.common import by_text, small_batches
+
 DIM = 4096
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Each byte, with a blank for what is ASCII and no letter.
 PLAIN = np.array([b if b > 127 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint8)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of any script; ``²``, ``½`` and ``Ⅷ`` are numbers."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """Counts of hashed 1- to 4-grams of a whole text."""
     raw = PLAIN[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)]
@@ -91,7 +97,7 @@ class Model(NamedTuple):
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        at = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for lo in range(0, len(at), 256):
             rows = at[lo : lo + 256]
             cos = np.stack([vector(texts[i], self.idf) for i in rows]) @ self.centroids.T
@@ -110,7 +116,7 @@ def fit(rows: DataFrame, per_language: int = 500, clusters: int = 6, quantile: f
         n, df = 0, np.zeros(DIM, dtype=np.int64)
         for x in frames:
             for t in x["text"]:
-                if LETTER.search(t):
+                if has_letter(t):
                     n, df = n + 1, df + (counts(t) > 0)
         yield pd.DataFrame({"cell": np.arange(DIM + 1), "v": np.append(df, n)})
 
@@ -124,7 +130,7 @@ def fit(rows: DataFrame, per_language: int = 500, clusters: int = 6, quantile: f
 
     def vectors(frames):
         for x in frames:
-            ok = [(t, g) for t, g in zip(x["text"], x["lang"], strict=True) if LETTER.search(t)]
+            ok = [(t, g) for t, g in zip(x["text"], x["lang"], strict=True) if has_letter(t)]
             yield pd.DataFrame({"lang": [g for _, g in ok], "v": [vector(t, idf).tobytes() for t, _ in ok]})
 
     def group(key, x):
@@ -144,17 +150,16 @@ def held_out() -> F.Column:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` per row."""
 
-    def each(frames):
-        for x in frames:
-            out = pd.DataFrame(model.predict(x["text"].tolist()), columns=["lang_pred", "score", "rejected"])
-            out.insert(0, "doc_id", x["doc_id"].astype("Int64").to_numpy())
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+    def each(texts):
+        lang, score, far = zip(*model.predict(texts), strict=True) if texts else ((),) * 3
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(each, "doc_id long, lang_pred string, score double, rejected boolean")
+    found = by_text(each, "struct<lang_pred:string,score:double,rejected:boolean>")(docs[text_col])
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), found.alias("p")).select("doc_id", "p.*")
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
     """Learn from rows that are not held out and predict all: ``doc_id, held_out, lang_pred, score, rejected``."""
+    small_batches(docs.sparkSession)
     model = fit(docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out()), **how)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

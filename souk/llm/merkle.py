@@ -1,14 +1,16 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and phrases.
 
 A text is cut at ``\\n\\n`` into sections, these at ``\\n`` into paragraphs, and
-these at a blank after one of ``.,;:!?|dns`` into phrases, the leaves. Every
-cut drops one fixed separator, so the tree gives the text back and equal roots
-mean equal texts (up to a hash collision). Where roots differ, equal branches
+these at a blank after one of ``.,;:!?|dns`` into phrases. A phrase of more than
+``PHRASE`` bytes (text without such blanks) is cut further where a hash of four
+neighbouring bytes says so, and after ``CHUNK`` bytes at the latest; phrases and
+such chunks are the leaves. Every cut drops one fixed separator or nothing, so the
+tree gives the text back and equal roots mean equal texts (up to a hash collision). Where roots differ, equal branches
 are passed over and the differing ones lead to the edited phrases. Cuts depend
 on nearby characters alone: an edit changes its own branch.
 
 Likeness of two trees: twice the UTF-8 bytes in branches that both have (whole
-sections first, then paragraphs of the others, then phrases), over the bytes of
+sections first, then paragraphs of the others, then phrases, then chunks), over the bytes of
 both; 1 for equal roots.
 
 Edge cases: a null text counts as empty; an empty text has a tree of one empty
@@ -26,13 +28,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk.llm.common import by_text, small_batches
+
 CUT = re.compile(rb"(?<=[.,;:!?|dns]) ")
 
 
+#: Phrases up to so many bytes are leaves; a chunk of a longer one has CHUNK bytes at most, some SPREAD in the mean.
+PHRASE, CHUNK, SPREAD = 96, 256, 24
+
+
 class Node(NamedTuple):
     digest: bytes
     weight: int
@@ -43,9 +52,30 @@ def _node(level: bytes, below: list[Node]) -> Node:
     return Node(hashlib.blake2b(level + b"".join([x.digest for x in below]), digest_size=16).digest(), sum([x.weight for x in below]), tuple(below))
 
 
+def chunks(x: bytes) -> list[bytes]:
+    """Content-defined pieces of a long phrase; an edit changes those it touches and the cuts around them."""
+    b = np.frombuffer(x, dtype=np.uint8).astype(np.uint32)
+    h = (b[3:] * np.uint32(0x9E3779B1) + b[2:-1] * np.uint32(0x85EBCA77) + b[1:-2] * np.uint32(0xC2B2AE3D) + b[:-3] * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+    out, at = [], 0
+    for cut in [*(np.flatnonzero(h % SPREAD == 0) + 4).tolist(), len(x)]:
+        while cut - at > CHUNK:
+            out.append(x[at : at + CHUNK])
+            at += CHUNK
+        if cut > at:
+            out.append(x[at:cut])
+            at = cut
+    return out
+
+
+def _phrase(x: bytes) -> Node:
+    if len(x) <= PHRASE:
+        return Node(hashlib.blake2b(b"L" + x, digest_size=16).digest(), len(x), ())
+    return _node(b"C", [Node(hashlib.blake2b(b"L" + c, digest_size=16).digest(), len(c), ()) for c in chunks(x)])
+
+
 def tree(text: str | None) -> Node:
-    raw, new, one = (text or "").encode("utf-8", "surrogatepass"), hashlib.blake2b, Node
-    return _node(b"T", [_node(b"S", [_node(b"P", [one(new(b"L" + x, digest_size=16).digest(), len(x), ()) for x in CUT.split(p)]) for p in s.split(b"\n")]) for s in raw.split(b"\n\n")])
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return _node(b"T", [_node(b"S", [_node(b"P", [_phrase(x) for x in CUT.split(p)]) for p in s.split(b"\n")]) for s in raw.split(b"\n\n")])
 
 
 def likeness(a: Node, b: Node) -> float:
@@ -73,13 +103,13 @@ def likeness(a: Node, b: Node) -> float:
 
 
 def edits(a: Node, b: Node) -> list[tuple[int, int, int]]:
-    """(section, paragraph, phrase) places of a whose phrases are not at that place in b; -1: the rest of that branch."""
+    """(section, paragraph, phrase) places of a whose phrases are not at that place in b; -1: the whole branch."""
     out: list[tuple[int, int, int]] = []
 
     def walk(x: Node, y: Node | None, at: tuple) -> None:
         if y is not None and x.digest == y.digest:
             return
-        if not x.below or y is None:
+        if not x.below or y is None or len(at) == 3:
             out.append((*at, -1, -1, -1)[:3])
             return
         for i, c in enumerate(x.below):
@@ -92,12 +122,14 @@ def edits(a: Node, b: Node) -> list[tuple[int, int, int]]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (the root), and ``sections``: per section its digest and its paragraphs' digests."""
 
-    def each(frames):
-        for x in frames:
-            trees = [tree(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fingerprint": [t.digest.hex() for t in trees], "sections": [[{"digest": s.digest.hex(), "paragraphs": [p.digest.hex() for p in s.below]} for s in t.below] for t in trees]})
+    def each(texts):
+        trees = [tree(t) for t in texts]
+        sections = [[{"digest": s.digest.hex(), "paragraphs": [p.digest.hex() for p in s.below]} for s in t.below] for t in trees]
+        kind = pa.list_(pa.struct([("digest", pa.string()), ("paragraphs", pa.list_(pa.string()))]))
+        return pa.StructArray.from_arrays([pa.array([t.digest.hex() for t in trees], pa.string()), pa.array(sections, kind)], ["fingerprint", "sections"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(each, "doc_id long, fingerprint string, sections array<struct<digest:string,paragraphs:array<string>>>")
+    found = by_text(each, "struct<fingerprint:string,sections:array<struct<digest:string,paragraphs:array<string>>>>")(docs[text_col])
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), found.alias("m")).select("doc_id", "m.*")
 
 
 def real(ids: DataFrame, bounds: list[int]) -> list[int]:
@@ -121,6 +153,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, visit, schema: str) -
     sorted pass that keeps two texts at a time; texts travel compressed.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     ids = only.select("doc_id")
     least, nulls = ids.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()

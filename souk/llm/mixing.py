@@ -11,11 +11,18 @@
    by accelerated projected gradient steps. A step needs the K expected totals
    alone, one distributed sum; a document's rate follows from its posteriors and
    the steps so far, so no iterate is ever stored or shuffled.
-3. ``copies`` is the rate rounded up or down by a hash of the document, which
-   keeps the expected totals.
+3. ``copies`` is the rate rounded down or up so that what the roundings of a task
+   add up to stays near zero in every domain (error diffusion: each document,
+   largest first in its batch, is rounded the way that brings the sum of all so
+   far, in tokens per domain over the targets, closer to zero). So a task's
+   copies miss its rates' totals by less than its largest documents.
 
+Tokens are words between white space; the packing's own ids are another measure.
 Targets are weights per domain; without a given ``total`` it is the smallest
 one for which no domain has to shrink, so with ``least = 1`` nothing is lost.
+The fit ends where every domain is within ``tolerance`` of its target, or where
+the loss no longer falls (what the targets ask for may be out of reach of the
+rates allowed); ``Fit`` says which, and with what residual.
 
 Edge cases: null and empty texts have no tokens and the posteriors of an empty
 text; without a labelled row there are no domains and every rate is 1; a domain
@@ -26,14 +33,17 @@ names never clash.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Workspace
+from souk.llm.common import Workspace, by_text
 
 DIM = 2048
 BLOCK = 1 << 20
@@ -123,24 +133,42 @@ class Fit(NamedTuple):
     steps: list
     eta: float
     total: np.ndarray
+    converged: bool = True
 
+    @property
+    def residual(self) -> float:
+        """Largest deviation of a fitted domain's expected tokens from its target, over the target."""
+        live = self.target > 0
+        return float(np.abs(self.total[live] / self.target[live] - 1).max()) if live.any() and self.steps else 0.0
 
-def solve(rows: DataFrame, domains: list[str], weights: dict[str, float] | None, total: float | None, ridge: float, least: float, rounds: int, tolerance: float, temper: float) -> Fit:
-    """rows: tokens, p. Fits the rates of all rows."""
-    k = len(domains)
 
-    def moments(frames):
-        s, a = np.zeros(k), np.zeros((k, k))
+def _matrix(p: pa.Array, k: int) -> np.ndarray:
+    return p.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def _totals(rows: DataFrame, k: int, f) -> np.ndarray:
+    """Sum over all rows of f(p, tokens), a vector."""
+
+    def each(frames):
+        total = None
         for x in frames:
-            p, t = np.stack(x["p"].to_numpy()) if len(x) else np.zeros((0, k)), x["tokens"].to_numpy(np.float64)
-            s, a = s + t @ p, a + p.T @ (p * t[:, None])
-        yield pd.DataFrame({"cell": np.arange(k + k * k), "v": np.append(s, a.ravel())})
-
-    got = {r[0]: r[1] for r in rows.mapInPandas(moments, "cell int, v double").groupBy("cell").agg(F.sum("v")).collect()}
-    natural = np.array([got.get(i, 0.0) for i in range(k)])
-    A = np.array([got.get(k + i, 0.0) for i in range(k * k)]).reshape(k, k)
-    if natural.sum() <= 0:
-        return Fit(domains, natural, [], 0.0, natural)
+            if x.num_rows:
+                v = f(_matrix(x["p"], k), x["tokens"].to_numpy().astype(np.float64))
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "v"])
+
+    got = {r[0]: r[1] for r in rows.select("tokens", "p").mapInArrow(each, "cell int, v double").groupBy("cell").agg(F.sum("v")).collect()}
+    return np.array([got[i] for i in range(len(got))])
+
+
+def solve(rows: DataFrame, domains: list[str], weights: dict[str, float] | None, total: float | None, ridge: float, least: float, rounds: int, tolerance: float, temper: float) -> Fit:
+    """rows: tokens, p. Fits the rates of all rows by at most ``rounds`` steps; momentum starts anew where the loss rises."""
+    k = len(domains)
+    found = _totals(rows, k, lambda p, t: np.append(t @ p, (p.T @ (p * t[:, None])).ravel())) if k else np.zeros(0)
+    if not len(found) or found[:k].sum() <= 0:
+        return Fit(domains, np.zeros(k), [], 0.0, np.zeros(k))
+    natural, A = found[:k], found[k:].reshape(k, k)
     w = natural**temper if weights is None else np.array([float(weights.get(d, 0.0)) for d in domains])
     w = np.where(natural > 1e-9 * natural.sum(), w, 0)
     if w.sum() <= 0:
@@ -152,59 +180,74 @@ def solve(rows: DataFrame, domains: list[str], weights: dict[str, float] | None,
     scale = np.sqrt(inv)
     eta = 1 / (np.linalg.eigvalsh(A * np.outer(scale, scale)).max() + ridge)
     steps: list = []
-    theta, best = 1.0, np.inf
-    totals = natural
+    theta, last, still = 1.0, np.inf, 0
     for _ in range(rounds):
-        def sums(frames, steps=list(steps)):
-            s = np.zeros(k)
-            for x in frames:
-                if len(x):
-                    p = np.stack(x["p"].to_numpy())
-                    s += (replay(p, steps, eta, ridge, least)[1] * x["tokens"].to_numpy(np.float64)) @ p
-            yield pd.DataFrame({"cell": np.arange(k), "v": s})
-
-        got = {r[0]: r[1] for r in rows.mapInPandas(sums, "cell int, v double").groupBy("cell").agg(F.sum("v")).collect()}
-        totals = np.array([got[i] for i in range(k)])
+        totals = _totals(rows, k, lambda p, t, steps=list(steps): (replay(p, steps, eta, ridge, least)[1] * t) @ p)
         g = (totals - T) * inv
         loss = float((g * (totals - T)).sum() / T.sum())
-        if np.abs(g).max() < tolerance or (len(steps) > 6 and abs(best - loss) < 1e-9):
-            break
-        best = min(best, loss)
+        still = still + 1 if abs(last - loss) < 1e-9 else 0
+        if np.abs(g).max() < tolerance or still > 2:
+            return Fit(domains, T, steps, eta, totals)
+        if loss > last:
+            theta = 1.0
+        last = loss
         after = (1 + (1 + 4 * theta * theta) ** 0.5) / 2
         steps.append((g, (theta - 1) / after))
         theta = after
-    return Fit(domains, T, steps, eta, totals)
+    return Fit(domains, T, steps, eta, totals, False)
+
 
+def diffuse(r: np.ndarray, t: np.ndarray, p: np.ndarray, scale: np.ndarray, carry: np.ndarray) -> np.ndarray:
+    """Copies of a batch's rows; carry (changed): what roundings so far lack, per domain in units of scale."""
+    copies = np.floor(r)
+    rest, v = r - copies, p * t[:, None] * scale
+    size = (v * v).sum(axis=1)
+    for i in np.argsort(-t, kind="stable"):
+        if size[i] > 0:
+            carry += rest[i] * v[i]
+            if carry @ v[i] > size[i] / 2 and rest[i] > 0:
+                copies[i] += 1
+                carry -= v[i]
+        elif rest[i] >= 0.5:
+            copies[i] += 1
+    return copies.astype(np.int64)
 
-def rated(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0, ridge: float = 1e-3, rounds: int = 40, tolerance: float = 1e-3, temper: float = 0.8, found: list | None = None) -> DataFrame:
-    """docs' rows as struct ``doc`` with ``tokens, p, rate, copies``. A ``found`` list gets the Fit.
+
+def rated(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0, ridge: float = 1e-3, rounds: int = 120, tolerance: float = 5e-3, temper: float = 0.8, found: list | None = None) -> DataFrame:
+    """docs' rows as struct ``doc`` with ``tokens, p, rate, copies``. A ``found`` list gets the Fit; one that did not converge warns.
 
     weights: domain -> weight; none: the domains' expected shares to the power ``temper``.
     """
     ws = Workspace(docs.sparkSession)
     model = train(labelled)
-
-    def classify(frames):
-        for x in frames:
-            t = x["text"].tolist()
-            p = model.posteriors(t) if model.domains else np.zeros((len(t), 0))
-            yield x[["doc", "u"]].assign(tokens=[len(v.split()) if v else 0 for v in t], p=list(p))
-
-    u = F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(1 << 30)) / float(1 << 30)
-    laid = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), u.alias("u"), docs[text_col].alias("text"))
-    kind = laid.schema["doc"].dataType.simpleString()
-    table = ws.cut(laid.mapInPandas(classify, f"doc {kind}, u double, tokens long, p array<double>"), "posteriors")
-    fit = solve(table.select("tokens", "p"), model.domains, weights, total, ridge, least, rounds, tolerance, temper)
+    k = len(model.domains)
+
+    def classify(texts):
+        p = model.posteriors(texts) if k else np.zeros((len(texts), 0))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
+        return pa.StructArray.from_arrays([pa.array([len(t.split()) if t else 0 for t in texts], pa.int64()), rows], ["tokens", "p"])
+
+    read = by_text(classify, "struct<tokens:bigint,p:array<double>>")(docs[text_col])
+    table = ws.cut(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), read.alias("c")).select("doc", "c.tokens", "c.p"), "posteriors")
+    fit = solve(table, model.domains, weights, total, ridge, least, rounds, tolerance, temper)
+    if not fit.converged:
+        warnings.warn(f"rates after {rounds} steps miss a target by {fit.residual:.2%}", stacklevel=2)
     if found is not None:
         found.append(fit)
-
-    def rate(frames):
-        for x in frames:
-            if len(x):
-                r = replay(np.stack(x["p"].to_numpy()), fit.steps, fit.eta, ridge, least)[0]
-                yield x[["doc", "tokens", "p"]].assign(rate=r, copies=(np.floor(r) + (x["u"].to_numpy() < r - np.floor(r))).astype(np.int64))
-
-    return table.mapInPandas(rate, f"doc {kind}, tokens long, p array<double>, rate double, copies long")
+    steps, eta = fit.steps, fit.eta
+    scale = np.where(fit.target > 0, 1 / np.sqrt(np.maximum(fit.target, 1e-300)), 0) if k else np.zeros(0)
+
+    def rates(tokens: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        carry = np.zeros(k)  # of this task
+        for t, p in tokens:
+            m = _matrix(p, k) if k else np.zeros((len(t), 0))
+            r = replay(m, steps, eta, ridge, least)[0]
+            copies = diffuse(r, t.to_numpy(zero_copy_only=False).astype(np.float64), m, scale, carry)
+            yield pa.StructArray.from_arrays([pa.array(r), pa.array(copies)], ["rate", "copies"])
+
+    rates.__annotations__ = {"tokens": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    made = F.arrow_udf(rates, "struct<rate:double,copies:bigint>").asNondeterministic()("tokens", "p")
+    return table.select("doc", "tokens", "p", made.alias("m")).select("doc", "tokens", "p", "m.rate", "m.copies")
 
 
 def domains_of(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,19 +21,23 @@ read the whole index. So no partner is lost and no group is paired out.
 Edge cases: null, empty and short texts as in :func:`fingerprint`; a null id
 keeps its row and takes the smallest id of its component (null if none); rows
 that repeat stay as they are; extra columns are left behind.
+
+:mod:`souk.llm.overlap` verifies such links by the texts' shingles, adds those
+that 64 bits cannot show, and keeps one row of each group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Workspace, columns, components, words
+from souk.llm.common import Workspace, by_text, components, words
 
 BITS = 64
 SEED = 42
@@ -54,26 +58,25 @@ def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter((one(x, SEED) for x in map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))), dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit b is 1 if it is set in over half the shingles' hashes; no words: 0. Unsigned."""
+def fold(blocks: Iterable[np.ndarray]) -> int:
+    """Bit b is 1 if it is set in over half the hashes; without any: 0. Unsigned."""
     ones, n = np.zeros(BITS, dtype=np.int64), 0
-    for h in _hashes(text, shingle):
+    for h in blocks:
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
         n += len(h)
     return int((2 * ones > n).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64))) if n else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` (the 64 bits as a signed long)."""
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a text's shingles, repeats included; no words: 0."""
+    return fold(_hashes(text, shingle))
 
-    def each(frames):
-        for x in frames:
-            fp = np.array([fingerprint(t, shingle) for t in x["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": fp})
 
-    only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return only.mapInPandas(each, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` (the 64 bits as a signed long)."""
+    each = by_text(lambda texts: pa.array(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)), "long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), each(docs[text_col]).alias("fp"))
 
 
 def bit_groups(classes: DataFrame, m: int) -> list[list[int]]:
@@ -222,10 +225,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id")).select(F.col("root").alias("r"), "component_id")
     of = ws.cut(joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "components")
     return each.join(of, F.col("fp") == F.col("f"), "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs without all but one of each group: the row with the smallest id stays."""
-    found = near_duplicates(columns(docs, id_col, text_col), id_col, text_col, **how)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

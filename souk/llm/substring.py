@@ -20,8 +20,9 @@ in the same document. Windows are judged on the input.
    window without such a symbol is its own anchor.
 3. *Reveal.* Only anchors named more than once in the corpus can stand for
    repeats; the others' rows go no further.
-4. *Verify.* Rows equal in anchor and context repeat each other wholly: all but
-   the first go. Where an anchor meets several contexts (the ends of a repeated
+4. *Verify.* Rows equal in anchor and context, two independent hashes of 64 bits
+   each, the latter of all words that their windows cover, repeat each other
+   wholly: all but the first go. Where an anchor meets several contexts (the ends of a repeated
    passage, edited copies), the windows of each context's first row are compared
    one by one, by anchor and a 64-bit hash of the window's words, on the texts.
 
@@ -40,18 +41,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Workspace, words
+from souk.llm.common import Workspace, by_columns, by_text, listed, words
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BASE = 0xD6E8FEB86659FD93
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-BATCH_WORDS = 1 << 18
+BATCH_WORDS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,41 +178,46 @@ def _lay(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    def some(ids, keys, texts):
-        word, gap, begin = _lay(texts)
-        a, c, s0, count = anchors(word, gap, window, rounds)
-        d = np.searchsorted(begin, s0, side="right") - 1
-        return pd.DataFrame({"a": a.view(np.int64), "c": c.view(np.int64), "doc_id": pd.array(ids, dtype="Int64").take(d), "k": np.array(keys, dtype=np.int64)[d], "s": (s0 - begin[d]), "n": count.astype(np.int8)})
-
-    def each(frames):
-        ids, keys, texts, n = [], [], [], 0
-        for x in frames:
-            for d, k, t in zip(x["doc_id"].astype("Int64"), x["k"], x["text"], strict=True):
-                w = words(t)
-                if len(w) < window:
-                    continue
-                ids.append(d)
-                keys.append(k)
-                texts.append(w)
-                n += len(w)
-                if n >= BATCH_WORDS:
-                    yield some(ids, keys, texts)
-                    ids, keys, texts, n = [], [], [], 0
-        if texts:
-            yield some(ids, keys, texts)
-
-    return docs.select("doc_id", _row_key().alias("k"), "text").mapInPandas(each, "a long, c long, doc_id long, k long, s int, n byte")
+    """``doc_id, k, a, c, s, n`` per anchor place; texts are laid together some ``BATCH_WORDS`` words at a time."""
+
+    def each(texts):
+        ends, parts = np.zeros(len(texts) + 1, dtype=np.int64), []
+        rows, held, n = [], [], 0
+
+        def some():
+            word, gap, begin = _lay(held)
+            a, c, s0, count = anchors(word, gap, window, rounds)
+            d = np.searchsorted(begin, s0, side="right") - 1
+            np.add.at(ends, np.array(rows, dtype=np.int64)[d] + 1, 1)
+            parts.append((a.view(np.int64), c.view(np.int64), (s0 - begin[d]).astype(np.int32), count.astype(np.int8)))
+
+        for i, t in enumerate(texts):
+            w = words(t)
+            if len(w) < window:
+                continue
+            rows.append(i)
+            held.append(w)
+            n += len(w)
+            if n >= BATCH_WORDS:
+                some()
+                rows, held, n = [], [], 0
+        if held:
+            some()
+        a, c, s, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=k) for k in (np.int64, np.int64, np.int32, np.int8))
+        return listed(np.cumsum(ends), a=pa.array(a), c=pa.array(c), s=pa.array(s), n=pa.array(n))
+
+    found = by_text(each, "array<struct<a:bigint,c:bigint,s:int,n:tinyint>>")("text")
+    return docs.select("doc_id", _row_key().alias("k"), F.explode(found).alias("e")).select("e.a", "e.c", "doc_id", "k", "e.s", "e.n")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, row key, and the text compressed, which then travels at under half its size."""
 
-    def each(frames):
+    def each(texts):
         z = zstandard.ZstdCompressor(level=1)
-        for x in frames:
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "k": x["k"], "z": [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in x["text"]]})
+        return pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
 
-    return docs.select("doc_id", _row_key().alias("k"), "text").mapInPandas(each, "doc_id long, k long, z binary")
+    return docs.select("doc_id", _row_key().alias("k"), by_text(each, "binary")("text").alias("z"))
 
 
 def _with_text(packed: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -237,22 +243,23 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
     asked = firsts.groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("a", "s", "n")).alias("asks"))
     asked = asked.select("md", "mk", F.col("asks.a").alias("aa"), F.col("asks.s").alias("ss"), F.col("asks.n").cast("array<int>").alias("nn"))
 
-    def compare(frames):
-        unzip = zstandard.ZstdDecompressor()
-        for x in frames:
-            out = []
-            for d, k, z, aa, ss, nn in zip(x["doc_id"].astype("Int64"), x["k"], x["z"], x["aa"], x["ss"], x["nn"], strict=True):
-                word = symbols(unzip.decompress(z).split())
-                up, down = _powers(len(word) + 1)
-                sums = _sums(word, up)
-                n = np.asarray(nn, dtype=np.int64)
-                s = np.repeat(np.asarray(ss, dtype=np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w = mix((sums[s + window] - sums[s]) * down[s]).view(np.int64)
-                out.append((np.repeat(np.asarray(aa, dtype=np.int64), n), w, s.astype(np.int32), [d] * len(s), np.full(len(s), k)))
-            a, w, s, d, k = zip(*out, strict=True) if out else ((),) * 5
-            yield pd.DataFrame({"a": np.concatenate(a), "w": np.concatenate(w), "doc_id": pd.array([i for part in d for i in part], dtype="Int64"), "k": np.concatenate(k), "s": np.concatenate(s)}) if out else pd.DataFrame({"a": [], "w": [], "doc_id": [], "k": [], "s": []})
-
-    single = ws.cut(_with_text(_packed(docs), asked, "inner").select("doc_id", "k", "z", "aa", "ss", "nn").dropDuplicates(["doc_id", "k"]).mapInPandas(compare, "a long, w long, doc_id long, k long, s int"), "windows")
+    def compare(z, aa, ss, nn):
+        unzip, ends, out = zstandard.ZstdDecompressor(), [0], []
+        for body, names, starts, sizes in zip(z.to_pylist(), aa.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
+            word = symbols(unzip.decompress(body).split())
+            up, down = _powers(len(word) + 1)
+            sums = _sums(word, up)
+            n = np.asarray(sizes, dtype=np.int64)
+            s = np.repeat(np.asarray(starts, dtype=np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w = mix((sums[s + window] - sums[s]) * down[s]).view(np.int64)
+            out.append((np.repeat(np.asarray(names, dtype=np.int64), n), w, s.astype(np.int32)))
+            ends.append(ends[-1] + len(s))
+        a, w, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=k) for k in (np.int64, np.int64, np.int32))
+        return listed(ends, a=pa.array(a), w=pa.array(w), s=pa.array(s))
+
+    found = by_columns(compare, "array<struct<a:bigint,w:bigint,s:int>>")("z", "aa", "ss", "nn")
+    met = _with_text(_packed(docs), asked, "inner").select("doc_id", "k", "z", "aa", "ss", "nn").dropDuplicates(["doc_id", "k"])
+    single = ws.cut(met.select("doc_id", "k", F.explode(found).alias("e")).select("e.a", "e.w", "doc_id", "k", "e.s"), "windows")
     least = single.groupBy("a", "w").agg(F.min(place).alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("ha"), F.col("w").alias("hw"), "head")
     least = ws.cut(least, "least")
     more = single.join(least, (single["a"] == F.col("ha")) & (single["w"] == F.col("hw"))).where(~place.eqNullSafe(F.col("head"))).select("doc_id", "k", "s", F.lit(1).cast("byte").alias("n"))
@@ -281,21 +288,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
     marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
 
-    def finish(frames):
-        unzip = zstandard.ZstdDecompressor()
-        for x in frames:
-            out = []
-            for z, ss, nn in zip(x["z"], x["ss"], x["nn"], strict=True):
-                raw = unzip.decompress(z)
-                w = raw.split()
-                gone = cover(len(w), ss, nn, window)
-                if output == "digest":
-                    out.append((len(w), int(gone.sum()), hashlib.sha256(b" ".join([v for v, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)).hexdigest()))
-                else:
-                    out.append((len(w), int(gone.sum()), without(raw, w, gone).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64")}).join(pd.DataFrame(out, columns=["n_words", "n_removed", "kept"], index=x.index))
-
-    kept = _with_text(_packed(only), marks, "left").select("doc_id", "z", "ss", "nn").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept string")
+    def finish(z, ss, nn):
+        unzip, out = zstandard.ZstdDecompressor(), []
+        for body, starts, sizes in zip(z.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
+            raw = unzip.decompress(body)
+            w = raw.split()
+            gone = cover(len(w), starts, sizes, window)
+            if output == "digest":
+                kept = hashlib.sha256(b" ".join([v for v, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)).hexdigest()
+            else:
+                kept = without(raw, w, gone).decode("utf-8", "surrogatepass")
+            out.append((len(w), int(gone.sum()), kept))
+        n, gone, kept = zip(*out, strict=True) if out else ((),) * 3
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
+
+    done = by_columns(finish, "struct<n_words:bigint,n_removed:bigint,kept:string>")("z", "ss", "nn")
+    kept = _with_text(_packed(only), marks, "left").select("doc_id", done.alias("m")).select("doc_id", "m.*")
     return kept.withColumnRenamed("kept", "kept_sha256" if output == "digest" else "kept_text")
 
 
@@ -316,28 +324,37 @@ def without(raw: bytes, w: list[bytes], gone: np.ndarray) -> bytes:
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """docs with removed words taken out of the text; rows left without a word go, unless they had none before."""
+    """docs with removed words taken out of the text; rows left without a word go, unless they had none before.
+
+    Edge cases are those of the module; all columns, of any name, stay as they are but for the text.
+    """
     ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
-    marks = ws.cut(marks.select("_d", "_k", F.col("p.s").alias("_ss"), F.col("p.n").cast("array<int>").alias("_nn")), "marks")
-    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def finish(frames):
-        for x in frames:
-            keep, texts = [], []
-            for t, ss, nn in zip(x[text_col], x["_ss"], x["_nn"], strict=True):
-                if ss is None or t is None:
-                    texts.append(t)
-                    keep.append(True)
-                    continue
-                raw = t.encode("utf-8", "surrogatepass")
-                w = raw.split()
-                gone = cover(len(w), ss, nn, window)
-                texts.append(without(raw, w, gone).decode("utf-8", "surrogatepass"))
-                keep.append(not gone.all())
-            yield x[names].assign(**{text_col: texts})[keep]
-
-    met = docs.join(marks, (F.xxhash64(docs[id_col].cast("long"), docs[text_col]) == F.col("_k")) & docs[id_col].cast("long").eqNullSafe(F.col("_d")), "left")
-    whole = met.where("_ss is not null").select(*[docs[c] for c in names], "_ss", "_nn").mapInPandas(finish, schema)
-    return met.where("_ss is null").select(*[docs[c] for c in names]).unionByName(whole)
+    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
+    marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
+
+    def finish(text, ss, nn):
+        out = []
+        for t, starts, sizes in zip(text.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
+            if starts is None or t is None:
+                out.append((t, True))
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            w = raw.split()
+            gone = cover(len(w), starts, sizes, window)
+            out.append((without(raw, w, gone).decode("utf-8", "surrogatepass"), not gone.all()))
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([k for _, k in out], pa.bool_())], ["text", "keep"])
+
+    # docs' columns travel in a struct of their own, so names never clash
+    laid = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), only_key(docs, id_col, text_col).alias("k"), docs[id_col].cast("long").alias("d"))
+    met = laid.join(marks, (F.col("k") == F.col("mk")) & F.col("d").eqNullSafe(F.col("md")), "left")
+    text = F.col("doc").getField(text_col)
+    new = by_columns(finish, "struct<text:string,keep:boolean>")(text, "ss", "nn")
+    columns = lambda t: [t.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    whole = met.where("ss is not null").select("doc", new.alias("new")).where("new.keep").select(*columns(F.col("new.text")))
+    return met.where("ss is null").select("doc.*").unionByName(whole)
+
+
+def only_key(docs: DataFrame, id_col: str, text_col: str) -> F.Column:
+    """:func:`_row_key` under docs' own names."""
+    return F.xxhash64(docs[id_col].cast("long"), docs[text_col])

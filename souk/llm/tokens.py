@@ -3,8 +3,9 @@
 BPE files that drop white space (``word_bpe_49k.json``) never make a token
 across a space or a line break, so a text's ids are those of its blank-separated
 chunks in turn. Chunks repeat far more than texts; each worker keeps the ids of
-those it has met (at most ``CACHE`` entries, the frequent ones come first) and
-only asks the tokenizer about new ones, many at a time.
+those it has met (at most ``CACHE_BYTES`` of them, the frequent ones come first;
+a chunk over ``LONG`` characters is never kept) and only asks the tokenizer about
+new ones, many at a time. What is kept changes the speed, never the ids.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ import os
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CACHE = 600_000
+from souk.llm.common import by_text, listed, small_batches
+
+CACHE_BYTES = 48 << 20
+LONG = 64
+ENTRY = 200  # bytes an entry takes besides its characters and ids
 TAIL = ",.!*%&$#?;:|"
 _known: dict[str, tuple] = {}
 
@@ -28,12 +34,12 @@ def default_tokenizer() -> str:
 
 
 def _state(path: str) -> tuple:
-    """(tokenizer, chunk or word -> ids); ids as little-endian unsigned 32-bit bytes."""
+    """(tokenizer, chunk or word -> ids, [bytes kept]); ids as little-endian unsigned 32-bit bytes."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {"": b""})
+        _known[path] = (Tokenizer.from_file(path), {"": b""}, [0])
     return _known[path]
 
 
@@ -51,11 +57,13 @@ def _ask(tokenizer, texts: list[str]) -> list[bytes]:
 
 def encode(text: str, path: str) -> bytes:
     """Ids of a whole text, as bytes."""
-    tokenizer, known = _state(path)
+    tokenizer, known, kept = _state(path)
     parts = text.replace("\n", " ").split(" ")
-    new = {p for p in parts if p not in known}
-    if not new:
-        return b"".join([known[p] for p in parts])
+    got = list(map(known.get, parts))
+    try:
+        return b"".join(got)
+    except TypeError:  # some are new
+        new = {p for p, ids in zip(parts, got, strict=True) if ids is None}
     split, ask = {}, {}
     for p in new:
         base = p.rstrip(TAIL)
@@ -66,10 +74,11 @@ def encode(text: str, path: str) -> bytes:
             ask[p] = None
     fresh = dict(zip(ask, _ask(tokenizer, list(ask)), strict=True))
     fresh.update([(p, b"".join([known[x] if x in known else fresh[x] for x in s])) for p, s in split.items()])
-    if len(known) < CACHE:
-        known.update(fresh)
-        return b"".join([known[p] for p in parts])
-    return b"".join([known[p] if p in known else fresh[p] for p in parts])
+    if kept[0] < CACHE_BYTES:
+        keep = {p: ids for p, ids in fresh.items() if len(p) <= LONG}
+        known.update(keep)
+        kept[0] += sum([len(p) + len(ids) + ENTRY for p, ids in keep.items()])
+    return b"".join([fresh[p] if ids is None else ids for p, ids in zip(parts, got, strict=True)])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, path: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -78,19 +87,27 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     A document is its text's ids (null: none), then ``end_id``; longer ones are cut every ``capacity`` ids.
     """
     path = path or default_tokenizer()
+    small_batches(docs.sparkSession)
     last = np.array([end_id], dtype="<u4").tobytes()
-
-    def each(frames):
-        for x in frames:
-            rows = []
-            for d, t in zip(x["doc_id"], x["text"], strict=True):
-                ids = (encode(t, path) if t else b"") + last
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return only.mapInPandas(each, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+
+    def cut(texts):
+        ends, rows, ids = [0], [], []
+        for t in texts:
+            raw = (encode(t, path) if t else b"") + last
+            for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                part = raw[at : at + 4 * capacity]
+                rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                if with_ids:
+                    ids.append(part)
+            ends.append(len(rows))
+        table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+        fields = [pa.array(table[:, 0].astype(np.int32)), *[pa.array(table[:, i]) for i in (1, 2, 3)]]
+        if with_ids:
+            each = np.concatenate([[0], np.cumsum(table[:, 2])]).astype(np.int32)
+            fields.append(pa.ListArray.from_arrays(pa.array(each), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+        return listed(ends, **dict(zip(names, fields, strict=True)))
+
+    kind = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint" + (",ids:array<int>" if with_ids else "") + ">>"
+    cuts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.explode(by_text(cut, kind)(docs[text_col])).alias("p"))
+    return cuts.select("doc_id", "p.*")

@@ -26,10 +26,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Workspace
+from souk.llm.common import Workspace, by_text
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -171,14 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
     return Model({f: float(v) for f, v in zip(names, w[:k], strict=True) if abs(v) > 1e-6}, float(w[k]), starts)
 
 
+def scorer(model: Model):
+    """The model's score as a column function of texts."""
+    return by_text(lambda texts: pa.array([model.score(t) for t in texts], pa.float64()), "double")
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``score`` of every whole text."""
 
-    def each(frames):
-        for x in frames:
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "score": [model.score(t) for t in x["text"]]})
-
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(each, "doc_id long, score double")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), scorer(model)(docs[text_col]).alias("score"))
 
 
 def held_out() -> F.Column:
@@ -196,12 +198,5 @@ def toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
-    """The rows of docs that score below the threshold."""
-    model, names = train(docs, labels, **how), docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def each(frames):
-        for x in frames:
-            yield x[[model.score(t) < threshold for t in x["text"]]][names]
-
-    return docs.mapInPandas(each, schema)
+    """The rows of docs that score below the threshold, all columns as they are; null and empty texts score the intercept."""
+    return docs.where(scorer(train(docs, labels, **how))(docs["text"]) < threshold)

@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import Workspace
+from souk.llm.common import Workspace, small_batches
 
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -141,22 +141,25 @@ def records(spark: SparkSession, path: str, with_block: bool = True) -> DataFram
         url = fields.get("warc-target-uri")
         return fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), url, page, declared, len(payload), hashlib.sha256(payload).hexdigest(), payload if with_block else None
 
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in RECORD.split(", ")]
+
     def each(frames):
         reader, file = Reader(), None
         for x in frames:
             out = []
-            for f, line in zip(x["file"], x["line"], strict=True):
+            for f, line in zip(x["file"].to_pylist(), x["line"].to_pylist(), strict=True):
                 if f != file:
                     reader, file = Reader(), f
                 got = reader.feed(line)
                 if got:
                     out.append(rows_of(*got))
-            y = pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
-            y["page_id"] = y["page_id"].astype("Int64")
-            yield y
+            if out:  # Arrow, not pandas: longs with nulls stay longs
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
+    small_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
-    return lines.mapInPandas(each, RECORD)
+    return lines.mapInArrow(each, RECORD)
 
 
 def transactions(recs: DataFrame) -> DataFrame:

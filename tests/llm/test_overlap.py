@@ -44,7 +44,7 @@ def test_the_stage_meets_copies_that_fingerprints_miss(spark, sf):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {d for d, c in brute(rows) if d == c}
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, sf).collect()}
-    assert kept == want and {r.doc_id for r in simhash.keep_one(df).collect()} != want
+    assert kept == want and {r.doc_id for r in simhash.near_duplicates(df).where("doc_id = component_id").collect()} != want
 
 
 @pytest.mark.parametrize("how", [{}, {"crowd": 2, "block": 3}])
@@ -69,3 +69,13 @@ def test_table_against_brute_force(spark, sf):
 def test_a_wider_radius_is_an_error(spark, crowd):
     with pytest.raises(ValueError):
         simhash.links(Workspace(spark), spark.createDataFrame([(1,), (15,)], "fp long"), radius=4, crowd=crowd)
+
+
+def test_rows_not_ids_decide_and_names_never_clash(spark):
+    rows = [(0, "A"), (1, "A"), (1, "B"), (5, "C"), (5, "C"), (None, "D"), (None, "D"), (None, "A"), ((1 << 53) + 1, "E"), ((1 << 53) + 3, None), ((1 << 53) + 5, "")]
+    df = spark.createDataFrame([(d, t, 1, 2, "x", 3) for d, t in rows], "doc_id long, text string, d int, h int, doc string, _gone int")
+    out = overlap.keep_one(df)
+    assert out.columns == df.columns
+    want = [(0, "A"), (1, "B"), (5, "C"), (None, "D"), ((1 << 53) + 1, "E"), ((1 << 53) + 3, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert overlap.keep_one(df.limit(0)).collect() == []

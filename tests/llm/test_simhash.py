@@ -5,7 +5,6 @@ import re
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from souk.llm import simhash
 from souk.llm.common import Workspace, components
@@ -104,10 +103,7 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(found.get(i, 0) == 0 for i in range(41)) and all(found[i] == 100 for i in range(101, 160))
 
 
-def test_one_of_each_group_stays(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    want = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in want.collect())
-    assert kept.where(F.col("doc_id").isNull()).count() == 0
+def test_ids_beyond_doubles_stay_beside_nulls(spark):
+    ids = [(1 << 53) + 1, (1 << 53) + 3, None]
+    df = spark.createDataFrame([(d, f"a b c {d}") for d in ids], "doc_id long, text string").coalesce(1)
+    assert sorted(((r.doc_id) for r in simhash.near_duplicates(df).collect()), key=str) == sorted(ids, key=str)
