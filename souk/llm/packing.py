@@ -23,12 +23,12 @@ import bisect
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import Workspace
-from souk.llm.ranks import Intervals, ranked
+from souk.llm.ranks import Intervals, ranked, with_columns
 from souk.llm.tokens import pieces as token_pieces
 
 NEW = 0  # gap class of sequences that a superstep opens itself
@@ -87,14 +87,18 @@ def bands(capacity: int) -> list[tuple[int, int]]:
 
 
 def pack(df: DataFrame, capacity: int = 4096, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """df with ``sequence_id`` and ``offset``; lengths from 1 to capacity. Rows that repeat are packed each."""
+    """df with ``sequence_id`` and ``offset``; lengths from 1 to capacity, others are an error.
+
+    Rows of equal length go by ``order`` (nulls first); rows that repeat are packed
+    each; an empty table has no sequences.
+    """
     ws = Workspace(df.sparkSession)
     spark = ws.spark
     base, total = ranked(ws, df, length, list(order), capacity)
     if total and not 1 <= min(total) <= max(total) <= capacity:
         raise ValueError(f"{length} must lie between 1 and {capacity}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    out, sequences, opened_before = [], None, 0
+    names, out, sequences, opened_before = df.columns, [], None, 0
     for low, high in bands(capacity):
         lengths = {v: n for v, n in total.items() if low < v <= high}
         if not lengths:
@@ -107,30 +111,34 @@ def pack(df: DataFrame, capacity: int = 4096, length: str = "length", order: tup
 
         def place(frames, plan=plan):
             for x in frames:
-                rank = x["rank"].to_numpy(np.int64)
-                m = plan.value.table[plan.value.find(x[length].to_numpy(np.int64), rank)]
+                rank = x["rank"].to_numpy()
+                m = plan.value.table[plan.value.find(x[length].to_numpy(), rank)]
                 j = rank - m[:, 1]
-                yield x.drop(columns="rank").assign(cls=m[:, 3], at=m[:, 4] + j // m[:, 2], used=m[:, 5] + (j % m[:, 2]) * m[:, 0])
+                yield with_columns(x.select(names), cls=pa.array(m[:, 3]), at=pa.array(m[:, 4] + j // m[:, 2]), used=pa.array(m[:, 5] + (j % m[:, 2]) * m[:, 0]))
+
+        def left_over(ids, gap):
+            on = gap > 0
+            return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(gap[on])], ["sequence_id", "gap"])
 
         def shrink(frames, rest=rest):
             for x in frames:
-                m = rest.value.table[rest.value.find(x["gap"].to_numpy(np.int64), x["rank"].to_numpy(np.int64))]
-                yield pd.DataFrame({"sequence_id": x["sequence_id"], "gap": m[:, 3]}).query("gap > 0")
+                m = rest.value.table[rest.value.find(x["gap"].to_numpy(), x["rank"].to_numpy())]
+                yield left_over(x["sequence_id"].to_numpy(), m[:, 3])
 
         def begin(frames, rest=rest, first_new=first_new):
             for x in frames:
-                n = x["id"].to_numpy(np.int64)
+                n = x["id"].to_numpy()
                 m = rest.value.table[rest.value.find(np.full(len(n), NEW), n)]
-                yield pd.DataFrame({"sequence_id": n + first_new, "gap": m[:, 3]}).query("gap > 0")
+                yield left_over(n + first_new, m[:, 3])
 
-        placed = base.where((F.col(length) > low) & (F.col(length) <= high)).mapInPandas(place, schema + ", cls long, at long, used long")
+        placed = base.where((F.col(length) > low) & (F.col(length) <= high)).mapInArrow(place, schema + ", cls long, at long, used long")
         fresh = placed.where(F.col("cls") == NEW).select(*df.columns, (F.col("at") + first_new).alias("sequence_id"), F.col("used").alias("offset"))
-        nxt = spark.range(opened).mapInPandas(begin, "sequence_id long, gap long") if opened else spark.createDataFrame([], "sequence_id long, gap long")
+        nxt = spark.range(opened).mapInArrow(begin, "sequence_id long, gap long") if opened else spark.createDataFrame([], "sequence_id long, gap long")
         if gaps:
             at_gap = laid.select(F.col("gap").alias("_cls"), F.col("rank").alias("_at"), F.col("sequence_id"))
             met = placed.where(F.col("cls") != NEW).join(at_gap, (F.col("cls") == F.col("_cls")) & (F.col("at") == F.col("_at")))
             fresh = fresh.unionByName(met.select(*df.columns, "sequence_id", (F.lit(capacity) - F.col("cls") + F.col("used")).alias("offset")))
-            nxt = nxt.unionByName(laid.select("sequence_id", "gap", "rank").mapInPandas(shrink, "sequence_id long, gap long"))
+            nxt = nxt.unionByName(laid.select("sequence_id", "gap", "rank").mapInArrow(shrink, "sequence_id long, gap long"))
         out.append(fresh)
         sequences = ws.cut(nxt, "gaps")
         opened_before += opened

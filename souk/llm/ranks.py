@@ -5,12 +5,18 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import Workspace
 
 
+def with_columns(x: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
+    """A batch with further columns; its own, ids among them, stay as they are."""
+    return pa.RecordBatch.from_arrays([*x.columns, *more.values()], [*x.schema.names, *more])
+
+
 def ranked(ws: Workspace, df: DataFrame, size: str, order: list[str], classes: int) -> tuple[DataFrame, dict[int, int]]:
     """df (written) with ``rank``, 0-based among rows of equal ``size`` in ``order``, and the count of each size.
 
@@ -25,16 +31,20 @@ def ranked(ws: Workspace, df: DataFrame, size: str, order: list[str], classes: i
     def number(frames):
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), {}
+        part, last, held = TaskContext.get().partitionId(), None, 0
         for x in frames:
-            s = x[size].to_numpy(np.int64)
-            place = x.groupby(size, sort=False).cumcount().to_numpy(np.int64)
-            base = np.array([seen.get(v, 0) for v in s.tolist()], dtype=np.int64) if seen else 0
-            for v, c in zip(*np.unique(s, return_counts=True), strict=True):
-                seen[int(v)] = seen.get(int(v), 0) + int(c)
-            yield x.assign(part=np.int32(part), place=place + base)
-
-    laid = ws.cut(df.repartitionByRange(size, *order).sortWithinPartitions(size, *order).mapInPandas(number, schema), "ranked")
+            s = x[size].to_numpy()
+            if not len(s):
+                continue
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))  # sorted: equal sizes are neighbours
+            runs = np.diff(np.append(first, len(s)))
+            base = np.zeros(len(first), dtype=np.int64)
+            base[0] = held if s[0] == last else 0
+            place = np.arange(len(s)) - np.repeat(first, runs) + np.repeat(base, runs)
+            last, held = s[-1], int(place[-1]) + 1
+            yield with_columns(x, part=pa.array(np.full(len(s), part, dtype=np.int32)), place=pa.array(place))
+
+    laid = ws.cut(df.repartitionByRange(size, *order).sortWithinPartitions(size, *order).mapInArrow(number, schema), "ranked")
     counts = sorted((r[0], r[1], r[2]) for r in laid.groupBy(size, "part").agg(F.count("*")).collect())
     if len({c[0] for c in counts}) > classes:
         raise ValueError(f"{size} takes more than {classes} values")
@@ -47,11 +57,11 @@ def ranked(ws: Workspace, df: DataFrame, size: str, order: list[str], classes: i
 
     def shift(frames):
         for x in frames:
-            add = [shared.value[k] for k in zip(x["part"].tolist(), x[size].tolist(), strict=True)]
-            yield x[names].assign(rank=x["place"].to_numpy(np.int64) + np.array(add, dtype=np.int64))
+            add = [shared.value[k] for k in zip(x["part"].to_pylist(), x[size].to_pylist(), strict=True)]
+            yield with_columns(x.select(names), rank=pa.array(x["place"].to_numpy() + np.array(add, dtype=np.int64)))
 
     # written, so that no task runs two Python functions in a row and with them two workers
-    return ws.cut(laid.mapInPandas(shift, schema.replace(", part int, place long", ", rank long")), "ranks"), total
+    return ws.cut(laid.mapInArrow(shift, schema.replace(", part int, place long", ", rank long")), "ranks"), total
 
 
 class Intervals:
