@@ -1,26 +1,32 @@
 """Largest inner products by vantage-point trees, one per shard.
 
-Metric. With M the largest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a
-query q becomes (q M/|q|, 0). Their distance falls as q.x grows, so nearest by
-distance is largest by inner product, and the triangle inequality holds.
-
-Shards. A tree of vantage points, fitted on a bounded sample, cuts space at
-median distances; its leaves are the shards, and every vector is put in one. A
-leaf that holds more than ``shard_rows`` vectors is cut further by a hash.
-Equal vectors are searched as one and expanded at the end (at most k + 1 ids of
-each can matter), so a common vector does not fill a shard.
+Metric. With M the largest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) / M and
+a query q becomes (q/|q|, 0). Their distance falls as q.x grows, so nearest by
+distance is largest by inner product, and the triangle inequality holds. Norms
+are taken after division by the largest component, so no finite vector overflows
+them. Distances only prune; what is kept is ordered by the inner product of the
+given vectors in double precision, and by id where that is equal.
+
+Shards. A tree of vantage points, fitted on a bounded sample (``SAMPLE`` vectors),
+cuts space at median distances; its leaves are the shards, and every vector is put
+in one. Their number grows with the table, up to one for ``PER_LEAF`` sampled
+vectors; a leaf that then holds more than ``shard_rows`` vectors is cut further by
+a hash. Equal vectors are searched as one and expanded at the end (at most k + 1
+ids of each can matter), so a common vector does not fill a shard.
 
 Search. Each query first visits the shard it falls in, which gives it k results
 and so a distance tau. It then visits every other shard whose lower bound, by
 the triangle inequality along the vantage points above it, times ``relax`` is at
 most tau. In a shard, a vantage-point tree over its vectors is searched the same
-way. relax = 1 never passes over a closer vector: the search is exact. Larger
-values prune more.
+way. relax = 1 never passes over a closer vector: the search is exact, ties
+included. Larger values prune more.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
-take no part, nor do those whose length is not the table's commonest; rows equal
-in id and vector count once; fewer than k candidates give what there is; null
-ids take no part; extra columns are left behind.
+take no part, nor do those whose length is not the table's commonest (inner
+products need equal lengths); rows equal in id and vector count once, an id with
+several vectors is ranked by each; fewer than k candidates give what there is;
+inner products beyond the largest double are infinite and so equal; null ids take
+no part; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ from pyspark.sql import functions as F
 from souk.llm.common import Workspace
 
 LEAF = 64
-SAMPLE_CELLS = 1 << 22
+SAMPLE, PER_LEAF = 16_384, 16
+SLACK = 1e-7  # of distances between points of norm 1, which come from squares
 
 
 class Split(NamedTuple):
@@ -46,13 +53,26 @@ class Split(NamedTuple):
     outer: object
 
 
-def lift(X: np.ndarray, top: float) -> np.ndarray:
-    return np.hstack([X, np.sqrt(np.maximum(top * top - (X * X).sum(axis=1), 0))[:, None]])
+def lift(X: np.ndarray, largest: float, top: float) -> np.ndarray:
+    """Rows of norm 1. largest: the largest component; top: the largest norm after division by it."""
+    X = X / largest / top
+    return np.hstack([X, np.sqrt(np.maximum(1 - (X * X).sum(axis=1), 0))[:, None]])
+
+
+def aim(Q: np.ndarray) -> np.ndarray:
+    Q = Q / np.abs(Q).max(axis=1, keepdims=True)
+    return np.hstack([Q / np.sqrt((Q * Q).sum(axis=1, keepdims=True)), np.zeros((len(Q), 1))])
 
 
-def aim(Q: np.ndarray, top: float) -> np.ndarray:
-    n = np.sqrt((Q * Q).sum(axis=1))
-    return np.hstack([Q * (top / n)[:, None], np.zeros((len(Q), 1))])
+def inner(Q: np.ndarray, X: np.ndarray) -> np.ndarray:
+    """All inner products, each summed the same way whatever stands beside it; a sum that overflows on the way is taken again on scaled vectors."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.einsum("ij,kj->ik", Q, X)
+        i, k = np.nonzero(~np.isfinite(out))
+        if len(i):
+            q, x = np.abs(Q[i]).max(axis=1), np.abs(X[k]).max(axis=1)
+            out[i, k] = ((Q[i] / q[:, None]) * (X[k] / x[:, None])).sum(axis=1) * q * x
+        return out
 
 
 def far(X: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -109,20 +129,22 @@ def bounds(node: object, Q: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
-def search(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, tau: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """k nearest rows of X for each query: (row numbers or -1, distances), and how many distances were computed.
+def search(X: np.ndarray, lifted: np.ndarray, ids: np.ndarray, Q: np.ndarray, tau: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """k best rows of X for each query: (row numbers or -1, inner products, distances), and how many distances were computed.
 
     tau: what each query has found elsewhere (infinite: nothing); farther rows need not be found.
     """
     rng = np.random.default_rng(len(X))
     order = np.argsort(ids, kind="stable")
     count = [0]
-    tree = plant(X, max(1, len(X) // LEAF), count, rng)
-    of = leaf_of(tree, X)
+    tree = plant(lifted, max(1, len(X) // LEAF), count, rng)
+    of = leaf_of(tree, lifted)
     rows = {int(v): order[of[order] == v] for v in np.unique(of)}
-    best_d, best_i = np.full((len(Q), k), np.inf), np.full((len(Q), k), -1, dtype=np.int64)
-    sq = (X * X).sum(axis=1)
-    done, seen = leaf_of(tree, Q), 0
+    best_s, best_i = np.full((len(Q), k), -np.inf), np.full((len(Q), k), -1, dtype=np.int64)
+    worst = np.full(len(Q), np.inf)  # distance of the k-th so far
+    aimed = aim(Q)
+    place = np.argsort(order)  # a row's place in the order of ids
+    done, seen = leaf_of(tree, aimed), 0
 
     def look(leaf, who):
         nonlocal seen
@@ -130,13 +152,13 @@ def search(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, tau: np.ndarray, k: in
         if r is None or not len(who):
             return
         seen += len(r) * len(who)
-        d = np.sqrt(np.maximum(sq[r][None, :] - 2 * (Q[who] @ X[r].T) + (Q[who] * Q[who]).sum(axis=1)[:, None], 0))
-        alld = np.hstack([best_d[who], d])
-        alli = np.hstack([best_i[who], np.broadcast_to(r, d.shape)])
-        if alld.shape[1] > k:
-            pick = np.argpartition(alld, k - 1, axis=1)[:, :k]
-            alld, alli = np.take_along_axis(alld, pick, 1), np.take_along_axis(alli, pick, 1)
-        best_d[who, : alld.shape[1]], best_i[who, : alld.shape[1]] = alld, alli
+        some = np.hstack([best_s[who], inner(Q[who], X[r])])
+        alli = np.hstack([best_i[who], np.broadcast_to(r, (len(who), len(r)))])
+        rank = np.where(alli < 0, len(X), place[alli])
+        pick = np.lexsort((rank, -some), axis=1)[:, :k]
+        best_s[who], best_i[who] = np.take_along_axis(some, pick, 1), np.take_along_axis(alli, pick, 1)
+        last = best_i[who, -1]
+        worst[who] = np.where(last < 0, np.inf, np.sqrt(np.maximum(2 - 2 * (lifted[last] * aimed[who]).sum(axis=1), 0)))
 
     for leaf in np.unique(done):
         look(leaf, np.flatnonzero(done == leaf))
@@ -144,20 +166,19 @@ def search(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, tau: np.ndarray, k: in
     def walk(n, who, low):
         if not len(who):
             return
-        now = np.minimum(tau[who], best_d[who].max(axis=1))
-        go = low * relax <= now * (1 + 1e-9) + 1e-12
+        go = low * relax <= np.minimum(tau[who], worst[who]) + SLACK
         who, low = who[go], low[go]
         if not len(who):
             return
         if not isinstance(n, Split):
             look(n, who[done[who] != n])
             return
-        d = far(Q[who], n.point)
+        d = far(aimed[who], n.point)
         walk(n.inner, who, np.maximum(low, d - n.radius))
         walk(n.outer, who, np.maximum(low, n.radius - d))
 
     walk(tree, np.arange(len(Q)), np.zeros(len(Q)))
-    return best_i, best_d, seen
+    return best_i, best_s, np.sqrt(np.maximum(2 - 2 * (lifted[best_i] * aimed[:, None, :]).sum(axis=2), 0)), seen
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -179,29 +200,29 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", q
     ws = Workspace(df.sparkSession)
     spark = ws.spark
     alive = ws.cut(usable(df, id_col, vec_col), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    fact = alive.agg(F.max(norm), F.max(F.size("v"))).first()
+    largest, dim = alive.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
     result = "query_id long, rank int, vec_id long, score double"
-    if fact[0] is None:
+    if largest is None:
         return spark.createDataFrame([], result)
-    top, dim = float(fact[0]) * (1 + 1e-12), fact[1]
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
+    top = float(alive.agg(F.max(norm)).first()[0]) * (1 + 1e-12)
     wide = k + 1
     # equal vectors: one row to search for, and their wide smallest ids
     key = F.xxhash64("v")
     members = alive.select("id", "v").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= wide)
     members = ws.cut(members.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "members")
     n = members.count()
-    share = min(1.0, max(256, SAMPLE_CELLS // (dim + 1) // 8) / n)
+    share = min(1.0, SAMPLE / n)
     sample = members.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").collect()
     count = [0]
     sample = np.array([r["v"] for r in sample]).reshape(-1, dim)
-    tree = plant(lift(sample, top), max(1, min(n // shard_rows, len(sample) // 32)), count, np.random.default_rng(1)) if len(sample) else 0
+    tree = plant(lift(sample, largest, top), max(1, min(n // shard_rows, len(sample) // PER_LEAF)), count, np.random.default_rng(1)) if len(sample) else 0
     leaves = max(1, count[0])
 
     def assign(frames):
         for x in frames:
             X = np.stack(x["v"].to_numpy()) if len(x) else np.zeros((0, dim))
-            yield x[["rep", "v"]].assign(leaf=leaf_of(tree, lift(X, top)).astype(np.int32))
+            yield x[["rep", "v"]].assign(leaf=leaf_of(tree, lift(X, largest, top)).astype(np.int32))
 
     laid = ws.cut(members.select("rep", "v").mapInPandas(assign, "rep long, v array<double>, leaf int"), "leaves")
     sizes = {r[0]: r[1] for r in laid.groupBy("leaf").count().collect()}
@@ -223,10 +244,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", q
             if not len(own) or not len(who):
                 return pd.DataFrame({"q": [], "rep": [], "score": [], "dist": []})
             X, Q = np.stack(own["v"].to_numpy()), np.stack(who["v"].to_numpy())
-            i, d, _seen = search(lift(X, top), own["rep"].to_numpy(), aim(Q, top), who["tau"].to_numpy(np.float64), min(wide, len(X)), relax)
+            i, score, d, _seen = search(X, lift(X, largest, top), own["rep"].to_numpy(), Q, who["tau"].to_numpy(np.float64), min(wide, len(X)), relax)
             at, col = np.nonzero(i >= 0)
-            hit = i[at, col]
-            return pd.DataFrame({"q": who["q"].to_numpy()[at], "rep": own["rep"].to_numpy()[hit], "score": (X[hit] * Q[at]).sum(axis=1), "dist": d[at, col]})
+            return pd.DataFrame({"q": who["q"].to_numpy()[at], "rep": own["rep"].to_numpy()[i[at, col]], "score": score[at, col], "dist": d[at, col]})
 
         keys = ["leaf", "cut", "chunk"]
         return shards.select(*keys, "rep", "v").groupBy(*keys).cogroup(asks.select(*keys, "q", "v", "tau").groupBy(*keys)).applyInPandas(run, "q long, rep long, score double, dist double")
@@ -234,7 +254,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", q
     def home(frames):
         for x in frames:
             Q = np.stack(x["v"].to_numpy()) if len(x) else np.ones((0, dim))
-            low = bounds(tree, aim(Q, top), leaves)
+            low = bounds(tree, aim(Q), leaves)
             low[:, [v for v in range(leaves) if v not in sizes]] = np.inf
             yield x.assign(tau=np.inf, leaf=low.argmin(axis=1).astype(np.int32))
 
@@ -245,14 +265,14 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", q
     def others(frames):
         for x in frames:
             Q = np.stack(x["v"].to_numpy()) if len(x) else np.ones((0, dim))
-            low = bounds(tree, aim(Q, top), leaves)
-            go = low * relax <= x["far"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+            low = bounds(tree, aim(Q), leaves)
+            go = low * relax <= x["far"].to_numpy()[:, None] + SLACK
             go[np.arange(len(x)), x["leaf"].to_numpy()] = False
             at, leaf = np.nonzero(go)
             keep = np.isin(leaf, list(sizes))
             yield pd.DataFrame({"q": x["q"].to_numpy()[at[keep]], "v": x["v"].to_numpy()[at[keep]], "tau": x["far"].to_numpy()[at[keep]], "leaf": leaf[keep].astype(np.int32)})
 
-    rest = first.join(tau, "q").mapInPandas(others, "q long, v array<double>, tau double, leaf int")
+    rest = first.join(tau, "q", "left").withColumn("far", F.coalesce("far", F.lit(float("inf")))).mapInPandas(others, "q long, v array<double>, tau double, leaf int")
     rest = ws.cut(rest, "others")
     if measured is not None:
         measured += [rest.count() + first.count(), first.count() * len(sizes)]

@@ -63,3 +63,36 @@ def test_repeated_rows_leave_room_for_other_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     mine = got(vptree.nearest(df, queries=F.col("id") == 0, relax=1.0))
     assert [i for i, _ in mine[0]] == list(range(2, 22))
+
+
+def test_ties_go_to_smaller_ids_wherever_they_lie(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0, *rng.integers(-9, 9, 4).astype(float).tolist()]) for i in rng.permutation(400).tolist()] + [(1000, [2.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    mine = got(vptree.nearest(df, queries=F.col("id") == 1000, relax=1.0, shard_rows=50))
+    assert mine[1000] == [(i, 2.0) for i in range(20)]
+
+
+def test_large_finite_vectors_take_part(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 120)] + [(200, [1e170, 1.0, 0.0, 0.0]), (201, [1.7e308] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    mine = got(vptree.nearest(df, queries=F.col("id") % 20 == 0, relax=1.0, shard_rows=32))
+    ids, X = [i for i, _ in rows], np.array([v for _, v in rows])
+    for q in mine:
+        big, own = np.abs(X).max(axis=1), X[ids.index(q)]
+        with np.errstate(over="ignore"):
+            s = dict(zip(ids, (X / big[:, None] * own / np.abs(own).max()).sum(axis=1) * big * np.abs(own).max()))
+        assert [i for i, _ in mine[q]] == sorted((i for i in ids if i != q), key=lambda i: (-s[i], i))[:20]
+    assert len(mine) == 6
+
+
+def test_recall_of_the_registered_settings(spark):
+    from souk.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, X = [r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
+    want = brute(ids, X, [i for i in ids if i % 20 == 0], 20)
+    mine = got(queries.op6_nearest(spark, sf))
+    assert np.mean([len({i for i, _ in mine[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
