@@ -14,7 +14,8 @@ the expected number and so the bound, and each language is fitted in a task of
 its own.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 (it
-still teaches nothing); rows without a language teach nothing; without any
+teaches nothing); whole texts count, however long; rows that repeat are each
+predicted; rows without a language teach nothing; without any
 learnable row all are ``und``; null ids teach nothing and are never held out.
 """
 
@@ -134,7 +135,7 @@ def fit(rows: DataFrame, per_language: int = 500, clusters: int = 6, quantile: f
             yield pd.DataFrame({"lang": [g for _, g in ok], "v": [vector(t, idf).tobytes() for t, _ in ok]})
 
     def group(key, x):
-        C, reach = cluster(np.stack([np.frombuffer(v, dtype=np.float32) for v in x["v"]]), clusters, quantile)
+        C, reach = cluster(np.stack([np.frombuffer(v, dtype=np.float32) for v in sorted(x["v"])]), clusters, quantile)  # sorted: a task that runs again finds the same
         return pd.DataFrame({"lang": key[0], "centroid": [c.tobytes() for c in C], "reach": reach})
 
     made = rows.where(keep).select("text", "lang").mapInPandas(vectors, "lang string, v binary").groupBy("lang").applyInPandas(group, "lang string, centroid binary, reach double").collect()

@@ -16,15 +16,19 @@ sort, as overflow pages are; each page but those of one row fits the limit.
 Only the depth of the deepest bucket reaches the driver.
 
 Edge cases: null sizes and texts count 0 bytes; null keys hash as one key; an
-empty table has no shard; rows that repeat are placed each.
+empty table has no shard; rows that repeat are placed each, on pages by key and
+size; extra columns of any name do no harm.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import Workspace
+from souk.llm.ranks import with_columns
 
 HASH_BITS = 60
 
@@ -74,8 +78,8 @@ def buckets(ws: Workspace, rows: DataFrame, limit: int, step: int = 8, max_depth
     return out, out.agg(F.max("depth")).first()[0]
 
 
-def pages(ws: Workspace, rows: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """rows (with shard, bytes) and ``page``: numbered in a range sort, each at most limit bytes unless of one row.
+def pages(ws: Workspace, rows: DataFrame, limit: int) -> DataFrame:
+    """rows (with shard, key, bytes) and ``page``: numbered in a range sort, each at most limit bytes unless of one row.
 
     A partition of the sort numbers its own rows and opens a new page at its start.
     """
@@ -87,53 +91,72 @@ def pages(ws: Workspace, rows: DataFrame, order: list[str], limit: int) -> DataF
         part, shard, own, held = TaskContext.get().partitionId(), None, 0, 0
         for x in frames:
             at = []
-            for s, b in zip(x["shard"].tolist(), x["bytes"].tolist(), strict=True):
+            for s, b in zip(x["shard"].to_pylist(), x["bytes"].to_pylist(), strict=True):
                 if s != shard:
                     shard, own, held = s, 0, 0
                 elif held and held + b > limit:
                     own, held = own + 1, 0
                 held += b
                 at.append(own)
-            yield x.assign(part=part, own=at)
+            yield with_columns(x, part=pa.array(np.full(len(at), part, dtype=np.int32)), own=pa.array(at, pa.int32()))
 
-    laid = ws.cut(rows.repartitionByRange("shard", *order).sortWithinPartitions("shard", *order).mapInPandas(number, schema), "pages")
+    order = ["shard", "key", "bytes"]
+    laid = ws.cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, schema), "pages")
     size = laid.groupBy("shard", "part").agg((F.max("own") + 1).alias("k"))
     before = F.sum("k").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     size = size.withColumn("base", F.coalesce(before, F.lit(0))).select(F.col("shard").alias("ps"), F.col("part").alias("pp"), "base")
     return laid.join(size, (F.col("shard") == F.col("ps")) & (F.col("part") == F.col("pp"))).withColumn("page", (F.col("own") + F.col("base")).cast("int")).drop("part", "own", "ps", "pp", "base")
 
 
-def shard(df: DataFrame, keys: tuple[str, ...], size: F.Column, limit: int, max_depth: int = 48, step: int = 8) -> DataFrame:
-    """The key columns and ``bytes, shard, depth, page, shard_bytes, shard_rows`` for each row of df.
-
-    shard: the bucket's bits as a string of 0 and 1 (empty: the root); page is 0
-    but in overflow chains. shard_bytes and shard_rows are those of the bucket.
-    """
+def placed(df: DataFrame, keys: tuple[str, ...], size: F.Column, limit: int, max_depth: int, step: int, whole: bool) -> DataFrame:
+    """``key`` (struct), ``bytes, shard, depth, page, shard_bytes, shard_rows`` and, if whole, ``doc`` (struct of all columns) for each row."""
     ws = Workspace(df.sparkSession)
-    rows = ws.cut(df.select(*[df[k] for k in keys], F.coalesce(size, F.lit(0)).cast("long").alias("bytes")).withColumn("h", key_hash(*keys)), "hashes")
+    doc = [F.struct(*[df[c] for c in df.columns]).alias("doc")] if whole else []
+    rows = ws.cut(df.select(F.struct(*[df[k] for k in keys]).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"), key_hash(*keys).alias("h"), *doc), "hashes")
     found, top = buckets(ws, rows, limit, step, max_depth)
     # the directory: an entry for each prefix of top bits that a row has, pointing at its bucket
     entries = rows.select(prefix(F.col("h"), top).alias("entry")).distinct()
     depths = [r[0] for r in found.select("depth").distinct().collect()]
-    at = entries.withColumn("d", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("p", F.call_function("shiftright", F.col("entry"), F.lit(top) - F.col("d"))) if depths else None
-    if at is None:
-        return rows.drop("h").select("*", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).alias("page"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows"))
+    if not depths:
+        zero = F.lit(0).cast("long")
+        return rows.drop("h").select("*", F.lit("").alias("shard"), F.lit(0).alias("depth"), zero.alias("shard_bytes"), zero.alias("shard_rows"), F.lit(0).alias("page"))
+    at = entries.withColumn("d", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("p", F.call_function("shiftright", F.col("entry"), F.lit(top) - F.col("d")))
     directory = ws.cut(at.join(found, (F.col("d") == F.col("depth")) & (F.col("p") == F.col("prefix"))).select("entry", "depth", "prefix", "shard_bytes", "shard_rows"), "directory")
     bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
-    met = rows.withColumn("e", prefix(F.col("h"), top)).join(directory, F.col("e") == F.col("entry")).select(*keys, "bytes", bits.alias("shard"), "depth", "shard_bytes", "shard_rows")
+    met = rows.withColumn("e", prefix(F.col("h"), top)).join(directory, F.col("e") == F.col("entry")).select("key", "bytes", *["doc"] * whole, bits.alias("shard"), "depth", "shard_bytes", "shard_rows")
     over = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
     plain = met.where(~over).withColumn("page", F.lit(0))
     if found.where(over).isEmpty():
         return plain
-    return plain.unionByName(pages(ws, met.where(over), [*keys, "bytes"], limit))
+    return plain.unionByName(pages(ws, met.where(over), limit))
+
+
+def shard(df: DataFrame, keys: tuple[str, ...], size: F.Column, limit: int, max_depth: int = 48, step: int = 8) -> DataFrame:
+    """The key columns and ``bytes, shard, depth, page, shard_bytes, shard_rows`` for each row of df.
+
+    shard: the bucket's bits as a string of 0 and 1 (empty: the root); page is 0
+    but in overflow chains. shard_bytes and shard_rows are those of the bucket.
+    """
+    out = placed(df, keys, size, limit, max_depth, step, False)
+    return out.select("key.*", "bytes", "shard", "depth", "page", "shard_bytes", "shard_rows")
 
 
-def write_shards(df: DataFrame, path: str, keys: tuple[str, ...], size: F.Column, limit: int, **how) -> None:
-    """Write df below path with a folder per shard and page; rows with equal keys must be equal or land on any page."""
-    placed = shard(df, keys, size, limit, **how).select(*[F.col(k).alias(f"_{k}") for k in keys], "shard", "page").distinct()
-    met = df.join(placed.groupBy(*[f"_{k}" for k in keys]).agg(F.min(F.struct("page", "shard")).alias("p")), [df[k].eqNullSafe(F.col(f"_{k}")) for k in keys])
-    met = met.select(*[df[c] for c in df.columns], F.col("p.shard").alias("shard"), F.col("p.page").alias("page"))
-    met.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+def write_shards(df: DataFrame, path: str, keys: tuple[str, ...], size: F.Column, limit: int, max_depth: int = 48, step: int = 8) -> tuple[str, str]:
+    """Write df below path with a folder per shard and page; gives the names of these two partition columns.
+
+    Every row lies in its own page, so a page fits the limit unless it is of one
+    row. Shards are named ``b`` and their bits, which no reader takes for numbers;
+    the columns are ``shard`` and ``page``, with underscores before if df has such.
+    """
+    names = []
+    for name in ("shard", "page"):
+        while name in df.columns:
+            name = "_" + name
+        names.append(name)
+    out = placed(df, keys, size, limit, max_depth, step, True)
+    out = out.select("doc.*", F.concat(F.lit("b"), "shard").alias(names[0]), F.col("page").alias(names[1]))
+    out.repartition(*names).write.partitionBy(*names).parquet(path)
+    return names[0], names[1]
 
 
 def sizes(placed: DataFrame) -> DataFrame:

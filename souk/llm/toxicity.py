@@ -1,18 +1,23 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A text's features are whether it holds a word (letters, lower case), a word
-beginning of 4 to 8 letters, or two different words with such a beginning. The ``n_features`` that tell toxic from other
-labelled texts best (log-likelihood) and all identity terms enter a logistic
-regression. For each labelled sentence that mentions a group, every identity
-term in it is swapped for other ones; the squared change of the raw score, times
-``fairness``, is added to the loss. So a group's name earns no weight that
-another's has not, and neutral mentions are no evidence.
+beginning of 4 to 8 letters, or two different words with such a beginning. The
+``n_features`` that speak for toxicity best (log-likelihood; met in three toxic
+texts or more, and three times as often there) and all identity terms enter a
+logistic regression. For each labelled sentence that mentions a group, every
+identity term in it is swapped for each other one of its list; the squared change
+of the raw score, times ``fairness``, is added to the loss. So a group's name
+earns no weight that another's has not, and neutral mentions are no evidence. All
+swaps count: the loss needs only the differences of features, of which there are
+few, with how often each is met.
 
 The classifier is fitted on at most about ``per_class`` labelled texts of each
 class (a fixed hash of the id decides which; the expected number is the bound)
-and classes keep their true weights. Scoring reads every whole text.
+and classes keep their true weights. Scoring reads every whole text. ``identity`` is
+a parameter: lists of words of one language that name groups; where no labelled
+sentence mentions one, the counterfactual term is zero.
 
-Edge cases: null and empty texts have no feature and score the intercept; a
+Edge cases: very long texts are one text like any other; rows that repeat are scored each, and of extra columns none matters; null and empty texts have no feature and score the intercept; a
 label that is null or whose document is missing teaches nothing; of several
 labels of one document the largest counts; without both classes every score is
 the share of toxic labels (0 if there is none); a null id is never held out.
@@ -34,7 +39,7 @@ from souk.llm.common import Workspace, by_text
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-#: Words that name groups of people, swapped within each list.
+#: Words that name groups of people, swapped within each list: English, German, French, Spanish.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -44,6 +49,21 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "trans"),
     ("immigrants", "refugees", "locals", "natives"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "bisexuelle", "transgender"),
+    ("einwanderer", "flüchtlinge", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "autochtones"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "nativos"),
 )
 
 
@@ -109,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
         seen: dict[str, list[int]] = {}
         for x in frames:
             for t, y in zip(x["text"], x["y"], strict=True):
-                for f in features({w for w in WORD.findall((t or "").lower()) if len(w) <= 24}):
+                for f in features(set(WORD.findall((t or "").lower()))):
                     seen.setdefault(f, [0, 0])[int(y)] += 1
                 if len(seen) > 50_000:
                     yield pd.DataFrame([(f, *c) for f, c in seen.items()], columns=["f", "n0", "n1"])
@@ -125,7 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
     terms = [t for group in identity for t in group]
     names = sorted({r["f"] for r in best} | {f for t in terms for f in features({t})})
     at, starts = {f: i for i, f in enumerate(names)}, starts_of(names)
-    group_of = {t: group for group in identity for t in group}
+    group_of: dict[str, set] = {}  # a word of several lists meets the others of each
+    for group in identity:
+        for t in group:
+            group_of.setdefault(t, set()).update(group)
 
     def vectors(frames):
         for x in frames:
@@ -135,14 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
                 for s in SENTENCE.split(t or ""):
                     w = [v.lower() for v in WORD.findall(s)]
                     for i, v in enumerate(w):
-                        for other in group_of.get(v, ()):
+                        for other in sorted(group_of.get(v, ())):
                             if other != v:
                                 rows.append((int(y), sorted(at[f] for f in active(" ".join(w), at, starts)), sorted(at[f] for f in active(" ".join(w[:i] + [other] + w[i + 1 :]), at, starts))))
             yield pd.DataFrame(rows, columns=["y", "x", "swapped"])
 
     laid = sample.mapInPandas(vectors, "y int, x array<int>, swapped array<int>")
     own = laid.where(F.size("swapped") == 0).groupBy("y", F.array_sort("x").alias("x")).count().collect()
-    pairs = laid.where(F.size("swapped") > 0).groupBy("x", "swapped").count().orderBy(F.desc("count"), "x", "swapped").limit(per_class).collect()
+    # a swap's difference holds the features of two terms: as many values as there are pairs of terms, times what beginnings they share with neighbours
+    change = [F.array_except("x", "swapped").alias("x"), F.array_except("swapped", "x").alias("swapped")]
+    pairs = laid.where(F.size("swapped") > 0).select(*change).groupBy("x", "swapped").count().collect()
     k = len(names)
     X = np.zeros((len(own), k + 1), dtype=np.float32)
     for i, r in enumerate(own):

@@ -45,8 +45,13 @@ def test_equal_keys_make_pages_and_edges(spark):
     assert {r.shard for r in sharding.shard(df, ("k",), F.col("size"), 10**6).collect()} == {""}
 
 
-def test_written_shards_hold_every_row(spark, tmp_path):
-    df = spark.createDataFrame([(i, "x" * 50) for i in range(100)], "id long, text string")
-    sharding.write_shards(df, str(tmp_path / "s"), ("id",), F.octet_length("text"), 1000)
-    back = spark.read.option("inferSchema", False).parquet(str(tmp_path / "s"))
-    assert back.count() == 100 and back.select("shard").distinct().count() >= 5
+def test_written_shards_hold_every_row_within_the_limit(spark, tmp_path):
+    rows = [(i, "x" * 50, "s", 1) for i in range(100)] + [(7000, "y" * 50, "t", 2)] * 100 + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, shard string, key int")
+    names = sharding.write_shards(df, str(tmp_path / "s"), ("id",), F.octet_length("text"), 1000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert names == ("_shard", "page") and back.count() == 201 and dict(back.dtypes)["_shard"] == "string"
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    pages = back.groupBy(*names).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.n == 1 or r.b <= 1000 for r in pages) and len(pages) >= 11 and all(r[0].startswith("b") for r in pages)
+    sharding.write_shards(df.limit(0), str(tmp_path / "e"), ("id",), F.octet_length("text"), 1000)

@@ -85,3 +85,13 @@ def test_text_keeps_what_is_not_removed(spark):
 def test_same_as_duckdb(spark):
     sf = "/root/testdata/sf0.01"
     same(queries.op10_substring_dedup(spark, sf), queries.OP10_SQL, sf)
+
+
+def test_large_ids_and_clashing_names(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [((1 << 53) + 1, passage), ((1 << 53) + 3, "q " + passage + " z"), (None, "only here")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4, "k") for d, t in rows], "doc_id long, text string, _ss int, _nn int, _k int, _d int, doc string").coalesce(1)
+    out = substring.strip_repeats(df)
+    assert out.columns == df.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {(1 << 53) + 1: passage, (1 << 53) + 3: "q z", None: "only here"}
+    assert {r[0] for r in got(df)} == {r[0] for r in rows}

@@ -50,3 +50,10 @@ def test_foreign_archive(spark, tmp_path):
     assert [r.type for r in rows] == ["warcinfo", "response"] and bytes(rows[1].block) == b"\xff\xfe\n\x00bin"
     one = warc.transactions(warc.records(spark, str(tmp_path))).first()
     assert one.request is None and one.metadata is None and one.page_id is None
+
+
+def test_ids_beyond_doubles(spark):
+    ids = [(1 << 53) + 1, (1 << 53) + 3, None]
+    df = spark.createDataFrame([(i, f"http://h/{i}", "x" * 200) for i in ids], "page_id long, url string, html string").coalesce(1)
+    out = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert set(out) == set(ids) and out[ids[1]].refers_to == ids[0]
