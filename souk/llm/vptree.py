@@ -43,6 +43,7 @@ from souk.llm.common import Workspace
 
 LEAF = 64
 SAMPLE, PER_LEAF = 16_384, 16
+TIE = 1e-9  # cosines this close may be equal
 SLACK = 1e-7  # of distances between points of norm 1, which come from squares
 
 
@@ -65,13 +66,13 @@ def aim(Q: np.ndarray) -> np.ndarray:
 
 
 def inner(Q: np.ndarray, X: np.ndarray) -> np.ndarray:
-    """All inner products, each summed the same way whatever stands beside it; a sum that overflows on the way is taken again on scaled vectors."""
+    """Inner products row by row, each summed the same way wherever it is taken; a sum that overflows on the way is taken again on scaled vectors."""
     with np.errstate(over="ignore", invalid="ignore"):
-        out = np.einsum("ij,kj->ik", Q, X)
-        i, k = np.nonzero(~np.isfinite(out))
+        out = (Q * X).sum(axis=1)
+        i = np.flatnonzero(~np.isfinite(out))
         if len(i):
-            q, x = np.abs(Q[i]).max(axis=1), np.abs(X[k]).max(axis=1)
-            out[i, k] = ((Q[i] / q[:, None]) * (X[k] / x[:, None])).sum(axis=1) * q * x
+            q, x = np.abs(Q[i]).max(axis=1), np.abs(X[i]).max(axis=1)
+            out[i] = ((Q[i] / q[:, None]) * (X[i] / x[:, None])).sum(axis=1) * q * x
         return out
 
 
@@ -140,25 +141,32 @@ def search(X: np.ndarray, lifted: np.ndarray, ids: np.ndarray, Q: np.ndarray, ta
     tree = plant(lifted, max(1, len(X) // LEAF), count, rng)
     of = leaf_of(tree, lifted)
     rows = {int(v): order[of[order] == v] for v in np.unique(of)}
-    best_s, best_i = np.full((len(Q), k), -np.inf), np.full((len(Q), k), -1, dtype=np.int64)
-    worst = np.full(len(Q), np.inf)  # distance of the k-th so far
+    # inner products over all norms: cosines of points of norm 1; those nearly equal are told apart by the given vectors
+    best_c, best_i = np.full((len(Q), k), -np.inf), np.full((len(Q), k), -1, dtype=np.int64)
     aimed = aim(Q)
     place = np.argsort(order)  # a row's place in the order of ids
     done, seen = leaf_of(tree, aimed), 0
 
+    def far_of(c):
+        return np.sqrt(np.maximum(2 - 2 * c, 0))  # infinite for -inf
+
     def look(leaf, who):
         nonlocal seen
         r = rows.get(int(leaf))
         if r is None or not len(who):
             return
         seen += len(r) * len(who)
-        some = np.hstack([best_s[who], inner(Q[who], X[r])])
-        alli = np.hstack([best_i[who], np.broadcast_to(r, (len(who), len(r)))])
-        rank = np.where(alli < 0, len(X), place[alli])
-        pick = np.lexsort((rank, -some), axis=1)[:, :k]
-        best_s[who], best_i[who] = np.take_along_axis(some, pick, 1), np.take_along_axis(alli, pick, 1)
-        last = best_i[who, -1]
-        worst[who] = np.where(last < 0, np.inf, np.sqrt(np.maximum(2 - 2 * (lifted[last] * aimed[who]).sum(axis=1), 0)))
+        c = np.hstack([best_c[who], aimed[who] @ lifted[r].T])
+        i = np.hstack([best_i[who], np.broadcast_to(r, (len(who), len(r)))])
+        pick = np.argpartition(-c, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(c, pick, 1).min(axis=1)
+        best_c[who], best_i[who] = np.take_along_axis(c, pick, 1), np.take_along_axis(i, pick, 1)
+        for w in np.flatnonzero(((c >= last[:, None] - TIE) & (i >= 0)).sum(axis=1) > k):
+            sure = np.flatnonzero((c[w] > last[w] + TIE) & (i[w] >= 0))
+            near = np.flatnonzero((np.abs(c[w] - last[w]) <= TIE) & (i[w] >= 0))
+            exact = inner(np.broadcast_to(Q[who[w]], (len(near), Q.shape[1])), X[i[w, near]])
+            keep = np.append(sure, near[np.lexsort((place[i[w, near]], -exact))])[:k]
+            best_c[who[w]], best_i[who[w]] = c[w, keep], i[w, keep]
 
     for leaf in np.unique(done):
         look(leaf, np.flatnonzero(done == leaf))
@@ -166,7 +174,7 @@ def search(X: np.ndarray, lifted: np.ndarray, ids: np.ndarray, Q: np.ndarray, ta
     def walk(n, who, low):
         if not len(who):
             return
-        go = low * relax <= np.minimum(tau[who], worst[who]) + SLACK
+        go = low * relax <= np.minimum(tau[who], far_of(best_c[who].min(axis=1))) + SLACK
         who, low = who[go], low[go]
         if not len(who):
             return
@@ -178,7 +186,11 @@ def search(X: np.ndarray, lifted: np.ndarray, ids: np.ndarray, Q: np.ndarray, ta
         walk(n.outer, who, np.maximum(low, n.radius - d))
 
     walk(tree, np.arange(len(Q)), np.zeros(len(Q)))
-    return best_i, best_s, np.sqrt(np.maximum(2 - 2 * (lifted[best_i] * aimed[:, None, :]).sum(axis=2), 0)), seen
+    exact = np.full(best_i.shape, -np.inf)
+    for j in range(k):
+        on = np.flatnonzero(best_i[:, j] >= 0)
+        exact[on, j] = inner(Q[on], X[best_i[on, j]])
+    return best_i, exact, far_of(best_c), seen
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
