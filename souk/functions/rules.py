@@ -17,22 +17,27 @@ def _empty_to_null(c: Column) -> Column:
 
 
 def text(c: Column) -> Column:
-    """White space runs to one blank, trimmed; empty is null. Canonical composition is :func:`compose`'s."""
+    """White space runs to one blank, trimmed; empty is null. :func:`normalize_texts` composes (NFC) first."""
     return _empty_to_null(F.btrim(F.regexp_replace(c, SPACE, " ")))
 
 
-def compose(df: DataFrame, col: str) -> DataFrame:
-    """NFC of a column. Spark has no such function: the rows that hold a combining mark go through Arrow, all others do not."""
-    import pandas as pd
+def compose(df: DataFrame, *cols: str) -> DataFrame:
+    """NFC of text columns. Spark has no such function: the rows that hold a mark to compose go through Arrow, all others do not."""
+    import pyarrow as pa
 
-    names, kind = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    odd = F.coalesce(F.col(col).rlike(r"[\p{M}\x{1100}-\x{11FF}\x{212A}\x{212B}\x{2126}\x{F900}-\x{FAFF}]"), F.lit(False))
+    def nfc(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
-    def each(frames):
-        for x in frames:
-            yield x.assign(**{col: pd.Series([unicodedata.normalize("NFC", v) for v in x[col]], index=x.index, dtype=object)})[names]
+    nfc.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    to_nfc, odd = F.arrow_udf(nfc, "string"), F.lit(False)
+    for c in cols:
+        odd = odd | F.coalesce(F.col(c).rlike(r"[\p{M}\x{1100}-\x{11FF}\x{212A}\x{212B}\x{2126}\x{F900}-\x{FAFF}]"), F.lit(False))
+    return df.where(~odd).unionByName(df.where(odd).withColumns({c: to_nfc(c) for c in cols}))
 
-    return df.where(~odd).unionByName(df.where(odd).mapInPandas(each, kind))
+
+def normalize_texts(df: DataFrame, *cols: str) -> DataFrame:
+    """The whole rule for text columns: NFC, then :func:`text`."""
+    return compose(df, *cols).withColumns({c: text(F.col(c)) for c in cols})
 
 
 def strip_html(c: Column) -> Column:
@@ -43,39 +48,66 @@ def strip_html(c: Column) -> Column:
     return text(out)
 
 
+def _plain(i: int) -> str:
+    return unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()
+
+
 def _fold() -> tuple[str, str]:
     """Letters whose compatibility decomposition is one ASCII letter and marks, and those letters."""
-    pairs = []
-    for i in range(0x00C0, 0x2100):
-        plain = unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()
-        if len(plain) == 1 and plain.isalnum():
-            pairs.append((chr(i), plain))
+    pairs = [(chr(i), _plain(i)) for i in range(0x00A0, 0x2500) if len(_plain(i)) == 1 and _plain(i).isalnum()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _unfold() -> dict[str, str]:
+    """Characters that decompose to several ASCII characters: ligatures, fractions, numerals, units."""
+    return {chr(i): _plain(i) for block in ((0x00A0, 0x0250), (0x2000, 0x2190), (0xFB00, 0xFB07)) for i in range(*block) if len(_plain(i)) > 1}
+
+
 def slug(c: Column) -> Column:
     """ASCII letters and digits in lower case, all else one dash; other letters drop. Null gives an empty text."""
     src, dst = _fold()
-    ascii_ = F.regexp_replace(F.translate(c, src, dst), r"[^\x00-\x7F]", "")
+    several = _unfold()
+    names = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    spelled = F.when(c.rlike("[" + "".join(several) + "]"), F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(names[x], x)), "")).otherwise(c)
+    ascii_ = F.regexp_replace(F.translate(spelled, src, dst), r"[^\x00-\x7F]", "")
     return F.coalesce(F.btrim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
 
 
+def _decoded(c: Column) -> Column:
+    """Form decoding: plus is a blank, ``%xx`` a byte of UTF-8, any other per cent sign itself."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(c: Column) -> Column:
+    """Form encoding that leaves letters, digits and ``_.-~``."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def url(c: Column) -> Column:
-    """Lower-case scheme and host, no tracking parameters, sorted query, no fragment, no trailing slash."""
-    raw = F.btrim(c)
-    full = F.when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), raw).otherwise(F.concat(F.lit("https://"), F.regexp_replace(raw, "^/+", "")))
-    part = lambda i: F.regexp_extract(full, r"^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    """Lower-case scheme and host, no tracking parameters, sorted query, no fragment, no trailing slash but the root's.
+
+    Query names and values are decoded, sorted and encoded again; those without a
+    value go. A text with neither scheme nor host only loses its trailing slashes.
+    """
+    raw = F.regexp_replace(F.regexp_replace(c, r"^[\s\x00-\x1F]+|[\s]+$", ""), "[\t\r\n]", "")
+    part = lambda i: F.regexp_extract(raw, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", i)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+
     def tracked(p):
-        hit = name(p).isin(*C.TRACKING_NAMES)
+        name = F.lower(p["k"])
+        hit = name.isin(*C.TRACKING_NAMES)
         for prefix in C.TRACKING_PREFIXES:
-            hit = hit | name(p).startswith(prefix)
+            hit = hit | name.startswith(prefix)
         return hit
 
-    pairs = F.array_sort(F.filter(F.split(part(4), "&"), lambda p: p.contains("=") & ~p.startswith("=") & ~p.endswith("=") & ~tracked(p)))
-    query = F.array_join(pairs, "&")
-    path = F.regexp_replace(part(3), "/+$", "")
-    return F.when(_empty_to_null(raw).isNotNull(), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
+    valued = F.filter(F.split(part(4), "&"), lambda p: p.contains("=") & (F.locate("=", p) < F.length(p)))
+    pairs = F.transform(valued, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+    query = F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda p: ~tracked(p))), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    path = F.when(F.length(part(3)) > 1, F.regexp_replace(part(3), "/+$", "")).otherwise(part(3))
+    rooted = (host != "") | path.startswith("//") | (scheme.isin("", "http", "https", "ftp") & ((path == "") | path.startswith("/")))
+    whole = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit(":"), F.when(rooted, F.concat(F.lit("//"), host)).otherwise(""), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    bare = _empty_to_null(F.regexp_replace(raw, "/+$", ""))
+    return F.when(raw != "", F.when((scheme == "") & (host == ""), bare).otherwise(whole))
 
 
 def country(c: Column) -> Column:

@@ -16,10 +16,9 @@ def category_hint(c: Column) -> Column:
     return out
 
 
-def keyword_hits(c: Column) -> dict[str, Column]:
-    """Per collection, how many of its keywords a text holds."""
-    low = F.lower(c)
-    return {name: F.size(F.filter(F.split(F.lit("|".join(words)), "[|]"), lambda w: F.contains(low, w))) for name, words in C.KEYWORDS.items()}
+def keyword_hits(low: Column) -> dict[str, Column]:
+    """Per collection, how many of its keywords a text in lower case holds."""
+    return {name: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for name, words in C.KEYWORDS.items()}
 
 
 def classify(df: DataFrame, cfg: C.Config, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -28,7 +27,8 @@ def classify(df: DataFrame, cfg: C.Config, mapping: dict[str, str] | None = None
     fixed = F.lit(None).cast("string")
     for k, v in (mapping or {}).items():
         fixed = F.when(F.col("subcategory") == k, v).otherwise(fixed)
-    hits = keyword_hits(F.concat_ws(" ", blank("product_name"), blank("subcategory"), blank("description")))
+    df = df.withColumn("_low", F.lower(F.concat_ws(" ", blank("product_name"), blank("subcategory"), blank("description"))))
+    hits = keyword_hits(F.col("_low"))
     names = {n: f"_h{i}" for i, n in enumerate(hits)}
     out = df.withColumns({"_fixed": fixed, "_hint": category_hint(F.concat_ws(" ", blank("category"), blank("subcategory"))), **{names[n]: h for n, h in hits.items()}})
     best = F.greatest(*[F.col(v) for v in names.values()])
@@ -40,7 +40,7 @@ def classify(df: DataFrame, cfg: C.Config, mapping: dict[str, str] | None = None
     how = F.when(F.col("_fixed").isNotNull(), "subcategory-map").when(F.col("_hint").isNotNull(), "category-map").when(best > 0, "keyword").otherwise("catch-all")
     conf = F.when(how == "subcategory-map", F.lit("0.95").cast("decimal(4,2)")).when(how == "category-map", F.lit("0.90").cast("decimal(4,2)")).when(how == "keyword", sure.cast("decimal(4,2)")).otherwise(F.lit("0.40").cast("decimal(4,2)"))
     out = out.withColumns({"collection": F.coalesce("_fixed", "_hint", F.when(best > 0, word), F.lit(C.CATCH_ALL)), "confidence": conf, "method": how})
-    return out.withColumn("needs_review", F.col("method").isin("keyword", "catch-all") & (F.col("confidence") < cfg.minimum_confidence)).drop("_fixed", "_hint", *names.values())
+    return out.withColumn("needs_review", F.col("method").isin("keyword", "catch-all") & (F.col("confidence") < cfg.minimum_confidence)).drop("_low", "_fixed", "_hint", *names.values())
 
 
 def cache_key(mark: Column, model: str, version: str) -> Column:

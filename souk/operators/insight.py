@@ -112,7 +112,8 @@ def bucket_counts(df: DataFrame, col: str, edges: list[float]) -> DataFrame:
     b = F.lit(n)
     for i in reversed(range(n)):
         b = F.when(c < edges[i], i).otherwise(b)
-    got = df.where(c.isNotNull()).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    # nulls have a bucket of their own that the join drops: a filter on them would be pushed into what made the column, and repeat it
+    got = df.groupBy(F.when(c.isNull(), -1).otherwise(b).alias("bucket")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("_b"))
     return every.join(got, F.col("_b") == F.col("bucket"), "left").select(F.col("_b").alias("bucket"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -133,8 +134,10 @@ def stock_total(df: DataFrame, key: str, quantity: str) -> DataFrame:
 
 
 def endpoint_summary(log: DataFrame, method: str, endpoint: str, seq: str, likely: Column) -> DataFrame:
-    """First row per method and endpoint, with whether any response looked like an API."""
-    return log.groupBy(method, endpoint).agg(F.min(seq).alias("first_seen"), F.count("*").alias("responses"), F.max(likely.cast("int")).cast("boolean").alias("likely_api"))
+    """Per method and endpoint its first response's place and whether that looked like an API; likely ones first, then as seen."""
+    first = F.min(F.struct(F.col(seq).alias("seq"), likely.alias("likely"))).alias("f")
+    out = log.groupBy(method, endpoint).agg(first, F.count("*").alias("responses"))
+    return out.select(method, endpoint, F.col("f.seq").alias("first_seen"), "responses", F.col("f.likely").alias("likely_api")).orderBy(F.desc("likely_api"), "first_seen")
 
 
 def share(df: DataFrame, n: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +117,22 @@ def is_excluded(c: Column, patterns=C.EXCLUDED) -> Column:
     return F.coalesce(c.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
-def risk_flags(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(c.rlike("(?U)" + p), F.lit(flag)) for flag, p in C.RISKS]))
+def stems(pattern: str) -> list[str]:
+    """For each alternative of ``\\b(..|..)\\b`` its longest literal run, which any match holds."""
+    inner = re.fullmatch(r"\\b\((.*)\)\\b", pattern).group(1)
+    return sorted({max(re.split(r"\[[^\]]*\]\??|\\s\??|.\?", part), key=len) for part in inner.split("|")})
+
+
+def risk_flags(low: Column) -> Column:
+    """Flags of a text in lower case. A pattern is only tried where one of its stems stands."""
+
+    def holds(p: str) -> Column:
+        some = F.lit(False)
+        for w in stems(p):
+            some = some | F.contains(low, F.lit(w))
+        return some & low.rlike("(?U)" + p)
+
+    return F.array_compact(F.array(*[F.when(holds(p), F.lit(flag)) for flag, p in C.RISKS]))
 
 
 def risk_reasons(flags: Column) -> Column:
@@ -170,7 +186,8 @@ def score_products(products: DataFrame, suppliers: DataFrame, rates: DataFrame |
     df = with_supplier(products, suppliers)
     if rates is not None:
         df = pricing.to_currency(df, ["supplier_price", "shipping_cost", "suggested_retail_price"], rates)
-    df = df.withColumns({"_gate": product_gates(cfg, ~blocks_products(F.col("supplier_eligibility"))), "risk_flags": risk_flags(says("product_name", "description"))})
+    df = df.withColumns({"_gate": product_gates(cfg, ~blocks_products(F.col("supplier_eligibility"))), "_said": says("product_name", "description")})
+    df = df.withColumn("risk_flags", risk_flags(F.col("_said"))).drop("_said")
     df = pricing.margin(df, cfg.margin)
     passed = F.size("_gate") == 0
     df = df.withColumn("product_score", F.when(passed, weighted_score(product_criteria(cfg, F.col("market_coverage") if "market_coverage" in df.columns else None), s.weights)).otherwise(F.lit(0).cast("decimal(5,1)")))

@@ -8,14 +8,14 @@ on the driver are the picks. Pruning never changes the result (see ``prune``).
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import config as C
 from souk.functions import rules
-from souk.session import shared_folder
+from souk.session import written
 
 
 def pick_targets(df: DataFrame, group: str, score: str, key: str, cap: int, top: int | None = None, limit: int | None = None, where: Column | None = None, done: Column | None = None) -> DataFrame:
@@ -86,13 +86,6 @@ def prune(pool: DataFrame, k: int) -> DataFrame:
     return met.where(F.col("f1").isNull() | F.col("f2").isNull() | (b + 3 >= F.col("f1")) | (F.col("product_score") >= F.col("f2"))).drop("_f1", "f1", "_f2", "f2")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all machines share."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class State:
     """What the picks so far amount to; one entry per pick at most."""
 
@@ -142,7 +135,7 @@ def _result(pool: DataFrame, picks: list) -> DataFrame:
 
 def select_assortment(pool: DataFrame, sel: C.Selection, seed: list | None = None, free: int | None = None) -> tuple[DataFrame, list[str]]:
     """Up to ``total_max`` picks in order, and notes on what fell short. seed: rows already kept; free: how many to add."""
-    live, state = _written(prune(marked(pool), sel.total_max)), State(seed or [])
+    live, state = written(prune(marked(pool), sel.total_max)), State(seed or [])
     start = len(state.picks)
     want = sel.total_max - start if free is None else free
     while len(state.picks) - start < want and _take(live, state, state.allowed(sel, sel.per_supplier_max), state.score(sel)):
@@ -153,13 +146,14 @@ def select_assortment(pool: DataFrame, sel: C.Selection, seed: list | None = Non
     return _result(pool, state.picks[start:]), notes
 
 
-def select_new_arrivals(pool: DataFrame, sel: C.Selection, preferred: tuple[str, ...], total: int = 4, per_supplier: int = 2) -> DataFrame:
-    """The best of each preferred collection in turn, then greedy up to total."""
-    live, state = _written(prune(marked(pool), max(total, len(preferred)))), State([])
+def select_new_arrivals(pool: DataFrame, sel: C.Selection, preferred: tuple[str, ...] = (C.KITCHEN, C.COMFORT, C.CATCH_ALL), total: int = 4, per_supplier: int = 2) -> DataFrame:
+    """The best of each preferred collection in turn, then greedy up to total; a collection may fill the batch, and one product of it is enough."""
+    live, state = written(prune(marked(pool), max(total, len(preferred)))), State([])
     for name in preferred:
         if len(state.picks) < total:
-            _take(live, state, state.allowed(sel, per_supplier) & (F.col("collection") == name), F.col("product_score"))
-    while len(state.picks) < total and _take(live, state, state.allowed(sel, per_supplier), state.score(sel)):
+            _take(live, state, state.allowed(sel, per_supplier, total) & (F.col("collection") == name), F.col("product_score"))
+    one = replace(sel, per_collection_min=1)
+    while len(state.picks) < total and _take(live, state, state.allowed(sel, per_supplier, total), state.score(one)):
         pass
     return _result(pool, state.picks)
 

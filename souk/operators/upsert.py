@@ -10,9 +10,9 @@ from souk.functions import config as C
 
 
 def dedupe_last(df: DataFrame, key: str, order: list) -> DataFrame:
-    """The last row of each key in the given order."""
-    desc = [o.desc() if isinstance(o, Column) else F.col(o).desc() for o in order]
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*desc))).where("_r = 1").drop("_r")
+    """The last row of each key in the given order (null keys are one key); an aggregate, which combines before the shuffle."""
+    last = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r")
+    return df.groupBy(F.col(key).alias("_k")).agg(last).select("_r.*")
 
 
 def fingerprint(df: DataFrame, cols: list[str]) -> Column:
@@ -56,6 +56,22 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str, mark: str, values:
     return met.select(*out, "_action")
 
 
+def store_records(target: DataFrame, incoming: DataFrame, key: str, mark: str, values: list[str], initial: dict[str, str], on_change: dict[str, str], seen: dict[str, str]) -> DataFrame:
+    """Upsert of mapped records: ``initial`` values on creation, ``on_change`` ones where the fingerprint differs, ``seen`` ones for every row met; what a person set otherwise stays."""
+    lit = lambda d: {c: F.lit(v) for c, v in d.items()}
+    return upsert(target, incoming, key, mark, values, create=lit(initial), changed=lit(on_change), touch=lit(seen))
+
+
+def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of both, of the first alone, and of any: ``kind`` (both, first, any), key."""
+    a, b = a.select(key), b.select(key)
+    out = None
+    for kind, df in (("both", a.intersect(b)), ("first", a.subtract(b)), ("any", a.union(b).distinct())):
+        one = df.select(F.lit(kind).alias("kind"), key)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def detect_changes(prev: DataFrame, cur: DataFrame, key: str, mark: str, categories: dict[str, str]) -> DataFrame:
     """Per changed key: changed fields, change type (one category, else Multiple), old and new values as maps of text."""
     p = prev.select(F.col(key).alias("_k"), F.col(mark).alias("_m"), *[F.col(c).alias(f"_{c}") for c in categories])
@@ -135,33 +151,44 @@ def enrich_suppliers(suppliers: DataFrame, details: DataFrame, key: str, fields:
     """The first detail row of each supplier (by rank), where it has values."""
     from souk.sources.pages import patch
 
-    first = details.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*rank))).where("_r = 1")
-    return patch(suppliers, first.select(key, *fields), key, "keep")
+    first = details.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(*rank)).alias("_r")).select(key, "_r.*")
+    return patch(suppliers, first, key, "keep")
 
 
 def early_stop(rows: DataFrame, known: DataFrame, key: str, page: str, pos: str, n: int, m: int) -> DataFrame:
     """Rows up to the page at whose end n consecutive known rows or m consecutive fully known pages have been met.
 
-    A row is known if its key is indexed or stood on an earlier page. Order is
-    total over the scan, so counters are built from per-page facts: one row per
-    page is ordered, not one per product.
+    A row is known if its key is indexed or stood on an earlier page; pages are
+    numbers. Order is total over the scan, so counters are running sums and maxima
+    of per-page facts, taken within spans of pages and carried over between them:
+    one task sees a row per span, none sees all pages.
     """
     k = known.select(F.col(key).alias("_k"), F.lit(True).alias("_known")).distinct()
     first = rows.groupBy(F.col(key).alias("_f")).agg(F.min(page).alias("_first"))
     met = rows.join(k, F.col(key) == F.col("_k"), "left").join(first, F.col(key) == F.col("_f")).withColumn("_new", F.col("_known").isNull() & (F.col("_first") == F.col(page)))
-    pages = met.groupBy(page).agg(F.count("*").alias("size"), F.max(F.when(F.col("_new"), F.struct(F.col(pos), F.lit(1)))).alias("last_new"), F.max(pos).alias("last"), F.count_if("_new").alias("news"))
+    pages = met.groupBy(page).agg(F.max(F.when(F.col("_new"), F.col(pos))).alias("last_new"), F.count_if("_new").alias("news"))
     # known rows after the page's last new one
-    tail = met.join(pages.select(F.col(page).alias("_p"), F.col(f"last_new.{pos}").alias("_ln")), F.col(page) == F.col("_p")).where(F.col("_ln").isNull() | (F.col(pos) > F.col("_ln"))).groupBy(F.col(page).alias("_p")).agg(F.count("*").alias("tail"))
-    pages = pages.join(tail, F.col(page) == F.col("_p"), "left").select(page, "news", "size", F.coalesce("tail", F.lit(0)).alias("tail"))
-    w = Window.orderBy(page)
-    block = F.sum(F.when(F.col("news") > 0, 1).otherwise(0)).over(w)
-    pages = pages.withColumn("block", block)
-    b = Window.partitionBy("block").orderBy(page)
-    # within a block the first page may hold news: its tail counts; later ones count whole
-    run = F.sum("tail").over(b)
-    full = F.sum(F.when(F.col("news") == 0, 1).otherwise(0)).over(b)
-    cut = pages.withColumn("run", run).withColumn("full", full).where((F.col("run") >= n) | (F.col("full") >= m)).agg(F.min(page).alias("_cut"))
-    return rows.join(F.broadcast(cut), F.col("_cut").isNull() | (F.col(page) <= F.col("_cut"))).drop("_cut")
+    tail = met.join(pages.select(F.col(page).alias("_p"), "last_new"), F.col(page) == F.col("_p")).where(F.col("last_new").isNull() | (F.col(pos) > F.col("last_new"))).groupBy(F.col(page).alias("_p")).agg(F.count("*").alias("tail"))
+    pages = pages.join(tail, F.col(page) == F.col("_p"), "left").select(page, "news", F.coalesce("tail", F.lit(0)).alias("tail"))
+    pages = running(pages, page, {"rows": (F.sum, F.col("tail")), "pages": (F.sum, (F.col("news") == 0).cast("long"))})
+    # both counters start anew on a page with news
+    anew = F.col("news") > 0
+    pages = running(pages, page, {"rows0": (F.max, F.when(anew, F.col("rows") - F.col("tail"))), "pages0": (F.max, F.when(anew, F.col("pages")))})
+    met_all = (F.col("rows") - F.coalesce("rows0", F.lit(0)) >= n) | (F.col("pages") - F.coalesce("pages0", F.lit(0)) >= m)
+    cut = pages.where(met_all).agg(F.min(page).alias("_cut"))
+    return rows.join(F.broadcast(cut), F.col("_cut").isNull() | (F.col(page) <= F.col("_cut"))).drop("_cut")  # one row
+
+
+def running(df: DataFrame, order: str, columns: dict, span: int = 4096) -> DataFrame:
+    """df with running values: name -> (aggregate: F.sum or F.max, column), over all rows up to this one by ``order``, a number that is unique."""
+    df = df.withColumn("_span", F.floor(F.col(order) / span))
+    whole = df.groupBy("_span").agg(*[f(c).alias(n) for n, (f, c) in columns.items()])
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row per span
+    whole = whole.select(F.col("_span").alias("_s"), *[f(n).over(earlier).alias("_" + n) for n, (f, _) in columns.items()])
+    within = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.select("*", *[f(c).over(within).alias(n) for n, (f, c) in columns.items()]).join(whole, F.col("_span") == F.col("_s"))
+    join = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest}
+    return out.select(*[c for c in df.columns if c != "_span"], *[join[f](F.col(n), F.col("_" + n)).alias(n) for n, (f, _) in columns.items()])
 
 
 def completeness_status(status: Column, verified: Column, stopped: Column) -> Column:
@@ -179,6 +206,17 @@ def runs(ledger: DataFrame, limit: int) -> DataFrame:
     return ledger.withColumn("resumable", F.col("status").isin("Running", "Failed", "Partial") & F.col("cursor").isNotNull()).orderBy(F.desc("started_at"), "run_id").limit(limit)
 
 
+def show_run(ledger: DataFrame, run_id: str) -> DataFrame:
+    """One run's row; none for an unknown id."""
+    return ledger.where(F.col("run_id") == run_id)
+
+
+def latest_run(ledger: DataFrame, kind: str | None = None) -> DataFrame:
+    """The newest run (of a kind), of equal starts the one with the largest id."""
+    out = ledger if kind is None else ledger.where(F.col("kind") == kind)
+    return out.orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+
+
 def open_run(ledger: DataFrame, run_id: str, kind: str, started_at: str) -> DataFrame:
     row = ledger.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit(kind).alias("kind"), F.lit("Running").alias("status"), F.lit(started_at).alias("started_at"))
     return ledger.unionByName(row, allowMissingColumns=True)

@@ -223,10 +223,15 @@ def pg2_scope_exclusion_plain(spark, d):
     return read_table(spark, d, "documents").select("doc_id", scoring.is_excluded(t, tuple(p for p in PLAIN if "é" not in p and "\\w*" not in p)).alias("excluded"))
 
 
-@query("WITH t AS (SELECT doc_id, lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')) AS t FROM documents), f AS (SELECT doc_id, " + RISK_SQL("t") + " AS flags FROM t) SELECT doc_id, array_to_string(flags, ',') AS flags, array_to_string(CASE WHEN list_has_any(flags, ['HEATING', 'ELECTRICAL', 'BATTERY', 'FOOD_CONTACT', 'MEDICAL', 'TRADEMARK']) THEN ['HIGH_COMPLIANCE_RISK'] ELSE [] END || CASE WHEN list_has_any(flags, ['FRAGILE_GLASS', 'COMPLEX_SIZING']) THEN ['HIGH_REFUND_RISK'] ELSE [] END, ',') AS reasons FROM f")
+# word boundaries that know all letters, as RE2 has none
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+WIDE_RISKS = " || ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(92) + 'b(', f'(?:^|[^{WORD}])(', 1).replace(')' + chr(92) + 'b', f')(?:$|[^{WORD}])')}') THEN ['{f}'] ELSE [] END" for f, p in C.RISKS)
+
+
+@query("WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), f AS (SELECT doc_id, " + WIDE_RISKS + " AS flags FROM t) SELECT doc_id, array_to_string(flags, ',') AS flags, array_to_string(CASE WHEN list_has_any(flags, ['HEATING', 'ELECTRICAL', 'BATTERY', 'FOOD_CONTACT', 'MEDICAL', 'TRADEMARK']) THEN ['HIGH_COMPLIANCE_RISK'] ELSE [] END || CASE WHEN list_has_any(flags, ['FRAGILE_GLASS', 'COMPLEX_SIZING']) THEN ['HIGH_REFUND_RISK'] ELSE [] END, ',') AS reasons FROM f")
 def pg3_pg4_risks(spark, d):
-    flags = scoring.risk_flags(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")))
-    out = read_table(spark, d, "documents").select("doc_id", flags.alias("f"))
+    low = read_table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    out = low.select("doc_id", scoring.risk_flags(F.col("low")).alias("f"))
     return out.select("doc_id", F.array_join("f", ",").alias("flags"), F.array_join(scoring.risk_reasons(F.col("f")), ",").alias("reasons"))
 
 
@@ -238,6 +243,14 @@ def cl1_cl4_classify(spark, d):
     return classify.classify(products(spark, d), CFG).select("product_key", "collection", "method", "confidence", "needs_review")
 
 
+MAPPED = f"WITH {PRODUCTS}, {classified_sql('prod', 'product_name || chr(32) || coalesce(subcategory, chr(0)) || chr(32) || coalesce(description, chr(0))', 'category || chr(32) || coalesce(subcategory, chr(0))', 'product_key, subcategory')}".replace("chr(0)", "''")
+
+
+@query(MAPPED + " SELECT product_key, CASE WHEN subcategory = 'Home decor' THEN 'Bathroom' ELSE collection END AS collection, CASE WHEN subcategory = 'Home decor' THEN 'subcategory-map' ELSE method END AS method, CASE WHEN subcategory = 'Home decor' THEN 0.95 ELSE confidence END::DECIMAL(4,2) AS confidence FROM classed")
+def cl1_subcategory_map(spark, d):
+    return classify.classify(products(spark, d), CFG, {"Home decor": C.BATHROOM, "Nothing": C.DINING}).select("product_key", "collection", "method", "confidence")
+
+
 DOCS_CLASSED = classified_sql("documents", "text", "''", "doc_id, text")
 
 
@@ -294,28 +307,27 @@ def rk5_prune(spark, d):
     return selection.prune(selection.marked(pool(spark, d)), 40).select("product_key", "collection", "product_score")
 
 
-SMALL = replace(C.Selection(), total_max=12, total_min=8, per_collection_max=4, per_collection_min=2)
-
-
 @query()
 def rk6_rk8_assortment(spark, d):
-    return selection.select_assortment(pool(spark, d), SMALL)[0]
+    return selection.select_assortment(pool(spark, d), C.Selection())[0]
 
 
 @query()
 def rk9_new_arrivals(spark, d):
-    return selection.select_new_arrivals(pool(spark, d), SMALL, (C.KITCHEN, C.DINING, C.BATHROOM))
+    return selection.select_new_arrivals(pool(spark, d), C.Selection())
 
 
 @query()
 def rk10_backfill(spark, d):
     p = pool(spark, d)
-    first = selection.select_assortment(p, SMALL)[0]
-    kept = p.join(F.broadcast(first.select(F.col("product_key").alias("_k"))), F.col("product_key") == F.col("_k"), "left_semi")  # twelve picks
+    first = selection.select_assortment(p, C.Selection())[0]
+    kept = p.join(F.broadcast(first.select(F.col("product_key").alias("_k"))), F.col("product_key") == F.col("_k"), "left_semi")  # forty picks
     bad = [r["product_key"] for r in first.orderBy("pick").limit(3).collect()]
-    return selection.reject_and_backfill(kept, p, bad, SMALL)
+    return selection.reject_and_backfill(kept, p, bad, C.Selection())
 
 
-@query(f"WITH {PRODUCTS}, {classified_sql('prod', 'product_name || chr(32) || coalesce(subcategory, chr(0)) || chr(32) || coalesce(description, chr(0))', 'category || chr(32) || coalesce(subcategory, chr(0))', 'product_key, selection_status')}, s AS (SELECT * FROM classed WHERE selection_status = 'Selected') SELECT 'b1' AS batch, count(*) AS total, count(*) FILTER (collection = 'Kitchen Convenience') AS kitchen_convenience, count(*) FILTER (collection = 'Dining') AS dining, count(*) FILTER (collection = 'Home Comfort') AS home_comfort, count(*) FILTER (collection = 'Bathroom') AS bathroom, count(*) FILTER (collection = 'Practical Finds') AS practical_finds, array_to_string(list_sort(list(product_key)), ', ') AS members, '' AS notes FROM s".replace("chr(0)", "''"))
+@query(f"WITH {PRODUCTS}, {classified_sql('prod', 'product_name || chr(32) || coalesce(subcategory, chr(0)) || chr(32) || coalesce(description, chr(0))', 'category || chr(32) || coalesce(subcategory, chr(0))', 'product_key, selection_status')}, s AS (SELECT * FROM classed WHERE selection_status = 'Selected' ORDER BY product_key LIMIT 40) SELECT 'b1' AS batch, count(*) AS total, count(*) FILTER (collection = 'Kitchen Convenience') AS kitchen_convenience, count(*) FILTER (collection = 'Dining') AS dining, count(*) FILTER (collection = 'Home Comfort') AS home_comfort, count(*) FILTER (collection = 'Bathroom') AS bathroom, count(*) FILTER (collection = 'Practical Finds') AS practical_finds, array_to_string(list_sort(list(product_key)), ', ') AS members, '' AS notes FROM s".replace("chr(0)", "''"))
 def rk11_batch(spark, d):
-    return selection.make_batch(classify.classify(products(spark, d), CFG).where("selection_status = 'Selected'"), "b1", [])
+    """The first forty of the Selected; a batch is never larger than an assortment."""
+    chosen = classify.classify(products(spark, d), CFG).where("selection_status = 'Selected'").orderBy("product_key").limit(C.Selection().total_max)
+    return selection.make_batch(chosen, "b1", [])

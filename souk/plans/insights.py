@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from souk.functions import config as C
-from souk.operators import insight, pricing, publish
+from souk.operators import funnel, insight, pricing, publish
+from souk.operators.selection import select_assortment
 from souk.plans.base import OFFERS, PRODUCTS, SUPPLIERS, margin_sql, offers, products, query, suppliers
 from souk.plans.catalogue import CFG, JOB, job
+from souk.session import written
 from souk.sources.pages import read_table
 
 PRICED = f"{PRODUCTS}, {margin_sql('prod')}"
@@ -24,7 +27,8 @@ SHOWN = "product_key, supplier_key, product_name, retail_price, margin_pct"
 
 @query(f"WITH {JOB}, g AS (SELECT product_key, supplier_key, product_name, collection, product_score, margin_pct, retail_price FROM classed JOIN sup USING (supplier_key) WHERE status NOT IN ('Scored Rejected', 'Gate Failed', 'Excluded By Supplier', 'Manually Rejected') AND collection = 'Dining' AND margin_pct >= 45 AND price_vs_market <= 10 AND supplier_name ILIKE '%0%' AND product_name ILIKE '%R%') SELECT product_key, collection, product_score, margin_pct FROM g ORDER BY product_score DESC NULLS LAST, product_key LIMIT 500")
 def fl1_jn3_gallery(spark, d):
-    page, _ = insight.gallery(job(spark, d), suppliers(spark, d), equal={"collection": "Dining"}, at_least={"margin_pct": 45}, at_most={"price_vs_market": 10}, viable=True, supplier="0", name="R")
+    shown = written(job(spark, d).select("product_key", "supplier_key", "product_name", "collection", "product_score", "margin_pct", "price_vs_market", "review_status"))  # the gallery reads a stored table
+    page, _ = insight.gallery(shown, suppliers(spark, d), equal={"collection": "Dining"}, at_least={"margin_pct": 45}, at_most={"price_vs_market": 10}, viable=True, supplier="0", name="R")
     return page.select("product_key", "collection", "product_score", "margin_pct")
 
 
@@ -73,13 +77,13 @@ def fl7_validate(spark, d):
     return insight.validate_table(o, "runs")
 
 
-@query("SELECT o_orderkey, o_orderpriority, l_linenumber AS variant, l_partkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 500 = 7")
+@query("SELECT o_orderkey, o_orderpriority, l_linenumber AS variant, l_partkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
 def jn8_product_detail(spark, d):
     o, l = read_table(spark, d, "orders"), read_table(spark, d, "lineitem")
     lines = l.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
     p = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("supplier_key", F.col("o_custkey"))
     s = read_table(spark, d, "customer").select(F.col("c_custkey").alias("supplier_key"), "c_name")
-    out = insight.product_detail(p, s, F.col("o_orderkey") % 500 == 7, "lines")
+    out = insight.product_detail(p, s, F.lit(True), "lines")
     return out.select("o_orderkey", "o_orderpriority", F.col("variant.l_linenumber").alias("variant"), F.col("variant.l_partkey").alias("l_partkey"), "c_name")
 
 
@@ -88,11 +92,11 @@ def jn9_variant_columns(spark, d):
     return insight.variant_columns(read_table(spark, d, "events"), "user_id", "props").select("user_id", F.array_join("attributes", ",").alias("attributes"))
 
 
-@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, n_name) AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def jn10_label_category(spark, d):
-    n = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("label"))
-    r = read_table(spark, d, "region").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("label"))
-    return insight.label_category(n, r, "n_regionkey", "label").select("n_nationkey", "label")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("label"))
+    n = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    return insight.label_category(c, n, "c_nationkey", "label").select("c_custkey", "label")
 
 
 # --- aggregates
@@ -164,10 +168,11 @@ def ag11_stock_total(spark, d):
     return insight.stock_total(read_table(spark, d, "lineitem"), "l_partkey", "l_quantity")
 
 
-@query("SELECT lang AS method, host AS endpoint, min(page_id) AS first_seen, count(*) AS responses, bool_or(contains(html, 'track(')) AS likely_api FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages) GROUP BY 1, 2")
+@query("SELECT lang AS method, host AS endpoint, min(page_id) AS first_seen, count(*) AS responses, arg_min(contains(html, 'track('), page_id) AS likely_api, (row_number() OVER (ORDER BY arg_min(contains(html, 'track('), page_id) DESC, min(page_id)))::INT AS place FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages) GROUP BY 1, 2")
 def ag12_endpoints(spark, d):
     p = read_table(spark, d, "pages").select("page_id", "html", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("method"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("endpoint"))
-    return insight.endpoint_summary(p, "method", "endpoint", "page_id", F.contains("html", F.lit("track(")))
+    out = insight.endpoint_summary(p, "method", "endpoint", "page_id", F.contains("html", F.lit("track(")))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("likely_api"), "first_seen")))  # a row per endpoint
 
 
 @query("SELECT l_returnflag, n, round_even((n * 100 / sum(n) OVER ()::DOUBLE)::DECIMAL(18,6), 1)::DECIMAL(5,1) AS pct FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -213,10 +218,16 @@ def pb2_parse_responses(spark, d):
     return publish.parse_responses(t.withColumn("said", said), "said").select("conv_id", "turn", F.get_json_object("content", "$.role").alias("role_in"), "error")
 
 
-@query(f"WITH {PRODUCTS} SELECT product_key, product_name AS title, trim(regexp_replace(lower(product_name), '[^a-z0-9]+', '-', 'g'), '-') AS handle, 'v2' AS content_version FROM prod")
+CLIP = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE regexp_replace(substr({c}, 1, {n}), '[\\s,.;:\\-]+$', '') END"
+
+
+@query(f"WITH {PRODUCTS}, c AS (SELECT *, product_name || ', ' || category || '. ' || product_name AS long FROM prod) SELECT product_key, product_name AS title, {CLIP('long', 60)} AS seo_title, {CLIP('long || long || long', 155)} AS meta_description, product_name AS image_alt_text, brand || ',New' AS tags, trim(regexp_replace(lower(product_name), '[^a-z0-9]+', '-', 'g'), '-') AS handle, 'v2' AS content_version FROM c")
 def pb3_content_fields(spark, d):
-    p = products(spark, d).withColumn("content", F.to_json(F.struct(F.col("product_name").alias("title"))))
-    return publish.content_fields(p, "v2").select("product_key", "title", "handle", "content_version")
+    p = products(spark, d)
+    long = F.concat("product_name", F.lit(", "), "category", F.lit(". "), "product_name")
+    said = F.struct(F.col("product_name").alias("title"), long.alias("seo_title"), F.concat(long, long, long).alias("meta_description"), F.array(F.upper("brand"), F.lit("New"), F.lit("new")).alias("tags"))
+    out = publish.content_fields(p.select("product_key", "product_name", F.array("brand").alias("tags"), F.to_json(said).alias("content")), "v2")
+    return out.select("product_key", "title", "seo_title", "meta_description", "image_alt_text", F.array_join("tags", ",").alias("tags"), "handle", "content_version")
 
 
 @query("SELECT doc_id FROM documents WHERE CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'v' || (doc_id % 2) END IS DISTINCT FROM 'v1'")
@@ -264,13 +275,26 @@ def jn3_semi_supplier(spark, d):
     return insight.semi_supplier(s.select("supplier_key", F.col("supplier_name").alias("n")), s, "7").select("supplier_key", F.col("n").alias("supplier_name"))
 
 
-@query()
+BARE = JOB.replace("prod LEFT JOIN scored USING (supplier_key)", "prod LEFT JOIN (SELECT * FROM scored WHERE false) USING (supplier_key)")
+# the 120 best of the first ranking, at most four of a supplier, with what their details say
+PICKED = f"""pre AS (WITH {BARE} SELECT product_key, supplier_key, product_score, status FROM classed),
+picked AS (SELECT product_key FROM (SELECT *, row_number() OVER (PARTITION BY supplier_key ORDER BY product_score DESC, product_key) AS r FROM pre WHERE status = 'Shortlisted') WHERE r <= 4 ORDER BY product_score DESC, product_key LIMIT 120)"""
+ENRICHED = JOB.replace("FROM prod LEFT JOIN scored", "FROM (SELECT prod.* REPLACE (CASE WHEN product_key IN (SELECT product_key FROM picked) THEN 3 ELSE shipping_max_days END AS shipping_max_days) FROM prod) prod LEFT JOIN scored")
+
+
+@query(f"WITH {PICKED}, fin AS (WITH {ENRICHED} SELECT status, selection_status FROM classed) SELECT 'scanned' AS stage, count(*) AS n FROM pre UNION ALL SELECT 'preranked', count(*) FROM pre WHERE status = 'Shortlisted' UNION ALL SELECT 'enriched', count(*) FROM picked UNION ALL SELECT 'shortlisted', count(*) FROM fin WHERE status = 'Shortlisted' UNION ALL SELECT 'candidates', count(*) FROM fin WHERE status IN ('Shortlisted', 'Manually Approved', 'Enriched') AND selection_status = 'Not Selected'")
 def ps6_funnel_counts(spark, d):
-    """Counts per funnel stage: all, passed gates, priced, shortlisted, candidates."""
-    from souk.operators.selection import build_candidates
+    return funnel.counts(_funnel(spark, d)[1])
+
 
-    j = job(spark, d)
-    c = insight.quick_counts(j, products=F.lit(True), passed=~F.col("review_status").isin("Gate Failed", "Excluded By Supplier"), priced=F.col("margin_pct").isNotNull(), shortlisted=F.col("review_status") == "Shortlisted")
-    return c.crossJoin(build_candidates(j).agg(F.count("*").alias("candidates")))
+@query()
+def ps6_funnel(spark, d):
+    """The assortment at the funnel's end; greedy, so tests hold it against a loop."""
+    pool, _ = _funnel(spark, d)
+    return select_assortment(pool, C.Selection())[0]
 
 
+def _funnel(spark, d):
+    p = products(spark, d)
+    details = p.select("product_key", F.lit(3).alias("shipping_max_days"))
+    return funnel.run(p, suppliers(spark, d), details, ["shipping_max_days"], CFG)

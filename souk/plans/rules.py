@@ -16,9 +16,12 @@ for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("
 SLUG = lambda c: f"trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"SELECT doc_id, {TEXT('text')} AS text FROM documents")
+@query(f"SELECT doc_id, {TEXT('nfc_normalize(text)')} AS text FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(replace(text, 'é', 'e' || chr(769)), 'ö', 'o' || chr(776)) ELSE text END AS text FROM documents)")
 def cr1_text(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", R.text(F.col("text")).alias("text"))
+    """Every third text with é and ö as letter and mark."""
+    t = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ö"), F.lit("o\u0308"))
+    docs = read_table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, t).otherwise(F.col("text")).alias("text"))
+    return R.normalize_texts(docs, "text")
 
 
 @query(f"SELECT page_id, {TEXT(HTML)} AS text FROM pages")
@@ -26,21 +29,41 @@ def cr2_strip_html(spark, d):
     return read_table(spark, d, "pages").select("page_id", R.strip_html(F.col("html")).alias("text"))
 
 
-@query(f"SELECT doc_id, {SLUG('text')} AS slug FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7Fàâäçèéêëîïñóôöùûüáíú]', '', 'g') AS text FROM documents)")
+@query(f"SELECT doc_id, {SLUG('text')} AS slug FROM documents")
 def cr3_slug(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", R.slug(F.regexp_replace("text", "[^\\x00-\\x7Fàâäçèéêëîïñóôöùûüáíú]", "")).alias("slug"))
+    return read_table(spark, d, "documents").select("doc_id", R.slug(F.col("text")).alias("slug"))
 
 
-URL_SQL = """u AS (SELECT page_id, trim(url) AS url FROM pages),
-parts AS (SELECT page_id, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host,
-  regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[^:/?#]+://[^/?#]*[^?#]*\\?([^#]*)', 1) AS q FROM u),
-qs AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda p: contains(p, '=') AND NOT starts_with(p, '=') AND NOT ends_with(p, '=') AND NOT regexp_matches(lower(p), '^(utm_|mc_|pk_|(gclid|fbclid|ref|referrer|source|_ga|yclid|msclkid)=)'))), '&') AS kept FROM parts)
-SELECT page_id, scheme || '://' || host || path || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM qs"""
+#: url, and four more forms of it, by page
+URL_FORMS = """u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN ' ' || url || '?q=a%20b&r=%7E&UTM_source=x&gclid=1&e=&n&p=a+b&s=*&z=%zz&b=' || page_id || '&a=' || chr(252) || '#top'
+  WHEN 2 THEN 'HTTPS://Shop.Example:443/?ref=1' WHEN 3 THEN 'shop.example/x/' || page_id || '//' ELSE '//CDN.example/P/' || page_id || '/?b=2&b=1' END AS url FROM pages)"""
+DECODE = lambda c: f"url_decode(replace(regexp_replace({c}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)', '%25\\1', 'g'), '+', ' '))"
+ENCODE = lambda c: f"replace(url_encode({c}), '%20', '+')"
+URL_SQL = URL_FORMS + f""",
+parts AS (SELECT page_id, trim(url) AS raw, lower(regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?', 1)) AS scheme, lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?', 1)) AS host,
+  regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path, regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1) AS q FROM u),
+pairs AS (SELECT page_id, {DECODE("split_part(p, '=', 1)")} AS k, {DECODE("regexp_replace(p, '^[^=]*=', '')")} AS v FROM (SELECT page_id, unnest(string_split(q, '&')) AS p FROM parts) WHERE regexp_matches(p, '=.')),
+kept AS (SELECT page_id, string_agg({ENCODE("k")} || '=' || {ENCODE("v")}, '&' ORDER BY k, v) AS q FROM pairs WHERE NOT regexp_matches(lower(k), '^(utm_|mc_|pk_)|^(gclid|fbclid|ref|referrer|source|_ga|yclid|msclkid)$') GROUP BY 1)
+SELECT page_id, CASE WHEN scheme = '' AND host = '' THEN rtrim(raw, '/') ELSE CASE WHEN scheme = '' THEN 'https' ELSE scheme END || '://' || host || CASE WHEN length(path) > 1 THEN rtrim(path, '/') ELSE path END || coalesce('?' || kept.q, '') END AS url FROM parts LEFT JOIN kept USING (page_id)"""
+
+
+def _urls(spark, d):
+    k = F.col("page_id").cast("string")
+    long = F.concat(F.lit(" "), "url", F.lit("?q=a%20b&r=%7E&UTM_source=x&gclid=1&e=&n&p=a+b&s=*&z=%zz&b="), k, F.lit("&a=ü#top"))
+    n = F.col("page_id") % 5
+    form = F.when(n == 0, F.col("url")).when(n == 1, long).when(n == 2, "HTTPS://Shop.Example:443/?ref=1").when(n == 3, F.concat(F.lit("shop.example/x/"), k, F.lit("//"))).otherwise(F.concat(F.lit("//CDN.example/P/"), k, F.lit("/?b=2&b=1")))
+    return read_table(spark, d, "pages").select("page_id", form.alias("url"))
 
 
 @query(f"WITH {URL_SQL}")
 def cr4_url(spark, d):
-    return read_table(spark, d, "pages").select("page_id", R.url(F.col("url")).alias("url"))
+    return _urls(spark, d).select("page_id", R.url(F.col("url")).alias("url"))
+
+
+@query(f"WITH c AS (WITH {URL_SQL}) SELECT page_id, 'purl:' || substr(sha256(url), 1, 20) AS product_key, 'surl:' || substr(sha256(url), 1, 20) AS supplier_key FROM c")
+def cr12_link_keys(spark, d):
+    none, u = F.lit(None).cast("string"), F.col("url")
+    return _urls(spark, d).select("page_id", R.product_key(F.lit("sid:1"), none, none, u, F.lit("n"), F.array(none)).alias("product_key"), R.supplier_key(none, u, F.lit("n"), none).alias("supplier_key"))
 
 
 SAMPLES = ("deutschland", " U.S. ", "great britain", "new zealand", "France", "España", "")
@@ -171,9 +194,26 @@ def pj4_normalize_suppliers(spark, d):
     return out.select("supplier_key", "supplier_name", "location_country", F.size("ships").cast("long").alias("markets"))
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1")
 def st2_ordered_distinct(spark, d):
-    e = read_table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("seen"))
-    return e.select("user_id", F.size(F.array_distinct("seen")).cast("long").alias("kinds"))
+    """A user's kinds of events as first met; kinds are few, however many events a user has."""
+    first = read_table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    kinds = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("seen"))
+    return kinds.select("user_id", F.array_join("seen.event_type", ",").alias("kinds"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand || ',' END || p_type || ',plain' AS names FROM part")
+def pj2_pull_item_field(spark, d):
+    p = read_table(spark, d, "part")
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.struct(F.lit(1).alias("id")))).otherwise(F.to_json(F.struct(F.col("p_brand").alias("value"))))
+    items = F.array(brand, F.to_json(F.struct(F.col("p_type").alias("value"))), F.lit("plain"))
+    return p.select("p_partkey", F.array_join(F.filter(P.pull_item_field(items, "value"), lambda x: x.isNotNull()), ",").alias("names"))
+
+
+@query(f"WITH {PRODUCTS} SELECT product_key, {TEXT('product_name')} AS product_name, brand, supplier_price::DOUBLE AS supplier_price, CASE WHEN stock_status IS NULL THEN 'Unknown' ELSE 'Out Of Stock' END AS stock_status, stock_quantity, active FROM prod")
+def pj4_normalize_products(spark, d):
+    """The product record from raw text columns."""
+    p = products(spark, d)
+    raw = p.select("product_key", F.concat(F.lit(" "), F.col("product_name"), F.lit("  ")).alias("product_name"), F.concat(F.lit("\t"), F.col("brand")).alias("brand"), F.concat(F.lit("EUR "), F.col("supplier_price").cast("string")).alias("supplier_price"), F.coalesce("stock_status", F.lit("?")).alias("stock_status"), F.col("stock_quantity").cast("string").alias("stock_quantity"), F.when(F.col("active"), "yes").otherwise("no").alias("active"))
+    out, _ = R.normalize_table(raw, {"product_name": R.text, "brand": R.text, "supplier_price": R.price, "stock_status": R.stock_status, "stock_quantity": R.as_int, "active": R.tri_bool})
+    return out

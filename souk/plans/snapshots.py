@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from souk.operators import upsert
 from souk.plans.base import PRODUCTS, products, query
 from souk.plans.base import suppliers as catalogue_suppliers
 from souk.plans.catalogue import CFG, SCORED
-from souk.session import shared_folder
+from souk.session import scratch
 from souk.sources.pages import read_table
 from souk.streaming import ingest
 
@@ -46,6 +44,31 @@ def up1_up10_upsert(spark, d):
     return merged(spark, d).drop("fingerprint")
 
 
+# every thirteenth row was archived before; it comes back unless every eleventh, which is gone
+BACK_SQL = "SELECT o_orderkey, _action2 AS _action, CASE WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 AND _action <> 'untouched' THEN true WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 THEN false ELSE true END AS active, CASE WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 AND _action = 'untouched' THEN 'Archived' ELSE 'Not Selected' END AS selection_status FROM (SELECT *, CASE WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 AND _action = 'unchanged' THEN 'updated' ELSE _action END AS _action2 FROM u)"
+
+
+@query(f"WITH {SNAPS} {BACK_SQL}")
+def up10_reactivation(spark, d):
+    """Archived rows that are seen again are active, and may be selected."""
+    gone = F.col("o_orderkey") % 13 == 0
+    old = before(spark, d).select("o_orderkey", *TRACKED, F.when(gone, "archived").otherwise(F.col("fingerprint")).alias("fingerprint"), (~gone).alias("active"), F.when(gone, "Archived").otherwise("Not Selected").alias("selection_status"))
+    back = F.when(F.col("selection_status") == "Archived", "Not Selected").otherwise(F.coalesce("selection_status", F.lit("Not Selected")))
+    out = upsert.upsert(old, after(spark, d), "o_orderkey", "fingerprint", TRACKED, touch={"active": F.lit(True), "selection_status": back})
+    return out.select("o_orderkey", "_action", "active", "selection_status")
+
+
+@query("SELECT o_orderkey, o_orderstatus, 'New' AS review_status, o_orderkey % 11 <> 0 AS touched FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END, CASE WHEN o_orderkey % 9 = 0 THEN 'Needs Rescore' ELSE 'Scored' END, o_orderkey % 11 <> 0 FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 11 <> 0 UNION ALL SELECT o_orderkey, o_orderstatus, 'Scored', false FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 11 = 0".replace("'New' AS review_status, o_orderkey % 11 <> 0 AS touched FROM orders WHERE o_orderkey % 2 = 0", "'New' AS review_status, true AS touched FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 11 <> 0)"))
+def pj7_stored_record(spark, d):
+    """Stored rows of odd orders meet all orders seen: what is set on creation, on change and on every sight."""
+    old = before(spark, d).where("o_orderkey % 2 = 1").withColumns({"review_status": F.lit("Scored"), "last_seen": F.lit("t0")})
+    new = after(spark, d).where("o_orderkey >= 0").withColumn("price", F.lit(0).cast("decimal(18,2)"))
+    old = old.withColumn("price", F.lit(0).cast("decimal(18,2)"))
+    old, new = (x.withColumn("fingerprint", upsert.fingerprint(x, TRACKED)) for x in (old, new))
+    out = upsert.store_records(old, new, "o_orderkey", "fingerprint", TRACKED, initial={"review_status": "New"}, on_change={"review_status": "Needs Rescore"}, seen={"last_seen": "t1"})
+    return out.select("o_orderkey", "o_orderstatus", "review_status", (F.col("last_seen") == "t1").alias("touched"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS r FROM lineitem) WHERE r = 1")
 def up2_dedupe_last(spark, d):
     l = read_table(spark, d, "lineitem")
@@ -115,14 +138,17 @@ def up9_reconcile(spark, d):
     return upsert.reconcile(c, seen, "c_custkey", True, F.col("c_mktsegment") != "BUILDING").select("c_custkey", "active", "selection_status")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def jn4_missing_keys(spark, d):
-    return upsert.missing_keys(read_table(spark, d, "customer"), read_table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    urgent = read_table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return upsert.missing_keys(read_table(spark, d, "customer"), urgent, "c_custkey", "o_custkey").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders")
+@query("WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') SELECT 'both' AS kind, k FROM (SELECT k FROM c INTERSECT SELECT k FROM o) UNION ALL SELECT 'first', k FROM (SELECT k FROM c EXCEPT SELECT k FROM o) UNION ALL SELECT 'any', k FROM (SELECT k FROM c UNION SELECT k FROM o)")
 def st1_key_sets(spark, d):
-    return read_table(spark, d, "customer").select("c_custkey").intersect(read_table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    c = read_table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    o = read_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))
+    return upsert.key_sets(c, o, "k")
 
 
 @query(f"WITH {SNAPS} SELECT o_orderkey FROM b EXCEPT SELECT o_orderkey FROM a")
@@ -175,6 +201,16 @@ def up15_runs(spark, d):
     return upsert.runs(_ledger(spark, d), 25).select("run_id", "status", "resumable")
 
 
+@query(f"WITH {LEDGER_SQL} SELECT run_id, status, cursor FROM l WHERE run_id = '6'")
+def up15_show_run(spark, d):
+    return upsert.show_run(_ledger(spark, d), "6").select("run_id", "status", "cursor")
+
+
+@query(f"WITH {LEDGER_SQL} SELECT run_id, status FROM l WHERE status = 'Failed' ORDER BY started_at DESC, run_id DESC LIMIT 1")
+def up15_latest_run(spark, d):
+    return upsert.latest_run(_ledger(spark, d).withColumn("kind", F.col("status")), "Failed").select("run_id", "status")
+
+
 @query(f"WITH {LEDGER_SQL} SELECT run_id, CASE WHEN run_id = '5' THEN 'Completed' ELSE status END AS status, CASE WHEN run_id = '5' THEN 'Complete' END AS completeness FROM l UNION ALL SELECT 'new', 'Running', NULL")
 def up23_open_close(spark, d):
     l = _ledger(spark, d).withColumn("started_at", F.col("started_at").cast("string"))
@@ -243,11 +279,13 @@ LAST_SQL = "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER
 
 
 def _stream(spark, d, log=None):
-    landed, root = _landed(spark, d), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    landed.withColumn("b", F.floor(F.col("page_no") / 8)).repartition("b").drop("b").write.parquet(f"{root}/landing")
-    store = f"{root}/store"
-    q = ingest.ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", landed.schema, "user_id", ["event_type", "value"], "parquet", log=f"{root}/log" if log else None, categories={"event_type": "Kind Changed", "value": "Value Changed"})
-    q.awaitTermination()
+    """Two runs of the stream: the first lands the earlier half of the pages, the second the rest; each run takes what is new."""
+    landed, root = _landed(spark, d), scratch(spark)
+    store, half = f"{root}/store", landed.agg(F.max("page_no")).first()[0] // 2
+    for n, part in enumerate((landed.where(F.col("page_no") <= half), landed.where(F.col("page_no") > half))):
+        part.write.parquet(f"{root}/landing/part={n}")
+        q = ingest.ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", landed.schema, "user_id", ["event_type", "value"], "parquet", files_per_batch=100_000, log=f"{root}/log" if log else None, categories={"event_type": "Kind Changed", "value": "Value Changed"})
+        q.awaitTermination()
     if log:
         return spark.read.parquet(f"{root}/log")
     return ingest.read_store(spark, store, ingest.stored_schema(landed.schema))
@@ -258,8 +296,10 @@ def ss1_ingest_stream(spark, d):
     return _stream(spark, d).select("user_id", "event_type", "value")
 
 
-@query("SELECT user_id, 'New Product' AS change_type FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT *, event_id // 500 AS page FROM events), h AS (SELECT max(page) // 2 AS half FROM e),
+a AS (SELECT user_id, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM e, h WHERE page <= half GROUP BY 1),
+b AS (SELECT user_id, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM e, h WHERE page > half GROUP BY 1)
+SELECT user_id, 'New Product' AS change_type, '' AS fields FROM events GROUP BY 1
+UNION ALL SELECT user_id, CASE WHEN a.t <> b.t AND a.v <> b.v THEN 'Multiple' WHEN a.t <> b.t THEN 'Kind Changed' ELSE 'Value Changed' END, CASE WHEN a.t <> b.t AND a.v <> b.v THEN 'event_type,value' WHEN a.t <> b.t THEN 'event_type' ELSE 'value' END FROM a JOIN b USING (user_id) WHERE a.t <> b.t OR a.v <> b.v""")
 def ss2_change_stream(spark, d):
-    return _stream(spark, d, log=True).where("change_type = 'New Product'").select("user_id", "change_type")
-
-
+    return _stream(spark, d, log=True).select("user_id", "change_type", F.array_join("changed_fields", ",").alias("fields"))

@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.plans.base import query
+from souk.session import scratch
 from souk.sources import export, pages
 from souk.sources.pages import read_table
 
 
-@query("SELECT n_nationkey, pos, r_name FROM (SELECT n_nationkey, n_regionkey FROM nation) JOIN (SELECT r_regionkey, r_name, (row_number() OVER (ORDER BY r_regionkey) - 1)::INT AS pos FROM region) ON true")
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INT AS pos, l_partkey::VARCHAR AS part, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem")
 def sc2_explode_response(spark, d):
-    n, r = read_table(spark, d, "nation"), read_table(spark, d, "region")
-    body = r.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: F.struct(x["r_name"].alias("NAME"))).alias("result"))).alias("raw"))
-    out = pages.explode_response(n.crossJoin(body).select("n_nationkey", "raw"), "raw", "result")
-    return out.select("n_nationkey", "pos", F.get_json_object("product", "$.NAME").alias("r_name"))
+    """An order's lines as one JSON response each."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["l_partkey"].alias("ID")))
+    body = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(lines.alias("result"), F.count("*").alias("total"))).alias("raw"))
+    out = pages.explode_response(body, "raw", "result", "total")
+    return out.select("l_orderkey", "pos", F.get_json_object("product", "$.ID").alias("part"), "total")
+
+
+@query("SELECT o_orderkey, (o_orderkey // 1000 + 1)::INT AS page_no, o_orderpriority AS name FROM orders WHERE o_orderkey >= 0")
+def sc1_read_pages(spark, d):
+    """Orders landed as page files, a JSON list each, and read back."""
+    o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.floor(F.col("o_orderkey") / 1000).alias("p"))
+    where, each = scratch(spark), T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    files = o.groupBy("p").agg(F.to_json(F.collect_list(F.struct("id", "name"))).alias("value"))
+    files.select("value", "p").repartition("p").write.partitionBy("p").text(where)
+    got = pages.read_pages(spark, f"{where}/*", each)
+    return got.select(F.col("id").alias("o_orderkey"), (F.regexp_extract("file", "p=([0-9]+)", 1).cast("int") + F.col("page_no")).cast("int").alias("page_no"), "name")
+
+
+@query("SELECT 'b' || s_suppkey AS \"Batch ID\", count(*)::VARCHAR AS \"Total\", 'now' AS \"Exported At\" FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+def sc13_export_batches(spark, d):
+    b = read_table(spark, d, "lineitem").groupBy(F.concat(F.lit("b"), F.col("l_suppkey").cast("string")).alias("Batch ID")).agg(F.count("*").alias("Total"))
+    return export.export_batches(b, ["Batch ID", "Total"], "now")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS r FROM lineitem) WHERE r <= 5")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, where: str) -> None:
+    """Delete a folder, wherever it is; what is gone or out of reach is left."""
+    with contextlib.suppress(Exception):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when Python ends."""
+    where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    atexit.register(remove, spark, where)
+    return where
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that all machines share: computed once, and what reads it is planned apart from what made it."""
+    where = scratch(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -16,6 +16,11 @@ def export_frame(df: DataFrame, columns: list[str], now: str) -> DataFrame:
     return df.select(*[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns], F.lit(now).alias("Exported At"))
 
 
+def export_batches(batches: DataFrame, columns: list[str], now: str) -> DataFrame:
+    """Selection batches as :func:`export_frame` has them, one row per batch."""
+    return export_frame(batches, columns, now)
+
+
 def export_csv(df: DataFrame, columns: list[str], path: str, now: str) -> None:
     export_frame(df, columns, now).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 

@@ -1,10 +1,13 @@
 """Continuous ingest of landed pages, and the change log as a stream.
 
-Each micro-batch is upserted into a versioned snapshot: ``store/v<batch>`` is
-written whole and a batch that runs again writes the same version from the same
-one before it, so replays change nothing. Rows carry (page_no, pos); of a key's
-rows in a batch the last wins, and rows not above the stored sequence are
-dropped, so a late page changes nothing and no watermark is needed.
+The store is cut into buckets by a hash of the key. A micro-batch is upserted into
+the buckets that its keys fall in, and only these are written, as version
+``store/v<batch>/bucket=<k>``; a bucket's newest version is the stored one. A batch
+that runs again writes the same version from the same ones before it, so replays
+change nothing; versions that no replay can read any more are removed. Rows carry
+(page_no, pos); of a key's rows in a batch the last wins, and rows not above the
+stored sequence are dropped, so a late page changes nothing and no watermark is
+needed.
 """
 
 from __future__ import annotations
@@ -14,24 +17,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.operators import upsert
+from souk.session import remove
 
 
 def _sequence() -> F.Column:
     return F.col("page_no") * 1_000_000 + F.col("pos")
 
 
-def _latest(spark: SparkSession, store: str, before: int, schema: T.StructType) -> DataFrame:
-    """The newest version below a batch number."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = []
-    if fs.exists(path):
-        for s in fs.listStatus(path):
-            name = s.getPath().getName()
-            if name.startswith("v") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/_SUCCESS")):
-                done.append(int(name[1:]))
-    old = [v for v in done if v < before]
-    return spark.read.schema(schema).parquet(f"{store}/v{max(old)}") if old else spark.createDataFrame([], schema)
+BUCKETS = 64
+
+
+def bucket_of(key: str) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _versions(spark: SparkSession, store: str) -> dict[int, list[int]]:
+    """Bucket -> batch numbers of its finished versions."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = new(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for s in fs.listStatus(new(store)) if fs.exists(new(store)) else []:
+        name = s.getPath().getName()
+        if name.startswith("v") and fs.exists(new(f"{store}/{name}/_SUCCESS")):
+            for b in fs.listStatus(s.getPath()):
+                if b.getPath().getName().startswith("bucket="):
+                    found.setdefault(int(b.getPath().getName()[7:]), []).append(int(name[1:]))
+    return found
+
+
+def _latest(spark: SparkSession, store: str, before: int, schema: T.StructType, buckets: set[int] | None = None) -> DataFrame:
+    """The newest versions below a batch number, of some buckets or all."""
+    at = {b: max((v for v in vs if v < before), default=None) for b, vs in _versions(spark, store).items() if buckets is None or b in buckets}
+    paths = [f"{store}/v{v}/bucket={b}" for b, v in sorted(at.items()) if v is not None]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_store(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
@@ -56,12 +74,18 @@ def ingest_stream(spark: SparkSession, landing: str, store: str, checkpoint: str
     kind = stored_schema(schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        before = _latest(spark, store, number, kind)
-        after = merge(before, batch, key, tracked)
-        after.drop("_action").select(kind.fieldNames()).write.mode("overwrite").parquet(f"{store}/v{number}")
+        touched = {r[0] for r in batch.select(bucket_of(key)).distinct().collect()}  # BUCKETS at most
+        if not touched:
+            return
+        before = _latest(spark, store, number, kind, touched)
+        after = merge(before, batch, key, tracked).drop("_action").select(kind.fieldNames())
+        after.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{number}")
         if log:
-            now = spark.read.schema(kind).parquet(f"{store}/v{number}")
+            now = _latest(spark, store, number + 1, kind, touched)
             change_log(before, now, key, categories or {c: "Changed" for c in tracked}).write.mode("overwrite").parquet(f"{log}/b={number}")
+        for b, vs in _versions(spark, store).items():
+            for v in sorted(v for v in vs if v < number)[:-1] if b in touched else []:
+                remove(spark, f"{store}/v{v}/bucket={b}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(landing)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
