@@ -184,11 +184,11 @@ def running(df: DataFrame, order: str, columns: dict, span: int = 4096) -> DataF
     df = df.withColumn("_span", F.floor(F.col(order) / span))
     whole = df.groupBy("_span").agg(*[f(c).alias(n) for n, (f, c) in columns.items()])
     earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row per span
-    whole = whole.select(F.col("_span").alias("_s"), *[f(n).over(earlier).alias("_" + n) for n, (f, _) in columns.items()])
+    whole = whole.select(F.col("_span").alias("_of"), *[f(n).over(earlier).alias("_before_" + n) for n, (f, _) in columns.items()])
     within = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.select("*", *[f(c).over(within).alias(n) for n, (f, c) in columns.items()]).join(whole, F.col("_span") == F.col("_s"))
+    out = df.select("*", *[f(c).over(within).alias(n) for n, (f, c) in columns.items()]).join(whole, F.col("_span") == F.col("_of"))
     join = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest}
-    return out.select(*[c for c in df.columns if c != "_span"], *[join[f](F.col(n), F.col("_" + n)).alias(n) for n, (f, _) in columns.items()])
+    return out.select(*[c for c in df.columns if c != "_span"], *[join[f](F.col(n), F.col("_before_" + n)).alias(n) for n, (f, _) in columns.items()])
 
 
 def completeness_status(status: Column, verified: Column, stopped: Column) -> Column:

@@ -24,7 +24,15 @@ def one(spark, rule, values):
 
 def test_literal_rules(spark):
     assert one(spark, R.price, ["4,50", "1.250,75", "1,250.75", "1,250", "1.250", "€ 9.9", "-", None, "1,250,000", "x"]) == [4.5, 1250.75, 1250.75, 1250.0, 1.25, 9.9, None, None, None, None]
-    assert one(spark, R.url, ["HTTPS://Shop.Example.com/A/?utm_source=x&b=2&a=1#top", "shop.com/x/", "", None]) == ["https://shop.example.com/A?a=1&b=2", "https://shop.com/x", None, None]
+    links = {
+        "HTTPS://Shop.Example.com/A/?utm_source=x&b=2&a=1#top": "https://shop.example.com/A?a=1&b=2",
+        "https://Example.com/Product/123/?utm_source=x&gclid=y&color=red": "https://example.com/Product/123?color=red",
+        "https://shop.com/": "https://shop.com/", "https://shop.com": "https://shop.com", "shop.com/x/": "shop.com/x", "/": None, "": None, " ": None,
+        "https://e.com/p?q=a%20b&r=%7E": "https://e.com/p?q=a+b&r=~", "https://e.com/p?x=%zz&e=&n&=v": "https://e.com/p?=v&x=%25zz", "https://e.com/p?b=%C3%BC&b=1&s=*": "https://e.com/p?b=1&b=%C3%BC&s=%2A",
+        "//CDN.com/a//": "https://cdn.com/a", "mailto:a@B.c": "mailto:a@B.c", "https://e.com/p#section": "https://e.com/p", "https://e.com/p?RefeRRer=1": "https://e.com/p",
+    }
+    assert one(spark, R.url, [*links, None]) == [*links.values(), None]
+    assert one(spark, R.slug, ["ﬁne ½ ™ É", "Ⅷ"]) == ["fine-12-tm-e", "viii"]
     assert one(spark, R.country, ["usa", "Deutschland", "new zealand", "FRANCE", "u.s.", " ", None]) == ["United States", "Germany", "New Zealand", "FRANCE", "U.s.", None, None]
     assert one(spark, R.country_list, ["usa; USA|italia", None]) == [["United States", "Italy"], []]
     assert one(spark, R.tri_bool, ["Yes", "0", "perhaps", None]) == [True, False, None, None]
@@ -141,6 +149,61 @@ def test_pruned_distributed_greedy_is_the_plain_greedy(spark):
     assert not filled & set(keys) and len(filled) <= 2
 
 
+def arrivals(rows, total=4, cap=2):
+    """One of each preferred collection, then the best by score with a bonus for collections not yet met."""
+    picks, pool = [], sorted(rows, key=lambda r: (-r["product_score"], r["product_key"]))
+    count = lambda f, v: sum(p[f] == v for p in picks)
+
+    def free(r):
+        return r not in picks and count("collection", r["collection"]) < total and count("supplier_key", r["supplier_key"]) < cap and count("concept", r["concept"]) < 2 and not (r["line"] and r["line"] in {p["line"] for p in picks})
+
+    def score(r):
+        prices = [p["price"] for p in picks if p["price"] is not None]
+        mean = sum(prices) / len(prices) if prices else 0
+        spread = min(3.0, 3.0 * abs(r["price"] - mean) / max(1.0, mean)) if prices and r["price"] is not None else 0
+        return r["product_score"] + 6 * (not count("collection", r["collection"])) - 4 * count("supplier_key", r["supplier_key"]) + spread + 4 * r["content_potential"] - 8 * count("concept", r["concept"])
+
+    for name in (C.KITCHEN, C.COMFORT, C.CATCH_ALL):
+        best = next((r for r in pool if r["collection"] == name and free(r)), None)
+        picks += [best] if best and len(picks) < total else []
+    while len(picks) < total and any(map(free, pool)):
+        picks.append(max((r for r in pool if free(r)), key=lambda r: round(score(r), 9)))
+    return [r["product_key"] for r in picks]
+
+
+@pytest.mark.parametrize("suppliers, names", [(5, (C.KITCHEN, C.COMFORT, C.CATCH_ALL, C.DINING)), (1, (C.KITCHEN, C.COMFORT)), (6, (C.KITCHEN,))])
+def test_new_arrivals_are_those_of_the_loop(spark, suppliers, names):
+    rng = random.Random(suppliers)
+    rows = [(f"p{i:03d}", f"s{rng.randrange(suppliers)}", rng.choice(names), f"thing{rng.randrange(9)} a{i}", float(rng.randint(50, 99)), rng.choice([None, 9.0, 20.0, 35.0]), rng.choice([0.4, 0.7])) for i in range(40)]
+    df = spark.createDataFrame(rows, "product_key string, supplier_key string, collection string, name string, product_score double, price double, content_potential double")
+    got = [r.product_key for r in selection.select_new_arrivals(df, C.Selection()).orderBy("pick").collect()]
+    assert got == arrivals([r.asDict() for r in selection.marked(df).collect()]) and (suppliers > 1 or len(got) == 2)
+
+
+def test_funnel_ends_in_the_greedy_assortment(spark, sf):
+    from souk.plans import insights
+
+    pool, stages = insights._funnel(spark, sf)
+    rows, sel = [r.asDict() for r in selection.marked(pool).collect()], C.Selection()
+    assert [r.product_key for r in insights.ps6_funnel(spark, sf).orderBy("pick").collect()] == [r["product_key"] for r in greedy(rows, sel)]
+    assert stages["enriched"].count() <= 120 and stages["scanned"].count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_stems_stand_wherever_a_pattern_matches(spark):
+    said = ["an electric blanket, wired", "a led", "ledger", "food-grade and foodgrade", "pokémon pokemon", "hello kitty", "anti bacterial", "spider-man", "super  mario", "supermario", "size chart: fits", "PAW", "paw patrol", "nothing", "é220v 220v"]
+    want = [[f for f, p in C.RISKS if re.search(p, s)] for s in said]
+    assert one(spark, scoring.risk_flags, said) == want
+
+
+def test_running_values_across_spans(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 5), rng.choice([None, rng.randint(0, 99)])) for i in rng.sample(range(500), 120)]
+    got = upsert.running(spark.createDataFrame(rows, "o long, a long, b long"), "o", {"s": (F.sum, F.col("a")), "m": (F.max, F.col("b"))}, span=16).collect()
+    for r in got:
+        before = [x for x in rows if x[0] <= r.o]
+        assert r.s == sum(x[1] for x in before) and r.m == max((x[2] for x in before if x[2] is not None), default=None)
+
+
 def test_upsert_twice_is_upsert_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").withColumn("fp", F.sha2("v", 256))
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string").withColumn("fp", F.sha2("v", 256))
