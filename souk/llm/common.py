@@ -28,6 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_opened: list[str] = []
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Remove the workspaces opened after the first ``since``; for when what was made from them is written."""
+    for root in _opened[since:]:
+        _remove(spark, root)
+    del _opened[since:]
+
+
+def opened() -> int:
+    return len(_opened)
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    with contextlib.suppress(Exception):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Tables written below :func:`shared_dir` to cut lineage; lost executors cost no recomputation of them.
 
@@ -39,6 +59,7 @@ class Workspace:
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self._n = 0
+        _opened.append(self.root)
         atexit.register(self._remove, self.root)
 
     def path(self, name: str) -> str:
@@ -58,10 +79,7 @@ class Workspace:
             self._remove(df._souk_path)
 
     def _remove(self, where: str) -> None:
-        with contextlib.suppress(Exception):
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, where)
 
 
 def small_batches(spark: SparkSession) -> None:
