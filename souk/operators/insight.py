@@ -48,14 +48,17 @@ def gallery(products: DataFrame, suppliers: DataFrame | None = None, equal: dict
     return df.orderBy(*order, "product_key").limit(limit), df.agg(F.count("*").alias("total")).withColumn("truncated", F.col("total") > limit)
 
 
-def register_views(df: DataFrame, views: dict[str, list[tuple[str, str, object]]]) -> None:
-    """A temp view per name; filters: (column, equals | is_true | empty | not_empty, value)."""
-    for name, filters in views.items():
-        out = df
-        for c, kind, v in filters:
-            blank = F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-            out = out.where({"equals": F.col(c) == v, "is_true": F.col(c), "empty": blank, "not_empty": ~blank}[kind])
-        out.createOrReplaceTempView(name)
+def view_filter(column: str, kind: str, value: object = None) -> Column:
+    """equals | is_true | is_false | empty | not_empty; lists are empty without an element."""
+    c = F.col(column)
+    blank = F.coalesce(c.cast("string"), F.lit("")).isin("", "[]")
+    return {"equals": c == value, "is_true": c, "is_false": ~c, "empty": blank, "not_empty": ~blank}[kind]
+
+
+def register_views(df: DataFrame, views: dict[str, tuple]) -> None:
+    """A temp view per name; a filter is (column, kind, value)."""
+    for name, (column, kind, value) in views.items():
+        df.where(view_filter(column, kind, value)).createOrReplaceTempView(name)
 
 
 def validate_table(df: DataFrame, table: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from souk.functions import config as C
-from souk.operators import funnel, insight, pricing, publish
+from souk.functions.views import VIEWS
+from souk.operators import funnel, insight, pricing, publish, scoring
 from souk.operators.selection import select_assortment
 from souk.plans.base import OFFERS, PRODUCTS, SUPPLIERS, margin_sql, offers, products, query, suppliers
-from souk.plans.catalogue import CFG, JOB, job
+from souk.plans.catalogue import CFG, JOB, SCORED, job
 from souk.session import written
 from souk.sources.pages import read_table
 
@@ -61,13 +62,28 @@ def fl4_price_band(spark, d):
     return price_band(read_table(spark, d, "part"), "p_retailprice", 910, 950).select("p_partkey", "p_retailprice")
 
 
-@query(f"WITH {JOB} SELECT 'shortlisted' AS view_name, product_key FROM classed WHERE status = 'Shortlisted' UNION ALL SELECT 'new', product_key FROM classed WHERE is_new UNION ALL SELECT 'no_image', product_key FROM classed WHERE coalesce(main_image_url, '') = '' UNION ALL SELECT 'described', product_key FROM classed WHERE coalesce(description, '') <> ''")
+VIEW_SQL = {"equals": "{c} = '{v}'", "is_true": "{c}", "is_false": "NOT {c}", "empty": "coalesce({c}::VARCHAR, '') IN ('', '[]')", "not_empty": "coalesce({c}::VARCHAR, '') NOT IN ('', '[]')"}
+VIEW_TABLES = f"""s AS (WITH {SCORED} SELECT supplier_key AS k, eligibility, shipping_max_days, manual_override, active FROM scored),
+p AS (WITH {JOB} SELECT product_key AS k, active, is_new, NOT blocked AS supplier_eligible, status AS review_status, CASE WHEN substr(product_key, 5)::BIGINT % 10 = 0 THEN 'Initial Candidate' WHEN substr(product_key, 5)::BIGINT % 10 = 1 THEN 'New Arrivals Candidate' WHEN substr(product_key, 5)::BIGINT % 10 = 2 THEN 'Published' ELSE selection_status END AS selection_status, margin_status, flags AS risk_flags, CASE WHEN substr(product_key, 5)::BIGINT % 10 = 3 THEN 'Needs Attention' END AS prep_status FROM classed),
+r AS (SELECT o_orderkey::VARCHAR AS k, CASE o_orderstatus WHEN 'O' THEN 'Running' WHEN 'F' THEN 'Completed' ELSE 'Failed' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'Unverified' END AS completeness FROM orders)"""
+
+
+@query(f"WITH {VIEW_TABLES} " + " UNION ALL ".join(f"SELECT '{name}' AS view_name, k FROM {table[0]} WHERE " + VIEW_SQL[kind].format(c=c, v=v) for table, views in VIEWS.items() for name, (c, kind, v) in views.items()))
 def fl6_views(spark, d):
-    insight.register_views(job(spark, d), {"shortlisted": [("review_status", "equals", "Shortlisted")], "new": [("is_new", "is_true", None)], "no_image": [("main_image_url", "empty", None)], "described": [("description", "not_empty", None)]})
+    """All 23 views, registered and read."""
+    n = F.substring("product_key", 5, 20).cast("long") % 10
+    j = job(spark, d)
+    chosen = F.when(n == 0, "Initial Candidate").when(n == 1, "New Arrivals Candidate").when(n == 2, "Published").otherwise(F.col("selection_status"))
+    p = j.select("active", "is_new", "review_status", "margin_status", "risk_flags", F.col("product_key").alias("k"), (~scoring.blocks_products(F.col("supplier_eligibility"))).alias("supplier_eligible"), chosen.alias("selection_status"), F.when(n == 3, "Needs Attention").alias("prep_status"))
+    s = scoring.score_suppliers(suppliers(spark, d), CFG).withColumn("k", F.col("supplier_key"))
+    status = F.when(F.col("o_orderstatus") == "O", "Running").when(F.col("o_orderstatus") == "F", "Completed").otherwise("Failed")
+    r = read_table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), status.alias("status"), F.when(F.col("o_orderkey") % 3 == 0, "Unverified").alias("completeness"))
     out = None
-    for v in ("shortlisted", "new", "no_image", "described"):
-        one = spark.table(v).select(F.lit(v).alias("view_name"), "product_key")
-        out = one if out is None else out.unionByName(one)
+    for table, df in (("suppliers", written(s)), ("products", written(p)), ("runs", r)):
+        insight.register_views(df, {name.replace(" ", "_"): f for name, f in VIEWS[table].items()})
+        for name in VIEWS[table]:
+            one = spark.table(name.replace(" ", "_")).select(F.lit(name).alias("view_name"), "k")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
