@@ -29,7 +29,7 @@ in the same document. Windows are judged on the input.
 Skew: every grouping is a count or a minimum that combines before the shuffle,
 and every way back to the rows is a plain join of
 written tables, which Spark splits where a key is hot. Nothing but row counts reaches
-the driver. Texts travel compressed.
+the driver. No task runs two Python functions.
 
 Edge cases: a null text has no words; a document without words keeps the digest
 of the empty string; rows that repeat an id are told apart by their text, and
@@ -43,7 +43,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,18 +209,13 @@ def _anchor_rows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     return docs.select("doc_id", _row_key().alias("k"), F.explode(found).alias("e")).select("e.a", "e.c", "doc_id", "k", "e.s", "e.n")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, row key, and the text compressed, which then travels at under half its size."""
-
-    def each(texts):
-        z = zstandard.ZstdCompressor(level=1)
-        return pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
-
-    return docs.select("doc_id", _row_key().alias("k"), by_text(each, "binary")("text").alias("z"))
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, row key and text."""
+    return docs.select("doc_id", _row_key().alias("k"), "text")
 
 
-def _with_text(packed: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return packed.join(marks, (packed["k"] == marks["mk"]) & packed["doc_id"].eqNullSafe(marks["md"]), how)
+def _with_text(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    return texts.join(marks, (texts["k"] == marks["mk"]) & texts["doc_id"].eqNullSafe(marks["md"]), how)
 
 
 def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace | None = None) -> DataFrame:
@@ -243,10 +237,10 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
     asked = firsts.groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("a", "s", "n")).alias("asks"))
     asked = asked.select("md", "mk", F.col("asks.a").alias("aa"), F.col("asks.s").alias("ss"), F.col("asks.n").cast("array<int>").alias("nn"))
 
-    def compare(z, aa, ss, nn):
-        unzip, ends, out = zstandard.ZstdDecompressor(), [0], []
-        for body, names, starts, sizes in zip(z.to_pylist(), aa.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
-            word = symbols(unzip.decompress(body).split())
+    def compare(text, aa, ss, nn):
+        ends, out = [0], []
+        for t, names, starts, sizes in zip(text.to_pylist(), aa.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
+            word = symbols(words(t))
             up, down = _powers(len(word) + 1)
             sums = _sums(word, up)
             n = np.asarray(sizes, dtype=np.int64)
@@ -257,8 +251,8 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
         a, w, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=k) for k in (np.int64, np.int64, np.int32))
         return listed(ends, a=pa.array(a), w=pa.array(w), s=pa.array(s))
 
-    found = by_columns(compare, "array<struct<a:bigint,w:bigint,s:int>>")("z", "aa", "ss", "nn")
-    met = _with_text(_packed(docs), asked, "inner").select("doc_id", "k", "z", "aa", "ss", "nn").dropDuplicates(["doc_id", "k"])
+    found = by_columns(compare, "array<struct<a:bigint,w:bigint,s:int>>")("text", "aa", "ss", "nn")
+    met = _with_text(_texts(docs), asked, "inner").select("doc_id", "k", "text", "aa", "ss", "nn").dropDuplicates(["doc_id", "k"])
     single = ws.cut(met.select("doc_id", "k", F.explode(found).alias("e")).select("e.a", "e.w", "doc_id", "k", "e.s"), "windows")
     least = single.groupBy("a", "w").agg(F.min(place).alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("ha"), F.col("w").alias("hw"), "head")
     least = ws.cut(least, "least")
@@ -288,10 +282,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
     marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
 
-    def finish(z, ss, nn):
-        unzip, out = zstandard.ZstdDecompressor(), []
-        for body, starts, sizes in zip(z.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
-            raw = unzip.decompress(body)
+    def finish(text, ss, nn):
+        out = []
+        for t, starts, sizes in zip(text.to_pylist(), ss.to_pylist(), nn.to_pylist(), strict=True):
+            raw = (t or "").encode("utf-8", "surrogatepass")
             w = raw.split()
             gone = cover(len(w), starts, sizes, window)
             if output == "digest":
@@ -302,8 +296,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n, gone, kept = zip(*out, strict=True) if out else ((),) * 3
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
 
-    done = by_columns(finish, "struct<n_words:bigint,n_removed:bigint,kept:string>")("z", "ss", "nn")
-    kept = _with_text(_packed(only), marks, "left").select("doc_id", done.alias("m")).select("doc_id", "m.*")
+    done = by_columns(finish, "struct<n_words:bigint,n_removed:bigint,kept:string>")("text", "ss", "nn")
+    kept = _with_text(_texts(only), marks, "left").select("doc_id", done.alias("m")).select("doc_id", "m.*")
     return kept.withColumnRenamed("kept", "kept_sha256" if output == "digest" else "kept_text")
 
 
