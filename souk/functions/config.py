@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# The numbers of gates, margins and selection.
+
+
 @dataclass(frozen=True)
 class SupplierGates:
     max_shipping_days: int = 15

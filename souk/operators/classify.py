@@ -16,9 +16,9 @@ def category_hint(c: Column) -> Column:
     return out
 
 
-def keyword_hits(low: Column) -> dict[str, Column]:
-    """Per collection, how many of its keywords a text in lower case holds."""
-    return {name: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for name, words in C.KEYWORDS.items()}
+def keyword_hits(low: str) -> dict[str, Column]:
+    """Per collection, how many of its keywords a column of lower-case texts holds."""
+    return {name: F.expr(" + ".join(f'CAST(contains({low}, "{w}") AS INT)' for w in words)) for name, words in C.KEYWORDS.items()}
 
 
 def classify(df: DataFrame, cfg: C.Config, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def classify(df: DataFrame, cfg: C.Config, mapping: dict[str, str] | None = None
     for k, v in (mapping or {}).items():
         fixed = F.when(F.col("subcategory") == k, v).otherwise(fixed)
     df = df.withColumn("_low", F.lower(F.concat_ws(" ", blank("product_name"), blank("subcategory"), blank("description"))))
-    hits = keyword_hits(F.col("_low"))
+    hits = keyword_hits("_low")
     names = {n: f"_h{i}" for i, n in enumerate(hits)}
     out = df.withColumns({"_fixed": fixed, "_hint": category_hint(F.concat_ws(" ", blank("category"), blank("subcategory"))), **{names[n]: h for n, h in hits.items()}})
     best = F.greatest(*[F.col(v) for v in names.values()])

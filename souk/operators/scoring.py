@@ -123,16 +123,10 @@ def stems(pattern: str) -> list[str]:
     return sorted({max(re.split(r"\[[^\]]*\]\??|\\s\??|.\?", part), key=len) for part in inner.split("|")})
 
 
-def risk_flags(low: Column) -> Column:
-    """Flags of a text in lower case. A pattern is only tried where one of its stems stands."""
-
-    def holds(p: str) -> Column:
-        some = F.lit(False)
-        for w in stems(p):
-            some = some | F.contains(low, F.lit(w))
-        return some & low.rlike("(?U)" + p)
-
-    return F.array_compact(F.array(*[F.when(holds(p), F.lit(flag)) for flag, p in C.RISKS]))
+def risk_flags(low: str) -> Column:
+    """Flags of a column of lower-case texts. A pattern is only tried where one of its stems stands."""
+    some = {p: F.expr(" OR ".join(f'contains({low}, "{w}")' for w in stems(p))) for _, p in C.RISKS}
+    return F.array_compact(F.array(*[F.when(some[p] & F.col(low).rlike("(?U)" + p), F.lit(flag)) for flag, p in C.RISKS]))
 
 
 def risk_reasons(flags: Column) -> Column:
@@ -187,7 +181,7 @@ def score_products(products: DataFrame, suppliers: DataFrame, rates: DataFrame |
     if rates is not None:
         df = pricing.to_currency(df, ["supplier_price", "shipping_cost", "suggested_retail_price"], rates)
     df = df.withColumns({"_gate": product_gates(cfg, ~blocks_products(F.col("supplier_eligibility"))), "_said": says("product_name", "description")})
-    df = df.withColumn("risk_flags", risk_flags(F.col("_said"))).drop("_said")
+    df = df.withColumn("risk_flags", risk_flags("_said")).drop("_said")
     df = pricing.margin(df, cfg.margin)
     passed = F.size("_gate") == 0
     df = df.withColumn("product_score", F.when(passed, weighted_score(product_criteria(cfg, F.col("market_coverage") if "market_coverage" in df.columns else None), s.weights)).otherwise(F.lit(0).cast("decimal(5,1)")))

@@ -74,7 +74,8 @@ def products(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     images = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 4), lambda i: F.concat(F.lit("https://img/"), k.cast("string"), F.lit("-"), i.cast("string")))
     noun = F.element_at(F.array(*map(F.lit, KITCHENWARE)), (k % len(KITCHENWARE) + 1).cast("int"))
-    return p.join(offers, k == F.col("l_partkey"), "left").select(
+    # both sides by part: offers are grouped that way, and rules on texts are worth many tasks even where bytes are few
+    return p.join(offers.hint("shuffle_hash"), k == F.col("l_partkey"), "left").select(
         F.concat(F.lit("pid:"), k.cast("string")).alias("product_key"),
         F.concat(F.lit("sid:"), F.col("s").cast("string")).alias("supplier_key"),
         F.concat_ws(" ", "p_name", noun).alias("product_name"),

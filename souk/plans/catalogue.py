@@ -231,7 +231,7 @@ WIDE_RISKS = " || ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(92) + 'b(
 @query("WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), f AS (SELECT doc_id, " + WIDE_RISKS + " AS flags FROM t) SELECT doc_id, array_to_string(flags, ',') AS flags, array_to_string(CASE WHEN list_has_any(flags, ['HEATING', 'ELECTRICAL', 'BATTERY', 'FOOD_CONTACT', 'MEDICAL', 'TRADEMARK']) THEN ['HIGH_COMPLIANCE_RISK'] ELSE [] END || CASE WHEN list_has_any(flags, ['FRAGILE_GLASS', 'COMPLEX_SIZING']) THEN ['HIGH_REFUND_RISK'] ELSE [] END, ',') AS reasons FROM f")
 def pg3_pg4_risks(spark, d):
     low = read_table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    out = low.select("doc_id", scoring.risk_flags(F.col("low")).alias("f"))
+    out = low.select("doc_id", scoring.risk_flags("low").alias("f"))
     return out.select("doc_id", F.array_join("f", ",").alias("flags"), F.array_join(scoring.risk_reasons(F.col("f")), ",").alias("reasons"))
 
 

@@ -192,7 +192,7 @@ def test_funnel_ends_in_the_greedy_assortment(spark, sf):
 def test_stems_stand_wherever_a_pattern_matches(spark):
     said = ["an electric blanket, wired", "a led", "ledger", "food-grade and foodgrade", "pokémon pokemon", "hello kitty", "anti bacterial", "spider-man", "super  mario", "supermario", "size chart: fits", "PAW", "paw patrol", "nothing", "é220v 220v"]
     want = [[f for f, p in C.RISKS if re.search(p, s)] for s in said]
-    assert one(spark, scoring.risk_flags, said) == want
+    assert one(spark, lambda _: scoring.risk_flags("v"), said) == want
 
 
 def test_running_values_across_spans(spark):
