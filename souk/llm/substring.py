@@ -343,7 +343,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     laid = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), only_key(docs, id_col, text_col).alias("k"), docs[id_col].cast("long").alias("d"))
     met = laid.join(marks, (F.col("k") == F.col("mk")) & F.col("d").eqNullSafe(F.col("md")), "left")
     text = F.col("doc").getField(text_col)
-    new = by_columns(finish, "struct<text:string,keep:boolean>")(text, "ss", "nn")
+    # said to be nondeterministic, as the filter on ``keep`` would otherwise be pushed below and call it twice
+    new = by_columns(finish, "struct<text:string,keep:boolean>").asNondeterministic()(text, "ss", "nn")
     columns = lambda t: [t.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns]
     whole = met.where("ss is not null").select("doc", new.alias("new")).where("new.keep").select(*columns(F.col("new.text")))
     return met.where("ss is null").select("doc.*").unionByName(whole)
