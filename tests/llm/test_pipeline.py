@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 
@@ -57,3 +58,14 @@ def test_stages_on_odd_tables(spark, sf, tmp_path):
         got = now.collect()
         assert not table.count() or {(1 << 53) + 1, None} <= {r.doc_id for r in got}
         check(got, 4096)
+
+
+def test_run_gives_the_last_stage_and_leaves_one_table(spark, sf):
+    from souk.llm import common
+
+    mark = common.opened()
+    rows = corpus_pipeline.run(spark, sf).collect()
+    check(rows, 4096)
+    assert len(rows) > 100 and common.opened() == mark + 1
+    root = common._opened[-1].removeprefix("file://")
+    assert [p for p in os.listdir(root) if "." not in p] == ["005-best-fit-packing"]
