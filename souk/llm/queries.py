@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from souk.llm import langid, merkle, mixing, packing, sharding, simhash, substring, toxicity, vptree, warc
+from souk.llm import align, counts, langid, merkle, mixing, packing, repair, sharding, simhash, substring, toxicity, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest, "op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "pipeline": corpus_pipeline.run}
+    return {"op2_simhash": op2_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op10_substring_dedup": op10_substring_dedup, "op8_merkle": op8_merkle, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op3_warc": op3_warc, "op6_nearest": op6_nearest, "op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op11_token_counts": op11_token_counts, "op12_token_alignment": op12_token_alignment, "op13_conversation_repair": op13_conversation_repair, "pipeline": corpus_pipeline.run}
 
 
 SHARD_BYTES = 1 << 20
