@@ -30,14 +30,14 @@ def index(df: DataFrame, key: str, mark: str) -> DataFrame:
     return df.select(key, mark)
 
 
-def upsert(target: DataFrame, incoming: DataFrame, key: str, mark: str, values: list[str], create: dict[str, Column] | None = None, changed: dict[str, Column] | None = None, touch: dict[str, Column] | None = None) -> DataFrame:
+def upsert(target: DataFrame, incoming: DataFrame, key: str, mark: str, values: list[str], create: dict[str, Column] | None = None, changed: dict[str, Column] | None = None, touch: dict[str, Column] | None = None, seen: list[str] | tuple = ()) -> DataFrame:
     """New snapshot with ``_action`` (created, updated, unchanged, untouched).
 
-    ``values`` and ``mark`` come from incoming where the fingerprint differs;
-    ``create`` sets columns of new rows, ``changed`` of updated ones, ``touch``
-    of every row seen. Keys of incoming are unique (:func:`dedupe_last`).
+    ``values`` and ``mark`` come from incoming where the fingerprint differs, ``seen``
+    columns for every row seen; ``create`` sets columns of new rows, ``changed`` of
+    updated ones, ``touch`` of every row seen. Keys of incoming are unique (:func:`dedupe_last`).
     """
-    new = incoming.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in [mark, *values]], F.lit(True).alias("_in"))
+    new = incoming.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in [mark, *values, *seen]], F.lit(True).alias("_in"))
     old = target.withColumn("_had", F.lit(True))
     met = old.join(new, F.col(key) == F.col("_k"), "full_outer")
     action = F.when(F.col("_in").isNull(), "untouched").when(F.col("_had").isNull(), "created").when(F.col(mark).eqNullSafe(F.col(f"_{mark}")), "unchanged").otherwise("updated")
@@ -46,6 +46,8 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str, mark: str, values:
     out = []
     for c in target.columns:
         v = F.coalesce(F.col(key), F.col("_k")) if c == key else F.when(fresh, F.col(f"_{c}")).otherwise(F.col(c)) if c in [mark, *values] else F.col(c)
+        if c in seen:
+            v = F.when(F.col("_in").isNotNull(), F.col(f"_{c}")).otherwise(v)
         if create and c in create:
             v = F.when(F.col("_action") == "created", create[c]).otherwise(v)
         if changed and c in changed:
@@ -56,6 +58,19 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str, mark: str, values:
     return met.select(*out, "_action")
 
 
+def upsert_into(store, incoming: DataFrame, mark: str, values: list[str], number: int | None = None, **sets) -> DataFrame:
+    """:func:`upsert` into a :class:`souk.sources.store.Store`: reads and writes only the buckets that incoming's keys fall in.
+
+    Gives what the batch did, a row a key of these buckets with ``_action``. Incoming is
+    read twice (its buckets, then its rows): a table, not a long plan.
+    """
+    number = store.newest() + 1 if number is None else number
+    touched = store.touched(incoming)
+    after = upsert(store.read(number, touched), incoming, store.key, mark, values, **sets)
+    store.write(after, touched, number)
+    return store.written(number, after.schema)
+
+
 def store_records(target: DataFrame, incoming: DataFrame, key: str, mark: str, values: list[str], initial: dict[str, str], on_change: dict[str, str], seen: dict[str, str]) -> DataFrame:
     """Upsert of mapped records: ``initial`` values on creation, ``on_change`` ones where the fingerprint differs, ``seen`` ones for every row met; what a person set otherwise stays."""
     lit = lambda d: {c: F.lit(v) for c, v in d.items()}
@@ -72,15 +87,23 @@ def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def change_columns(categories: dict[str, str], old) -> dict[str, Column]:
+    """What differs between a row and an older one: changed fields, change type (one category, else Multiple), old and new values as maps of text.
+
+    old: name -> the older row's column.
+    """
+    fields = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(old(c)), F.lit(c)) for c in categories]))
+    kinds = F.array_distinct(F.transform(fields, lambda f: F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])[f]))
+    values = lambda of: F.map_filter(F.create_map(*[x for c in categories for x in (F.lit(c), of(c).cast("string"))]), lambda k, v: F.array_contains(fields, k))
+    return {"changed_fields": fields, "change_type": F.when(F.size(kinds) == 1, kinds[0]).otherwise("Multiple"), "old_values": values(old), "new_values": values(F.col)}
+
+
 def detect_changes(prev: DataFrame, cur: DataFrame, key: str, mark: str, categories: dict[str, str]) -> DataFrame:
-    """Per changed key: changed fields, change type (one category, else Multiple), old and new values as maps of text."""
+    """Per changed key of two snapshots: :func:`change_columns`."""
     p = prev.select(F.col(key).alias("_k"), F.col(mark).alias("_m"), *[F.col(c).alias(f"_{c}") for c in categories])
     met = cur.join(p, F.col(key) == F.col("_k")).where(~F.col(mark).eqNullSafe(F.col("_m")))  # equal fingerprints: no wide comparison
-    fields = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in categories]))
-    met = met.withColumn("changed_fields", fields).where(F.size("changed_fields") > 0)
-    kinds = F.array_distinct(F.transform("changed_fields", lambda f: F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])[f]))
-    values = lambda pre: F.map_filter(F.create_map(*[x for c in categories for x in (F.lit(c), F.col(pre + c).cast("string"))]), lambda k, v: F.array_contains(F.col("changed_fields"), k))
-    return met.select(key, "changed_fields", F.when(F.size(kinds) == 1, kinds[0]).otherwise("Multiple").alias("change_type"), values("_").alias("old_values"), values("").alias("new_values"))
+    said = change_columns(categories, lambda c: F.col(f"_{c}"))
+    return met.select(key, *[c.alias(n) for n, c in said.items()]).where(F.size("changed_fields") > 0)
 
 
 def missing_keys(known: DataFrame, seen: DataFrame, key: str, seen_key: str | None = None) -> DataFrame:

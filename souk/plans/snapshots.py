@@ -10,6 +10,7 @@ from souk.plans.base import suppliers as catalogue_suppliers
 from souk.plans.catalogue import CFG, SCORED
 from souk.session import scratch
 from souk.sources.pages import read_table
+from souk.sources.store import Store
 from souk.streaming import ingest
 
 TRACKED = ["o_orderstatus", "price"]
@@ -276,19 +277,20 @@ def _landed(spark, d):
 
 
 LAST_SQL = "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"
+KINDS = {"event_type": "Kind Changed", "value": "Value Changed"}
 
 
-def _stream(spark, d, log=None):
-    """Two runs of the stream: the first lands the earlier half of the pages, the second the rest; each run takes what is new."""
+def _stream(spark, d, log=False):
+    """Three runs of the stream over a third of the pages each; each run takes what is new."""
     landed, root = _landed(spark, d), scratch(spark)
-    store, half = f"{root}/store", landed.agg(F.max("page_no")).first()[0] // 2
-    for n, part in enumerate((landed.where(F.col("page_no") <= half), landed.where(F.col("page_no") > half))):
-        part.write.parquet(f"{root}/landing/part={n}")
-        q = ingest.ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", landed.schema, "user_id", ["event_type", "value"], "parquet", files_per_batch=100_000, log=f"{root}/log" if log else None, categories={"event_type": "Kind Changed", "value": "Value Changed"})
+    store, third = f"{root}/store", landed.agg(F.max("page_no")).first()[0] // 3 + 1
+    for n in range(3):
+        landed.where(F.floor(F.col("page_no") / third) == n).write.parquet(f"{root}/landing/part={n}")
+        q = ingest.ingest_stream(spark, f"{root}/landing", store, f"{root}/cp", landed.schema, "user_id", list(KINDS), "parquet", files_per_batch=100_000, log=f"{root}/log" if log else None, categories=KINDS)
         q.awaitTermination()
     if log:
         return spark.read.parquet(f"{root}/log")
-    return ingest.read_store(spark, store, ingest.stored_schema(landed.schema))
+    return ingest.read_store(spark, store, ingest.stored_schema(landed.schema), "user_id")
 
 
 @query(LAST_SQL)
@@ -296,10 +298,26 @@ def ss1_ingest_stream(spark, d):
     return _stream(spark, d).select("user_id", "event_type", "value")
 
 
-@query("""WITH e AS (SELECT *, event_id // 500 AS page FROM events), h AS (SELECT max(page) // 2 AS half FROM e),
-a AS (SELECT user_id, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM e, h WHERE page <= half GROUP BY 1),
-b AS (SELECT user_id, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM e, h WHERE page > half GROUP BY 1)
-SELECT user_id, 'New Product' AS change_type, '' AS fields FROM events GROUP BY 1
-UNION ALL SELECT user_id, CASE WHEN a.t <> b.t AND a.v <> b.v THEN 'Multiple' WHEN a.t <> b.t THEN 'Kind Changed' ELSE 'Value Changed' END, CASE WHEN a.t <> b.t AND a.v <> b.v THEN 'event_type,value' WHEN a.t <> b.t THEN 'event_type' ELSE 'value' END FROM a JOIN b USING (user_id) WHERE a.t <> b.t OR a.v <> b.v""")
+@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS t, lag(value) OVER w AS v, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id // 500 AS page_no, event_id % 500 AS pos, CASE WHEN r = 1 THEN 'New Product' WHEN t <> event_type AND v <> value THEN 'Multiple' WHEN t <> event_type THEN 'Kind Changed' ELSE 'Value Changed' END AS change_type,
+ CASE WHEN r = 1 THEN '' WHEN t <> event_type AND v <> value THEN 'event_type,value' WHEN t <> event_type THEN 'event_type' ELSE 'value' END AS fields,
+ CASE WHEN r > 1 AND t <> event_type THEN t END AS old_type, CASE WHEN r > 1 AND t <> event_type THEN event_type END AS new_type
+FROM e WHERE r = 1 OR t <> event_type OR v <> value""")
 def ss2_change_stream(spark, d):
-    return _stream(spark, d, log=True).select("user_id", "change_type", F.array_join("changed_fields", ",").alias("fields"))
+    """Every change of every user's events, in sequence, whatever batches they came in."""
+    old, new = (F.try_element_at(c, F.lit("event_type")) for c in ("old_values", "new_values"))
+    return _stream(spark, d, log=True).select("user_id", "page_no", "pos", "change_type", F.array_join("changed_fields", ",").alias("fields"), old.alias("old_type"), new.alias("new_type"))
+
+
+@query(f"WITH {SNAPS} SELECT o_orderkey, _action, o_orderstatus, price FROM u")
+def up1_bucketed_upsert(spark, d):
+    """The upsert of up1 in a bucketed store, in eight batches of neighbouring keys' hashes; the batches' actions, and untouched rows' as stored."""
+    old, new = before(spark, d), after(spark, d)
+    store = Store(spark, scratch(spark), "o_orderkey", old.schema, buckets=32)
+    store.write(old, range(store.buckets))
+    done = None
+    for k in range(8):
+        batch = new.where(F.floor(store.bucket() / 4) == k)
+        part = upsert.upsert_into(store, batch, "fingerprint", TRACKED)
+        done = part if done is None else done.unionByName(part)
+    return store.read().join(done.select(F.col("o_orderkey").alias("_k"), "_action"), F.col("o_orderkey") == F.col("_k"), "left").select("o_orderkey", F.coalesce("_action", F.lit("untouched")).alias("_action"), "o_orderstatus", "price")

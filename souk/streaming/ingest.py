@@ -1,98 +1,101 @@
 """Continuous ingest of landed pages, and the change log as a stream.
 
-The store is cut into buckets by a hash of the key. A micro-batch is upserted into
-the buckets that its keys fall in, and only these are written, as version
-``store/v<batch>/bucket=<k>``; a bucket's newest version is the stored one. A batch
-that runs again writes the same version from the same ones before it, so replays
-change nothing; versions that no replay can read any more are removed. Rows carry
-(page_no, pos); of a key's rows in a batch the last wins, and rows not above the
-stored sequence are dropped, so a late page changes nothing and no watermark is
-needed.
+Rows carry (page_no, pos), their sequence. A micro-batch is upserted into the buckets
+of the store that its keys fall in (:class:`souk.sources.store.Store`); of a key's rows
+the one of highest sequence is stored. *Rule for late rows*: a row whose sequence is not
+above the stored one is dropped, from store and log alike, so no watermark is needed.
+
+The log is a function of each key's rows in sequence, seeded with the stored one:
+every row whose fingerprint differs from the row before it is a change, and a key's
+first row is a New Product. Pages that arrive in order therefore give one and the same
+log, however they are cut into files and batches, and batches that run again write it
+again.
+
+A key with very many rows in a batch is compared within spans of pages, and across
+them by each span's last row. Of rows with equal key and sequence the one of largest
+fingerprint counts; rows without a key are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.operators import upsert
-from souk.session import remove
+from souk.sources.store import Store
 
+SPAN = 64
 
-def _sequence() -> F.Column:
-    return F.col("page_no") * 1_000_000 + F.col("pos")
 
-
-BUCKETS = 64
-
-
-def bucket_of(key: str) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _versions(spark: SparkSession, store: str) -> dict[int, list[int]]:
-    """Bucket -> batch numbers of its finished versions."""
-    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = new(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[int, list[int]] = {}
-    for s in fs.listStatus(new(store)) if fs.exists(new(store)) else []:
-        name = s.getPath().getName()
-        if name.startswith("v") and fs.exists(new(f"{store}/{name}/_SUCCESS")):
-            for b in fs.listStatus(s.getPath()):
-                if b.getPath().getName().startswith("bucket="):
-                    found.setdefault(int(b.getPath().getName()[7:]), []).append(int(name[1:]))
-    return found
-
-
-def _latest(spark: SparkSession, store: str, before: int, schema: T.StructType, buckets: set[int] | None = None) -> DataFrame:
-    """The newest versions below a batch number, of some buckets or all."""
-    at = {b: max((v for v in vs if v < before), default=None) for b, vs in _versions(spark, store).items() if buckets is None or b in buckets}
-    paths = [f"{store}/v{v}/bucket={b}" for b, v in sorted(at.items()) if v is not None]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def read_store(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
-    return _latest(spark, store, 1 << 62, schema)
+def sequence() -> F.Column:
+    return F.struct("page_no", "pos")
 
 
 def stored_schema(source: T.StructType) -> T.StructType:
-    return T.StructType([*[T.StructField(f.name, f.dataType) for f in source], T.StructField("fingerprint", T.StringType()), T.StructField("seq", T.LongType())])
+    return T.StructType([*[T.StructField(f.name, f.dataType) for f in source], T.StructField("fingerprint", T.StringType())])
 
 
-def merge(target: DataFrame, batch: DataFrame, key: str, tracked: list[str]) -> DataFrame:
-    """Snapshot after a batch of rows with page_no and pos; with ``_action``."""
-    last = upsert.dedupe_last(batch.withColumn("seq", _sequence()), key, ["seq"])
-    last = last.withColumn("fingerprint", upsert.fingerprint(last, tracked))
-    stored = target.select(F.col(key).alias("_k"), F.col("seq").alias("_s"))
-    newer = last.join(stored, F.col(key) == F.col("_k"), "left").where(F.col("_s").isNull() | (F.col("seq") > F.col("_s"))).drop("_k", "_s")
-    return upsert.upsert(target, newer, key, "fingerprint", [c for c in target.columns if c not in (key, "fingerprint", "seq")] + ["seq"])
+def in_sequence(stored: DataFrame, batch: DataFrame, key: str, tracked: list[str]) -> DataFrame:
+    """The batch's rows above the stored sequence, one per key and sequence, with fingerprint."""
+    rows = batch.where(F.col(key).isNotNull())
+    rows = upsert.dedupe_last(rows.withColumn("fingerprint", upsert.fingerprint(rows, tracked)).withColumn("_at", F.struct(key, "page_no", "pos")), "_at", ["fingerprint"]).drop("_at")
+    old = stored.select(F.col(key).alias("_k"), sequence().alias("_s"))
+    return rows.join(old, F.col(key) == F.col("_k"), "left").where(F.col("_s").isNull() | (sequence() > F.col("_s"))).drop("_k", "_s")
 
 
-def ingest_stream(spark: SparkSession, landing: str, store: str, checkpoint: str, schema: T.StructType, key: str, tracked: list[str], fmt: str = "json", files_per_batch: int = 1, log: str | None = None, categories: dict[str, str] | None = None):
+def merge(stored: DataFrame, batch: DataFrame, key: str, tracked: list[str]) -> DataFrame:
+    """Snapshot after a batch of rows with page_no and pos; with ``_action``."""
+    last = upsert.dedupe_last(in_sequence(stored, batch, key, tracked), key, ["page_no", "pos"])
+    return upsert.upsert(stored, last, key, "fingerprint", [c for c in stored.columns if c not in (key, "fingerprint", "page_no", "pos")], seen=["page_no", "pos"])
+
+
+def with_previous(rows: DataFrame, key: str, span: int = SPAN) -> DataFrame:
+    """rows with ``_before``: the key's row before this one in sequence, as a struct."""
+    row = F.struct(*rows.columns)
+    spans = rows.withColumn("_span", F.floor(F.col("page_no") / span))
+    last = spans.groupBy(key, "_span").agg(F.max_by(row, sequence()).alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(key).orderBy("_span"))  # a row a span
+    carried = last.select(F.col(key).alias("_ck"), F.col("_span").alias("_cs"), earlier.alias("_carried"))
+    within = F.lag(row).over(Window.partitionBy(key, "_span").orderBy("page_no", "pos"))
+    met = spans.withColumn("_within", within).join(carried, (F.col(key) == F.col("_ck")) & (F.col("_span") == F.col("_cs")))
+    return met.select(*rows.columns, F.coalesce("_within", "_carried").alias("_before"))
+
+
+def change_log(stored: DataFrame, batch: DataFrame, key: str, tracked: list[str], categories: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Changes that a batch makes to the stored rows, in each key's sequence: key, page_no, pos, and what :func:`upsert.change_columns` says."""
+    rows = in_sequence(stored, batch, key, tracked)
+    known = stored.join(rows.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_semi")
+    every = rows.withColumn("_new", F.lit(True)).unionByName(known.select(*rows.columns, F.lit(False).alias("_new")))
+    met = with_previous(every, key, span).where("_new")
+    new = F.col("_before").isNull()
+    differs = met.where(new | ~F.col("fingerprint").eqNullSafe(F.col("_before.fingerprint")))
+    said = upsert.change_columns(categories, lambda c: F.col("_before").getField(c))
+    none = {"changed_fields": F.array().cast("array<string>"), "change_type": F.lit("New Product"), "old_values": F.lit(None).cast("map<string,string>"), "new_values": F.lit(None).cast("map<string,string>")}
+    out = differs.select(key, "page_no", "pos", *[F.when(new, none[n]).otherwise(c).alias(n) for n, c in said.items()])
+    return out.where((F.col("change_type") == "New Product") | (F.size("changed_fields") > 0))
+
+
+def ingest_stream(spark: SparkSession, landing: str, store: str, checkpoint: str, schema: T.StructType, key: str, tracked: list[str], fmt: str = "json", files_per_batch: int = 1, log: str | None = None, categories: dict[str, str] | None = None, buckets: int = 64):
     """Start ingest of all landed files (then stop). With ``log``, field-level changes are appended there, a folder per batch."""
-    kind = stored_schema(schema)
+    held = Store(spark, store, key, stored_schema(schema), buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        touched = {r[0] for r in batch.select(bucket_of(key)).distinct().collect()}  # BUCKETS at most
-        if not touched:
-            return
-        before = _latest(spark, store, number, kind, touched)
-        after = merge(before, batch, key, tracked).drop("_action").select(kind.fieldNames())
-        after.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{number}")
-        if log:
-            now = _latest(spark, store, number + 1, kind, touched)
-            change_log(before, now, key, categories or {c: "Changed" for c in tracked}).write.mode("overwrite").parquet(f"{log}/b={number}")
-        for b, vs in _versions(spark, store).items():
-            for v in sorted(v for v in vs if v < number)[:-1] if b in touched else []:
-                remove(spark, f"{store}/v{v}/bucket={b}")
+        batch = batch.persist()  # read three times: its buckets, the log, the merge
+        try:
+            touched = held.touched(batch)
+            if not touched:
+                return
+            before = held.read(number, touched)
+            if log:
+                change_log(before, batch, key, tracked, categories or {c: "Changed" for c in tracked}).write.mode("overwrite").parquet(f"{log}/b={number}")
+            held.write(merge(before, batch, key, tracked).drop("_action"), touched, number)
+        finally:
+            batch.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(landing)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def change_log(before: DataFrame, after: DataFrame, key: str, categories: dict[str, str]) -> DataFrame:
-    """Changes between two snapshots; new keys are changes of type New Product."""
-    changed = upsert.detect_changes(before, after, key, "fingerprint", categories)
-    new = upsert.missing_keys(after, before, key).select(key, F.array().cast("array<string>").alias("changed_fields"), F.lit("New Product").alias("change_type"), F.lit(None).cast("map<string,string>").alias("old_values"), F.lit(None).cast("map<string,string>").alias("new_values"))
-    return changed.unionByName(new)
+def read_store(spark: SparkSession, store: str, schema: T.StructType, key: str) -> DataFrame:
+    return Store(spark, store, key, schema).read()

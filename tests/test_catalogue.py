@@ -14,7 +14,6 @@ from souk.functions import config as C
 from souk.functions import rules as R
 from souk.operators import insight, pricing, publish, scoring, selection, upsert
 from souk.sources import export, pages
-from souk.streaming import ingest
 
 
 def one(spark, rule, values):
@@ -222,20 +221,6 @@ def test_early_stop_reads_to_the_page_end(spark):
     assert cut(2, 99) == 2 and cut(6, 99) == 3 and cut(99, 2) == 3 and cut(99, 99) == 5
 
 
-def test_stream_equals_batch_and_replays(spark, tmp_path):
-    kind = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType()), T.StructField("page_no", T.LongType()), T.StructField("pos", T.LongType())])
-    land = tmp_path / "land"
-    land.mkdir()
-    batches = [[("a", "1", 1, 0), ("b", "1", 1, 1)], [("a", "2", 2, 0), ("a", "3", 2, 1)], [("b", "0", 0, 0), ("c", "9", 3, 0)], [("a", "2", 2, 0)]]
-    for i, b in enumerate(batches):
-        (land / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(kind.fieldNames(), r))) for r in b))
-    for _ in range(2):
-        ingest.ingest_stream(spark, str(land), str(tmp_path / "store"), str(tmp_path / "cp"), kind, "k", ["v"], log=str(tmp_path / "log")).awaitTermination()
-        rows = {(r.k, r.v) for r in ingest.read_store(spark, str(tmp_path / "store"), ingest.stored_schema(kind)).collect()}
-        assert rows == {("a", "3"), ("b", "1"), ("c", "9")}
-    assert {(r.k, r.change_type) for r in spark.read.parquet(str(tmp_path / "log")).collect()} >= {("a", "New Product"), ("c", "New Product"), ("a", "Changed")}
-
-
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"], None), (2, None, 'q"x')], "id int, tags array<string>, note string")
     export.export_csv(df, ["id", "note", "tags"], str(tmp_path / "csv"), "now")
