@@ -38,7 +38,7 @@ def stored_schema(source: T.StructType) -> T.StructType:
 
 def in_sequence(stored: DataFrame, batch: DataFrame, key: str, tracked: list[str]) -> DataFrame:
     """The batch's rows above the stored sequence, one per key and sequence, with fingerprint."""
-    rows = batch.where(F.col(key).isNotNull())
+    rows = batch.where(F.col(key).isNotNull()).select([c for c in stored.columns if c != "fingerprint"])
     rows = upsert.dedupe_last(rows.withColumn("fingerprint", upsert.fingerprint(rows, tracked)).withColumn("_at", F.struct(key, "page_no", "pos")), "_at", ["fingerprint"]).drop("_at")
     old = stored.select(F.col(key).alias("_k"), sequence().alias("_s"))
     return rows.join(old, F.col(key) == F.col("_k"), "left").where(F.col("_s").isNull() | (sequence() > F.col("_s"))).drop("_k", "_s")
