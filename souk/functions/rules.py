@@ -2,42 +2,77 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import config as C
 
-SPACE = r"(?U)\s+"
+#: What Python counts as white space: the property, and the four separators U+001C to U+001F.
+BLANKS = r"[\s\x1C-\x1F]+"
+SPACE = "(?U)" + BLANKS
 
 
 def _empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def text(c: Column) -> Column:
-    """White space runs to one blank, trimmed; empty is null. :func:`normalize_texts` composes (NFC) first."""
-    return _empty_to_null(F.btrim(F.regexp_replace(c, SPACE, " ")))
+def _assigned() -> Iterator[str]:
+    return (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000)
+
+
+@functools.cache
+def composing() -> str:
+    """Every character that NFC may change, by itself or after another: those it replaces, marks, and second halves of compositions."""
+    halves = {chr(int(d[1], 16)) for d in (unicodedata.decomposition(c).split() for c in _assigned()) if len(d) == 2 and d[0][0] != "<"}
+    jamo = {chr(i) for i in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    return "".join(c for c in _assigned() if unicodedata.combining(c) or c in halves or c in jamo or unicodedata.normalize("NFC", c) != c)
+
+
+def _wide(c: Column) -> Column:
+    """Whether a text holds anything but ASCII: two lengths that Spark has at hand."""
+    return F.octet_length(c) > F.length(c)
+
+
+def _may_compose(c: Column) -> Column:
+    return F.when(_wide(c), F.translate(c, composing(), "") != c).otherwise(False)
 
 
-def compose(df: DataFrame, *cols: str) -> DataFrame:
-    """NFC of text columns. Spark has no such function: the rows that hold a mark to compose go through Arrow, all others do not."""
+def nfc(c: Column) -> Column:
+    """NFC of a text. Spark has no such function: texts that hold a character it may change go through Arrow, all others stay where they are."""
     import pyarrow as pa
 
-    def nfc(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
-    nfc.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    to_nfc, odd = F.arrow_udf(nfc, "string"), F.lit(False)
-    for c in cols:
-        odd = odd | F.coalesce(F.col(c).rlike(r"[\p{M}\x{1100}-\x{11FF}\x{212A}\x{212B}\x{2126}\x{F900}-\x{FAFF}]"), F.lit(False))
-    return df.where(~odd).unionByName(df.where(odd).withColumns({c: to_nfc(c) for c in cols}))
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(_may_compose(c), c)), c)
+
+
+def nfc_each(c: Column) -> Column:
+    """:func:`nfc` of a list's texts."""
+    import pyarrow as pa
+
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [None if t is None else unicodedata.normalize("NFC", t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.coalesce(F.arrow_udf(run, "array<string>")(F.when(F.exists(c, lambda t: F.coalesce(_may_compose(t), F.lit(False))), c)), c)
+
+
+def spaced(c: Column) -> Column:
+    """White space runs to one blank, trimmed; empty is null."""
+    return _empty_to_null(F.btrim(F.regexp_replace(c, SPACE, " ")))
 
 
-def normalize_texts(df: DataFrame, *cols: str) -> DataFrame:
-    """The whole rule for text columns: NFC, then :func:`text`."""
-    return compose(df, *cols).withColumns({c: text(F.col(c)) for c in cols})
+def text(c: Column) -> Column:
+    """NFC, white space runs to one blank, trimmed; empty is null."""
+    return spaced(nfc(c))
 
 
 def strip_html(c: Column) -> Column:
@@ -48,28 +83,40 @@ def strip_html(c: Column) -> Column:
     return text(out)
 
 
-def _plain(i: int) -> str:
-    return unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()
+def _plain(c: str) -> str:
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
 
 
-def _fold() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one ASCII letter and marks, and those letters."""
-    pairs = [(chr(i), _plain(i)) for i in range(0x00A0, 0x2500) if len(_plain(i)) == 1 and _plain(i).isalnum()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@functools.cache
+def folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has one ASCII character, and those where it has several: all of Unicode's."""
+    found = {c: p for c in _assigned() if (p := _plain(c))}
+    return {c: p for c, p in found.items() if len(p) == 1}, {c: p for c, p in found.items() if len(p) > 1}
 
 
-def _unfold() -> dict[str, str]:
-    """Characters that decompose to several ASCII characters: ligatures, fractions, numerals, units."""
-    return {chr(i): _plain(i) for block in ((0x00A0, 0x0250), (0x2000, 0x2190), (0xFB00, 0xFB07)) for i in range(*block) if len(_plain(i)) > 1}
+def _ranges(chars, gap: int) -> str:
+    """A character class of ranges that hold the characters; with gap over 1, of others between them."""
+    spans: list[list[int]] = []
+    for i in sorted(map(ord, chars)):
+        if spans and i - spans[-1][1] <= gap:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
 
 
 def slug(c: Column) -> Column:
-    """ASCII letters and digits in lower case, all else one dash; other letters drop. Null gives an empty text."""
-    src, dst = _fold()
-    several = _unfold()
+    """ASCII letters and digits in lower case, all else one dash; other letters drop. Null gives an empty text.
+
+    ASCII texts skip all tables. Few texts hold characters that become several; a dozen
+    wide ranges find them, and they are cut at those characters alone.
+    """
+    one, several = folds()
+    exact = _ranges(several, 1)
     names = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    spelled = F.when(c.rlike("[" + "".join(several) + "]"), F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(names[x], x)), "")).otherwise(c)
-    ascii_ = F.regexp_replace(F.translate(spelled, src, dst), r"[^\x00-\x7F]", "")
+    parts = F.regexp_extract_all(c, F.lit(f"[{exact}]|[^{exact}]+"), F.lit(0))
+    spelled = F.when(c.rlike(f"[{_ranges(several, 64)}]"), F.array_join(F.transform(parts, lambda x: F.coalesce(names[x], x)), "")).otherwise(c)
+    ascii_ = F.when(_wide(c), F.regexp_replace(F.translate(spelled, "".join(one), "".join(one.values())), r"[^\x00-\x7F]+", "")).otherwise(c)
     return F.coalesce(F.btrim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
 
 
@@ -104,23 +151,31 @@ def url(c: Column) -> Column:
     pairs = F.transform(valued, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
     query = F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda p: ~tracked(p))), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     path = F.when(F.length(part(3)) > 1, F.regexp_replace(part(3), "/+$", "")).otherwise(part(3))
-    rooted = (host != "") | path.startswith("//") | (scheme.isin("", "http", "https", "ftp") & ((path == "") | path.startswith("/")))
+    rooted = (host != "") | path.startswith("//") | (scheme.isin("", *C.ROOTED_SCHEMES) & ((path == "") | path.startswith("/")))
     whole = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit(":"), F.when(rooted, F.concat(F.lit("//"), host)).otherwise(""), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     bare = _empty_to_null(F.regexp_replace(raw, "/+$", ""))
     return F.when(raw != "", F.when((scheme == "") & (host == ""), bare).otherwise(whole))
 
 
-def country(c: Column) -> Column:
-    """One name per country: aliases, else as it is if capitalised, else in title case."""
-    t = text(c)
+def _country(t: Column) -> Column:
     key = F.btrim(F.lower(t), F.lit(". "))
     names = F.create_map(*[F.lit(x) for kv in C.COUNTRIES.items() for x in kv])
     return F.coalesce(names[key], F.when(t.rlike(r"^\p{Lu}"), t).otherwise(F.initcap(t)))
 
 
+def country(c: Column) -> Column:
+    """One name per country: aliases, else as it is if capitalised, else in title case."""
+    return _country(text(c))
+
+
 def country_list(c: Column) -> Column:
-    """Names split at ``; , | /``, each normalized, first of equal ones kept, in order."""
-    parts = F.transform(F.split(c, r"[;,|/]"), country)
+    """Names of a list, or split at ``; , | /``, each normalized, first of equal ones kept, in order. c: text."""
+    return countries(F.split(c, r"[;,|/]"))
+
+
+def countries(c: Column) -> Column:
+    """:func:`country_list` of a list of texts."""
+    parts = F.transform(nfc_each(c), lambda x: _country(spaced(x)))
     return F.coalesce(F.array_distinct(F.filter(parts, lambda x: x.isNotNull())), F.array().cast("array<string>"))
 
 
@@ -225,17 +280,61 @@ def clip(c: Column, n: int) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.regexp_replace(F.substring(t, 1, n), r"[\s,.;:\-]+$", ""))
 
 
-SECRET = r'(?i)("[^"]*(?:password|passwd|secret|token|authorization|cookie|api[_-]?key|session)[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false|null)'
+REDACTED = "***REDACTED***"
+_SECRET = re.compile(C.SECRET, re.IGNORECASE)
+#: A text, a bracket, a comma or colon, white space, or anything else in one piece.
+_JSON = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}:,]|[\x20\t\n\r]+|[^"\[\]{}:,\x20\t\n\r]+', re.DOTALL)
+
+
+def redacted(said: str) -> str:
+    """A JSON text in which the value under each secret-looking key, of any kind and at any depth, is ``"***REDACTED***"``.
+
+    All else stays as it is, byte for byte. Broken JSON is read as far as its brackets go:
+    what follows a secret's colon is hidden up to the comma or bracket that ends it.
+    """
+    out, parts, i = [], _JSON.findall(said), 0
+    while i < len(parts):
+        p = parts[i]
+        out.append(p)
+        i += 1
+        if p[0] != '"':
+            continue
+        try:
+            name = json.loads(p, strict=False)
+        except ValueError:
+            name = p
+        if not _SECRET.search(name):
+            continue
+        j = i
+        while j < len(parts) and parts[j].isspace():
+            j += 1
+        if j == len(parts) or parts[j] != ":":
+            continue
+        j += 1
+        while j < len(parts) and parts[j].isspace():
+            j += 1
+        out.extend(parts[i:j])
+        out.append(f'"{REDACTED}"')
+        value, depth = j, 0
+        while j < len(parts) and (depth or parts[j] not in (",", "}", "]")):
+            depth += (parts[j] in "[{") - (parts[j] in "]}")
+            j += 1
+        while j > value and parts[j - 1].isspace():
+            j -= 1
+        i = j
+    return "".join(out)
 
 
 def redact_json(c: Column) -> Column:
-    """Scalar values under secret-looking keys, at any depth, become ``"[REDACTED]"``."""
-    return F.regexp_replace(c, SECRET, '$1"[REDACTED]"')
+    """:func:`redacted` of JSON texts; those that name nothing secret do not leave the JVM."""
+    import pyarrow as pa
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else redacted(t) for t in texts.to_pylist()], pa.string())
 
-def secret_left(c: Column) -> Column:
-    """True where an object or list stands under a secret-looking key, which :func:`redact_json` leaves."""
-    return c.rlike(SECRET.rsplit("(", 1)[0].rsplit('("', 1)[0] + r"[\[{]")
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    named = c.rlike("(?iu)" + C.SECRET) | c.contains("\\u")
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(named, c)), c)
 
 
 def stock_status(c: Column) -> Column:

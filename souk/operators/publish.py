@@ -9,12 +9,18 @@ from souk.functions import config as C
 from souk.functions import rules
 
 
-def publish_fields(df: DataFrame) -> DataFrame:
-    """vendor, product_type (by collection), image, material, dimensions, weight, tags, handle."""
+def publish_fields(df: DataFrame, vendor: str, shop_tag: str) -> DataFrame:
+    """vendor (the shop's), product_type (of the collection, else Home), image (the main one or null), material, dimensions, weight, tags (collection, material, the shop's; no category), handle."""
     kinds = F.create_map(*[F.lit(x) for kv in C.TYPE_BY_COLLECTION.items() for x in kv])
     said = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("product_name", "description", "category", "subcategory")])
-    out = df.withColumns({"vendor": F.coalesce(F.nullif(F.btrim("brand"), F.lit("")), F.lit("Unbranded")), "product_type": F.coalesce(kinds[F.col("collection")], F.col("category"), F.lit("Home")), "image": F.coalesce(F.nullif("main_image_url", F.lit("")), F.try_element_at("image_urls", F.lit(1))), "material": rules.material(said), "dimensions": rules.dimensions(said), "weight": rules.weight(said), "handle": rules.handle(F.col("product_name"), F.col("product_key"))})
-    return out.withColumn("tags", rules.merge_tags(F.array_compact(F.array("collection", "subcategory", "material")), F.array().cast("array<string>")))
+    out = df.withColumns({"vendor": F.lit(vendor), "product_type": F.coalesce(kinds[F.col("collection")], F.lit("Home")), "image": F.nullif("main_image_url", F.lit("")), "material": rules.material(said), "dimensions": rules.dimensions(said), "weight": rules.weight(said), "handle": rules.handle(F.col("product_name"), F.col("product_key"))})
+    return out.withColumn("tags", base_tags(F.col("collection"), F.col("material"), F.lit(shop_tag)))
+
+
+def base_tags(*tags: Column) -> Column:
+    """Tags without the blanks around them, each once; null and empty ones left out."""
+    said = F.transform(F.array(*tags), lambda t: F.regexp_replace(t, f"(?U)^{rules.BLANKS}|{rules.BLANKS}$", ""))
+    return F.array_distinct(F.filter(said, lambda t: F.coalesce(t != "", F.lit(False))))
 
 
 def content_requests(df: DataFrame, limit: int = 1500) -> DataFrame:

@@ -214,10 +214,11 @@ def rk14_publish_targets(spark, d):
 MATERIAL_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{v}'" for p, v in C.MATERIALS) + " END"
 
 
-@query(f"WITH {PRODUCTS}, p AS (SELECT *, lower(product_name || ' ' || coalesce(description, '') || ' ' || category || ' ' || coalesce(subcategory, '')) AS t FROM prod) SELECT product_key, {MATERIAL_SQL} AS material, CASE WHEN brand = '' THEN 'Unbranded' ELSE brand END AS vendor, coalesce(main_image_url, '') AS image, trim(regexp_replace(lower(product_name), '[^a-z0-9]+', '-', 'g'), '-') AS handle FROM p")
+@query(f"WITH {PRODUCTS}, p AS (SELECT *, lower(product_name || ' ' || coalesce(description, '') || ' ' || category || ' ' || coalesce(subcategory, '')) AS t, CASE stock_quantity % 4 WHEN 0 THEN '{C.KITCHEN}' WHEN 1 THEN '{C.COMFORT}' WHEN 2 THEN '{C.CATCH_ALL}' WHEN 3 THEN 'Other' END AS collection FROM prod) SELECT product_key, {MATERIAL_SQL} AS material, 'House' AS vendor, CASE collection WHEN '{C.KITCHEN}' THEN 'Kitchen & Dining' WHEN '{C.COMFORT}' THEN 'Home Décor' WHEN '{C.CATCH_ALL}' THEN 'Home Storage & Organization' ELSE 'Home' END AS product_type, main_image_url AS image, concat_ws(',', collection, {MATERIAL_SQL}, 'House') AS tags, trim(regexp_replace(lower(product_name), '[^a-z0-9]+', '-', 'g'), '-') AS handle FROM p")
 def cr13_cr15_cr17_publish_fields(spark, d):
-    p = publish.publish_fields(products(spark, d).withColumn("collection", F.lit(C.KITCHEN)))
-    return p.select("product_key", "material", "vendor", F.coalesce("image", F.lit("")).alias("image"), "handle")
+    kinds = F.array(*map(F.lit, (C.KITCHEN, C.COMFORT, C.CATCH_ALL, "Other")))
+    p = products(spark, d).withColumn("collection", F.get(kinds, F.col("stock_quantity") % 4))
+    return publish.publish_fields(p, "House", "House").select("product_key", "material", "vendor", "product_type", "image", F.array_join("tags", ",").alias("tags"), "handle")
 
 
 @query(f"WITH {PRODUCTS} SELECT product_key, product_name AS name, substr(description, 1, 30) AS description, category, brand FROM prod")

@@ -9,19 +9,40 @@ from souk.plans.base import PRODUCTS, SUPPLIERS, products, query, suppliers
 from souk.sources import pages as P
 from souk.sources.pages import read_table
 
-TEXT = lambda c: f"nullif(trim(regexp_replace({c}, '[\\s\\x0B]+', ' ', 'g')), '')"
+#: White space as the rule has it, for an engine whose classes are ASCII's.
+WHITE = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+TEXT = lambda c: f"nullif(trim(regexp_replace({c}, '{WHITE}', ' ', 'g')), '')"
 HTML = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
     HTML = f"replace({HTML}, '{_e}', '{_c}')"
 SLUG = lambda c: f"trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"SELECT doc_id, {TEXT('nfc_normalize(text)')} AS text FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(replace(text, 'é', 'e' || chr(769)), 'ö', 'o' || chr(776)) ELSE text END AS text FROM documents)")
+#: Every character that a rule's tables know, in 64 stretches; documents take them in turn.
+STRETCHES = 64
+
+
+def _stretches(chars: str, before: str, after: str) -> list[str]:
+    return ["".join(before + c + after for c in chars[i::STRETCHES]) for i in range(STRETCHES)]
+
+
+COMPOSED = _stretches(R.composing(), "e", " ")
+FOLDED = _stretches("".join(R.folds()[0]) + "".join(R.folds()[1]), "", "-q")
+SQL_LIST = lambda texts: "[" + ", ".join(f"'{t}'" for t in texts) + "]"
+
+
+def _with_stretch(docs, texts, *before):
+    """Documents' texts, each with one of the stretches after it."""
+    stretch = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % STRETCHES + 1).cast("int"))
+    return docs.select("doc_id", F.concat("text", *map(F.lit, before), stretch).alias("text"))
+
+
+@query(f"SELECT doc_id, {TEXT('nfc_normalize(text)')} AS text FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(replace(text, 'é', 'e' || chr(769)), 'ö', 'o' || chr(776)) ELSE text END || chr(28) || ' ' || {SQL_LIST(COMPOSED)}[(doc_id % {STRETCHES} + 1)::INT] AS text FROM documents)")
 def cr1_text(spark, d):
-    """Every third text with é and ö as letter and mark."""
+    """Every third text with é and ö as letter and mark; each with a stretch of what NFC may change."""
     t = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ö"), F.lit("o\u0308"))
     docs = read_table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, t).otherwise(F.col("text")).alias("text"))
-    return R.normalize_texts(docs, "text")
+    return _with_stretch(docs, COMPOSED, "\x1c ").select("doc_id", R.text(F.col("text")).alias("text"))
 
 
 @query(f"SELECT page_id, {TEXT(HTML)} AS text FROM pages")
@@ -29,9 +50,18 @@ def cr2_strip_html(spark, d):
     return read_table(spark, d, "pages").select("page_id", R.strip_html(F.col("html")).alias("text"))
 
 
-@query(f"SELECT doc_id, {SLUG('text')} AS slug FROM documents")
+#: The rule character by character: each is looked up among all that decompose to ASCII; other letters drop.
+SLUG_SQL = f"""WITH names AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{p.replace(chr(39), chr(39) * 2)}')" for m in R.folds() for c, p in m.items())}) AS t(c, p)),
+t AS (SELECT doc_id, text || ' ' || {SQL_LIST(FOLDED)}[(doc_id % {STRETCHES} + 1)::INT] AS text FROM documents),
+one AS (SELECT doc_id, i, text[i] AS c FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM t)),
+plain AS (SELECT doc_id, string_agg(coalesce(p, CASE WHEN unicode(one.c) < 128 THEN one.c END), '' ORDER BY i) AS s FROM one LEFT JOIN names ON one.c = names.c GROUP BY 1)
+SELECT doc_id, coalesce(trim(regexp_replace(lower(s), '[^a-z0-9]+', '-', 'g'), '-'), '') AS slug FROM t LEFT JOIN plain USING (doc_id)"""
+
+
+@query(SLUG_SQL)
 def cr3_slug(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", R.slug(F.col("text")).alias("slug"))
+    """Whole texts, each with a stretch of what has an ASCII form."""
+    return _with_stretch(read_table(spark, d, "documents"), FOLDED, " ").select("doc_id", R.slug(F.col("text")).alias("slug"))
 
 
 #: url, and four more forms of it, by page
@@ -140,10 +170,12 @@ def cr18_clip(spark, d):
     return read_table(spark, d, "documents").select("doc_id", R.clip(F.col("text"), 40).alias("clipped"))
 
 
-@query("""SELECT event_id, '{"api_key":"[REDACTED]","in":{"Session":"[REDACTED]"},"k":' || json_extract_string(props, '$.k') || '}' AS props FROM events""")
+@query("""SELECT event_id, '{"api_key": "***REDACTED***","in":[{"X-Auth":"***REDACTED***"},{"n":' || k || ',"Set-Cookies" : "***REDACTED***"}],"k":' || k || ',"PASSWORD_2":"***REDACTED***" }' AS props FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)""")
 def cr19_redact(spark, d):
+    """Texts, numbers, lists and objects under secret names, at any depth."""
     k = F.get_json_object("props", "$.k")
-    raw = F.concat(F.lit('{"api_key":"a\\"b","in":{"Session":'), k, F.lit('},"k":'), k, F.lit("}"))
+    secret = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"v":['), k, F.lit(',"}"]}'))).when(F.col("event_id") % 3 == 1, F.lit('"a, \\"b\\"]"')).otherwise(k)
+    raw = F.concat(F.lit('{"api_key": '), secret, F.lit(',"in":[{"X-Auth":'), secret, F.lit('},{"n":'), k, F.lit(',"Set-Cookies" : ["a",'), secret, F.lit(']}],"k":'), k, F.lit(',"PASSWORD_2":null }'))
     return read_table(spark, d, "events").select("event_id", R.redact_json(raw).alias("props"))
 
 

@@ -45,17 +45,16 @@ def up1_up10_upsert(spark, d):
     return merged(spark, d).drop("fingerprint")
 
 
-# every thirteenth row was archived before; it comes back unless every eleventh, which is gone
-BACK_SQL = "SELECT o_orderkey, _action2 AS _action, CASE WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 AND _action <> 'untouched' THEN true WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 THEN false ELSE true END AS active, CASE WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 AND _action = 'untouched' THEN 'Archived' ELSE 'Not Selected' END AS selection_status FROM (SELECT *, CASE WHEN o_orderkey >= 0 AND o_orderkey % 13 = 0 AND _action = 'unchanged' THEN 'updated' ELSE _action END AS _action2 FROM u)"
+# every thirteenth row was archived before; what is seen again is active, and keeps its selection status
+BACK_SQL = "SELECT o_orderkey, CASE WHEN old AND _action = 'unchanged' THEN 'updated' ELSE _action END AS _action, NOT (old AND _action = 'untouched') AS active, CASE WHEN old THEN 'Archived' ELSE 'Not Selected' END AS selection_status FROM (SELECT *, o_orderkey >= 0 AND o_orderkey % 13 = 0 AS old FROM u)"
 
 
 @query(f"WITH {SNAPS} {BACK_SQL}")
 def up10_reactivation(spark, d):
-    """Archived rows that are seen again are active, and may be selected."""
+    """Archived rows that are seen again become active; their selection status stays Archived."""
     gone = F.col("o_orderkey") % 13 == 0
     old = before(spark, d).select("o_orderkey", *TRACKED, F.when(gone, "archived").otherwise(F.col("fingerprint")).alias("fingerprint"), (~gone).alias("active"), F.when(gone, "Archived").otherwise("Not Selected").alias("selection_status"))
-    back = F.when(F.col("selection_status") == "Archived", "Not Selected").otherwise(F.coalesce("selection_status", F.lit("Not Selected")))
-    out = upsert.upsert(old, after(spark, d), "o_orderkey", "fingerprint", TRACKED, touch={"active": F.lit(True), "selection_status": back})
+    out = upsert.upsert(old, after(spark, d), "o_orderkey", "fingerprint", TRACKED, create={"selection_status": F.lit("Not Selected")}, touch={"active": F.lit(True)})
     return out.select("o_orderkey", "_action", "active", "selection_status")
 
 

@@ -43,15 +43,10 @@ def test_literal_rules(spark):
     assert one(spark, R.dimensions, ["box 10 x 20 cm", "none"]) == ["10 × 20cm".replace(" × ", "  ×  "), None]
     assert one(spark, R.weight, ["about 1,5 kg", "5 stars"]) == ["1,5kg", None]
     assert one(spark, R.material, ["aus Edelstahl", "bambus holz", "air"]) == ["Stainless steel", "Bamboo", None]
-    assert one(spark, R.redact_json, ['{"token": "a", "n": {"Password":1}, "x": 2}']) == ['{"token": "[REDACTED]", "n": {"Password":"[REDACTED]"}, "x": 2}']
+    assert one(spark, R.redact_json, ['{"token": "a", "n": {"Password":1}, "x": 2}']) == ['{"token": "***REDACTED***", "n": {"Password":"***REDACTED***"}, "x": 2}']
     assert [str(t)[:10] if t else t for t in one(spark, R.ts_utc, ["2026-07-20 03:47:01", "2026-07-20", "1700000000", "bad"])] == ["2026-07-20", "2026-07-20", "2023-11-14", None]
 
 
-def test_compose_only_where_needed(spark):
-    df = spark.createDataFrame([(1, "é"), (2, "é"), (3, None)], "i int, v string")
-    assert {r.i: r.v for r in R.compose(df, "v").collect()} == {1: "é", 2: "é", 3: None}
-
-
 def test_keys_fall_down_the_ladder(spark):
     df = spark.createDataFrame([("7", None, "N", "DE"), (None, "https://x.y/", "N", "DE"), (None, None, "N", "DE"), (None, None, " ", None)], "sid string, u string, n string, c string")
     keys = [r.k for r in df.select(R.supplier_key(*[F.col(c) for c in df.columns]).alias("k")).collect()]
