@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from souk.llm import blocks, pretokens
 from souk.llm.common import Workspace
 
-FACTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
+FACTS = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string"}
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -158,7 +158,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     asked = blocks.asked(laid)
     values = pair_values(ws, asked)
     answers = asked.join(values, F.col("key") == F.col("_k")).select("block", "pos", "best", "count")
-    sums = blocks.summed(laid, answers, ["best", "count"], [f.split(" ")[0] for f in FACTS.split(", ")])
+    sums = blocks.summed(laid, answers, ["best", "count"], list(FACTS))
     return sums.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("best").alias("n_best"), F.col("count").alias("count_sum"), "groups_sha256")
 
 

@@ -2,10 +2,10 @@
 
 A row a document and key would be shuffled twice. So documents are laid in blocks
 of some ``BLOCK_BYTES`` of text: a block has the list of its distinct keys, and its
-documents say which places of that list they hold, how often. Only a row a block
-and key is exchanged, to be joined with the keys' values; a key stands once in a
-block, so no key is hot, whatever texts hold. The values come back to the block as
-a list, and each document's sums are taken there.
+documents say which places of that list they hold, how often, in a few bytes each.
+Only a row a block and key is exchanged, to be joined with the keys' values; a key
+stands once in a block, so no key is hot, whatever texts hold. The values come back to
+the block as a list, and each document's sums are taken there.
 
 A block is bounded by ``BLOCK_BYTES`` and one text (the longest that a task reads).
 It is written before it is used, so that a task that runs again changes no block.
@@ -23,75 +23,82 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import by_columns
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+KINDS = {"string": pa.string(), "bigint": pa.int64()}
 
 
-def _lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in as few bytes as their largest takes."""
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
 
 
 class _Block:
     def __init__(self) -> None:
-        self.ids, self.facts, self.held, self.places, self.size = [], [], [], {}, 0
+        self.ids, self.facts, self.at, self.n, self.places, self.size = [], [], [], [], {}, 0
 
     def add(self, doc_id, n_bytes: int, facts: tuple, keys, times) -> None:
         """keys: distinct texts (a list) or numbers (an array); times: how often each stands in the document."""
         if isinstance(keys, list):
             place = self.places
-            keys = np.fromiter((place.setdefault(k, len(place)) for k in keys), dtype=np.int64, count=len(keys))
+            keys = np.fromiter((place.setdefault(k, len(place)) for k in keys), dtype=np.int32, count=len(keys))
         self.ids.append(doc_id)
         self.facts.append(facts)
-        self.held.append((keys, np.asarray(times, dtype=np.int64)))
+        self.at.append(keys)
+        self.n.append(np.asarray(times, dtype=np.int32))
         self.size += n_bytes
 
-    def row(self, number: int, key: pa.DataType, facts: list[pa.Field]) -> pa.RecordBatch:
-        at = np.concatenate([k for k, _ in self.held])
-        n = np.concatenate([t for _, t in self.held])
-        if key == pa.string():
+    def row(self, number: int, key: str, facts: list[tuple[str, str]]) -> pa.RecordBatch:
+        at, n = np.concatenate(self.at), np.concatenate(self.n)
+        sizes = np.fromiter(map(len, self.n), dtype=np.int64, count=len(self.n))
+        if key == "string":
             keys = pa.array(list(self.places), pa.string())
         else:
             own, at = np.unique(at, return_inverse=True)
-            keys = pa.array(own, key)
+            keys = pa.array(own, KINDS[key])
         totals = np.zeros(len(keys), dtype=np.int64)
         np.add.at(totals, at, n)
-        sizes = [len(k) for k, _ in self.held]
-        columns = list(zip(*self.facts, strict=True))
-        fields = {"doc_id": pa.array(self.ids, pa.int64()), **{f.name: pa.array(list(c), f.type) for f, c in zip(facts, columns, strict=True)}}
-        fields |= {"at": _lists(at.astype(np.int32), sizes, pa.int32()), "n": _lists(n.astype(np.int32), sizes, pa.int32())}
-        docs = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+        # places rise within a document, and only the steps between them are kept
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((at, doc))
+        at, n = at[order].astype(np.int64), n[order]
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        step = np.diff(at, prepend=0)
+        step[first] = at[first]
+        step, n = narrow(step), narrow(n)
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), whole(keys), whole(pa.array(totals)), whole(docs)], ["block", "keys", "totals", "docs"])
+        values = {"block": pa.array([number], pa.int64()), "keys": whole(keys), "totals": whole(pa.array(totals)), "doc_id": whole(pa.array(self.ids, pa.int64()))}
+        values |= {name: whole(pa.array([f[i] for f in self.facts], KINDS[kind])) for i, (name, kind) in enumerate(facts)}
+        values |= {"sizes": whole(pa.array(sizes, pa.int32())), "widths": whole(pa.array([step.itemsize, n.itemsize], pa.int32())), "steps": pa.array([step.tobytes()], pa.binary()), "times": pa.array([n.tobytes()], pa.binary())}
+        return pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
 
-def lay(docs: DataFrame, reading: Callable, key: str, facts: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of docs (``doc_id``, ``text``): ``block, keys, totals, docs`` (a struct a document: its id, facts, and places of its keys).
+def lay(docs: DataFrame, reading: Callable, key: str, facts: dict[str, str], block_bytes: int | None = None) -> DataFrame:
+    """Blocks of docs (``doc_id``, ``text``): distinct ``keys`` and their ``totals``; per document its id, facts and places. To be written before use.
 
-    reading(): called once a task; gives a function text or None -> (facts, distinct keys, how often each).
-    key: string or bigint. To be written before use.
+    reading(): called once a task; gives a function text or None -> (facts, distinct
+    keys, how often each). key and facts: string or bigint.
     """
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    fields = [pa.field(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in facts.split(", ")]
-    spelled = ",".join(f.replace(" ", ":") for f in facts.split(", "))
+    kinds, limit = list(facts.items()), block_bytes or BLOCK_BYTES
 
     def run(batches):
         read, part, done, block = reading(), TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block.add(doc_id, len(text or ""), *read(text))
-                if block.size >= block_bytes or len(block.ids) >= 1 << 16:
-                    yield block.row((part << 32) + done, kinds[key], fields)
+                if block.size >= limit or len(block.ids) >= 1 << 18:
+                    yield block.row((part << 32) + done, key, kinds)
                     done, block = done + 1, _Block()
         if block.ids:
-            yield block.row((part << 32) + done, kinds[key], fields)
+            yield block.row((part << 32) + done, key, kinds)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block bigint, keys array<{key}>, totals array<bigint>, docs array<struct<doc_id:bigint,{spelled},at:array<int>,n:array<int>>>")
+    spelled = ", ".join(f"{n} array<{k}>" for n, k in kinds)
+    return docs.select("doc_id", "text").mapInArrow(run, f"block bigint, keys array<{key}>, totals array<bigint>, doc_id array<bigint>, {spelled}, sizes array<int>, widths array<int>, steps binary, times binary")
 
 
 def asked(blocks: DataFrame) -> DataFrame:
     """A row a block and key: ``block, pos, key, total``."""
-    both = F.arrays_zip("keys", "totals")
-    return blocks.select("block", F.posexplode(both).alias("pos", "e")).select("block", "pos", F.col("e.keys").alias("key"), F.col("e.totals").alias("total"))
+    return blocks.select("block", F.posexplode(F.arrays_zip("keys", "totals")).alias("pos", "e")).select("block", "pos", F.col("e.keys").alias("key"), F.col("e.totals").alias("total"))
 
 
 def summed(blocks: DataFrame, answers: DataFrame, names: list[str], facts: list[str]) -> DataFrame:
@@ -100,25 +107,25 @@ def summed(blocks: DataFrame, answers: DataFrame, names: list[str], facts: list[
     answers: ``block, pos`` and the named values (bigint), for every key of every block.
     """
     back = answers.groupBy(F.col("block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("v"))  # as many as the block has keys
-    met = blocks.select("block", "docs").join(back, F.col("block") == F.col("_b"), "left")
-
-    def total(v, docs):
-        out = {n: [] for n in names}
-        for mine, theirs in zip(v, docs, strict=True):
-            d = theirs.values
-            at, n = d.field("at"), d.field("n")
-            ends = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            places, times = at.flatten().to_numpy(), n.flatten().to_numpy().astype(np.int64)
+    met = blocks.select("block", "doc_id", *facts, "sizes", "widths", "steps", "times").join(back, F.col("block") == F.col("_b"), "left")
+
+    def total(v, sizes, widths, steps, times):
+        out, ends = {n: [] for n in names}, [0]
+        for mine, size, width, step, n in zip(v, sizes, widths.to_pylist(), steps.to_pylist(), times.to_pylist(), strict=True):
+            size = size.values.to_numpy().astype(np.int64)
+            at = np.cumsum(np.frombuffer(step, f"<u{width[0]}").astype(np.int64))
+            n = np.frombuffer(n, f"<u{width[1]}").astype(np.int64)
+            stop = np.cumsum(size)
+            base = np.concatenate([[0], at])[stop - size]
+            at -= np.repeat(base, size)
             for name in names:
-                values = mine.values.field(name).to_numpy() if mine.is_valid and len(mine.values) else np.zeros(0, dtype=np.int64)
-                run = np.concatenate([[0], np.cumsum(values[places] * times)])
-                out[name].append(run[ends[1:]] - run[ends[:-1]])
-        sizes = [len(x) for x in out[names[0]]]
-        joined = [pa.array(np.concatenate(out[n]) if sizes else np.zeros(0, np.int64), pa.int64()) for n in names]
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(joined, names))
-
-    sums = by_columns(total, "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>")("v", "docs")
-    bare = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in ["doc_id", *facts]]))
-    each = met.select(bare.alias("d"), sums.alias("s")).select(F.explode(F.arrays_zip("d", "s")).alias("e"))
-    return each.select("e.d.*", "e.s.*")
+                values = mine.values.field(name).to_numpy() if mine.is_valid else np.zeros(0, dtype=np.int64)
+                run = np.concatenate([[0], np.cumsum(values[at] * n)])
+                out[name].append(run[stop] - run[stop - size])
+            ends.append(ends[-1] + len(size))
+        joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *out[n]]), pa.int64()) for n in names]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(joined, names))
+
+    sums = by_columns(total, "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>")("v", "sizes", "widths", "steps", "times")
+    each = met.select("doc_id", *facts, sums.alias("s")).select(F.explode(F.arrays_zip("doc_id", *facts, "s")).alias("e"))
+    return each.select("e.doc_id", *[f"e.{f}" for f in facts], "e.s.*")

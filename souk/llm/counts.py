@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return read
 
-    laid = ws.cut(blocks.lay(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), reading, "string", "n_bytes bigint, specials bigint"), "blocks")
+    laid = ws.cut(blocks.lay(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), reading, "string", {"n_bytes": "bigint", "specials": "bigint"}), "blocks")
     asked = blocks.asked(laid)
     pieces = ws.cut(asked.select("key").distinct().select(F.col("key").alias("_k"), piece_counts(path)("key").alias("pieces")), "pieces")
     answers = asked.join(pieces, F.col("key") == F.col("_k")).select("block", "pos", "pieces")

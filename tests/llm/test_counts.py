@@ -43,7 +43,7 @@ def test_odd_texts(spark, name, monkeypatch):
 def test_pieces_are_counted_once_per_pretoken(spark):
     """Whatever the documents, a distinct pre-token is one row of the table that is encoded."""
     df = spark.createDataFrame([(i, "same words here") for i in range(300)], "doc_id bigint, text string")
-    laid = blocks.lay(df.repartition(3), lambda: lambda t: ((0,), ["a", "b"], [2, 1]), "string", "f bigint")
+    laid = blocks.lay(df.repartition(3), lambda: lambda t: ((0,), ["a", "b"], [2, 1]), "string", {"f": "bigint"})
     asked = blocks.asked(laid.cache())
     assert asked.count() == 6 and asked.select("key").distinct().count() == 2
     assert {r.total for r in asked.where("key = 'a'").collect()} and sum(r.total for r in asked.collect()) == 900
