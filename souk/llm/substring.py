@@ -219,7 +219,10 @@ def _with_text(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace | None = None) -> DataFrame:
-    """Non-first windows: ``doc_id``, row key ``k``, first window ``s``, number of windows ``n`` from there on."""
+    """Non-first windows: ``doc_id``, row key ``k``, first window ``s``, number of windows ``n`` from there on.
+
+    Equal rows of docs give equal rows here: marks are to be gathered as a set.
+    """
     ws = ws or Workspace(docs.sparkSession)
     rows = _anchor_rows(docs, window, rounds)
     every = rows = ws.cut(rows, "anchors")
@@ -279,7 +282,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
+    marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_set(F.struct("s", "n")).alias("p"))
     marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
 
     def finish(text, ss, nn):
@@ -324,7 +327,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("s", "n")).alias("p"))
+    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_set(F.struct("s", "n")).alias("p"))
     marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
 
     def finish(text, ss, nn):

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -100,6 +101,36 @@ def starts_of(known) -> frozenset[str]:
     return frozenset(f.lstrip("2^")[:4] for f in known)
 
 
+def swaps(words: Counter, group_of: dict[str, set]):
+    """Features lost and gained where an identity term of a sentence is swapped for another of its lists, and how many such swaps there are.
+
+    words: how often each word stands in the sentence. Only the two terms' own features can
+    change, so a swap costs them alone, however long the sentence is.
+    """
+    met = [w for w in words if w in group_of]
+    if not met:
+        return
+    having = Counter(w[:n] for w in words for n in range(4, min(len(w), 8) + 1))  # different words with a beginning
+
+    def begins(w: str) -> set[str]:
+        return {w[:n] for n in range(4, min(len(w), 8) + 1)}
+
+    for w in met:
+        out = words[w] == 1  # the last of it
+        for other in group_of[w] - {w}:
+            new = other not in words
+            lost, gained = ({w} if out else set()), ({other} if new else set())
+            for p in begins(w) | begins(other):
+                before = having[p]
+                after = before - (out and p in begins(w)) + (new and p in begins(other))
+                for least, mark in ((1, "^"), (2, "2^")):
+                    if before >= least > after:
+                        lost.add(mark + p)
+                    elif after >= least > before:
+                        gained.add(mark + p)
+            yield lost, gained, words[w]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """(text, y) of about per_class labelled documents of each class, and the weight of each class's rows."""
     known = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y")).where(learn)
@@ -154,20 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
         for x in frames:
             rows = []
             for t, y in zip(x["text"], x["y"], strict=True):
-                rows.append((int(y), [at[f] for f in active(t, at, starts)], []))
+                rows.append((int(y), [at[f] for f in active(t, at, starts)], None, 1))
                 for s in SENTENCE.split(t or ""):
-                    w = [v.lower() for v in WORD.findall(s)]
-                    for i, v in enumerate(w):
-                        for other in sorted(group_of.get(v, ())):
-                            if other != v:
-                                rows.append((int(y), sorted(at[f] for f in active(" ".join(w), at, starts)), sorted(at[f] for f in active(" ".join(w[:i] + [other] + w[i + 1 :]), at, starts))))
-            yield pd.DataFrame(rows, columns=["y", "x", "swapped"])
-
-    laid = sample.mapInPandas(vectors, "y int, x array<int>, swapped array<int>")
-    own = laid.where(F.size("swapped") == 0).groupBy("y", F.array_sort("x").alias("x")).count().collect()
+                    for lost, gained, times in swaps(Counter(WORD.findall(s.lower())), group_of):
+                        rows.append((int(y), sorted(at[f] for f in lost if f in at), sorted(at[f] for f in gained if f in at), times))
+            yield pd.DataFrame(rows, columns=["y", "x", "gained", "times"])
+
+    laid = sample.mapInPandas(vectors, "y int, x array<int>, gained array<int>, times long")
+    own = laid.where(F.col("gained").isNull()).groupBy("y", F.array_sort("x").alias("x")).count().collect()
     # a swap's difference holds the features of two terms: as many values as there are pairs of terms, times what beginnings they share with neighbours
-    change = [F.array_except("x", "swapped").alias("x"), F.array_except("swapped", "x").alias("swapped")]
-    pairs = laid.where(F.size("swapped") > 0).select(*change).groupBy("x", "swapped").count().collect()
+    pairs = laid.where(F.col("gained").isNotNull()).groupBy("x", "gained").agg(F.sum("times").alias("count")).collect()
     k = len(names)
     X = np.zeros((len(own), k + 1), dtype=np.float32)
     for i, r in enumerate(own):
@@ -181,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 50
     for r in pairs:
         d = np.zeros(k + 1)
         d[r["x"]] += 1
-        d[r["swapped"]] -= 1
+        d[r["gained"]] -= 1
         on = np.flatnonzero(d)
         Q[np.ix_(on, on)] += fairness * r["count"] / mass * np.outer(d[on], d[on])
     w = np.zeros(k + 1)

@@ -124,20 +124,44 @@ def test_toxicity_scores_are_those_of_one_machine(spark):
         assert abs(out[d].score - score(t)) < 1e-3 and out[d].predicted == int(out[d].score >= 0.5), d
 
 
-def test_every_swap_counts(spark):
-    """The penalty of the fitted model is that of all swaps, taken one by one."""
+def test_swaps_are_those_taken_one_by_one():
+    """What a swap changes, from the counts of a sentence, and by making each swapped sentence."""
+    from collections import Counter
+
+    groups = (("women", "womanly", "men"), ("men", "mental", "woman"), ("jews", "jewish"))
+    group_of = {}
+    for g in groups:
+        for t in g:
+            group_of.setdefault(t, set()).update(g)
+    dice = random.Random(4)
+    for _ in range(300):
+        w = [dice.choice("women womanly men mental woman jews jewish womb jewel a bare wome mentor".split()) for _ in range(dice.randint(1, 9))]
+        want, got = Counter(), Counter()
+        for i, v in enumerate(w):
+            for other in group_of.get(v, set()) - {v}:
+                before, after = toxicity.features(set(w)), toxicity.features({*w[:i], other, *w[i + 1 :]})
+                want[frozenset(before - after), frozenset(after - before)] += 1
+        for lost, gained, times in toxicity.swaps(Counter(w), group_of):
+            got[frozenset(lost), frozenset(gained)] += times
+        assert got == want
+
+
+def test_the_penalty_draws_terms_together_and_long_sentences_are_linear(spark):
+    import time
+
     df = spark.createDataFrame(fair_rows(), "doc_id long, text string, toxic int")
-    base, more = toxicity.train(df, df, fairness=10.0, per_class=20), toxicity.train(df, df, fairness=10.0)
-    groups = ["muslims", "christians", "jews"]
-    for m in (base, more):
-        raws = [m.raw(f"alpha {g} beta") for g in groups]
-        assert max(raws) - min(raws) < 1.0
-    german = ((("frauen", "männer")),)
+    gap = lambda m: abs(m.raw("alpha muslims beta") - m.raw("alpha christians beta"))
+    fair, half, unfair = (gap(toxicity.train(df, df, fairness=x)) for x in (10.0, 0.1, 0.0))
+    assert fair < half < unfair and fair < 0.3 * unfair
+    german = (("frauen", "männer"),)
     rows = [(i, f"{'frauen' if i % 3 else 'männer'} wort{i % 5} {'garstigkeit' if i % 3 and i % 2 else 'x'}.", int(i % 3 > 0 and i % 2)) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    fair, unfair = (toxicity.train(d, d, fairness=f, identity=german) for f in (10.0, 0.0))
-    gap = lambda m: abs(m.raw("frauen wort1") - m.raw("männer wort1"))
-    assert gap(fair) < 0.5 * gap(unfair) or gap(unfair) < 0.05
+    apart = [abs(m.raw("frauen wort1") - m.raw("männer wort1")) for m in (toxicity.train(d, d, fairness=f, identity=german, least_gain=0.0) for f in (10.0, 0.0))]
+    assert apart[0] < 0.5 * apart[1]
+    long = " ".join(("women", "word", f"w{i}", "x")[i % 4] if i % 8 else "muslims" for i in range(100_000))
+    began = time.time()
+    toxicity.train(*[spark.createDataFrame([*fair_rows(), (9001, long, 0)], "doc_id long, text string, toxic int")] * 2)
+    assert time.time() - began < 60
 
 
 def test_toxicity_long_repeated_and_extra(spark):

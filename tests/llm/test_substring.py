@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from souk.llm import queries, substring
 from tests.llm.oracle import same
@@ -95,3 +96,15 @@ def test_large_ids_and_clashing_names(spark):
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == {(1 << 53) + 1: passage, (1 << 53) + 3: "q z", None: "only here"}
     assert {r[0] for r in got(df)} == {r[0] for r in rows}
+
+
+def test_rows_repeated_very_often(spark):
+    """A passage copied from an earlier document, in a row that stands 20,000 times: as many results, each as for one row."""
+    first, fill = " ".join(f"w{i}" for i in range(70)), " ".join(f"f{i}" for i in range(30))
+    one = spark.createDataFrame([(1, first), (2, f"{fill} {first}")], "doc_id long, text string")
+    again = spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit(f"{fill} {first}").alias("text"))
+    many = one.where("doc_id = 1").unionByName(again)
+    want = {tuple(r) for r in substring.deduplicate(one).collect()}
+    got = substring.deduplicate(many)
+    assert {tuple(r) for r in got.distinct().collect()} == want and got.count() == 20_001
+    assert {r.text for r in substring.strip_repeats(many).distinct().collect()} == {first, fill}
