@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from souk.functions import config as C
-from souk.operators import classify, pricing, scoring, selection
+from souk.operators import classify, pricing, rescoring, scoring, selection
 from souk.plans.base import OFFERS, PRODUCTS, SUPPLIERS, margin_sql, offers, products, query, suppliers
+from souk.session import written
 from souk.sources.pages import read_table
 
 CFG = C.Config(markets=("EUROPE", "ASIA", "AFRICA"), dispatch_allowed=("EUROPE", "AFRICA"), supplier_gates=C.SupplierGates(require_target_market=True))
@@ -189,6 +190,63 @@ def ps1_ps3_score_products(spark, d):
     return out.select("product_key", "supplier_eligibility", "supplier_score", "margin_pct", "margin_status", "product_score", "review_status", scoring.encode_reasons(F.col("reasons")).alias("reasons"), F.array_join("risk_flags", ",").alias("risk_flags"), "collection", "confidence")
 
 
+# --- rescoring of what changed
+
+#: The later snapshot: stock gone, suppliers changed, products gone and new; slow suppliers; relevant counts of the products there are.
+LATER = PRODUCTS.replace("prod AS (", "prod_b AS (") + """, prod_n AS (SELECT *, substr(product_key, 5)::BIGINT AS k FROM prod_b),
+prod_c AS (SELECT * REPLACE (CASE WHEN k % 11 = 0 THEN 0 ELSE stock_quantity END AS stock_quantity, CASE WHEN k % 13 = 0 THEN 'sid:1' ELSE supplier_key END AS supplier_key) FROM prod_n WHERE k % 17 <> 0),
+prod AS (SELECT * EXCLUDE (k) FROM (SELECT * FROM prod_c UNION ALL SELECT * REPLACE ('new:' || k AS product_key) FROM prod_c WHERE k % 19 = 1)), """ + SUPPLIERS.replace("sup AS (", "sup_b AS (") + """,
+sup AS (SELECT * REPLACE (CASE WHEN substr(supplier_key, 5)::BIGINT % 7 = 0 THEN 30 ELSE shipping_max_days END AS shipping_max_days, coalesce(n, 0) AS relevant_product_count) FROM sup_b LEFT JOIN (SELECT supplier_key AS sk, count(*) AS n FROM prod GROUP BY 1) ON sk = supplier_key)"""
+LATER_JOB = LATER + SCORED.removeprefix(SUPPLIERS) + JOB.split(PRODUCTS)[1]
+SCORE_COLUMNS = "product_key, supplier_eligibility, supplier_score, margin_pct, product_score, status AS review_status, why AS reasons, collection"
+
+
+def later(spark, d):
+    """Products and suppliers (without relevant counts) of the later snapshot."""
+    k = F.substring("product_key", 5, 20).cast("long")
+    p = products(spark, d).withColumn("_k", k).where("_k % 17 <> 0")
+    p = p.withColumns({"stock_quantity": F.when(F.col("_k") % 11 == 0, 0).otherwise(F.col("stock_quantity")), "supplier_key": F.when(F.col("_k") % 13 == 0, "sid:1").otherwise(F.col("supplier_key"))})
+    p = p.unionByName(p.where("_k % 19 = 1").withColumn("product_key", F.concat(F.lit("new:"), F.col("_k").cast("string")))).drop("_k")
+    s = suppliers(spark, d).drop("relevant_product_count")
+    return p, s.withColumn("shipping_max_days", F.when(F.substring("supplier_key", 5, 20).cast("long") % 7 == 0, 30).otherwise(F.col("shipping_max_days")))
+
+
+def counted(s, counts):
+    n = counts.select(F.col("supplier_key").alias("_c"), "n")
+    return rescoring.with_fingerprint(s.join(n, F.col("supplier_key") == F.col("_c"), "left").withColumn("relevant_product_count", F.coalesce("n", F.lit(0))).drop("_c", "n"), "supplier_key")
+
+
+def rescored(spark, d):
+    """(the later snapshot's scores, stale products, rescored suppliers) from the earlier snapshot's stored results."""
+    old = written(rescoring.with_fingerprint(products(spark, d), "product_key"))
+    counts = rescoring.relevant_counts(old)
+    old_suppliers = written(scoring.score_suppliers(counted(suppliers(spark, d).drop("relevant_product_count"), counts), CFG))
+    stored = written(scoring.score_products(old, old_suppliers, None, CFG).withColumn("score_version", F.lit("1")))
+    p, s = later(spark, d)
+    new = written(rescoring.with_fingerprint(p, "product_key"))
+    changed = written(rescoring.differing(old, new, "product_key"))
+    counts = rescoring.shifted_counts(counts, old, new, changed, "product_key")
+    new_suppliers, scored = rescoring.rescore_suppliers(written(counted(s, counts)), old_suppliers, CFG)
+    stale = written(rescoring.stale_products(new, stored, changed, rescoring.moved_suppliers(old_suppliers, new_suppliers), "1"))
+    return rescoring.rescore_products(new, new_suppliers, stored, stale, None, CFG, "1"), stale, scored
+
+
+@query(f"WITH {LATER_JOB} SELECT {SCORE_COLUMNS} FROM classed")
+def up20_ps3_rescore(spark, d):
+    """Only stale products and suppliers are scored; the SQL scores the whole later snapshot."""
+    out = rescored(spark, d)[0]
+    return out.select("product_key", "supplier_eligibility", "supplier_score", "margin_pct", "product_score", "review_status", scoring.encode_reasons(F.col("reasons")).alias("reasons"), "collection")
+
+
+@query(f"WITH {LATER} SELECT supplier_key, count(*) AS n FROM prod WHERE supplier_key IS NOT NULL GROUP BY 1")
+def ag1_counts_kept(spark, d):
+    """Relevant products per supplier of the later snapshot, from the earlier counts and the products that differ."""
+    old, new = (rescoring.with_fingerprint(x, "product_key") for x in (products(spark, d), later(spark, d)[0]))
+    old, new = written(old), written(new)
+    changed = rescoring.differing(old, new, "product_key")
+    return rescoring.shifted_counts(rescoring.relevant_counts(old), old, new, changed, "product_key").where("n > 0")
+
+
 @query(f"WITH {JOB} SELECT status AS review_status, collection, count(*) AS n FROM classed GROUP BY ALL")
 def ag10_product_tally(spark, d):
     return scoring.tally(job(spark, d), "review_status", "collection")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import config as C
 from souk.functions.views import VIEWS
-from souk.operators import funnel, insight, pricing, publish, scoring
+from souk.operators import funnel, insight, pricing, publish, rescoring, scoring
 from souk.operators.selection import select_assortment
 from souk.plans.base import OFFERS, PRODUCTS, SUPPLIERS, margin_sql, offers, products, query, suppliers
 from souk.plans.catalogue import CFG, JOB, SCORED, job
@@ -120,7 +120,7 @@ def jn10_label_category(spark, d):
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
 def ag1_products_per_supplier(spark, d):
-    return read_table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return rescoring.relevant_counts(read_table(spark, d, "lineitem"), "l_suppkey")
 
 
 ORDERS_SQL = "o AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS enriched_at, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS product_score, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END AS collection FROM orders)"
