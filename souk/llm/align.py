@@ -24,6 +24,7 @@ null id keeps its row; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +33,10 @@ from pyspark.sql import functions as F
 from souk.llm import blocks, pretokens
 from souk.llm.common import Workspace
 
+#: Ids of at most about so many bytes of words are kept by a worker; an entry takes ``ENTRY`` besides its characters and ids.
+WORD_BYTES, ENTRY = 96 << 20, 300
+#: A blank beside white space on both sides, or beside another blank.
+BETWEEN = re.compile(r"\s \s|  ")
 FACTS = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string"}
 
 
@@ -41,101 +46,154 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def runs(ea: np.ndarray, eb: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, list[tuple[int, int]]]]]:
-    """One-to-one stretches (i, j, length) and irregular groups (i, i past, j, j past, links), of two rising arrays with the same last end."""
+SMALL = 16  # stretches up to here are compared as lists, longer ones as bytes
+
+
+def runs(ea: np.ndarray, eb: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
+    """One-to-one stretches (i, j, length), irregular groups (i, i past, j, j past) and their links' places, of two rising arrays with the same last end."""
     n, m = len(ea), len(eb)
     a, b = ea.tolist(), eb.tolist()
     wide_a, wide_b = ea.astype(np.int64).tobytes(), eb.astype(np.int64).tobytes()
-    straight, irregular = [], []
+    straight, irregular, li, lj = [], [], [], []
     i = j = 0
+
+    def same(p: int, q: int, w: int) -> bool:
+        return a[p : p + w] == b[q : q + w] if w <= SMALL else wide_a[8 * p : 8 * (p + w)] == wide_b[8 * q : 8 * (q + w)]
+
     while i < n and j < m:
         most, k, step = min(n - i, m - j), 0, 1
         # forth by doubled steps, back by halved ones
         while k < most:
             w = min(step, most - k)
-            if w == 1:
-                if a[i + k] != b[j + k]:
-                    break
-                k, step = k + 1, step * 2
-            elif wide_a[8 * (i + k) : 8 * (i + k + w)] == wide_b[8 * (j + k) : 8 * (j + k + w)]:
+            if same(i + k, j + k, w):
                 k, step = k + w, step * 2
-            else:
-                while w > 1:
-                    half = w // 2
-                    if wide_a[8 * (i + k) : 8 * (i + k + half)] == wide_b[8 * (j + k) : 8 * (j + k + half)]:
-                        k, w = k + half, w - half
-                    else:
-                        w = half
-                break
+                continue
+            while w > 1:
+                half = w // 2
+                if same(i + k, j + k, half):
+                    k, w = k + half, w - half
+                else:
+                    w = half
+            break
         if k:
             straight.append((i, j, k))
             i, j = i + k, j + k
             if i >= n or j >= m:
                 break
-        i0, j0, links = i, j, [(i, j)]
-        while a[i] != b[j]:
-            if a[i] < b[j]:
+        i0, j0 = i, j
+        p, q = a[i], b[j]
+        li.append(i)
+        lj.append(j)
+        while p != q:
+            if p < q:
                 i += 1
+                p = a[i]
             else:
                 j += 1
-            links.append((i, j))
+                q = b[j]
+            li.append(i)
+            lj.append(j)
         i, j = i + 1, j + 1
-        irregular.append((i0, i, j0, j, links))
-    return straight, irregular
+        irregular.append((i0, i, j0, j))
+    return straight, irregular, li, lj
 
 
-def linked(straight, irregular) -> tuple[np.ndarray, np.ndarray]:
-    """Places of A and of B tokens of every link."""
+def stretched(straight) -> tuple[np.ndarray, np.ndarray]:
+    """Places of A and of B tokens in one-to-one stretches, in order."""
     s = np.array(straight, dtype=np.int64).reshape(-1, 3)
     size = s[:, 2]
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    odd = np.array([x for g in irregular for x in g[4]], dtype=np.int64).reshape(-1, 2)
-    return np.concatenate([np.repeat(s[:, 0], size) + step, odd[:, 0]]), np.concatenate([np.repeat(s[:, 1], size) + step, odd[:, 1]])
-
-
-def spelled(a: np.ndarray, b: np.ndarray, straight, irregular) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids by group, in order."""
-    ta, tb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, s, g = [], 0, 0
-    while s < len(straight) or g < len(irregular):
-        if g == len(irregular) or (s < len(straight) and straight[s][0] < irregular[g][0]):
-            i, j, k = straight[s]
-            out.extend(map("|".join, zip(ta[i : i + k], tb[j : j + k], strict=True)))
-            s += 1
-        else:
-            i, i1, j, j1, _ = irregular[g]
-            out.append(",".join(ta[i:i1]) + "|" + ",".join(tb[j:j1]))
+    return np.repeat(s[:, 0], size) + step, np.repeat(s[:, 1], size) + step
+
+
+class _Spelled(dict):
+    """Pair of ids (A's in the upper 32 bits) -> ``a|b``; at most so many are kept."""
+
+    def __missing__(self, pair: int) -> str:
+        said = f"{pair >> 32}|{pair & 0xFFFFFFFF}"
+        if len(self) < 1 << 18:
+            self[pair] = said
+        return said
+
+
+def spelled(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, straight, irregular, names: dict) -> str:
+    """``a1,a2|b1;a3|b2,b3``: ids by group, in order. pairs: those of the one-to-one stretches."""
+    single = list(map(names.__getitem__, pairs.tolist()))
+    a, b = a.tolist(), b.tolist()
+    out, at, g = [], 0, 0
+
+    def groups(before: int) -> None:
+        nonlocal g
+        while g < len(irregular) and irregular[g][0] < before:
+            i, i1, j, j1 = irregular[g]
+            out.append(",".join(map(str, a[i:i1])) + "|" + ",".join(map(str, b[j:j1])))
             g += 1
+
+    for i, _, k in straight:
+        groups(i)
+        out.extend(single[at : at + k])
+        at += k
+    groups(len(a))
     return ";".join(out)
 
 
 class Aligner:
-    """Facts and id pairs of one text; a worker keeps the ids of frequent pre-tokens of both sides."""
+    """Facts and id pairs of one text; a worker keeps what it has met of both sides' ids, within bounds.
+
+    Both tokenizers cut before a blank that stands between a letter or mark and anything
+    but white space; so where every blank is such a one, ids are kept by word, both
+    sides' together, and bytes are compared when a word is first met.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = (pretokens.Ids(pretokens.reader(p, specials=False)) for p in (path_a, path_b))
         self.bytes_a, self.bytes_b = self.a.of.token_bytes(), self.b.of.token_bytes()
         self.size_a, self.size_b = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.bytes_a, self.bytes_b))
+        self.names, self.known, self.kept = _Spelled(), {}, 0
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of both sides of a blank and a text, and whether both sides' bytes are those."""
+        a, b = self.a.ids(" " + text), self.b.ids(text)
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
+        return a, b, same
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides, none where either's bytes are not those of the blank and the text."""
         none = np.zeros(0, dtype=np.int32)
         if not text:
             return none, none
-        raw = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = self.a.ids(" " + text), self.b.ids(text)
-        same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
-        return (a, b) if same else (none, none)
+        if text[0] == " " or text[-1] == " " or pretokens.BLANK in text or BETWEEN.search(text):
+            a, b, same = self._whole(text)
+            return (a, b) if same else (none, none)
+        words = text.split(" ")
+        got = list(map(self.known.get, words))
+        if None in got:
+            new = list({w for w, x in zip(words, got, strict=True) if x is None})
+            fresh = {}
+            for w, a, b in zip(new, self.a.many([" " + w for w in new]), self.b.of.words(new), strict=True):
+                raw = (" " + w).encode("utf-8", "surrogatepass")
+                if not b"".join([self.bytes_a[i] for i in a.tolist()]) == raw == b"".join([self.bytes_b[i] for i in b.tolist()]):
+                    return none, none
+                fresh[w] = a.tobytes(), b.tobytes()
+            got = [fresh[w] if x is None else x for w, x in zip(words, got, strict=True)]
+            if self.kept < WORD_BYTES:
+                keep = {w: x for w, x in fresh.items() if len(w) <= pretokens.LONG}
+                self.known.update(keep)
+                self.kept += sum(len(w) + len(x) + len(y) + ENTRY for w, (x, y) in keep.items())
+        return tuple(np.frombuffer(b"".join([x[side] for x in got]), dtype=np.int32) for side in (0, 1))
 
     def read(self, text: str | None) -> tuple[tuple, np.ndarray, np.ndarray]:
         a, b = self.tokens(text)
         if not len(a):
             return (0, 0, 0, 0, ""), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        straight, irregular = runs(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
-        i, j = linked(straight, irregular)
-        pairs, times = np.unique((a[i].astype(np.int64) << 32) | b[j], return_counts=True)
-        groups = sum(k for _, _, k in straight) + len(irregular)
-        return (len(a), len(b), groups, len(i), hashlib.sha256(spelled(a, b, straight, irregular).encode()).hexdigest()), pairs, times
+        straight, irregular, li, lj = runs(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        i, j = stretched(straight)
+        wide = a.astype(np.int64) << 32
+        single = wide[i] | b[j]
+        pairs, times = np.unique(np.concatenate([single, wide[li] | b[lj]]) if li else single, return_counts=True)
+        said = spelled(a, b, single, straight, irregular, self.names)
+        return (len(a), len(b), len(single) + len(irregular), len(single) + len(li), hashlib.sha256(said.encode()).hexdigest()), pairs, times
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}

@@ -25,14 +25,14 @@ def test_runs_and_groups_of_any_arrays(case):
 
 
 def check_runs(ea, eb):
-    straight, irregular = align.runs(ea, eb)
+    straight, irregular, oi, oj = align.runs(ea, eb)
     common = sorted(set(ea.tolist()) & set(eb.tolist()))
-    groups = [(i + k + 1, j + k + 1) for i, j, n in straight for k in range(n)] + [(i1, j1) for _, i1, _, j1, _ in irregular]
+    groups = [(i + k + 1, j + k + 1) for i, j, n in straight for k in range(n)] + [(i1, j1) for _, i1, _, j1 in irregular]
     assert sorted(int(ea[i - 1]) for i, _ in groups) == common == sorted(int(eb[j - 1]) for _, j in groups)
-    li, lj = align.linked(straight, irregular)
+    li, lj = (np.concatenate([x, np.array(y, dtype=np.int64)]).tolist() for x, y in zip(align.stretched(straight), (oi, oj)))
     sa, sb = np.append(0, ea[:-1]), np.append(0, eb[:-1])
     want = {(i, j) for i in range(len(ea)) for j in range(len(eb)) if max(sa[i], sb[j]) < min(ea[i], eb[j])}
-    assert len(li) == len(want) and set(zip(li.tolist(), lj.tolist())) == want
+    assert len(li) == len(want) and set(zip(li, lj)) == want
 
 
 def test_long_stretches_with_a_difference_anywhere():
@@ -44,6 +44,19 @@ def test_long_stretches_with_a_difference_anywhere():
             check_runs(np.sort(np.append(ends, at * 3 + 1)), np.sort(np.append(ends, at * 3 + 2)))
 
 
+def test_ids_by_word_are_the_ids_of_the_text():
+    """Texts of all sorts of blanks, whole and word by word."""
+    import random
+
+    dice, al = random.Random(8), align.Aligner(*align.default_tokenizers())
+    bits = ["it's", "a", " ", " ", " ", "\n", "\t", "x1.", "...", "é", "\u00a0", "\u3000", "\r\n", "4", "'", "日本", "▁"]
+    for _ in range(1500):
+        text = "".join(dice.choice(bits) for _ in range(dice.randint(1, 12)))
+        a, b, same = al._whole(text)
+        got = al.tokens(text)
+        assert (got[0].tolist(), got[1].tolist()) == ((a.tolist(), b.tolist()) if same else ([], [])), repr(text)
+
+
 def brute(docs):
     """The contract over (doc_id, text): every A token against every B token that can overlap."""
     path_a, path_b = align.default_tokenizers()
