@@ -163,6 +163,8 @@ MATERIALS = (
 )
 DIMENSION = r"(?iU)(\bØ?\s?\d{1,3}(?:[.,]\d)?\s?[x×]\s?\d{1,3}(?:[.,]\d)?(?:\s?[x×]\s?\d{1,3}(?:[.,]\d)?)?\s?(?:cm|mm|m\b))"
 WEIGHT = r"(?iU)(\b\d{1,4}(?:[.,]\d{1,3})?\s?(?:g|kg|gr|gramm|grammes?)\b)"
+#: Codes of the target markets and of the two other countries that sources name by code, and their names.
+MARKET_CODES = {"ES": "Spain", "PT": "Portugal", "FR": "France", "DE": "Germany", "IT": "Italy", "AT": "Austria", "BE": "Belgium", "NL": "Netherlands", "IE": "Ireland", "US": "United States", "GB": "United Kingdom", "CN": "China"}
 #: Schemes whose addresses begin with two slashes even without a host; names of what must not be kept.
 ROOTED_SCHEMES = ("ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services")
 SECRET = r"(authorization|cookie|set-cookie|token|password|secret|api[-_]?key|x-auth)"

@@ -338,8 +338,9 @@ def redact_json(c: Column) -> Column:
 
 
 def stock_status(c: Column) -> Column:
-    t = F.lower(F.btrim(c))
-    return F.when(t.isin("in stock", "instock", "available"), "In Stock").when(t.isin("out of stock", "outofstock", "unavailable"), "Out Of Stock").when(t.isin("low stock", "low"), "Low Stock").otherwise("Unknown")
+    """In Stock, Out Of Stock or Low Stock, spelled so in any case; all else Unknown."""
+    t = F.lower(c)
+    return F.when(t == "in stock", "In Stock").when(t == "out of stock", "Out Of Stock").when(t == "low stock", "Low Stock").otherwise("Unknown")
 
 
 def completeness(*cols: Column) -> Column:

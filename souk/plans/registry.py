@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from souk.plans.base import ORACLES, QUERIES
-from souk.plans import catalogue, insights, rules, snapshots, sources  # noqa: F401  (they register themselves)
+from souk.plans import catalogue, insights, records, rules, snapshots, sources  # noqa: F401  (they register themselves)
 
 __all__ = ["ORACLES", "QUERIES"]

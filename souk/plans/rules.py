@@ -191,9 +191,9 @@ def pj5_completeness(spark, d):
     return p.select("product_key", R.completeness(h(F.col("product_name")), h(F.col("description")), h(F.col("stock_status")), h(F.col("image_urls"), True), h(F.col("supplier_price"))).alias("pct"))
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'In Stock' WHEN 'F' THEN 'Out Of Stock' ELSE 'Unknown' END AS stock FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'In Stock' WHEN 1 THEN 'Out Of Stock' WHEN 2 THEN 'Low Stock' ELSE 'Unknown' END AS stock FROM orders")
 def pj8_stock_status(spark, d):
-    said = F.when(F.col("o_orderstatus") == "O", " in STOCK").when(F.col("o_orderstatus") == "F", "outofstock").otherwise("?")
+    said = F.get(F.array(*map(F.lit, ("in STOCK", "Out of Stock", "low stock", "outofstock"))), F.col("o_orderkey") % 5)
     return read_table(spark, d, "orders").select("o_orderkey", R.stock_status(said).alias("stock"))
 
 
@@ -210,7 +210,7 @@ def pj1_map_paths(spark, d):
     return P.map_paths(read_table(spark, d, "events"), "props", {"k": "k"}).select("event_id", "k")
 
 
-@query("WITH z AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS cost, l_linenumber AS lo, l_linenumber + 5 AS hi, l_returnflag AS loc, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_quantity) AS r FROM lineitem WHERE l_returnflag IN ('A', 'R')) SELECT l_orderkey, max(cost) AS cost, max(lo)::INT AS min_days, max(hi)::INT AS max_days, count(*)::INT AS covered FROM z WHERE r = 1 GROUP BY 1")
+@query("WITH z AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS cost, l_linenumber AS lo, l_linenumber + 5 AS hi, l_returnflag AS loc, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_quantity) AS r FROM lineitem WHERE l_returnflag IN ('A', 'R')) SELECT l_orderkey, max(cost) AS cost, min(lo)::INT AS min_days, max(hi)::INT AS max_days, count(*)::INT AS covered FROM z WHERE r = 1 GROUP BY 1")
 def pj6_market_shipping(spark, d):
     l = read_table(spark, d, "lineitem")
     zone = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity", F.array("l_returnflag").alias("locations"))
@@ -219,13 +219,6 @@ def pj6_market_shipping(spark, d):
     return z.select("l_orderkey", P.market_shipping(zones, ["A", "R", "Q"]).alias("w")).where("w.covered > 0").select("l_orderkey", "w.*")
 
 
-@query(f"WITH {SUPPLIERS} SELECT supplier_key, {TEXT('supplier_name')} AS supplier_name, location_country, len(list_distinct(ships_to_countries)) AS markets FROM sup")
-def pj4_normalize_suppliers(spark, d):
-    s = suppliers(spark, d)
-    out, _ = R.normalize_table(s.select("supplier_key", F.concat(F.lit("  "), F.col("supplier_name")).alias("supplier_name"), "location_country", F.array_join("ships_to_countries", " ; ").alias("ships")), {"supplier_name": R.text, "location_country": R.country, "ships": R.country_list})
-    return out.select("supplier_key", "supplier_name", "location_country", F.size("ships").cast("long").alias("markets"))
-
-
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1")
 def st2_ordered_distinct(spark, d):
     """A user's kinds of events as first met; kinds are few, however many events a user has."""
@@ -240,12 +233,3 @@ def pj2_pull_item_field(spark, d):
     brand = F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.struct(F.lit(1).alias("id")))).otherwise(F.to_json(F.struct(F.col("p_brand").alias("value"))))
     items = F.array(brand, F.to_json(F.struct(F.col("p_type").alias("value"))), F.lit("plain"))
     return p.select("p_partkey", F.array_join(F.filter(P.pull_item_field(items, "value"), lambda x: x.isNotNull()), ",").alias("names"))
-
-
-@query(f"WITH {PRODUCTS} SELECT product_key, {TEXT('product_name')} AS product_name, brand, supplier_price::DOUBLE AS supplier_price, CASE WHEN stock_status IS NULL THEN 'Unknown' ELSE 'Out Of Stock' END AS stock_status, stock_quantity, active FROM prod")
-def pj4_normalize_products(spark, d):
-    """The product record from raw text columns."""
-    p = products(spark, d)
-    raw = p.select("product_key", F.concat(F.lit(" "), F.col("product_name"), F.lit("  ")).alias("product_name"), F.concat(F.lit("\t"), F.col("brand")).alias("brand"), F.concat(F.lit("EUR "), F.col("supplier_price").cast("string")).alias("supplier_price"), F.coalesce("stock_status", F.lit("?")).alias("stock_status"), F.col("stock_quantity").cast("string").alias("stock_quantity"), F.when(F.col("active"), "yes").otherwise("no").alias("active"))
-    out, _ = R.normalize_table(raw, {"product_name": R.text, "brand": R.text, "supplier_price": R.price, "stock_status": R.stock_status, "stock_quantity": R.as_int, "active": R.tri_bool})
-    return out

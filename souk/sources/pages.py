@@ -132,10 +132,10 @@ def patch(df: DataFrame, updates: DataFrame, key: str, nulls: str = "keep") -> D
 
 
 def market_shipping(zones: Column, codes: list[str]) -> Column:
-    """Worst case over the target markets: of each code's first zone that covers it the largest cost and days, and how many are covered.
+    """Worst case over the target markets: of each code's first zone that covers it the largest cost, the least minimum and largest maximum of days, and how many are covered.
 
     zones: array<struct<cost double, min_days int, max_days int, locations array<string>>>; no zones: null.
     """
     hits = F.filter(F.transform(F.array(*[F.lit(c) for c in codes]), lambda c: F.try_element_at(F.filter(zones, lambda z: F.array_contains(z["locations"], c)), F.lit(1))), lambda z: z.isNotNull())
-    worst = F.struct(F.array_max(F.transform(hits, lambda z: z["cost"])).alias("cost"), F.array_max(F.transform(hits, lambda z: z["min_days"])).alias("min_days"), F.array_max(F.transform(hits, lambda z: z["max_days"])).alias("max_days"), F.size(hits).alias("covered"))
+    worst = F.struct(F.array_max(F.transform(hits, lambda z: z["cost"])).alias("cost"), F.array_min(F.transform(hits, lambda z: z["min_days"])).alias("min_days"), F.array_max(F.transform(hits, lambda z: z["max_days"])).alias("max_days"), F.size(hits).alias("covered"))
     return F.when(F.coalesce(F.size(zones) > 0, F.lit(False)), worst)
