@@ -1,13 +1,16 @@
 """Ranked targets and diversity-balanced assortments.
 
 An assortment has at most some forty picks, a business limit; candidates have no
-limit. A pick's score depends on the picks before it, so picks are made one at
-a time: each is one distributed top-1 over the pruned, written pool. What stays
-on the driver are the picks. Pruning never changes the result (see ``prune``).
+limit. A pick's score depends on the picks before it, but only falls by what they
+touch, so old values bound it: the best rows of each collection by a bound are fetched
+in one job, and picks are made among them for as long as they beat what was not
+fetched (see ``Frontier``). Pruning never changes the result (see ``prune``).
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,34 +101,68 @@ class State:
             out[p[field]] = out.get(p[field], 0) + 1
         return out
 
-    def lookup(self, field: str) -> Column:
-        n = self.count(field)
-        return F.coalesce(F.create_map(*[F.lit(x) for kv in n.items() for x in kv])[F.col(field)], F.lit(0)) if n else F.lit(0)
+    def rules(self, sel: C.Selection, per_supplier: int, per_collection: int | None = None) -> tuple[Callable, Callable, Callable]:
+        """allowed(row), score(row) and bound(collection, value) as the picks stand."""
+        suppliers, concepts, collections = (self.count(f) for f in ("supplier_key", "concept", "collection"))
+        lines, taken = {p["line"] for p in self.picks if p["line"] is not None}, {p["product_key"] for p in self.picks}
+        prices = [p["price"] for p in self.picks if p["price"] is not None]
+        mean = sum(prices) / len(prices) if prices else None
+        most = per_collection or sel.per_collection_max
 
-    def allowed(self, sel: C.Selection, per_supplier: int, per_collection: int | None = None) -> Column:
-        lines = sorted({p["line"] for p in self.picks if p["line"] is not None})
-        ok = (self.lookup("collection") < (per_collection or sel.per_collection_max)) & (self.lookup("supplier_key") < per_supplier) & (self.lookup("concept") < sel.max_concept)
-        ok = ok & ~F.coalesce(F.col("line").isin(*lines), F.lit(False)) if lines else ok
-        taken = [p["product_key"] for p in self.picks]
-        return ok & ~F.col("product_key").isin(*taken) if taken else ok
+        def bonus(name) -> float:
+            n = collections.get(name, 0)
+            return 6 * (sel.per_collection_min - n) / sel.per_collection_min if n < sel.per_collection_min else 0.0
 
-    def score(self, sel: C.Selection) -> Column:
-        n = self.lookup("collection")
-        bonus = F.when(n < sel.per_collection_min, 6 * (sel.per_collection_min - n) / sel.per_collection_min).otherwise(0.0)
-        prices = [p["price"] for p in self.picks if p["price"] is not None]
-        spread = F.lit(0.0)
-        if prices:
-            mean = sum(prices) / len(prices)
-            spread = F.when(F.col("price").isNotNull(), F.least(F.lit(3.0), 3.0 * F.abs(F.col("price") - mean) / max(1.0, mean))).otherwise(0.0)
-        return F.col("product_score") + bonus - 4 * self.lookup("supplier_key") + spread + 4 * F.col("content_potential") - 8 * self.lookup("concept")
+        def allowed(r: dict) -> bool:
+            return collections.get(r["collection"], 0) < most and suppliers.get(r["supplier_key"], 0) < per_supplier and concepts.get(r["concept"], 0) < sel.max_concept and (r["line"] is None or r["line"] not in lines) and r["product_key"] not in taken
+
+        def score(r: dict) -> float:
+            spread = min(3.0, 3.0 * abs(r["price"] - mean) / max(1.0, mean)) if mean is not None and r["price"] is not None else 0.0
+            return r["product_score"] + bonus(r["collection"]) - 4 * suppliers.get(r["supplier_key"], 0) + spread + 4 * r["content_potential"] - 8 * concepts.get(r["concept"], 0)
+
+        def bound(name, value: float) -> float | None:
+            return value + bonus(name) + 3.0 + 1e-9 if collections.get(name, 0) < most else None
+
+        return allowed, score, bound
 
 
-def _take(pool: DataFrame, state: State, ok: Column, score: Column) -> bool:
-    best = pool.where(ok).withColumn("selection_score", score).orderBy(F.desc("selection_score"), F.desc("product_score"), "product_key").first()
-    if best is None:
-        return False
-    state.picks.append(best.asDict())
-    return True
+class Frontier:
+    """The best rows of each collection by ``product_score + 4 content_potential``, fetched some at a time; picks are made among them.
+
+    A row that is not fetched scores at most its collection's last fetched value, plus
+    the collection's bonus and the largest price spread (3). Penalties only lower that,
+    so a fetched row above all these bounds is the pick of the whole pool, and one job
+    serves many picks. Where a bound is not beaten, that collection's rows are fetched
+    to four times the depth. What the driver holds are ``depth`` rows a collection, and more
+    as often as that happens; a pruned pool's rows seldom make it happen twice.
+    """
+
+    def __init__(self, pool: DataFrame, depth: int = 256) -> None:
+        self.pool, self.sizes = pool, {r["collection"]: r["n"] for r in pool.groupBy("collection").agg(F.count("*").alias("n")).collect()}
+        self.depth, self.rows, self.last = dict.fromkeys(self.sizes, 0), {}, {}
+        self.jobs = 1
+        self.fetch(list(self.sizes), depth)
+
+    def fetch(self, names: list, depth: int) -> None:
+        value = F.col("product_score") + 4 * F.col("content_potential")
+        parts = [self.pool.where(F.col("collection").eqNullSafe(n)).withColumn("_b", value).orderBy(F.desc("_b"), F.desc("product_score"), "product_key").limit(depth) for n in names]
+        got = functools.reduce(DataFrame.unionByName, parts).collect() if parts else []
+        self.jobs += bool(parts)
+        for n in names:
+            mine = [r.asDict() for r in got if r["collection"] == n]
+            self.rows[n], self.depth[n] = mine, depth
+            self.last[n] = min((r["_b"] for r in mine), default=0.0) if len(mine) < self.sizes[n] else None  # None: all are here
+
+    def best(self, allowed: Callable, score: Callable, bound: Callable):
+        """The allowed row of highest (score, product_score), then least key; bound(collection, last fetched value): what other rows score at most, None where none is allowed."""
+        while True:
+            live = [(score(r), r) for rows in self.rows.values() for r in rows if allowed(r)]
+            top = min(live, key=lambda x: (-x[0], -x[1]["product_score"], x[1]["product_key"]), default=None)
+            open_ = [n for n, last in self.last.items() if last is not None and (most := bound(n, last)) is not None and (top is None or most >= top[0])]
+            if not open_:
+                return None if top is None else top[1] | {"selection_score": top[0]}
+            deeper = max(self.depth[n] for n in open_) * 4
+            self.fetch(open_, deeper)
 
 
 def _result(pool: DataFrame, picks: list) -> DataFrame:
@@ -133,13 +170,20 @@ def _result(pool: DataFrame, picks: list) -> DataFrame:
     return pool.sparkSession.createDataFrame(rows, "pick int, product_key string, supplier_key string, collection string, concept string, product_score double, price double")
 
 
+def _fill(front: Frontier, state: State, sel: C.Selection, want: int, per_supplier: int, per_collection: int | None = None) -> None:
+    """Picks by falling selection score until there are ``want``, or none is allowed."""
+    while len(state.picks) < want:
+        best = front.best(*state.rules(sel, per_supplier, per_collection))
+        if best is None:
+            return
+        state.picks.append(best)
+
+
 def select_assortment(pool: DataFrame, sel: C.Selection, seed: list | None = None, free: int | None = None) -> tuple[DataFrame, list[str]]:
     """Up to ``total_max`` picks in order, and notes on what fell short. seed: rows already kept; free: how many to add."""
-    live, state = written(prune(marked(pool), sel.total_max)), State(seed or [])
+    front, state = Frontier(written(prune(marked(pool), sel.total_max))), State(seed or [])
     start = len(state.picks)
-    want = sel.total_max - start if free is None else free
-    while len(state.picks) - start < want and _take(live, state, state.allowed(sel, sel.per_supplier_max), state.score(sel)):
-        pass
+    _fill(front, state, sel, sel.total_max if free is None else start + free, sel.per_supplier_max)
     notes = [] if len(state.picks) >= sel.total_min else [f"only {len(state.picks)} picks, fewer than {sel.total_min}"]
     counts = state.count("collection")
     notes += [f"{c}: {counts.get(c, 0)} picks, fewer than {sel.per_collection_min}" for c in (C.KITCHEN, C.DINING, C.COMFORT, C.BATHROOM) if counts.get(c, 0) < sel.per_collection_min]
@@ -148,13 +192,14 @@ def select_assortment(pool: DataFrame, sel: C.Selection, seed: list | None = Non
 
 def select_new_arrivals(pool: DataFrame, sel: C.Selection, preferred: tuple[str, ...] = (C.KITCHEN, C.COMFORT, C.CATCH_ALL), total: int = 4, per_supplier: int = 2) -> DataFrame:
     """The best of each preferred collection in turn, then greedy up to total; a collection may fill the batch, and one product of it is enough."""
-    live, state = written(prune(marked(pool), max(total, len(preferred)))), State([])
+    front, state = Frontier(written(prune(marked(pool), max(total, len(preferred))))), State([])
     for name in preferred:
         if len(state.picks) < total:
-            _take(live, state, state.allowed(sel, per_supplier, total) & (F.col("collection") == name), F.col("product_score"))
-    one = replace(sel, per_collection_min=1)
-    while len(state.picks) < total and _take(live, state, state.allowed(sel, per_supplier, total), state.score(one)):
-        pass
+            allowed, _, _ = state.rules(sel, per_supplier, total)
+            best = front.best(lambda r, ok=allowed, n=name: r["collection"] == n and ok(r), lambda r: r["product_score"], lambda n, value, own=name: value if n == own else None)  # content counts at least 0
+            if best is not None:
+                state.picks.append(best)
+    _fill(front, state, replace(sel, per_collection_min=1), total, per_supplier, total)
     return _result(pool, state.picks)
 
 

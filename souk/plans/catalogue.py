@@ -354,38 +354,78 @@ def fl4_fl5_candidates(spark, d):
 
 
 def pool(spark, d):
-    """A wide pool: every priced product, by its score."""
+    """A wide pool: every product, with a score from its key's hash."""
     p = classify.classify(products(spark, d), CFG)
-    score = F.round(40 + F.pmod(F.xxhash64("product_key"), F.lit(600)) / 10.0, 1)
+    score = F.round(40 + F.conv(F.substring(F.md5("product_key"), 1, 6), 16, 10).cast("long") % 600 / 10.0, 1)
     return p.select("product_key", F.coalesce("supplier_key", F.lit("unknown")).alias("supplier_key"), "collection", F.col("product_name").alias("name"), score.alias("product_score"), F.col("suggested_retail_price").cast("double").alias("price"), F.least(F.lit(1.0), 0.4 + 0.15 * F.size("image_urls")).alias("content_potential"))
 
 
-@query()
+WORDS_SQL = f"list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), '-'), lambda x: x <> '' AND x NOT IN {C.CONCEPT_STOPWORDS})"
+POOL_SQL = f"""{PRODUCTS}, {classified_sql('prod', 'product_name || chr(32) || coalesce(subcategory, chr(0)) || chr(32) || coalesce(description, chr(0))', 'category || chr(32) || coalesce(subcategory, chr(0))', 'product_key, supplier_key, product_name, suggested_retail_price, image_urls')},
+pool0 AS (SELECT product_key, coalesce(supplier_key, 'unknown') AS supplier_key, collection, product_name AS name, round(40 + ('0x' || substr(md5(product_key), 1, 6))::BIGINT % 600 / 10.0::DOUBLE, 1) AS product_score, suggested_retail_price::DOUBLE AS price, least(1.0::DOUBLE, 0.4::DOUBLE + 0.15::DOUBLE * len(image_urls)) AS content FROM classed),
+pool AS (SELECT *, coalesce(nullif(array_to_string(list_sort(({WORDS_SQL})[1:4]), '-'), ''), product_key) AS concept, CASE WHEN price IS NOT NULL THEN supplier_key || '|' || collection || '|' || round_even(price::DECIMAL(18,6), 0)::BIGINT END AS line FROM pool0)""".replace("chr(0)", "''")
+
+
+def greedy_sql(name: str, source: str, picks: int, least: int, most: int, per_supplier: int, start: str = "", only: str = "", value: str = "") -> str:
+    """A recursive table of picks: each step takes the best row that is allowed, scored against the picks so far. start: a table of the state to go on from; only, value: a further condition, another score."""
+    names = ("product_key", "supplier_key", "collection", "concept", "line", "price", "product_score")
+    many = lambda c: f"len(list_filter(r.{c}s, lambda x: x = p.{c}))"
+    score = f"""p.product_score + CASE WHEN {many('collection')} < {least} THEN 6 * ({least} - {many('collection')}) / {least}::DOUBLE ELSE 0.0::DOUBLE END - 4 * {many('supplier_key')}
+      + CASE WHEN p.price IS NOT NULL AND len(r.known) > 0 THEN least(3.0::DOUBLE, 3.0::DOUBLE * abs(p.price - list_avg(r.known)) / greatest(1.0::DOUBLE, list_avg(r.known))) ELSE 0.0::DOUBLE END + 4 * p.content - 8 * {many('concept')}"""
+    begin = start or "SELECT 0 AS n, " + ", ".join(f"[]::{'DOUBLE' if c in ('price', 'product_score') else 'VARCHAR'}[] AS {c}s" for c in names) + ", []::DOUBLE[] AS known"
+    return f"""{name} AS ({begin} UNION ALL
+  SELECT n + 1, {', '.join(f'list_append({c}s, {c})' for c in names)}, CASE WHEN price IS NULL THEN known ELSE list_append(known, price) END FROM (
+    SELECT r.*, p.*, row_number() OVER (ORDER BY round({value or score}, 9) DESC, p.product_score DESC, p.product_key) AS place FROM {name} r, {source} p
+    WHERE n < {picks} AND {many('collection')} < {most} AND {many('supplier_key')} < {per_supplier} AND {many('concept')} < 2 AND (p.line IS NULL OR NOT list_contains(r.lines, p.line)) AND NOT list_contains(r.product_keys, p.product_key) {only}) WHERE place = 1)"""
+
+
+def picked_sql(name: str, skip: int = 0) -> str:
+    """The rows of the last state, in order."""
+    get = lambda c: f"{c}s[i] AS {c}"
+    return f"SELECT (i - {skip})::INT AS pick, {', '.join(map(get, ('product_key', 'supplier_key', 'collection', 'concept', 'product_score', 'price')))} FROM (SELECT *, unnest(range({skip} + 1, len(product_keys) + 1)) AS i FROM (SELECT * FROM {name} ORDER BY n DESC LIMIT 1))"
+
+
+SEL = C.Selection()
+BEST = greedy_sql("best", "pool", SEL.total_max, SEL.per_collection_min, SEL.per_collection_max, SEL.per_supplier_max)
+
+
+@query(f"""WITH {POOL_SQL}, same AS (SELECT *, row_number() OVER (PARTITION BY collection, supplier_key, concept, price, content ORDER BY product_score DESC, product_key) AS r FROM pool),
+one AS (SELECT *, product_score + 4 * content AS b FROM same WHERE r = 1 OR (price IS NULL AND r <= 2)),
+floors AS ({' UNION ALL '.join(f"SELECT '{v}' AS kind, collection, v AS floor FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY v DESC) AS k FROM (SELECT collection, concept, max(v) AS v FROM (SELECT collection, supplier_key, max({v}) AS v, (max({{'v': {v}, 'c': concept}})).c AS concept FROM one GROUP BY 1, 2) GROUP BY 1, 2)) WHERE k = 81" for v in ('b', 'product_score'))})
+SELECT product_key, collection, product_score FROM one LEFT JOIN (SELECT collection, max(floor) FILTER (kind = 'b') AS f1, max(floor) FILTER (kind = 'product_score') AS f2 FROM floors GROUP BY 1) USING (collection) WHERE f1 IS NULL OR f2 IS NULL OR b + 3 >= f1 OR product_score >= f2""")
 def rk5_prune(spark, d):
     return selection.prune(selection.marked(pool(spark, d)), 40).select("product_key", "collection", "product_score")
 
 
-@query()
+@query(f"WITH RECURSIVE {POOL_SQL}, {BEST} {picked_sql('best')}")
 def rk6_rk8_assortment(spark, d):
-    return selection.select_assortment(pool(spark, d), C.Selection())[0]
+    return selection.select_assortment(pool(spark, d), SEL)[0]
 
 
-@query()
+GONE = "kept AS (SELECT " + ", ".join(f"list({c} ORDER BY i) FILTER (i > 3) AS {c}s" for c in ("product_key", "supplier_key", "collection", "concept", "line", "price", "product_score")) + ", list(price ORDER BY i) FILTER (i > 3 AND price IS NOT NULL) AS known, count(*) - 3 AS n FROM (SELECT unnest(range(1, len(product_keys) + 1)) AS i, " + ", ".join(f"unnest({c}s) AS {c}" for c in ("product_key", "supplier_key", "collection", "concept", "line", "price", "product_score")) + " FROM (SELECT * FROM best ORDER BY n DESC LIMIT 1)))"
+STATE = ", ".join(f"{c}s" for c in ("product_key", "supplier_key", "collection", "concept", "line", "price", "product_score"))
+WANTED = f"""{greedy_sql('wanted', 'pool', 3, 1, 4, 2, only=f"AND p.collection = {[C.KITCHEN, C.COMFORT, C.CATCH_ALL]}[n + 1]", value='p.product_score')}, {greedy_sql('arrivals', 'pool', 4, 1, 4, 2, f"SELECT n, {STATE}, known FROM (SELECT * FROM wanted ORDER BY n DESC LIMIT 1)")}"""
+
+
+@query(f"WITH RECURSIVE {POOL_SQL}, {WANTED} {picked_sql('arrivals')}")
 def rk9_new_arrivals(spark, d):
-    return selection.select_new_arrivals(pool(spark, d), C.Selection())
+    return selection.select_new_arrivals(pool(spark, d), SEL)
 
 
-@query()
+REFILL = greedy_sql("refill", "rest", SEL.total_max, SEL.per_collection_min, SEL.per_collection_max, SEL.per_supplier_max, f"SELECT n, {STATE}, known FROM kept")
+
+
+@query(f"WITH RECURSIVE {POOL_SQL}, {BEST}, {GONE}, rest AS (SELECT * FROM pool WHERE NOT list_contains((SELECT product_keys FROM best ORDER BY n DESC LIMIT 1), product_key)), {REFILL} {picked_sql('refill', 37)}")
 def rk10_backfill(spark, d):
     p = pool(spark, d)
-    first = selection.select_assortment(p, C.Selection())[0]
+    first = selection.select_assortment(p, SEL)[0]
     kept = p.join(F.broadcast(first.select(F.col("product_key").alias("_k"))), F.col("product_key") == F.col("_k"), "left_semi")  # forty picks
     bad = [r["product_key"] for r in first.orderBy("pick").limit(3).collect()]
-    return selection.reject_and_backfill(kept, p, bad, C.Selection())
+    return selection.reject_and_backfill(kept, p, bad, SEL)
 
 
-@query(f"WITH {PRODUCTS}, {classified_sql('prod', 'product_name || chr(32) || coalesce(subcategory, chr(0)) || chr(32) || coalesce(description, chr(0))', 'category || chr(32) || coalesce(subcategory, chr(0))', 'product_key, selection_status')}, s AS (SELECT * FROM classed WHERE selection_status = 'Selected' ORDER BY product_key LIMIT 40) SELECT 'b1' AS batch, count(*) AS total, count(*) FILTER (collection = 'Kitchen Convenience') AS kitchen_convenience, count(*) FILTER (collection = 'Dining') AS dining, count(*) FILTER (collection = 'Home Comfort') AS home_comfort, count(*) FILTER (collection = 'Bathroom') AS bathroom, count(*) FILTER (collection = 'Practical Finds') AS practical_finds, array_to_string(list_sort(list(product_key)), ', ') AS members, '' AS notes FROM s".replace("chr(0)", "''"))
+@query(f"WITH RECURSIVE {POOL_SQL}, {BEST}, s AS ({picked_sql('best')}) SELECT 'b1' AS batch, count(*) AS total, count(*) FILTER (collection = 'Kitchen Convenience') AS kitchen_convenience, count(*) FILTER (collection = 'Dining') AS dining, count(*) FILTER (collection = 'Home Comfort') AS home_comfort, count(*) FILTER (collection = 'Bathroom') AS bathroom, count(*) FILTER (collection = 'Practical Finds') AS practical_finds, array_to_string(list_sort(list(product_key)), ', ') AS members FROM s")
 def rk11_batch(spark, d):
-    """The first forty of the Selected; a batch is never larger than an assortment."""
-    chosen = classify.classify(products(spark, d), CFG).where("selection_status = 'Selected'").orderBy("product_key").limit(C.Selection().total_max)
-    return selection.make_batch(chosen, "b1", [])
+    """The batch row of an assortment."""
+    chosen, notes = selection.select_assortment(pool(spark, d), SEL)
+    return selection.make_batch(chosen, "b1", notes).drop("notes")

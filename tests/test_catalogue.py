@@ -143,6 +143,25 @@ def test_pruned_distributed_greedy_is_the_plain_greedy(spark):
     assert not filled & set(keys) and len(filled) <= 2
 
 
+def test_forty_picks_in_few_jobs(spark, monkeypatch):
+    """The loop's picks, however few rows are fetched at first, and at most ten fetches."""
+    rng, sel, made = random.Random(6), C.Selection(), []
+    df = spark.createDataFrame(random_pool(rng, 1500), "product_key string, supplier_key string, collection string, name string, product_score double, price double, content_potential double")
+    want = [r["product_key"] for r in greedy([r.asDict() for r in selection.marked(df).collect()], sel)]
+
+    class Watched(selection.Frontier):
+        def __init__(self, pool, depth=256):
+            super().__init__(pool, first or depth)
+            made.append(self)
+
+    monkeypatch.setattr(selection, "Frontier", Watched)
+    for first in (4, None):
+        got, _ = selection.select_assortment(df, sel)
+        assert [r.product_key for r in got.orderBy("pick").collect()] == want
+        assert made[-1].jobs <= 10
+    assert made[-1].jobs == 2 and max(made[-1].depth.values()) == 256
+
+
 def arrivals(rows, total=4, cap=2):
     """One of each preferred collection, then the best by score with a bonus for collections not yet met."""
     picks, pool = [], sorted(rows, key=lambda r: (-r["product_score"], r["product_key"]))
