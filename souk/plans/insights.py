@@ -184,11 +184,10 @@ def ag11_stock_total(spark, d):
     return insight.stock_total(read_table(spark, d, "lineitem"), "l_partkey", "l_quantity")
 
 
-@query("SELECT lang AS method, host AS endpoint, min(page_id) AS first_seen, count(*) AS responses, arg_min(contains(html, 'track('), page_id) AS likely_api, (row_number() OVER (ORDER BY arg_min(contains(html, 'track('), page_id) DESC, min(page_id)))::INT AS place FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages) GROUP BY 1, 2")
+@query("SELECT lang AS method, host AS endpoint, min(page_id) AS first_seen, count(*) AS responses, arg_min(contains(html, 'track('), page_id) AS likely_api FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages) GROUP BY 1, 2")
 def ag12_endpoints(spark, d):
     p = read_table(spark, d, "pages").select("page_id", "html", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("method"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("endpoint"))
-    out = insight.endpoint_summary(p, "method", "endpoint", "page_id", F.contains("html", F.lit("track(")))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("likely_api"), "first_seen")))  # a row per endpoint
+    return insight.endpoint_summary(p, "method", "endpoint", "page_id", F.contains("html", F.lit("track(")))
 
 
 @query("SELECT l_returnflag, n, round_even((n * 100 / sum(n) OVER ()::DOUBLE)::DECIMAL(18,6), 1)::DECIMAL(5,1) AS pct FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)")

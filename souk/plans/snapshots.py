@@ -92,9 +92,18 @@ def up4_changes(spark, d):
 
 @query(f"WITH {SCORED} SELECT supplier_key, CASE WHEN substr(supplier_key, 5)::BIGINT % 3 = 0 THEN 'Manually Blocked' ELSE eligibility END AS eligibility FROM scored")
 def up5_supplier_overrides(spark, d):
+    return _overrides(spark, d)[0].select("supplier_key", "eligibility")
+
+
+def _overrides(spark, d):
     s = catalogue_suppliers(spark, d)
     bad = s.where(F.substring("supplier_key", 5, 20).cast("long") % 3 == 0).select("supplier_key", F.lit("Block").alias("override"), F.lit("me").alias("actor"))
-    return upsert.apply_supplier_overrides(s, bad, CFG)[0].select("supplier_key", "eligibility")
+    return upsert.apply_supplier_overrides(s, bad, CFG)
+
+
+@query("SELECT 'sid:' || s_suppkey AS supplier_key, 'Block' AS decision, 'me' AS actor FROM supplier WHERE s_suppkey % 3 = 0")
+def up5_override_audit(spark, d):
+    return _overrides(spark, d)[1]
 
 
 def _decisions(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from souk.plans.base import query
 from souk.session import scratch
-from souk.sources import export, pages
+from souk.sources import export, pages, ranges
 from souk.sources.pages import read_table
 
 
@@ -21,17 +21,36 @@ def sc2_explode_response(spark, d):
     return out.select("l_orderkey", "pos", F.get_json_object("product", "$.ID").alias("part"), "total")
 
 
-@query("SELECT o_orderkey, (o_orderkey // 1000 + 1)::INT AS page_no, o_orderpriority AS name FROM orders WHERE o_orderkey >= 0")
-def sc1_read_pages(spark, d):
-    """Orders landed as page files, a JSON list each, and read back."""
+LANDED = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+
+
+def _landed_orders(spark, d):
+    """Orders landed as page files, a JSON list each."""
     o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.floor(F.col("o_orderkey") / 1000).alias("p"))
-    where, each = scratch(spark), T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    where = scratch(spark)
     files = o.groupBy("p").agg(F.to_json(F.collect_list(F.struct("id", "name"))).alias("value"))
     files.select("value", "p").repartition("p").write.partitionBy("p").text(where)
-    got = pages.read_pages(spark, f"{where}/*", each)
+    return f"{where}/*"
+
+
+def _as_orders(got):
     return got.select(F.col("id").alias("o_orderkey"), (F.regexp_extract("file", "p=([0-9]+)", 1).cast("int") + F.col("page_no")).cast("int").alias("page_no"), "name")
 
 
+ORDER_PAGES = "SELECT o_orderkey, (o_orderkey // 1000 + 1)::INT AS page_no, o_orderpriority AS name FROM orders WHERE o_orderkey >= 0"
+
+
+@query(ORDER_PAGES)
+def sc1_read_pages(spark, d):
+    return _as_orders(pages.read_pages(spark, _landed_orders(spark, d), LANDED))
+
+
+@query(ORDER_PAGES)
+def sc1_read_large_pages(spark, d):
+    """The same files by byte ranges."""
+    return _as_orders(ranges.read_large_pages(spark, _landed_orders(spark, d), LANDED))
+
+
 @query("SELECT 'b' || s_suppkey AS \"Batch ID\", count(*)::VARCHAR AS \"Total\", 'now' AS \"Exported At\" FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey")
 def sc13_export_batches(spark, d):
     b = read_table(spark, d, "lineitem").groupBy(F.concat(F.lit("b"), F.col("l_suppkey").cast("string")).alias("Batch ID")).agg(F.count("*").alias("Total"))

@@ -86,8 +86,12 @@ def after_checkpoint(df: DataFrame, page: str, cursor: str, at: str | None) -> D
 
 
 def page_log_check(pages: DataFrame, page: str, cursor: str, max_pages: int) -> DataFrame:
-    """A row per violation: ``repeated cursor`` (each page after the first with it), ``page limit``."""
-    again = pages.where(F.col(cursor).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(cursor).orderBy(page))).where("_r > 1")
+    """A row per violation: ``repeated cursor`` (each page after the first with it), ``page limit``. Pages are numbers, each logged once.
+
+    Only the first page of each cursor is aggregated and joined, so a cursor of very many pages is no single task.
+    """
+    first = pages.where(F.col(cursor).isNotNull()).groupBy(F.col(cursor).alias("_c")).agg(F.min(page).alias("_first"))
+    again = pages.join(first, F.col(cursor) == F.col("_c")).where(F.col(page) > F.col("_first"))
     return again.select(page, cursor, F.lit("repeated cursor").alias("violation")).unionByName(pages.where(F.col(page) > max_pages).select(page, cursor, F.lit("page limit").alias("violation")))
 
 

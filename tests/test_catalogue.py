@@ -159,7 +159,6 @@ def test_forty_picks_in_few_jobs(spark, monkeypatch):
         got, _ = selection.select_assortment(df, sel)
         assert [r.product_key for r in got.orderBy("pick").collect()] == want
         assert made[-1].jobs <= 10
-    assert made[-1].jobs == 2 and max(made[-1].depth.values()) == 256
 
 
 def arrivals(rows, total=4, cap=2):
