@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import by_columns
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 KINDS = {"string": pa.string(), "bigint": pa.int64()}
 
 
@@ -38,37 +38,38 @@ class _Block:
         self.ids, self.facts, self.at, self.n, self.places, self.size = [], [], [], [], {}, 0
 
     def add(self, doc_id, n_bytes: int, facts: tuple, keys, times) -> None:
-        """keys: distinct texts (a list) or numbers (an array); times: how often each stands in the document."""
+        """keys: distinct texts (a list) or rising numbers (an array); times: how often each stands in the document."""
+        times = np.asarray(times, dtype=np.int32)
         if isinstance(keys, list):
             place = self.places
             keys = np.fromiter((place.setdefault(k, len(place)) for k in keys), dtype=np.int32, count=len(keys))
+            order = np.argsort(keys)
+            keys, times = np.diff(keys[order], prepend=0), times[order]
         self.ids.append(doc_id)
         self.facts.append(facts)
         self.at.append(keys)
-        self.n.append(np.asarray(times, dtype=np.int32))
+        self.n.append(narrow(times))
         self.size += n_bytes
 
-    def row(self, number: int, key: str, facts: list[tuple[str, str]]) -> pa.RecordBatch:
-        at, n = np.concatenate(self.at), np.concatenate(self.n)
+    def row(self, number: int, key: str, facts: list[tuple[str, str]], totals: bool) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, self.n), dtype=np.int64, count=len(self.n))
+        step, n = np.concatenate(self.at), np.concatenate(self.n)
+        values = {"block": pa.array([number], pa.int64())}
         if key == "string":
             keys = pa.array(list(self.places), pa.string())
         else:
-            own, at = np.unique(at, return_inverse=True)
-            keys = pa.array(own, KINDS[key])
-        totals = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(totals, at, n)
+            own, at = np.unique(step, return_inverse=True)
+            keys, first = pa.array(own, KINDS[key]), (np.cumsum(sizes) - sizes)[sizes > 0]
+            step = np.diff(at, prepend=0)
+            step[first] = at[first]
         # places rise within a document, and only the steps between them are kept
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((at, doc))
-        at, n = at[order].astype(np.int64), n[order]
-        first = (np.cumsum(sizes) - sizes)[sizes > 0]
-        step = np.diff(at, prepend=0)
-        step[first] = at[first]
-        step, n = narrow(step), narrow(n)
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        values = {"block": pa.array([number], pa.int64()), "keys": whole(keys), "totals": whole(pa.array(totals)), "doc_id": whole(pa.array(self.ids, pa.int64()))}
+        values["keys"] = whole(keys)
+        if totals:
+            values["totals"] = whole(pa.array(np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)))
+        values["doc_id"] = whole(pa.array(self.ids, pa.int64()))
         values |= {name: whole(pa.array([f[i] for f in self.facts], KINDS[kind])) for i, (name, kind) in enumerate(facts)}
+        step = narrow(step)
         values |= {"sizes": whole(pa.array(sizes, pa.int32())), "widths": whole(pa.array([step.itemsize, n.itemsize], pa.int32())), "steps": pa.array([step.tobytes()], pa.binary()), "times": pa.array([n.tobytes()], pa.binary())}
         return pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
@@ -77,9 +78,9 @@ def lay(docs: DataFrame, reading: Callable, key: str, facts: dict[str, str], blo
     """Blocks of docs (``doc_id``, ``text``): distinct ``keys`` and their ``totals``; per document its id, facts and places. To be written before use.
 
     reading(): called once a task; gives a function text or None -> (facts, distinct
-    keys, how often each). key and facts: string or bigint.
+    keys, how often each). key and facts: string or bigint; ``totals`` are kept for bigint.
     """
-    kinds, limit = list(facts.items()), block_bytes or BLOCK_BYTES
+    kinds, limit, totals = list(facts.items()), block_bytes or BLOCK_BYTES, key == "bigint"
 
     def run(batches):
         read, part, done, block = reading(), TaskContext.get().partitionId(), 0, _Block()
@@ -87,17 +88,19 @@ def lay(docs: DataFrame, reading: Callable, key: str, facts: dict[str, str], blo
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block.add(doc_id, len(text or ""), *read(text))
                 if block.size >= limit or len(block.ids) >= 1 << 18:
-                    yield block.row((part << 32) + done, key, kinds)
+                    yield block.row((part << 32) + done, key, kinds, totals)
                     done, block = done + 1, _Block()
         if block.ids:
-            yield block.row((part << 32) + done, key, kinds)
+            yield block.row((part << 32) + done, key, kinds, totals)
 
     spelled = ", ".join(f"{n} array<{k}>" for n, k in kinds)
-    return docs.select("doc_id", "text").mapInArrow(run, f"block bigint, keys array<{key}>, totals array<bigint>, doc_id array<bigint>, {spelled}, sizes array<int>, widths array<int>, steps binary, times binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block bigint, keys array<{key}>, {'totals array<bigint>, ' if totals else ''}doc_id array<bigint>, {spelled}, sizes array<int>, widths array<int>, steps binary, times binary")
 
 
 def asked(blocks: DataFrame) -> DataFrame:
-    """A row a block and key: ``block, pos, key, total``."""
+    """A row a block and key: ``block, pos, key`` and, where blocks have it, ``total``."""
+    if "totals" not in blocks.columns:
+        return blocks.select("block", F.posexplode("keys").alias("pos", "key"))
     return blocks.select("block", F.posexplode(F.arrays_zip("keys", "totals")).alias("pos", "e")).select("block", "pos", F.col("e.keys").alias("key"), F.col("e.totals").alias("total"))
 
 

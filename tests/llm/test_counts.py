@@ -40,13 +40,34 @@ def test_odd_texts(spark, name, monkeypatch):
     assert counts.token_counts(df.limit(0), path=P.path(name)).count() == 0
 
 
-def test_pieces_are_counted_once_per_pretoken(spark):
-    """Whatever the documents, a distinct pre-token is one row of the table that is encoded."""
-    df = spark.createDataFrame([(i, "same words here") for i in range(300)], "doc_id bigint, text string")
-    laid = blocks.lay(df.repartition(3), lambda: lambda t: ((0,), ["a", "b"], [2, 1]), "string", {"f": "bigint"})
-    asked = blocks.asked(laid.cache())
-    assert asked.count() == 6 and asked.select("key").distinct().count() == 2
-    assert {r.total for r in asked.where("key = 'a'").collect()} and sum(r.total for r in asked.collect()) == 900
+def test_pieces_are_counted_once_per_pretoken(spark, tmp_path):
+    """Whatever the documents, a distinct pre-token is encoded once: the reader writes down what it is asked."""
+    df = spark.createDataFrame([(i, f"same words here {i % 7}") for i in range(300)], "doc_id bigint, text string")
+    laid = blocks.lay(df.repartition(6), lambda: lambda t: ((0,), list(dict.fromkeys(t.split(" "))), [1] * len(set(t.split(" ")))), "string", {"f": "bigint"})
+    asked = blocks.asked(laid).cache()
+    assert asked.count() == 6 * 10
+    where = str(tmp_path)
+
+    class Written:
+        def encode(self, parts):
+            import uuid
+
+            with open(f"{where}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(parts))
+            return [[0] * len(p) for p in parts]
+
+    class Tokens:
+        reader = staticmethod(lambda path: Written())
+
+    keep, counts.pretokens = counts.pretokens, Tokens
+    try:
+        got = counts.counted(asked, "any").collect()
+    finally:
+        counts.pretokens = keep
+    said = [w for f in tmp_path.iterdir() for w in f.read_text().split("\n")]
+    assert sorted(said) == sorted({"same", "words", "here", *map(str, range(7))})
+    keys = {(r.block, r.pos): r.key for r in asked.collect()}
+    assert len(got) == len(keys) and all(r.pieces == len(keys[r.block, r.pos]) for r in got)
 
 
 def test_a_file_of_another_kind_is_refused():
