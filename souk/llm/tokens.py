@@ -10,6 +10,7 @@ new ones, many at a time. What is kept changes the speed, never the ids.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -39,6 +40,12 @@ def _state(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        norms = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(p["type"], p.get("behavior"), p.get("invert")) for p in (kind["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if "Lowercase" not in norms or cuts[:1] != [("Split", "Removed", True)]:
+            raise ValueError(f"{path}: chunks are only those of a file that lowers case and drops white space")
         _known[path] = (Tokenizer.from_file(path), {"": b""}, [0])
     return _known[path]
 

@@ -82,3 +82,60 @@ def test_edges(spark):
     assert np.frombuffer(tokens.encode(odd, tokens.default_tokenizer()), "<u4").tolist() == t.encode(odd, add_special_tokens=False).ids
     assert sorted(r.length for r in got if r.doc_id is None) == [809, 4096, 4096]
     assert packing.pack_documents(df.limit(0)).collect() == []
+
+
+def distributed_sweep(lengths, capacity=4096):
+    """(rounds, sequences) of a sweep in which every gap takes one guest a round: what range-partitioned tasks could do.
+
+    Longest first, each piece takes the least gap that holds it and is not taken yet in
+    this round; where there is none but a taken one would do, it waits; else it opens a sequence.
+    """
+    import bisect
+
+    left, gaps, rounds = sorted(lengths, reverse=True), [], 0
+    while left:
+        rounds += 1
+        free, taken, wait = gaps, [], []
+        for n in left:
+            at = bisect.bisect_left(free, n)
+            if at < len(free):
+                bisect.insort(taken, free.pop(at) - n)
+            elif taken and taken[-1] >= n:
+                wait.append(n)
+            else:
+                bisect.insort(taken, capacity - n)
+        gaps, left = sorted(free + taken), wait
+    return rounds, len(gaps)
+
+
+def test_a_sweep_in_tasks_takes_many_rounds(spark):
+    """Why the classes' sweep is not distributed: as few sequences, but dozens of rounds of several jobs each."""
+    from souk.llm import tokens
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r.length for r in tokens.pieces(docs).select("length").collect()]
+    rounds, sequences = distributed_sweep(lengths)
+    own = packing.pack_documents(docs).select("sequence_id").distinct().count()
+    assert rounds > 20 and own <= sequences
+
+
+def test_the_plan_is_bounded_by_classes():
+    """The worst of many random tables stays far below the bound that ``sweep`` states."""
+    import random
+
+    dice = random.Random(1)
+    for _ in range(20):
+        lengths = {n: dice.randint(1, 10**6) for n in dice.sample(range(1, 513), 400)}
+        gaps = {n: dice.randint(1, 10**6) for n in dice.sample(range(1, 4097), 3000)}
+        matches, _, _ = packing.sweep(lengths, gaps, 4096)
+        assert len(matches) <= 13 * (len(gaps) + 3 * len(lengths))
+
+
+def test_other_tokenizer_files_are_refused(spark):
+    import public_tokenizers
+    import pytest
+
+    from souk.llm import tokens
+
+    with pytest.raises(ValueError):
+        tokens.encode("Some Text", public_tokenizers.path("byte_bpe_50k.json"))
