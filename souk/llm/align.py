@@ -57,23 +57,21 @@ def runs(ea: np.ndarray, eb: np.ndarray) -> tuple[list[tuple[int, int, int]], li
     straight, irregular, li, lj = [], [], [], []
     i = j = 0
 
-    def same(p: int, q: int, w: int) -> bool:
-        return a[p : p + w] == b[q : q + w] if w <= SMALL else wide_a[8 * p : 8 * (p + w)] == wide_b[8 * q : 8 * (q + w)]
-
     while i < n and j < m:
         most, k, step = min(n - i, m - j), 0, 1
         # forth by doubled steps, back by halved ones
         while k < most:
-            w = min(step, most - k)
-            if same(i + k, j + k, w):
+            w, p, q = min(step, most - k), i + k, j + k
+            if a[p : p + w] == b[q : q + w] if w <= SMALL else wide_a[8 * p : 8 * (p + w)] == wide_b[8 * q : 8 * (q + w)]:
                 k, step = k + w, step * 2
                 continue
             while w > 1:
                 half = w // 2
-                if same(i + k, j + k, half):
-                    k, w = k + half, w - half
+                if a[p : p + half] == b[q : q + half]:
+                    p, q, w = p + half, q + half, w - half
                 else:
                     w = half
+            k = p - i
             break
         if k:
             straight.append((i, j, k))
@@ -116,17 +114,21 @@ class _Spelled(dict):
         return said
 
 
+NUMBERS = list(map(str, range(1 << 17)))
+
+
 def spelled(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, straight, irregular, names: dict) -> str:
     """``a1,a2|b1;a3|b2,b3``: ids by group, in order. pairs: those of the one-to-one stretches."""
     single = list(map(names.__getitem__, pairs.tolist()))
     a, b = a.tolist(), b.tolist()
+    said = NUMBERS.__getitem__ if max(a + b) < len(NUMBERS) else str
     out, at, g = [], 0, 0
 
     def groups(before: int) -> None:
         nonlocal g
         while g < len(irregular) and irregular[g][0] < before:
             i, i1, j, j1 = irregular[g]
-            out.append(",".join(map(str, a[i:i1])) + "|" + ",".join(map(str, b[j:j1])))
+            out.append(",".join(map(said, a[i:i1])) + "|" + ",".join(map(said, b[j:j1])))
             g += 1
 
     for i, _, k in straight:
@@ -158,6 +160,30 @@ class Aligner:
         same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
         return a, b, same
 
+    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]] | None:
+        """Both sides' ids of words with a blank before each, asked as one text; None where bytes differ for any."""
+        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]  # not beside others
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        fresh = {}
+        for some in ([plain] if plain else []) + [[w] for w in odd]:
+            text = " ".join(some)
+            parts, b = self.a.of.pretokens(" " + text)[0], np.array(self.b.of.model.encode(text) if text else [self.b.of.blank], dtype=np.int32)
+            ids = self.a.pieces(parts)
+            a = np.frombuffer(b"".join(ids), dtype=np.int32)
+            raw = (" " + text).encode("utf-8", "surrogatepass")
+            if not b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw == b"".join(map(self.bytes_b.__getitem__, b.tolist())):
+                return None
+            if len(some) == 1:
+                fresh[some[0]] = a.tobytes(), b.tobytes()
+                continue
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            begins_a = (np.cumsum(size) - size)[[p[0] == " " for p in parts]].tolist()
+            begins_b = (4 * np.flatnonzero(self.b.of.begins[b])).tolist()
+            raw_a, raw_b = a.tobytes(), b.tobytes()
+            both = zip(some, begins_a, [*begins_a[1:], len(raw_a)], begins_b, [*begins_b[1:], len(raw_b)], strict=True)
+            fresh.update([(w, (raw_a[p:q], raw_b[s:t])) for w, p, q, s, t in both])
+        return fresh
+
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides, none where either's bytes are not those of the blank and the text."""
         none = np.zeros(0, dtype=np.int32)
@@ -169,13 +195,9 @@ class Aligner:
         words = text.split(" ")
         got = list(map(self.known.get, words))
         if None in got:
-            new = list({w for w, x in zip(words, got, strict=True) if x is None})
-            fresh = {}
-            for w, a, b in zip(new, self.a.many([" " + w for w in new]), self.b.of.words(new), strict=True):
-                raw = (" " + w).encode("utf-8", "surrogatepass")
-                if not b"".join([self.bytes_a[i] for i in a.tolist()]) == raw == b"".join([self.bytes_b[i] for i in b.tolist()]):
-                    return none, none
-                fresh[w] = a.tobytes(), b.tobytes()
+            fresh = self._learn(list({w for w, x in zip(words, got, strict=True) if x is None}))
+            if fresh is None:
+                return none, none
             got = [fresh[w] if x is None else x for w, x in zip(words, got, strict=True)]
             if self.kept < WORD_BYTES:
                 keep = {w: x for w, x in fresh.items() if len(w) <= pretokens.LONG}
@@ -184,6 +206,7 @@ class Aligner:
         return tuple(np.frombuffer(b"".join([x[side] for x in got]), dtype=np.int32) for side in (0, 1))
 
     def read(self, text: str | None) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """Facts, distinct id pairs and how often each is linked."""
         a, b = self.tokens(text)
         if not len(a):
             return (0, 0, 0, 0, ""), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)

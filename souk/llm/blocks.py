@@ -33,6 +33,20 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
 
 
+WIDE = 0xFFFF
+
+
+def packed(step: np.ndarray) -> tuple[bytes, bytes]:
+    """Steps in two bytes each, and the few that need more, in order, in four."""
+    return np.minimum(step, WIDE).astype("<u2").tobytes(), step[step >= WIDE].astype("<u4").tobytes()
+
+
+def unpacked(short: bytes, wide: bytes) -> np.ndarray:
+    out = np.frombuffer(short, "<u2").astype(np.int64)
+    out[out == WIDE] = np.frombuffer(wide, "<u4")
+    return out
+
+
 class _Block:
     def __init__(self) -> None:
         self.ids, self.facts, self.at, self.n, self.places, self.size = [], [], [], [], {}, 0
@@ -69,8 +83,8 @@ class _Block:
             values["totals"] = whole(pa.array(np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)))
         values["doc_id"] = whole(pa.array(self.ids, pa.int64()))
         values |= {name: whole(pa.array([f[i] for f in self.facts], KINDS[kind])) for i, (name, kind) in enumerate(facts)}
-        step = narrow(step)
-        values |= {"sizes": whole(pa.array(sizes, pa.int32())), "widths": whole(pa.array([step.itemsize, n.itemsize], pa.int32())), "steps": pa.array([step.tobytes()], pa.binary()), "times": pa.array([n.tobytes()], pa.binary())}
+        short, wide = packed(step)
+        values |= {"sizes": whole(pa.array(sizes, pa.int32())), "steps": pa.array([short], pa.binary()), "wide": pa.array([wide], pa.binary()), "times": pa.array([n.tobytes()], pa.binary()), "width": pa.array([n.itemsize], pa.int32())}
         return pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
 
@@ -94,7 +108,7 @@ def lay(docs: DataFrame, reading: Callable, key: str, facts: dict[str, str], blo
             yield block.row((part << 32) + done, key, kinds, totals)
 
     spelled = ", ".join(f"{n} array<{k}>" for n, k in kinds)
-    return docs.select("doc_id", "text").mapInArrow(run, f"block bigint, keys array<{key}>, {'totals array<bigint>, ' if totals else ''}doc_id array<bigint>, {spelled}, sizes array<int>, widths array<int>, steps binary, times binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block bigint, keys array<{key}>, {'totals array<bigint>, ' if totals else ''}doc_id array<bigint>, {spelled}, sizes array<int>, steps binary, wide binary, times binary, width int")
 
 
 def asked(blocks: DataFrame) -> DataFrame:
@@ -104,31 +118,39 @@ def asked(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.posexplode(F.arrays_zip("keys", "totals")).alias("pos", "e")).select("block", "pos", F.col("e.keys").alias("key"), F.col("e.totals").alias("total"))
 
 
-def summed(blocks: DataFrame, answers: DataFrame, names: list[str], facts: list[str]) -> DataFrame:
+def summed(blocks: DataFrame, answers: DataFrame, names: list[str], facts: list[str], small: bool = False) -> DataFrame:
     """A row a document: ``doc_id``, facts, and for each name the sum over its keys of how often times the key's value.
 
     answers: ``block, pos`` and the named values (bigint), for every key of every block.
+    small: there is one name, and its values are below 2^31, so that they travel beside the place in one number.
     """
-    back = answers.groupBy(F.col("block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("v"))  # as many as the block has keys
-    met = blocks.select("block", "doc_id", *facts, "sizes", "widths", "steps", "times").join(back, F.col("block") == F.col("_b"), "left")
-
-    def total(v, sizes, widths, steps, times):
+    if small:
+        one = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col(names[0]))
+    else:
+        one = F.struct("pos", *names)
+    back = answers.groupBy(F.col("block").alias("_b")).agg(F.array_sort(F.collect_list(one)).alias("v"))  # as many as the block has keys
+    met = blocks.select("block", "doc_id", *facts, "sizes", "steps", "wide", "times", "width").join(back, F.col("block") == F.col("_b"), "left")
+
+    def total(v, sizes, steps, wide, times, width):
         out, ends = {n: [] for n in names}, [0]
-        for mine, size, width, step, n in zip(v, sizes, widths.to_pylist(), steps.to_pylist(), times.to_pylist(), strict=True):
+        for mine, size, step, far, n, w in zip(v, sizes, steps.to_pylist(), wide.to_pylist(), times.to_pylist(), width.to_pylist(), strict=True):
             size = size.values.to_numpy().astype(np.int64)
-            at = np.cumsum(np.frombuffer(step, f"<u{width[0]}").astype(np.int64))
-            n = np.frombuffer(n, f"<u{width[1]}").astype(np.int64)
+            at = np.cumsum(unpacked(step, far))
+            n = np.frombuffer(n, f"<u{w}").astype(np.int64)
             stop = np.cumsum(size)
             base = np.concatenate([[0], at])[stop - size]
             at -= np.repeat(base, size)
             for name in names:
-                values = mine.values.field(name).to_numpy() if mine.is_valid else np.zeros(0, dtype=np.int64)
+                if not mine.is_valid:
+                    values = np.zeros(0, dtype=np.int64)
+                else:
+                    values = mine.values.to_numpy() & 0xFFFFFFFF if small else mine.values.field(name).to_numpy()
                 run = np.concatenate([[0], np.cumsum(values[at] * n)])
                 out[name].append(run[stop] - run[stop - size])
             ends.append(ends[-1] + len(size))
         joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *out[n]]), pa.int64()) for n in names]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(joined, names))
 
-    sums = by_columns(total, "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>")("v", "sizes", "widths", "steps", "times")
+    sums = by_columns(total, "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>")("v", "sizes", "steps", "wide", "times", "width")
     each = met.select("doc_id", *facts, sums.alias("s")).select(F.explode(F.arrays_zip("doc_id", *facts, "s")).alias("e"))
     return each.select("e.doc_id", *[f"e.{f}" for f in facts], "e.s.*")

@@ -72,7 +72,7 @@ class ByteLevel:
         return [p for part in parts for p in self.split(part)], len(parts) - 1
 
     def encode(self, pretokens: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
 
     def token_bytes(self) -> list[bytes]:
         known = byte_of()
@@ -104,11 +104,6 @@ class Pieces:
         ids = self.model.encode([p[1:] for p in pretokens], num_threads=1)
         return [np.array(x if len(p) > 1 else [self.blank], dtype=np.int32) for p, x in zip(pretokens, ids, strict=True)]
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words, which hold no blank, each with a blank before it: asked as one text, and told apart by the pieces that begin with a blank."""
-        ids = np.array(self.model.encode(" ".join(words)) if words else [], dtype=np.int32)
-        return np.split(ids, np.flatnonzero(self.begins[ids])[1:]) if words else []
-
     def token_bytes(self) -> list[bytes]:
         return [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(self.names)]
 
@@ -128,17 +123,17 @@ class Ids:
         self.of, self.known, self.kept = of, {}, 0
 
     def ids(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; what is new in all of them is asked at once."""
-        parts = [self.of.pretokens(t)[0] for t in texts]
-        new = {p for each in parts for p in each if p not in self.known}
-        fresh = dict(zip(new, [x.tobytes() for x in self.of.encode(list(new))], strict=True)) if new else {}
-        known = self.known
-        got = [b"".join([fresh[p] if p in fresh else known[p] for p in each]) if fresh else b"".join(map(known.__getitem__, each)) for each in parts]
-        if fresh and self.kept < CACHE_BYTES:
+        return np.frombuffer(b"".join(self.pieces(self.of.pretokens(text)[0])), dtype=np.int32)
+
+    def pieces(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, as bytes; what is new in them is asked at once."""
+        got = list(map(self.known.get, parts))
+        if None not in got:
+            return got
+        new = list({p for p, x in zip(parts, got, strict=True) if x is None})
+        fresh = dict(zip(new, [x.tobytes() for x in self.of.encode(new)], strict=True))
+        if self.kept < CACHE_BYTES:
             keep = {p: x for p, x in fresh.items() if len(p) <= LONG}
-            known.update(keep)
+            self.known.update(keep)
             self.kept += sum(len(p) + len(x) + ENTRY for p, x in keep.items())
-        return [np.frombuffer(x, dtype=np.int32) for x in got]
+        return [fresh[p] if x is None else x for p, x in zip(parts, got, strict=True)]

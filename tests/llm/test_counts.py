@@ -84,3 +84,10 @@ def test_classes_of_characters_are_the_librarys():
         cs = [c for c in map(chr, range(lo, lo + (1 << 14))) if not 0xD800 <= ord(c) < 0xE000 and c not in of.odd]
         t = "".join(f"a{c}1{c}! {c}\n{c}" for c in cs)
         assert of.split(t) == [t[a:b] for _, (a, b) in of.tokenizer.pre_tokenizer.pre_tokenize_str(t)], hex(lo)
+
+
+def test_steps_of_any_size():
+    import numpy as np
+
+    for steps in ([], [0, 1, 65534, 65535, 65536, 4_000_000_000, 3], [65535] * 3, list(range(65530, 65540))):
+        assert blocks.unpacked(*blocks.packed(np.array(steps, dtype=np.int64))).tolist() == steps
