@@ -235,7 +235,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         path_a, path_b = default_tokenizers()
     ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    laid = ws.cut(blocks.lay(only, lambda: aligner(path_a, path_b).read, "bigint", FACTS), "blocks")
+    laid = ws.cut(blocks.lay(only, lambda: aligner(path_a, path_b).read, "bigint", FACTS), "blocks", "zstd")
     asked = blocks.asked(laid)
     values = pair_values(ws, asked)
     answers = asked.join(values, F.col("key") == F.col("_k")).select("block", "pos", "best", "count")

@@ -66,10 +66,10 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df as Parquet and read it back."""
+    def cut(self, df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
+        """Write df as Parquet (by a codec, or the session's) and read it back."""
         where = self.path(name)
-        df.write.parquet(where)
+        df.write.parquet(where, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._souk_path = where
         return out

@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return read
 
-    laid = ws.cut(blocks.lay(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), reading, "string", {"n_bytes": "bigint", "specials": "bigint"}), "blocks")
+    laid = ws.cut(blocks.lay(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), reading, "string", {"n_bytes": "bigint", "specials": "bigint"}), "blocks", "zstd")
     sums = blocks.summed(laid, counted(blocks.asked(laid), path), ["pieces"], ["n_bytes", "specials"], small=True)
     n = F.col("pieces") + F.col("specials")
     return sums.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
