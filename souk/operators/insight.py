@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import schemas
+from souk.session import written
 
 DEAD = ("Scored Rejected", "Gate Failed", "Excluded By Supplier", "Manually Rejected")
 SORTS = {"score": [("product_score", True)], "margin": [("margin_pct", True)], "price": [("retail_price", False)], "price_desc": [("retail_price", True)], "vs_market": [("price_vs_market", False)], "name": [("product_name", False)], "supplier": [("supplier_key", False)]}
@@ -136,11 +137,20 @@ def stock_total(df: DataFrame, key: str, quantity: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(F.coalesce(F.col(quantity), F.lit(0)).cast("decimal(18,2)")).alias("stock"))
 
 
+def placed(df: DataFrame, *order) -> DataFrame:
+    """df with ``place``, from 1 in an order that leaves no ties. Each range of the order is numbered by itself; only the ranges' counts meet."""
+    laid = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = laid.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return laid.join(before, "_range").withColumn("place", place.cast("int")).drop("_range", "_before")
+
+
 def endpoint_summary(log: DataFrame, method: str, endpoint: str, seq: str, likely: Column) -> DataFrame:
-    """Per method and endpoint its first response's place and whether that looked like an API; likely ones first, then as seen."""
+    """Per method and endpoint its first response's place in the log and whether that looked like an API; ``place``: likely ones first, then as seen."""
     first = F.min(F.struct(F.col(seq).alias("seq"), likely.alias("likely"))).alias("f")
     out = log.groupBy(method, endpoint).agg(first, F.count("*").alias("responses"))
-    return out.select(method, endpoint, F.col("f.seq").alias("first_seen"), "responses", F.col("f.likely").alias("likely_api")).orderBy(F.desc("likely_api"), "first_seen")
+    return placed(out.select(method, endpoint, F.col("f.seq").alias("first_seen"), "responses", F.col("f.likely").alias("likely_api")), F.desc("likely_api"), "first_seen")
 
 
 def share(df: DataFrame, n: str) -> DataFrame:

@@ -216,6 +216,19 @@ def test_running_values_across_spans(spark):
         assert r.s == sum(x[1] for x in before) and r.m == max((x[2] for x in before if x[2] is not None), default=None)
 
 
+def test_endpoints_have_their_place(spark, sf):
+    """Likely ones first, then as first seen, in one numbering however many ranges the order is cut into."""
+    rows = [(i, "get" if i % 3 else "post", f"h{i * 7 % 40}", i * 7 % 40 % 4 == 0) for i in range(200)]
+    log = spark.createDataFrame(rows, "seq int, m string, e string, likely boolean")
+    got = insight.endpoint_summary(log, "m", "e", "seq", F.col("likely")).collect()
+    want = {(r.m, r.e): (r.first_seen, r.likely_api) for r in got}
+    assert [(r.m, r.e) for r in sorted(got, key=lambda r: r.place)] == sorted(want, key=lambda k: (not want[k][1], want[k][0]))
+    assert sorted(r.place for r in got) == list(range(1, len(got) + 1))
+    from souk.plans import insights
+
+    assert "place" in insights.ag12_endpoints(spark, sf).columns
+
+
 def test_upsert_twice_is_upsert_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").withColumn("fp", F.sha2("v", 256))
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string").withColumn("fp", F.sha2("v", 256))
