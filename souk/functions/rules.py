@@ -339,8 +339,8 @@ def redact_json(c: Column) -> Column:
 
 def stock_status(c: Column) -> Column:
     """In Stock, Out Of Stock or Low Stock, spelled so in any case; all else Unknown."""
-    t = F.lower(c)
-    return F.when(t == "in stock", "In Stock").when(t == "out of stock", "Out Of Stock").when(t == "low stock", "Low Stock").otherwise("Unknown")
+    words = F.create_map(*[F.lit(x) for w in ("In Stock", "Out Of Stock", "Low Stock") for x in (w.lower(), w)])
+    return F.coalesce(words[F.lower(c)], F.lit("Unknown"))
 
 
 def completeness(*cols: Column) -> Column:

@@ -191,10 +191,13 @@ def pj5_completeness(spark, d):
     return p.select("product_key", R.completeness(h(F.col("product_name")), h(F.col("description")), h(F.col("stock_status")), h(F.col("image_urls"), True), h(F.col("supplier_price"))).alias("pct"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'In Stock' WHEN 1 THEN 'Out Of Stock' WHEN 2 THEN 'Low Stock' ELSE 'Unknown' END AS stock FROM orders")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'In Stock' WHEN 'F' THEN 'Out Of Stock' ELSE 'Unknown' END AS stock, CASE o_orderkey % 5 WHEN 0 THEN 'In Stock' WHEN 1 THEN 'Out Of Stock' WHEN 2 THEN 'Low Stock' ELSE 'Unknown' END AS spelled FROM orders")
 def pj8_stock_status(spark, d):
-    said = F.get(F.array(*map(F.lit, ("in STOCK", "Out of Stock", "low stock", "outofstock"))), F.col("o_orderkey") % 5)
-    return read_table(spark, d, "orders").select("o_orderkey", R.stock_status(said).alias("stock"))
+    """Stock words as the order's status says them, and every spelling by turns."""
+    status = F.col("o_orderstatus")
+    said = F.when(status == "O", " in STOCK").when(status == "F", "Out of Stock").otherwise("?")
+    spelled = F.get(F.array(*map(F.lit, ("in STOCK", "Out of Stock", "low stock", "outofstock"))), F.col("o_orderkey") % 5)
+    return read_table(spark, d, "orders").select("o_orderkey", R.stock_status(F.btrim(said)).alias("stock"), R.stock_status(spelled).alias("spelled"))
 
 
 @query("SELECT p_partkey, p_brand AS brand, 'none' AS colour, 'https://shop/p/' || p_partkey AS link, 'EUR' AS currency FROM part")

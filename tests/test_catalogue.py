@@ -229,6 +229,14 @@ def test_endpoints_have_their_place(spark, sf):
     assert "place" in insights.ag12_endpoints(spark, sf).columns
 
 
+def test_stock_words_follow_the_status(spark, sf):
+    from souk.plans import rules
+
+    words = {"O": "In Stock", "F": "Out Of Stock"}
+    want = sorted((r.o_orderkey, words.get(r.o_orderstatus, "Unknown")) for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
+    assert sorted((r.o_orderkey, r.stock) for r in rules.pj8_stock_status(spark, sf).collect()) == want and len({w for _, w in want}) == 3
+
+
 def test_upsert_twice_is_upsert_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").withColumn("fp", F.sha2("v", 256))
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string").withColumn("fp", F.sha2("v", 256))
