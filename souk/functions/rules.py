@@ -94,30 +94,35 @@ def folds() -> tuple[dict[str, str], dict[str, str]]:
     return {c: p for c, p in found.items() if len(p) == 1}, {c: p for c, p in found.items() if len(p) > 1}
 
 
-def _ranges(chars, gap: int) -> str:
-    """A character class of ranges that hold the characters; with gap over 1, of others between them."""
-    spans: list[list[int]] = []
-    for i in sorted(map(ord, chars)):
-        if spans and i - spans[-1][1] <= gap:
-            spans[-1][1] = i
-        else:
-            spans.append([i, i])
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+def plain(c: Column) -> Column:
+    """NFKD of a text, of which the ASCII characters stay. Spark has no such function: wide texts go through Arrow, all others stay where they are."""
+    import pyarrow as pa
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _plain(t) for t in texts.to_pylist()], pa.string())
 
-def slug(c: Column) -> Column:
-    """ASCII letters and digits in lower case, all else one dash; other letters drop. Null gives an empty text.
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(_wide(c), c)), c)
 
-    ASCII texts skip all tables. Few texts hold characters that become several; a dozen
-    wide ranges find them, and they are cut at those characters alone.
-    """
-    one, several = folds()
-    exact = _ranges(several, 1)
-    names = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    parts = F.regexp_extract_all(c, F.lit(f"[{exact}]|[^{exact}]+"), F.lit(0))
-    spelled = F.when(c.rlike(f"[{_ranges(several, 64)}]"), F.array_join(F.transform(parts, lambda x: F.coalesce(names[x], x)), "")).otherwise(c)
-    ascii_ = F.when(_wide(c), F.regexp_replace(F.translate(spelled, "".join(one), "".join(one.values())), r"[^\x00-\x7F]+", "")).otherwise(c)
-    return F.coalesce(F.btrim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
+
+def plain_each(c: Column) -> Column:
+    """:func:`plain` of a list's texts."""
+    import pyarrow as pa
+
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [None if t is None else _plain(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.coalesce(F.arrow_udf(run, "array<string>")(F.when(F.exists(c, lambda t: F.coalesce(_wide(t), F.lit(False))), c)), c)
+
+
+def _dashed(c: Column) -> Column:
+    return F.coalesce(F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
+
+
+def slug(c: Column) -> Column:
+    """ASCII letters and digits in lower case, all else one dash; other letters drop. Null gives an empty text."""
+    return _dashed(plain(c))
 
 
 def _decoded(c: Column) -> Column:
@@ -221,24 +226,24 @@ def digest20(*parts: Column) -> Column:
 
 def supplier_key(sid: Column, link: Column, name: Column, place: Column) -> Column:
     """``sid:``, else ``surl:``, else ``shash:``; null where nothing identifies a supplier."""
-    s, u = text(sid), url(link)
-    return F.coalesce(F.concat(F.lit("sid:"), s), F.concat(F.lit("surl:"), F.when(u.isNotNull(), digest20(u))), F.when(slug(name) != "", F.concat(F.lit("shash:"), digest20(slug(name), slug(place)))))
+    s, u, n = text(sid), url(link), slug(name)
+    return F.coalesce(F.concat(F.lit("sid:"), s), F.concat(F.lit("surl:"), F.when(u.isNotNull(), digest20(u))), F.when(n != "", F.concat(F.lit("shash:"), digest20(n, slug(place)))))
 
 
 def variant_signature(variants: Column) -> Column:
     """Digest of the sorted slugs of ``sku:id:option:title`` texts; empty for none."""
-    parts = F.array_sort(F.filter(F.transform(variants, slug), lambda x: x != ""))
+    parts = F.array_sort(F.filter(F.transform(plain_each(variants), _dashed), lambda x: x != ""))
     return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, F.substring(F.sha2(F.array_join(parts, "|"), 256), 1, 20)).otherwise("")
 
 
 def product_key(skey: Column, pid: Column, sku: Column, link: Column, name: Column, variants: Column) -> Column:
     """``pid:``, else ``psku:``, else ``purl:``, else ``phash:``; null where nothing identifies a product."""
-    p, s, u = text(pid), text(sku), url(link)
+    p, s, u, n = text(pid), text(sku), url(link), slug(name)
     return F.coalesce(
         F.concat(F.lit("pid:"), p),
         F.when(s.isNotNull(), F.concat(F.lit("psku:"), digest20(skey, s))),
         F.when(u.isNotNull(), F.concat(F.lit("purl:"), digest20(u))),
-        F.when(slug(name) != "", F.concat(F.lit("phash:"), digest20(skey, slug(name), variant_signature(variants)))),
+        F.when(n != "", F.concat(F.lit("phash:"), digest20(skey, n, variant_signature(variants)))),
     )
 
 

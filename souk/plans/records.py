@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import lifecycle
 from souk.plans.base import query
+from souk.session import spread
 from souk.sources import records
 from souk.sources.pages import read_table
 
@@ -49,7 +50,7 @@ def pj4_normalize_suppliers(spark, d):
 
 def raw_products(spark, d):
     """A product as its source sends it: key ladder, prices in several spellings, zones, variants, pictures."""
-    p, k = read_table(spark, d, "part"), F.col("p_partkey")
+    p, k = spread(read_table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "p_partkey"), F.col("p_partkey")
     text = k.cast("string")
     one = lambda n, *values: F.get(F.array(*[F.lit(v) for v in values]), k % n)
     zone = lambda cost, lo, hi, *where: F.struct(cost.alias("cost"), F.lit(lo).alias("min_days"), F.lit(hi).alias("max_days"), F.array(*map(F.lit, where)).alias("locations"))

@@ -42,6 +42,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df's rows over all cores, by keys that few rows share. For rules that cost much a row: a table of few bytes is one file split, and its rows one task, however many they are."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souk.operators import lifecycle
+from souk.plans import records as plans
 from souk.session import written
 from souk.sources import pages, records
 
@@ -73,3 +74,9 @@ def test_stored_rows_through_their_life(spark, tmp_path):
     assert (r._action, r.is_new, r.supplier_price, r.selection_status, r.first_seen_at.day, r.last_changed_at.day, r.source_label) == ("updated", False, 9.0, "Selected", 1, 3, "kept")
     twice = read(price="9").unionByName(read(price="8"))
     assert lifecycle.store(chosen, twice, life, "2024-01-04", "r4").count() == 1
+
+
+def test_product_rows_are_spread(spark, sf):
+    """A table of products is one file split; their rules run in many tasks."""
+    assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    assert plans.raw_products(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
