@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import lifecycle
 from souk.plans.base import query
-from souk.session import spread
+from souk.session import spread, written
 from souk.sources import records
 from souk.sources.pages import read_table
 
@@ -92,7 +92,7 @@ SELECT product_key, product_name, image_urls, stock_status, stock_quantity, acti
   CASE WHEN first THEN 'Manual Review' ELSE 'Unscored' END AS review_status, NOT (first AND again AND changes) AS is_new, CASE WHEN first THEN 1 ELSE 2 END AS first_seen, CASE WHEN again THEN 2 ELSE 1 END AS last_seen, CASE WHEN first AND again AND changes THEN 2 END AS last_changed, CASE WHEN again THEN 'run2' ELSE 'run1' END AS last_scan_run FROM s WHERE first OR again)""")
 def pj7_store_products(spark, d):
     """Two scans: what is created, changed, seen again or not seen; a person's status in between stays."""
-    life, rows = lifecycle.PRODUCTS, records.normalize_products(raw_products(spark, d), CODES)
+    life, rows = lifecycle.PRODUCTS, written(records.normalize_products(raw_products(spark, d), CODES))  # both scans read it
     first, again = rows.where("stock_quantity % 3 <> 0"), rows.where("stock_quantity % 5 <> 0")
     again = again.withColumn("stock_quantity", F.col("stock_quantity") + F.when(F.col("stock_quantity") % 4 == 0, 1).otherwise(0))
     a, b = (lifecycle.store_rows(x, life) for x in (first, again))

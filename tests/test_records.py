@@ -80,3 +80,9 @@ def test_product_rows_are_spread(spark, sf):
     """A table of products is one file split; their rules run in many tasks."""
     assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
     assert plans.raw_products(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_two_scans_normalize_once(spark, sf):
+    """Both scans of the stored products read the normalized rows as a table; none runs the rules again."""
+    said = plans.pj7_store_products(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in said and "regexp_replace" not in said
