@@ -197,8 +197,9 @@ def ag13_share(spark, d):
 
 @query(f"WITH {OFFERS}, {margin_sql('offer')} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, margin_pct FROM m4 WHERE margin_pct >= 40 AND NOT uncompetitive ORDER BY margin_pct DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, supplier_price LIMIT 40")
 def rk13_top_winners(spark, d):
-    m = pricing.margin(offers(spark, d), CFG.margin).where((F.col("margin_pct") >= 40) & ~F.col("uncompetitive"))
-    return m.orderBy(F.desc("margin_pct"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "supplier_price").limit(40).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "margin_pct")
+    # what does not win sorts last and goes after the limit; a condition before it would be pushed below the margin's steps, and repeat them in each of its terms
+    m = pricing.margin(offers(spark, d), CFG.margin).withColumn("margin_pct", F.when((F.col("margin_pct") >= 40) & ~F.col("uncompetitive"), F.col("margin_pct")))
+    return m.orderBy(F.desc_nulls_last("margin_pct"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "supplier_price").limit(40).where("margin_pct IS NOT NULL").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "margin_pct")
 
 
 # --- publishing

@@ -237,6 +237,14 @@ def test_stock_words_follow_the_status(spark, sf):
     assert sorted((r.o_orderkey, r.stock) for r in rules.pj8_stock_status(spark, sf).collect()) == want and len({w for _, w in want}) == 3
 
 
+def test_no_filter_repeats_the_margin(spark, sf):
+    """The winners' condition stands above the limit, not below the margin's steps."""
+    from souk.plans import insights
+
+    plan = insights.rk13_top_winners(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bround" not in "".join(x for x in plan.splitlines() if "Filter" in x)
+
+
 def test_upsert_twice_is_upsert_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").withColumn("fp", F.sha2("v", 256))
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string").withColumn("fp", F.sha2("v", 256))
