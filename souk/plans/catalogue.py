@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from souk.functions import config as C
 from souk.operators import classify, pricing, rescoring, scoring, selection
 from souk.plans.base import OFFERS, PRODUCTS, SUPPLIERS, margin_sql, offers, products, query, suppliers
-from souk.session import written
+from souk.session import spread, written
 from souk.sources.pages import read_table
 
 CFG = C.Config(markets=("EUROPE", "ASIA", "AFRICA"), dispatch_allowed=("EUROPE", "AFRICA"), supplier_gates=C.SupplierGates(require_target_market=True))
@@ -269,16 +269,21 @@ def jn1_with_supplier(spark, d):
     return scoring.with_supplier(products(spark, d), scoring.score_suppliers(suppliers(spark, d), CFG)).select("product_key", "supplier_eligibility", "supplier_score")
 
 
+def _texts(spark, d):
+    """Every document's text, over all cores: the given file may be one split."""
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 @query()
 def pg2_scope_exclusion(spark, d):
     """Lookaheads, which DuckDB's patterns lack; tests hold it against Python's."""
-    return read_table(spark, d, "documents").select("doc_id", scoring.is_excluded(F.lower("text")).alias("excluded"))
+    return _texts(spark, d).select("doc_id", scoring.is_excluded(F.lower("text")).alias("excluded"))
 
 
 @query("SELECT doc_id, regexp_matches(translate(lower(text), chr(10), ' '), '" + "|".join(f"(?:{p})" for p in PLAIN if "é" not in p and "\\w*" not in p) + "') AS excluded FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents)")
 def pg2_scope_exclusion_plain(spark, d):
     t = F.translate(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")), "\n", " ")
-    return read_table(spark, d, "documents").select("doc_id", scoring.is_excluded(t, tuple(p for p in PLAIN if "é" not in p and "\\w*" not in p)).alias("excluded"))
+    return _texts(spark, d).select("doc_id", scoring.is_excluded(t, tuple(p for p in PLAIN if "é" not in p and "\\w*" not in p)).alias("excluded"))
 
 
 # word boundaries that know all letters, as RE2 has none

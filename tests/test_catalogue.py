@@ -245,6 +245,13 @@ def test_no_filter_repeats_the_margin(spark, sf):
     assert "bround" not in "".join(x for x in plan.splitlines() if "Filter" in x)
 
 
+def test_texts_are_spread_for_the_exclusions(spark, sf):
+    from souk.plans import catalogue
+
+    for f in (catalogue.pg2_scope_exclusion, catalogue.pg2_scope_exclusion_plain):
+        assert f(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_upsert_twice_is_upsert_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").withColumn("fp", F.sha2("v", 256))
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string").withColumn("fp", F.sha2("v", 256))
