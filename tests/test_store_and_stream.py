@@ -106,6 +106,30 @@ def test_changes_within_and_across_spans(spark):
         assert sorted((r.k, r.page_no, r.pos, r.change_type, tuple(r.changed_fields)) for r in log) == want
 
 
+@pytest.mark.parametrize("hot", [20, 1 << 16])
+def test_hot_keys_and_late_rows_of_a_batch_in_spans(spark, hot):
+    first = [("hot", "0", 0, 9, 1), ("cold", "c", 1, 7, 0), ("gone", "g", 1, 2, 0)]
+    later = [("hot", str(i // 3), i % 2, i // 4, i % 4) for i in range(200)] + [("cold", "c", 1, 7, 0), ("cold", "c", 1, 8, 0), ("new", "n", None, 3, 1)]
+    kinds = {"v": "V", "w": "W"}
+    stored = ingest.merge(spark.createDataFrame([], ingest.stored_schema(KIND)), spark.createDataFrame(first, KIND), "k", ["v", "w"]).drop("_action").localCheckpoint()
+    want_store, want_log = by_hand([first, later])
+    for span in (1, 7, 1000):
+        rows = ingest.in_sequence(stored, spark.createDataFrame(later, KIND).repartition(3), "k", ["v", "w"], span, hot)
+        log = ingest.changes(rows, "k", kinds).collect()
+        assert sorted((r.k, r.page_no, r.pos, r.change_type, tuple(r.changed_fields)) for r in log) == [x for x in want_log if x not in by_hand([first])[1]]
+        assert {(r.k, r.v, r.w, r.page_no, r.pos) for r in ingest.merged(stored, rows, "k").collect()} == want_store
+
+
+def test_a_batch_is_put_in_sequence_once(spark, tmp_path, monkeypatch):
+    """Log and store read the same rows; they were put in sequence for each before."""
+    made, once = [], ingest.in_sequence
+    monkeypatch.setattr(ingest, "in_sequence", lambda *a, **k: made.append(once(*a, **k)) or made[-1])
+    land(tmp_path / "land", pages(4, 3), range(1_000_000, 1_000_004))
+    run(spark, tmp_path, 2)
+    assert len(made) == 2
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 1 for df in made)
+
+
 def test_a_large_page_does_not_run_into_the_next(spark):
     none = spark.createDataFrame([], ingest.stored_schema(KIND))
     rows = [("a", "1", 1, 1, 5_000_000), ("a", "2", 1, 2, 0)]
