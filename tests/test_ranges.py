@@ -59,3 +59,28 @@ def test_stretches_of_text_and_depth():
     assert ranges.outside('{"products": [{"id": 1', False, 0, 2) == (14, False, 2)
     assert ranges.outside('{"cursor": "a', False, 0, 2) == (-1, True, 1)
     assert ranges.outside('b", "products": [ {', True, 1, 2) == (18, False, 2)
+
+
+def test_many_files_stream_through_a_task():
+    """Ranges of many files begin as they should, file after file in one stream; not a group, and a call, for each file."""
+    import pyarrow as pa
+
+    names = ["file", "block", "out_inside", "out_depth", "in_inside", "in_depth", "first"]
+    rows = [(f"f{f:03d}", 100 * b, b == 1, 2, True, 1, "[" if f % 2 else "{") for f in range(200) for b in range(3)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 7]]) for k in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for batch in ranges._begins(batches) for r in batch.to_pylist()]
+    want = [(f"f{f:03d}", 100 * b, b == 2, 2 * b, 1 if f % 2 else 2) for f in range(200) for b in range(3)]
+    assert got == want
+
+
+def test_no_group_for_each_file(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k:02d}.json").write_text(json.dumps([{"id": f"p{k}-{i}"} for i in range(k % 3)]))
+    seen, once = [], ranges.written
+    try:
+        ranges.written = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or once(df)
+        got = ranges.read_large_pages(spark, str(tmp_path), KIND)
+    finally:
+        ranges.written = once
+    assert sorted(r.id for r in got.collect()) == sorted(f"p{k}-{i}" for k in range(40) for i in range(k % 3))
+    assert len(seen) == 1 and "FlatMapGroups" not in seen[0]
