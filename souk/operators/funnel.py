@@ -19,7 +19,8 @@ def run(products: DataFrame, suppliers: DataFrame, details: DataFrame, fields: l
     again.
     """
     unknown = suppliers.limit(0).withColumns({"eligibility": F.lit(""), "supplier_score": F.lit(0).cast("decimal(5,1)")})
-    bare = written(scoring.score_products(products, unknown, None, cfg))
+    # some 80 patterns a row: a table of few bytes is one file split, so its rows are dealt to all cores
+    bare = written(scoring.score_products(products.repartition("product_key"), unknown, None, cfg))
     short = F.col("review_status") == "Shortlisted"
     ok = short if high is None else short & (F.col("retail_price") <= high)
     best = written(selection.pick_targets(bare, "supplier_key", "product_score", "product_key", per_supplier, top, where=ok).select("product_key"))

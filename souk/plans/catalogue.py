@@ -181,7 +181,7 @@ j4 AS (SELECT *, CASE WHEN review_status LIKE 'Manually%' THEN review_status WHE
 
 
 def job(spark, d):
-    return scoring.score_products(products(spark, d), scoring.score_suppliers(suppliers(spark, d), CFG), None, CFG)
+    return scoring.score_products(products(spark, d).repartition("product_key"), scoring.score_suppliers(suppliers(spark, d), CFG), None, CFG)
 
 
 @query(f"WITH {JOB} SELECT product_key, supplier_eligibility, supplier_score, margin_pct, margin_status, product_score, status AS review_status, why AS reasons, array_to_string(flags, ',') AS risk_flags, collection, confidence FROM classed")

@@ -252,6 +252,18 @@ def test_texts_are_spread_for_the_exclusions(spark, sf):
         assert f(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_products_are_dealt_out_before_they_are_scored(spark, sf, monkeypatch):
+    """A table of products is one file split; it was scored in one task."""
+    from souk.operators import funnel
+    from souk.plans import catalogue, insights
+
+    seen, once = [], funnel.written
+    monkeypatch.setattr(funnel, "written", lambda df: seen.append(df) or once(df))
+    insights._funnel(spark, sf)
+    for df in (seen[0], catalogue.job(spark, sf)):
+        assert "RepartitionByExpression [product_key" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_upsert_twice_is_upsert_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").withColumn("fp", F.sha2("v", 256))
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string").withColumn("fp", F.sha2("v", 256))
