@@ -17,10 +17,17 @@ that cannot link, and the sets themselves decide. One pass over the texts makes
 fingerprint, class and head; sets are made again only for candidates.
 
 Crowded shingles. Where more than ``crowd`` classes meet, all are first held
-against one of them. If they do not form one component then, they are compared
-in pairs of blocks, which give only links between different components. So no
-link between components is lost and rows stay in proportion to the blocks; the
-comparisons in a crowd that does not hang together grow with its square.
+against one of them, that with the fewest uncrowded shingles in its head: of edited
+copies the least edited. If they do not form one component then, those outside the
+crowd's largest component are compared with all, in pairs of blocks, which give only
+links between different components. A block is bounded by rows and by shingles. So no
+link between components is lost, and copies that the first step has joined meet
+each block of outsiders once, never each other; the comparisons, and the rows dealt
+beyond a block of outsiders, in a crowd that does not hang together grow with its square.
+
+Texts. Sets and copies are joined with the texts only where a table of at most
+``WORDS`` times 64 bits says that a text's hash may be asked for; all other texts
+stay where they are read. The joins decide.
 
 Edge cases: texts of fewer words than a shingle have their words as the only
 shingle; null and empty texts are equal to each other; a null id is larger than
@@ -43,6 +50,8 @@ from souk.llm.simhash import SEED, _hashes, fold
 
 SHARE = 0.2  # of the texts, by a hash, tell which shingles are common
 COMMON = 1 << 18  # of these at most so many, the commonest, are sent to the tasks: 2 MB
+WORDS = 1 << 18  # rows of 64 bits at most that tell which texts may be asked for
+SHINGLES = 1 << 18  # of a block's sets, together
 
 
 def distinct(blocks: list[np.ndarray]) -> np.ndarray:
@@ -99,6 +108,13 @@ def row_key(id_col: Column, text_col: Column) -> list[Column]:
     return [id_col.cast("long").alias("d"), F.xxhash64(text_col).alias("h")]
 
 
+def may_hold(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, Column]:
+    """rows, and a condition on their ``h`` that is true for every ``h`` of asked, seldom for others, and never null."""
+    word, bit = F.pmod("h", F.lit(WORDS)), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 18), 64) as int))")
+    bits = asked.groupBy(word.alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(bits), word == F.col("_w"), "left"), F.coalesce("_bits", F.lit(0)).bitwiseAND(bit) != 0
+
+
 def read(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, shingle: int, alike: float) -> DataFrame:
     """``d, h, sig, fp, n, head`` per row of docs, written."""
     ids, text = docs[id_col], docs[text_col]
@@ -112,18 +128,24 @@ def read(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, shingle: in
 
 def forest(sets: list[np.ndarray], roots: np.ndarray, alike: float) -> list[tuple[int, int]]:
     """Pairs of row numbers that link, enough of them to join what links between different roots."""
+    if not len(sets):
+        return []
+    # rows of the commonest root go last: they need no comparison with each other
+    _, at, often = np.unique(roots, return_inverse=True, return_counts=True)
+    order = np.argsort(at == often.argmax(), kind="stable")
+    sets, roots, others = [sets[i] for i in order], np.asarray(roots)[order], len(roots) - int(often.max())
     sizes = np.array([len(h) for h in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
     group, mark, out = np.unique(roots, return_inverse=True)[1], np.zeros(len(names), dtype=np.int32), []
-    for i in range(len(sets) - 1):
+    for i in range(min(len(sets) - 1, others)):
         mine = flat[starts[i] : starts[i + 1]]
         mark[mine] = 1
         both = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1])
         mark[mine] = 0
         js = np.flatnonzero(both >= alike * (sizes[i] + sizes[i + 1 :] - both) - 1e-9) + i + 1
         while len(js := js[group[js] != group[i]]):
-            out.append((i, int(js[0])))
+            out.append((int(order[i]), int(order[js[0]])))
             group[group == group[js[0]]] = group[i]
     return out
 
@@ -137,7 +159,7 @@ def pigeonholed(ws: Workspace, each: DataFrame) -> DataFrame:
     return same.unionByName(met.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def links(ws: Workspace, docs: DataFrame, each: DataFrame, id_col: str, text_col: str, shingle: int, alike: float, crowd: int = 32, block: int = 512) -> DataFrame:
+def links(ws: Workspace, docs: DataFrame, each: DataFrame, id_col: str, text_col: str, shingle: int, alike: float, crowd: int = 32, block: int = 2048) -> DataFrame:
     """Verified links ``a``, ``b`` between the values ``sig`` of texts' sets that keep every component whole."""
     part = alike / (1 + alike)
     heads = each.select("sig", F.explode("head").alias("s")).repartition("s").distinct()
@@ -159,8 +181,10 @@ def links(ws: Workspace, docs: DataFrame, each: DataFrame, id_col: str, text_col
     # both heads are initial in one order, so what two sets share beyond them lies in one's tail
     bound = F.col("shared") + F.least("acrowded", "bcrowded") + F.greatest("atail", "btail")
     near = sized(met.groupBy("a", "b").agg(F.count("*").alias("shared"))).where(bound >= (F.col("an") + F.col("bn")) * part - 1e-9).select("a", "b")
-    many = live.where(F.col("c") > crowd)
-    lead = many.groupBy("s").agg(F.min(F.struct(F.xxhash64("sig"), "sig")).alias("l")).select("s", F.col("l.sig").alias("lead"))
+    own = (F.col("n") - F.col("tail") - F.col("crowded")).alias("own")  # uncrowded shingles of the head
+    many = live.where(F.col("c") > crowd).join(sizes.select(F.col("sig").alias("of"), "n", own), F.col("sig") == F.col("of"))
+    many = ws.cut(many.select("s", "sig", "n", "own"), "many")
+    lead = many.groupBy("s").agg(F.min(F.struct("own", F.xxhash64("sig"), "sig")).alias("l")).select("s", F.col("l.sig").alias("lead"))
     star = many.join(lead, "s").where("sig <> lead").select(F.least("lead", "sig").alias("a"), F.greatest("lead", "sig").alias("b")).distinct()
     star = sized(star).select("a", "b")
     pairs = ws.cut(near.unionByName(star).unionByName(pigeonholed(ws, each)).distinct(), "pairs")
@@ -170,7 +194,8 @@ def links(ws: Workspace, docs: DataFrame, each: DataFrame, id_col: str, text_col
         """One set for each of the given values sig, from the text of its first row."""
         first = each.join(sigs.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("d", "h")).alias("r"))
         first = ws.cut(first.select("sig", F.col("r.d").alias("fd"), F.col("r.h").alias("fh")), "firsts")
-        met = rows.join(first, (F.col("h") == F.col("fh")) & F.col("d").eqNullSafe(F.col("fd"))).dropDuplicates(["sig"])
+        mine, may = may_hold(rows, first.select(F.col("fh").alias("h")))
+        met = mine.where(may).join(first, (F.col("h") == F.col("fh")) & F.col("d").eqNullSafe(F.col("fd"))).dropDuplicates(["sig"])
         return met.select("sig", _sets(shingle)("text").alias("hs"))
 
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
@@ -184,11 +209,18 @@ def links(ws: Workspace, docs: DataFrame, each: DataFrame, id_col: str, text_col
         return found
 
     roots = ws.cut(components(ws, found), "roots").select(F.col("node").alias("sig"), "root")
-    rest = ws.cut(many.join(roots, "sig", "left").select("s", "sig", "c", F.coalesce("root", "sig").alias("root")), "crowded")
-    split = rest.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    rest = rest.join(split, "s", "left_semi").withColumn("cuts", F.ceil(F.col("c") / block).cast("int"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.struct(F.least("own", i).alias("i"), F.greatest("own", i).alias("j")))
+    rest = ws.cut(many.join(roots, "sig", "left").select("s", "sig", "n", F.coalesce("root", "sig").alias("root")), "crowded")
+    # per crowd: its largest component, rows and shingles of that and of the others
+    each_root = rest.groupBy("s", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    main = each_root.groupBy("s").agg(F.max(F.struct("c", "root", "w")).alias("m"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
+    cuts = lambda c, w: F.ceil(F.greatest(c / block, w / SHINGLES)).cast("int")
+    small = cuts(F.col("c"), F.col("w")) == 1  # all in one block
+    main = main.select("s", F.when(~small, F.col("m.root")).alias("main"), F.when(small, 1).otherwise(cuts(F.col("c") - F.col("m.c"), F.col("w") - F.col("m.w"))).alias("out"), cuts(F.col("m.c"), F.col("m.w")).alias("in"))
+    rest = rest.join(main, "s").withColumn("in", F.when(F.col("main").isNull(), 0).otherwise(F.col("in"))).withColumn("outside", ~F.col("root").eqNullSafe(F.col("main")))
+    # blocks of the others are numbered first; they meet each other and the largest component's
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("sig"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("in"))).cast("int") + F.when(F.col("outside"), 0).otherwise(F.col("out")))
+    far = F.when(F.col("outside"), F.col("out") + F.col("in")).otherwise(F.col("out"))
+    pair = F.transform(F.sequence(F.lit(0), far - 1), lambda i: F.struct(F.least("own", i).alias("i"), F.greatest("own", i).alias("j")))
     rest = ws.cut(rest.select("s", "sig", "root", F.explode(pair).alias("e")).select("s", "e.i", "e.j", "sig", "root"), "blocks")
     if not rest.limit(1).count():
         return found
@@ -229,12 +261,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     odd = ws.cut(rows.where(~stays | (F.col("c") > 1)).select("d", "h", stays.alias("several")), "copies")
     # docs' columns travel in a struct of their own, so names never clash
     laid = docs.select(*row_key(docs[id_col], docs[text_col]), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    laid, may = may_hold(laid, odd)
 
     def met(marks: DataFrame, how: str) -> DataFrame:
         marks = marks.select(F.col("d").alias("od"), F.col("h").alias("oh"))
-        return laid.join(marks, (F.col("h") == F.col("oh")) & F.col("d").eqNullSafe(F.col("od")), how)
+        return laid.where(may).join(marks, (F.col("h") == F.col("oh")) & F.col("d").eqNullSafe(F.col("od")), how)
 
-    single, several = met(odd, "left_anti").select("doc.*"), odd.where("several")
+    single, several = laid.where(~may).select("doc.*").unionByName(met(odd, "left_anti").select("doc.*")), odd.where("several")
     if several.isEmpty():
         return single
     return single.unionByName(met(several, "left_semi").dropDuplicates(["d", "h"]).select("doc.*"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from souk.llm import overlap, simhash
@@ -71,6 +72,36 @@ def test_a_wider_radius_is_an_error(spark, crowd):
         simhash.links(Workspace(spark), spark.createDataFrame([(1,), (15,)], "fp long"), radius=4, crowd=crowd)
 
 
+def test_a_crowd_of_copies_meets_its_outsiders_alone(spark, monkeypatch):
+    """Of a passage's copies those that hang together never meet in blocks: the rows dealt stay in proportion to the crowd."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, base, 1)) for i in range(90)]
+    rows += [(100 + i, " ".join(base + [f"own{i}-{j}" for j in range(29 + i % 2)])) for i in range(6)]
+    dealt, cut = {}, Workspace.cut
+
+    def counted(self, df, name="t", codec=None):
+        out = cut(self, df, name, codec)
+        if name in ("blocks", "crowded", "final"):
+            dealt[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "cut", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(overlap.groups(df, crowd=8, block=10)) == brute(rows)
+    assert 0 < dealt.get("blocks", 0) <= 3 * dealt["crowded"]
+
+
+def test_only_texts_that_may_be_asked_for_move(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    asked = rows.where(F.pmod("h", F.lit(50)) == 0)
+    mine, may = overlap.may_hold(rows, asked)
+    held = mine.where(may).select("h")
+    assert held.join(asked, "h", "left_semi").count() == asked.count() and held.count() < 1.2 * asked.count()
+    assert mine.where(may | ~may).count() == 20000
+    mine, may = overlap.may_hold(rows, asked.limit(0))
+    assert mine.where(~may).count() == 20000
+
+
 def test_rows_not_ids_decide_and_names_never_clash(spark):
     rows = [(0, "A"), (1, "A"), (1, "B"), (5, "C"), (5, "C"), (None, "D"), (None, "D"), (None, "A"), ((1 << 53) + 1, "E"), ((1 << 53) + 3, None), ((1 << 53) + 5, "")]
     df = spark.createDataFrame([(d, t, 1, 2, "x", 3) for d, t in rows], "doc_id long, text string, d int, h int, doc string, _gone int")
