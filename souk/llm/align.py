@@ -122,20 +122,17 @@ def spelled(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, straight, irregular
     single = list(map(names.__getitem__, pairs.tolist()))
     a, b = a.tolist(), b.tolist()
     said = NUMBERS.__getitem__ if max(a + b) < len(NUMBERS) else str
-    out, at, g = [], 0, 0
-
-    def groups(before: int) -> None:
-        nonlocal g
-        while g < len(irregular) and irregular[g][0] < before:
-            i, i1, j, j1 = irregular[g]
-            out.append(",".join(map(said, a[i:i1])) + "|" + ",".join(map(said, b[j:j1])))
-            g += 1
-
-    for i, _, k in straight:
-        groups(i)
-        out.extend(single[at : at + k])
-        at += k
-    groups(len(a))
+    out, at = [], 0
+    ahead = iter(straight)
+    p, _, k = next(ahead, (len(a), 0, 0))
+    for i, i1, j, j1 in irregular:
+        while p < i:
+            out += single[at : at + k]
+            at += k
+            p, _, k = next(ahead, (len(a), 0, 0))
+        left = said(a[i]) if i1 - i == 1 else ",".join(map(said, a[i:i1]))
+        out.append(f"{left}|{said(b[j]) if j1 - j == 1 else ','.join(map(said, b[j:j1]))}")
+    out += single[at:]
     return ";".join(out)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -74,6 +75,10 @@ class ByteLevel:
     def encode(self, pretokens: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
 
+    def raw(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of 32 bits, as bytes."""
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
+
     def token_bytes(self) -> list[bytes]:
         known = byte_of()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.size)]
@@ -104,6 +109,9 @@ class Pieces:
         ids = self.model.encode([p[1:] for p in pretokens], num_threads=1)
         return [np.array(x if len(p) > 1 else [self.blank], dtype=np.int32) for p, x in zip(pretokens, ids, strict=True)]
 
+    def raw(self, pretokens: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self.encode(pretokens)]
+
     def token_bytes(self) -> list[bytes]:
         return [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(self.names)]
 
@@ -131,7 +139,7 @@ class Ids:
         if None not in got:
             return got
         new = list({p for p, x in zip(parts, got, strict=True) if x is None})
-        fresh = dict(zip(new, [x.tobytes() for x in self.of.encode(new)], strict=True))
+        fresh = dict(zip(new, self.of.raw(new), strict=True))
         if self.kept < CACHE_BYTES:
             keep = {p: x for p, x in fresh.items() if len(p) <= LONG}
             self.known.update(keep)

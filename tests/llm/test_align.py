@@ -121,3 +121,14 @@ def test_odd_texts(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id bigint, text string, n_a string")
     assert sorted((tuple(r) for r in align.aligned(df).select(*NAMES).collect()), key=str) == brute(docs)
     assert align.aligned(df.limit(0)).count() == 0
+
+
+def test_groups_are_spelled_in_order_and_ids_come_as_bytes():
+    a, b = align.np.arange(10, 17), align.np.arange(20, 28)
+    straight, irregular = [(1, 2, 2), (5, 5, 1)], [(0, 1, 0, 2), (3, 5, 4, 5), (6, 7, 6, 8)]
+    pairs = align.np.array([11 << 32 | 22, 12 << 32 | 23, 15 << 32 | 25])
+    assert align.spelled(a, b, pairs, straight, irregular, align._Spelled()) == "10|20,21;11|22;12|23;13,14|24;15|25;16|26,27"
+    for path in align.default_tokenizers():
+        of = align.pretokens.reader(path)
+        parts = [" word", " zzzqé中"]
+        assert of.raw(parts) == [x.tobytes() for x in of.encode(parts)]
