@@ -7,7 +7,7 @@ import contextlib
 import inspect
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +51,7 @@ def _remove(spark: SparkSession, where: str) -> None:
 class Workspace:
     """Tables written below :func:`shared_dir` to cut lineage; lost executors cost no recomputation of them.
 
-    ``drop`` removes a table once nothing reads it; the rest goes when Python ends.
+    ``drop`` removes a table once nothing reads it, ``close`` all of them; the rest goes when Python ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -67,9 +67,10 @@ class Workspace:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def cut(self, df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
-        """Write df as Parquet (by a codec, or the session's) and read it back."""
+        """Write df as Parquet (by a codec, or the session's) and read it back; what it has shuffled goes at once."""
         where = self.path(name)
-        df.write.parquet(where, compression=codec)
+        with _shuffles_removed(self.spark):
+            df.write.parquet(where, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._souk_path = where
         return out
@@ -78,10 +79,27 @@ class Workspace:
         for df in frames:
             self._remove(df._souk_path)
 
+    def close(self) -> None:
+        """Remove all its tables, once nothing reads them."""
+        self._remove(self.root)
+        _opened.remove(self.root)
+
     def _remove(self, where: str) -> None:
         _remove(self.spark, where)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within leave no shuffle files; else these stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of ``BATCH_BYTES``, where the session has Spark's default (64 MB)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

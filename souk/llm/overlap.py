@@ -253,12 +253,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Of rows equal in id and text any one stays.
     """
-    ws = Workspace(docs.sparkSession)
-    rows = grouped(ws, docs, id_col, text_col, shingle, alike, **how).groupBy("root", "d", "h").agg(F.count("*").alias("c"))
+    ws, work = Workspace(docs.sparkSession), Workspace(docs.sparkSession)
+    rows = grouped(work, docs, id_col, text_col, shingle, alike, **how).groupBy("root", "d", "h").agg(F.count("*").alias("c"))
     best = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "h")).alias("best")
     rows = rows.join(rows.groupBy("root").agg(best).select(F.col("root").alias("r"), "best"), F.col("root") == F.col("r"))
     stays = F.col("d").eqNullSafe(F.col("best.d")) & (F.col("h") == F.col("best.h"))
     odd = ws.cut(rows.where(~stays | (F.col("c") > 1)).select("d", "h", stays.alias("several")), "copies")
+    work.close()
     # docs' columns travel in a struct of their own, so names never clash
     laid = docs.select(*row_key(docs[id_col], docs[text_col]), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     laid, may = may_hold(laid, odd)

@@ -214,6 +214,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _row_key().alias("k"), "text")
 
 
+def _dealt(df: DataFrame, *names: str) -> DataFrame:
+    """df's ``names`` beside ``rk, rd, rn``, which tell a row of docs and are never null: grouping and joining by these deals rows out once."""
+    return df.select(F.col("k").alias("rk"), F.coalesce("doc_id", F.lit(0)).alias("rd"), F.col("doc_id").isNull().alias("rn"), *names)
+
+
 def _with_text(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return texts.join(marks, (texts["k"] == marks["mk"]) & texts["doc_id"].eqNullSafe(marks["md"]), how)
 
@@ -234,11 +239,13 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
     classes = ws.cut(rows.groupBy("a", "c").agg(F.min(F.struct("doc_id", "k", "s", "n")).alias("f")), "contexts")
     heads = classes.select(F.col("a").alias("ha"), F.col("c").alias("hc"), F.struct("f.doc_id", "f.k", "f.s").alias("head"))
     later = rows.join(heads, (rows["a"] == F.col("ha")) & (rows["c"] == F.col("hc"))).where(~place.eqNullSafe(F.col("head"))).select("doc_id", "k", "s", "n")
+    later = ws.cut(later, "later")
+    ws.drop(rows)
     several = classes.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("sa"))
     several = ws.cut(several, "several")
     firsts = classes.join(several, classes["a"] == F.col("sa"), "left_semi").select("a", "f.*")
-    asked = firsts.groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_list(F.struct("a", "s", "n")).alias("asks"))
-    asked = asked.select("md", "mk", F.col("asks.a").alias("aa"), F.col("asks.s").alias("ss"), F.col("asks.n").cast("array<int>").alias("nn"))
+    asked = _dealt(firsts, "a", "s", "n").groupBy("rk", "rd", "rn").agg(F.collect_list(F.struct("a", "s", "n")).alias("asks"))
+    asked = asked.select("rk", "rd", "rn", F.col("asks.a").alias("aa"), F.col("asks.s").alias("ss"), F.col("asks.n").cast("array<int>").alias("nn"))
 
     def compare(text, aa, ss, nn):
         ends, out = [0], []
@@ -255,14 +262,26 @@ def repeated(docs: DataFrame, window: int = 20, rounds: int = 4, ws: Workspace |
         return listed(ends, a=pa.array(a), w=pa.array(w), s=pa.array(s))
 
     found = by_columns(compare, "array<struct<a:bigint,w:bigint,s:int>>")("text", "aa", "ss", "nn")
-    met = _with_text(_texts(docs), asked, "inner").select("doc_id", "k", "text", "aa", "ss", "nn").dropDuplicates(["doc_id", "k"])
-    single = ws.cut(met.select("doc_id", "k", F.explode(found).alias("e")).select("e.a", "e.w", "doc_id", "k", "e.s"), "windows")
+    # the texts move once: repeated rows go where they are read or where their copies meet, and the join needs no other place
+    met = _dealt(_texts(docs), "doc_id", "text").dropDuplicates(["rk", "rd", "rn"]).join(asked, ["rk", "rd", "rn"])
+    single = met.select("doc_id", F.col("rk").alias("k"), F.explode(found).alias("e")).select("e.a", "e.w", "doc_id", "k", "e.s")
+    single = ws.cut(single, "windows")
+    ws.drop(several)
     least = single.groupBy("a", "w").agg(F.min(place).alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("ha"), F.col("w").alias("hw"), "head")
     least = ws.cut(least, "least")
     more = single.join(least, (single["a"] == F.col("ha")) & (single["w"] == F.col("hw"))).where(~place.eqNullSafe(F.col("head"))).select("doc_id", "k", "s", F.lit(1).cast("byte").alias("n"))
     return later.unionByName(more)
 
 
+def _marks(docs: DataFrame, window: int, rounds: int = 4) -> DataFrame:
+    """``md, mk, ss, nn``: per row of docs with non-first windows, their places and numbers; the only table left of the search."""
+    ws, work = Workspace(docs.sparkSession), Workspace(docs.sparkSession)
+    marks = repeated(docs, window, rounds, work).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_set(F.struct("s", "n")).alias("p"))
+    marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
+    work.close()
+    return marks
+
+
 def cover(n_words: int, starts, sizes, window: int) -> np.ndarray:
     """True for each word that a marked window covers; starts: None where there is none."""
     step = np.zeros(n_words + 1, dtype=np.int64)
@@ -280,10 +299,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``text`` adds ``kept_text``, where removed words go with the white space
     before them and the rest of the text stays as it is (a null text stays null).
     """
-    ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, rounds, ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_set(F.struct("s", "n")).alias("p"))
-    marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
+    marks = _marks(only, window, rounds)
 
     def finish(text, ss, nn):
         out = []
@@ -325,10 +342,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Edge cases are those of the module; all columns, of any name, stay as they are but for the text.
     """
-    ws = Workspace(docs.sparkSession)
     only = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    marks = repeated(only, window, ws=ws).groupBy(F.col("doc_id").alias("md"), F.col("k").alias("mk")).agg(F.collect_set(F.struct("s", "n")).alias("p"))
-    marks = ws.cut(marks.select("md", "mk", F.col("p.s").alias("ss"), F.col("p.n").cast("array<int>").alias("nn")), "marks")
+    marks = _marks(only, window)
 
     def finish(text, ss, nn):
         out = []

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from souk.llm import overlap, simhash
+from souk.llm import common, overlap, simhash
 from souk.llm.common import Workspace
 from tests.llm.test_simhash import groups
+from tests.llm.test_substring import left
 
 
 def slow_set(text):
@@ -110,3 +111,12 @@ def test_rows_not_ids_decide_and_names_never_clash(spark):
     want = [(0, "A"), (1, "B"), (5, "C"), (None, "D"), ((1 << 53) + 1, "E"), ((1 << 53) + 3, None)]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
     assert overlap.keep_one(df.limit(0)).collect() == []
+
+
+def test_search_leaves_its_copies_alone(spark):
+    """Of the search's tables only the copies' stays on disk, the one that the result reads."""
+    mark = common.opened()
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
+    out = overlap.keep_one(df)
+    assert left(mark) == ["copies"]
+    assert {r.doc_id for r in out.collect()} == {1, 3}

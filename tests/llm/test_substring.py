@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from souk.llm import queries, substring
+from souk.llm import common, queries, substring
 from tests.llm.oracle import same
 
 
@@ -27,6 +29,19 @@ def brute(rows, window=20):
     return sorted(out, key=str)
 
 
+def shuffles(spark):
+    """Names of the shuffle files on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def left(mark):
+    """Names of the tables in the workspaces opened since."""
+    roots = [r.removeprefix("file://") for r in common._opened[mark:]]
+    return sorted(p.split("-", 1)[1] for r in roots if os.path.exists(r) for p in os.listdir(r))
+
+
 def got(df, **how):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicate(df, **how).collect()), key=str)
 
@@ -108,3 +123,40 @@ def test_rows_repeated_very_often(spark):
     got = substring.deduplicate(many)
     assert {tuple(r) for r in got.distinct().collect()} == want and got.count() == 20_001
     assert {r.text for r in substring.strip_repeats(many).distinct().collect()} == {first, fill}
+
+
+def test_search_leaves_its_marks_alone(spark):
+    """Once the marks are written, neither tables of the search nor shuffle files of what was written stay on disk."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"l{i} " * 25 + passage + f" r{i}" + " z" * (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    mark, held = common.opened(), shuffles(spark)
+    out = substring.strip_repeats(df)
+    assert left(mark) == ["marks"]
+    for _ in range(50):
+        if not shuffles(spark) - held:
+            break
+        time.sleep(0.1)
+    assert not shuffles(spark) - held
+    want = {d: n - gone for d, n, gone, _ in brute(rows)}
+    assert {r.doc_id: len(r.text.split()) for r in out.collect()} == want and want[39] < want[0]
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    """The table of windows is made with one exchange of the texts."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"l{i} " * 25 + passage + f" r{i}") for i in range(8)]
+    plans, cut = {}, common.Workspace.cut
+
+    def seen(self, df, name="t", codec=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(self, df, name, codec)
+
+    monkeypatch.setattr(common.Workspace, "cut", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["windows"].count("Exchange hashpartitioning(") == 4  # the texts; the asked places; both sides of the join that finds these
